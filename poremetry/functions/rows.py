@@ -52,6 +52,20 @@ def bits_of_runs(runs: Column, width: Column) -> Column:
     return bind(runs, build)
 
 
+def dense_cells(cells: Column, width: Column) -> Column:
+    """Value array of a list of (x, v) structs sorted by x, zero elsewhere; linear in the width."""
+
+    def build(c):
+        def piece(cell, i):
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(c, i - 1)["x"] + 1)
+            return F.concat(F.array_repeat(F.lit(0), cell["x"] - start), F.array(cell["v"]))
+
+        last = F.coalesce(F.get(c, F.size(c) - 1)["x"] + 1, F.lit(0))
+        return F.concat(F.flatten(F.transform(c, piece)), F.array_repeat(F.lit(0), width - last))
+
+    return bind(cells, build)
+
+
 def complement_runs(runs: Column, width: Column) -> Column:
     """The gaps of a run list inside [0, width)."""
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["x1"]))
@@ -92,3 +106,32 @@ def mirrored(index: Column, size: Column) -> Column:
 
 def clamped(index: Column, size: Column) -> Column:
     return F.greatest(F.lit(0), F.least(index, size - 1))
+
+
+def label_runs_of(labels: Column) -> Column:
+    """Runs of equal positive labels in a label array, as structs (x0, x1, label)."""
+
+    def build(a):
+        index = F.sequence(F.lit(0), F.size(a) - 1)
+        at = lambda x: F.coalesce(F.get(a, x), F.lit(0))
+        starts = F.filter(index, lambda x: (at(x) > 0) & ((x == 0) | (at(x - 1) != at(x))))
+        ends = F.filter(index, lambda x: (at(x) > 0) & ((x == F.size(a) - 1) | (at(x + 1) != at(x))))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(
+            s.alias("x0"), (e + 1).alias("x1"), at(s).cast("int").alias("label")))
+
+    return bind(labels, build)
+
+
+def labels_of_runs(runs: Column, width: Column) -> Column:
+    """Label array of sorted (x0, x1, label) structs, 0 elsewhere; linear in the width."""
+
+    def build(r):
+        def piece(this, i):
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(r, i - 1)["x1"])
+            return F.concat(
+                F.array_repeat(F.lit(0), this["x0"] - start), F.array_repeat(this["label"], this["x1"] - this["x0"]))
+
+        last = F.coalesce(F.get(r, F.size(r) - 1)["x1"], F.lit(0))
+        return F.concat(F.flatten(F.transform(r, piece)), F.array_repeat(F.lit(0), width - last))
+
+    return bind(runs, build)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from poremetry.functions.rows import bind, dense_cells
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -15,32 +17,20 @@ def rasterize(cells: DataFrame, height: int, width: int, value: Column) -> DataF
     Rows outside the frame are dropped, absent cells are 0. Amounts are pre-summed per cell before anything is
     gathered, so one image, row or cell holding most of the input is no hot spot: a gathered row has ``width`` cells.
     """
-    inside = cells.where(
-        F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
-    )
-    frame = (
-        cells.select("image_id").distinct()
-        .select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
-        .select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"),
-                F.lit(0).cast("bigint").alias("amount"))
-    )
-    dense = (
-        inside.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
-                      F.col("amount").cast("bigint").alias("amount"))
-        .unionByName(frame)
-        .groupBy("image_id", "y", "x").agg(F.sum("amount").alias("amount"))
-        .select("image_id", "y", "x", value.cast("int").alias("v"))
+    cell = F.struct("x", "v")
+    inside = (
+        cells.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+        .groupBy("image_id", "y", "x").agg(F.sum(F.col("amount").cast("bigint")).alias("amount"))
+        .select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), value.cast("int").alias("v"))
+        .select("image_id", "y", cell.alias("cell"))
     )
-    return scanlines_of_pixels(dense, F.lit(height), F.lit(width))
-
-
-def scanlines_of_pixels(pixels: DataFrame, height: Column, width: Column) -> DataFrame:
-    """Gather dense (image_id, y, x, v) pixels into scanlines."""
+    frame = cells.select("image_id").distinct().select(
+        "image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"),
+        F.lit(None).cast("struct<x:int,v:int>").alias("cell"))
     return (
-        pixels.groupBy("image_id", "y")
-        .agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("cells"))
-        .select("image_id", height.cast("int").alias("height"), width.cast("int").alias("width"), "y",
-                F.transform("cells", lambda c: c["v"]).alias("v"))
+        inside.unionByName(frame).groupBy("image_id", "y").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+        .select("image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), "y",
+                dense_cells(F.col("cells"), F.lit(width)).alias("v"))
     )
 
 
@@ -83,16 +73,16 @@ def embedding_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_rasters(spark: SparkSession, folder: str) -> DataFrame:
     """One raster per document: code points modulo 256 of the whole text, 64 per row, last row padded with 0."""
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
+    lines = bind(codes, lambda a: F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice(a, y * 64 + 1, 64)))
     return (
         table(spark, folder, "documents")
         .where(F.length("text") > 0)
         .select(F.col("doc_id").alias("image_id"),
                 F.ceil(F.length("text") / 64).cast("int").alias("height"), F.lit(64).alias("width"), "text")
-        .select("image_id", "height", "width",
-                F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1),
-                                         lambda y: F.substring("text", y * 64 + 1, F.lit(64)))).alias("y", "line"))
+        .select("image_id", "height", "width", F.posexplode(lines).alias("y", "line"))
         .select("image_id", "height", "width", "y",
-                F.transform(F.split(F.rpad("line", 64, "\u0000"), ""), lambda c: F.ascii(c) % 256).alias("v"))
+                F.concat("line", F.array_repeat(F.lit(0), F.lit(64) - F.size("line"))).alias("v"))
     )
 
 
