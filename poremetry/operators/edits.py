@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from poremetry.functions.rows import bits_of_runs, runs_of_bits
+from poremetry.workspace import attach, materialize
 
 PAINTS = ("paint", "paint_line")
 LINES = ("paint_line", "erase_line")
@@ -34,7 +35,7 @@ def stamp_runs(stamps_: DataFrame, frames: DataFrame) -> DataFrame:
     half = F.floor(F.sqrt((F.col("radius") * F.col("radius") - F.col("dy") * F.col("dy")).cast("double"))).cast("int")
     rows = stamps_.withColumn("dy", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn("half", half)
     return (
-        rows.join(frames.select("image_id", "height", "width"), "image_id")
+        attach(rows, materialize(frames.select("image_id", "height", "width")), ["image_id"], spread="seq")
         .select("image_id", "seq", "paint", (F.col("cy") + F.col("dy")).alias("y"), "height",
                 F.greatest(F.lit(0), F.col("cx") - F.col("half")).alias("x0"),
                 F.least(F.col("width"), F.col("cx") + F.col("half") + 1).alias("x1"))
@@ -54,11 +55,12 @@ def replay(mask: DataFrame, edits: DataFrame, as_of_seq: int | None = None) -> D
     drawn = stamp_runs(stamps(edits), frames)
     pixels = drawn.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "seq", "paint")
     last = pixels.groupBy("image_id", "y", "x").agg(F.max(F.struct("seq", "paint")).alias("s"))
-    live = last.join(resets, "image_id", "left").where(F.col("reset_seq").isNull() | (F.col("s.seq") > F.col("reset_seq")))
+    resets = materialize(resets)
+    live = attach(last, resets, ["image_id"], "left").where(F.col("reset_seq").isNull() | (F.col("s.seq") > F.col("reset_seq")))
     by_row = live.groupBy("image_id", "y").agg(
         F.sort_array(F.collect_list(F.when(F.col("s.paint"), F.col("x")))).alias("on"),
         F.sort_array(F.collect_list(F.when(~F.col("s.paint"), F.col("x")))).alias("off"))
-    rows = mask.join(resets, "image_id", "left").join(by_row, ["image_id", "y"], "left")
+    rows = attach(mask, resets, ["image_id"], "left").join(by_row, ["image_id", "y"], "left")
     single = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<int>")), lambda x: F.struct(x.alias("x0"), (x + 1).alias("x1")))
     base = F.when(F.col("reset_seq").isNull(), F.col("runs")).otherwise(F.array().cast("array<struct<x0:int,x1:int>>"))
     width = F.col("width")

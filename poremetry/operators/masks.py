@@ -8,6 +8,7 @@ from poremetry.functions.rows import bind, bits_of_runs, complement_runs, merge_
 from poremetry.operators.components import NODE, explode_runs, label_runs, parts_where
 from poremetry.operators.filters import odd_kernel
 from poremetry.operators.neighbours import stacked
+from poremetry.workspace import attach, materialize
 
 FG, BG = 1, 0
 
@@ -161,14 +162,17 @@ def mask_from_labels(label_runs_: DataFrame, frames: DataFrame) -> DataFrame:
     return joined.select("image_id", "height", "width", "y", starts.alias("runs"))
 
 
+def _largest(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("image_id").agg(F.max(F.array_max("v")).alias("top")))
+
+
 def normalise_mask(rows: DataFrame, kind: str) -> DataFrame:
     """Value arrays to 0..255 mask values. ``kind``: "bool", "uint8" or anything else (nonzero is foreground).
 
     A uint8 mask whose largest value is at most 1 is scaled to 0/255, any other uint8 mask is kept as it is.
     """
     if kind == "uint8":
-        top = rows.groupBy("image_id").agg(F.max(F.array_max("v")).alias("top"))
-        return rows.join(top, "image_id").withColumn(
+        return attach(rows, _largest(rows), ["image_id"]).withColumn(
             "v", F.transform("v", lambda v: F.when(F.col("top") <= 1, v * 255).otherwise(v))).drop("top")
     return rows.withColumn("v", F.transform("v", lambda v: F.when(v.cast("double") != 0, 255).otherwise(0)))
 
@@ -176,8 +180,7 @@ def normalise_mask(rows: DataFrame, kind: str) -> DataFrame:
 def bool_mask(rows: DataFrame, kind: str = "uint8") -> DataFrame:
     """Mask rows from value arrays: uint8 values use the cut 128 (or > 0 when none exceeds 1), other kinds != 0."""
     if kind == "uint8":
-        top = rows.groupBy("image_id").agg(F.max(F.array_max("v")).alias("top"))
-        rows = rows.join(top, "image_id")
+        rows = attach(rows, _largest(rows), ["image_id"])
         bits = F.transform("v", lambda v: F.when(F.col("top") > 1, v >= 128).otherwise(v > 0).cast("int"))
     else:
         bits = F.transform("v", lambda v: (v != 0).cast("int"))

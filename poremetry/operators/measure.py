@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.functions.rows import bind, bits_of_runs
 from poremetry.operators.components import label_runs as label_components
-from poremetry.workspace import materialize
+from poremetry.workspace import attach, materialize
 
 # The columns of the pore table, in export order.
 PORE_COLUMNS = {
@@ -349,7 +349,7 @@ def scaled(pores: DataFrame, scales: DataFrame | None) -> DataFrame:
     else:
         per_image = scales.select("image_id", F.col("units_per_px").try_cast("double").alias("units_per_px"),
                                   F.coalesce("unit_name", F.lit("")).alias("unit_name"))
-        pores = pores.join(per_image, "image_id", "left")
+        pores = attach(pores, materialize(per_image), ["image_id"], "left", spread="label")
     u = F.col("units_per_px")
     pores = pores.withColumn("area_units2", F.when(u > 0, F.col("area_px") * (u * u)))
     pores = pores.withColumn("eq_diam_units", F.when(u > 0, F.col("eq_diam_px") * u))

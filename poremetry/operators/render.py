@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.functions.gray import blend
 from poremetry.functions.rows import bits_of_runs, labels_of_runs
+from poremetry.workspace import attach, materialize
 
 # Overlay strength, mask tint (BGR), hue range, saturation and value of label colours.
 ALPHA = 0.45
@@ -39,8 +40,8 @@ def colour_labels(scan: DataFrame, label_runs: DataFrame, on_gray: bool = True,
     pixels = _pixels(label_rows(scan, label_runs))
     if not on_gray:
         return pixels.select("image_id", "y", "x", *[palette(F.col("label"), c).alias(c) for c in CHANNELS])
-    labelled = label_runs.select("image_id").distinct().withColumn("any", F.lit(True))
-    pixels = pixels.join(labelled, "image_id", "left")
+    labelled = materialize(label_runs.select("image_id").distinct().withColumn("any", F.lit(True)))
+    pixels = attach(pixels, labelled, ["image_id"], "left")
     return pixels.select("image_id", "y", "x", *[
         F.when(F.col("any"), blend(palette(F.col("label"), c), F.col("v"), alpha)).otherwise(F.col("v")).alias(c) for c in CHANNELS])
 
@@ -75,7 +76,7 @@ def hue_colours(label_runs: DataFrame, seed: int = 123) -> DataFrame:
 def colour_hues(scan: DataFrame, label_runs: DataFrame, seed: int = 123, on_gray: bool = False, alpha: float = ALPHA) -> DataFrame:
     """Hue colours; over gray only labelled pixels are blended."""
     colours = hue_colours(label_runs, seed).select("image_id", "label", *[F.col(c).alias(f"l_{c}") for c in CHANNELS])
-    runs = label_runs.join(colours, ["image_id", "label"]).select("image_id", "y", "x0", "x1", *[f"l_{c}" for c in CHANNELS])
+    runs = attach(label_runs, materialize(colours), ["image_id", "label"]).select("image_id", "y", "x0", "x1", *[f"l_{c}" for c in CHANNELS])
     tinted = runs.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), *[f"l_{c}" for c in CHANNELS])
     pixels = scan.select("image_id", "y", F.posexplode("v").alias("x", "v")).join(tinted, ["image_id", "y", "x"], "left")
     ground = F.col("v") if on_gray else F.lit(0)
@@ -93,7 +94,7 @@ def mask_overlay(scan: DataFrame, mask: DataFrame, alpha: float = ALPHA, style:
     if style == "raise":
         tops = {"b": v, "g": F.when(on, 255).otherwise(v), "r": F.when(on, 255).otherwise(v)}
         return pixels.select("image_id", "y", "x", *[blend(tops[c], v, alpha).alias(c) for c in CHANNELS])
-    used = mask.where(F.size("runs") > 0).select("image_id").distinct().withColumn("any", F.lit(True))
-    pixels = pixels.join(used, "image_id", "left")
+    used = materialize(mask.where(F.size("runs") > 0).select("image_id").distinct().withColumn("any", F.lit(True)))
+    pixels = attach(pixels, used, ["image_id"], "left")
     return pixels.select("image_id", "y", "x", *[
         F.when(F.col("any"), blend(F.when(on, t).otherwise(0), v, alpha)).otherwise(v).alias(c) for c, t in zip(CHANNELS, MASK_TINT)])
