@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.operators.neighbours import band_rows
-from poremetry.workspace import materialize
+from poremetry.workspace import materialize, row_count
 
 NODE = ["image_id", "layer"]
 
@@ -95,7 +95,7 @@ def contract(pairs: DataFrame) -> DataFrame:
     """
     edges = materialize(pairs)
     found = None
-    while not edges.isEmpty():
+    while row_count(edges):
         both = edges.select(*NODE, "a", "b").unionByName(edges.select(*NODE, F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(*NODE, "a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
         jump = parent.select(*NODE, F.col("a").alias("p"), F.col("p").alias("pp"))
@@ -129,9 +129,8 @@ def label_runs(runs: DataFrame, connectivity: Column | int = 8, band_pixels: int
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", part bigint"
     parts = materialize(
         plain.groupBy("image_id", F.floor(F.col("y") / band).alias("_band")).applyInArrow(
-            lambda key, table: _label_band(table), schema))
-    pairs = _seam_pairs(parts.where(F.col("height") > band), band)
-    roots = contract(pairs)
+            lambda key, table: _label_band(table), schema), seams=F.max(F.col("height") > band))
+    roots = contract(_seam_pairs(parts.where(F.col("height") > band), band)) if parts.metrics["seams"] else None
     if roots is None:
         return parts.withColumn("comp", F.col("part")).drop("reach")
     return (

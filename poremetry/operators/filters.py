@@ -70,9 +70,10 @@ def blur(rows: DataFrame, column: str, k: int, edge: str, out: str) -> DataFrame
     r = k // 2
     width = F.col("width")
     if edge == "replicate":
-        extended = padded(F.col(column), r, r)
+        extended = bind(F.col(column), lambda values: padded(values, r, r))
     else:
-        extended = F.transform(F.sequence(F.lit(-r), width - 1 + r), lambda x: F.get(column, mirrored(x, width)))
+        extended = bind(F.col(column), lambda values: F.transform(
+            F.sequence(F.lit(-r), width - 1 + r), lambda x: F.get(values, mirrored(x, width))))
     extended = F.transform(extended, lambda v: v.cast("double"))
     along = bind(extended, lambda e: F.transform(positions(width), lambda x: weighted_sum(e, x, weights)))
     tall = stacked(rows.withColumn(out, along), out, r, edge)
@@ -140,8 +141,8 @@ def _clahe_luts(scan: DataFrame, clip: float, t: int) -> DataFrame:
     full_h, full_w = F.col("tile_h") * t, F.col("tile_w") * t
     beyond = F.when(full_h > height, F.sequence(height, full_h - 1)).otherwise(F.array().cast("array<int>"))
     targets = F.concat(F.array(y), F.filter(beyond, lambda r: mirrored(r, height) == y))
-    wide = F.transform(F.sequence(F.lit(0), full_w - 1), lambda x: F.struct(
-        F.floor(x / F.col("tile_w")).cast("int").alias("tx"), F.get("v", mirrored(x, width)).alias("v")))
+    wide = bind(F.col("v"), lambda values: F.transform(F.sequence(F.lit(0), full_w - 1), lambda x: F.struct(
+        F.floor(x / F.col("tile_w")).cast("int").alias("tx"), F.get(values, mirrored(x, width)).alias("v"))))
     area = F.col("tile_h") * F.col("tile_w")
     counts = (
         scan.withColumn("at", F.explode(targets)).withColumn("area", area)
@@ -195,21 +196,28 @@ def dilate_ellipse(rows: DataFrame, column: str, k: int, out: str) -> DataFrame:
     if k == 1:
         return rows.withColumn(out, F.col(column))
     spans = ellipse_reach(k)
+    reaches = sorted({(lo, hi) for _, lo, hi in spans})
     width = F.col("width")
-    # Clipped stacks are shorter at the frame: entry i of the stack is row y - above + i.
-    tall = stacked(rows, column, k // 2, "clip", below=k - 1 - k // 2)
-    above = F.least(F.col("y"), F.lit(k // 2))
 
-    def at(x):
-        candidates = []
-        for dy, lo, hi in spans:
+    def along(values, lo, hi):
+        """Running maximum over x + lo .. x + hi of one row."""
+        def at(x):
+            if hi - lo <= 16:
+                near = [F.get(values, F.when(x + i >= 0, x + i) if i < 0 else x + i) for i in range(lo, hi + 1)]
+                return F.greatest(*near) if len(near) > 1 else near[0]
             first = F.greatest(x + lo, F.lit(0))
-            last = F.least(x + hi, width - 1)
-            row = F.when(above + dy >= 0, F.get("stack", above + dy))
-            candidates.append(F.array_max(F.slice(row, first + 1, F.greatest(last - first + 1, F.lit(0)))))
-        return F.greatest(*candidates)
+            return F.array_max(F.slice(values, first + 1, F.least(x + hi, width - 1) - first + 1))
+
+        return F.transform(positions(width), at)
 
-    return tall.withColumn(out, F.transform(positions(width), at)).drop("stack")
+    wide = bind(F.col(column), lambda values: F.array(*[along(values, lo, hi) for lo, hi in reaches]))
+    # Clipped stacks are shorter at the frame: entry i of the stack is row y - above + i.
+    tall = stacked(rows.withColumn("_wide", wide), "_wide", k // 2, "clip", below=k - 1 - k // 2)
+    above = F.least(F.col("y"), F.lit(k // 2))
+    picked = F.array(*[F.get(F.when(above + dy >= 0, F.get("stack", above + dy)), F.lit(reaches.index((lo, hi)))) for dy, lo, hi in spans])
+    down = bind(picked, lambda p: F.transform(positions(width), lambda x: F.greatest(
+        *[F.get(F.get(p, F.lit(i)), x) for i in range(len(spans))]))) if len(spans) > 1 else F.get(picked, F.lit(0))
+    return tall.withColumn(out, down).drop("stack", "_wide")
 
 
 def local_maxima(rows: DataFrame, column: str, k: int, min_value: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from poremetry.functions.geometry import clamp_rect, margins_to_rect, rect_to_margins
-from poremetry.functions.rows import positions
+from poremetry.functions.rows import bind, positions
 from poremetry.workspace import attach, materialize
 
 
@@ -91,7 +91,8 @@ def resize_nearest(scan: DataFrame, height: int, width: int) -> DataFrame:
     low = F.ceil(F.col("y") * height / F.col("height")).cast("int")
     high = F.ceil((F.col("y") + 1) * height / F.col("height")).cast("int") - 1
     rows = scan.where(low <= high).withColumn("ty", F.explode(F.sequence(low, high)))
-    picked = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.get("v", F.floor(x * F.col("width") / width).cast("int")))
+    picked = bind(F.col("v"), lambda v: F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.get(v, F.floor(x * F.col("width") / width).cast("int"))))
     return rows.select("image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("ty").alias("y"), picked.alias("v"))
 
 
@@ -111,13 +112,16 @@ def preview(scan: DataFrame, max_pixels: int = PREVIEW_PIXELS) -> DataFrame:
     large = scan.where(pixels > max_pixels).withColumn("new_h", new_h).withColumn("new_w", new_w)
     large = large.withColumn("step_x", F.col("width") / F.col("new_w")).withColumn("step_y", F.col("height") / F.col("new_h"))
 
-    def cell(x):
-        start, end = x * F.col("step_x"), (x + 1) * F.col("step_x")
-        first, last = F.floor(start).cast("int"), F.least(F.ceil(end).cast("int"), F.col("width")) - 1
-        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda acc, i: acc + F.get("v", i) * (
-            F.least(i + 1.0, end) - F.greatest(i.cast("double"), start)))
+    def cells_of(v):
+        def cell(x):
+            start, end = x * F.col("step_x"), (x + 1) * F.col("step_x")
+            first, last = F.floor(start).cast("int"), F.least(F.ceil(end).cast("int"), F.col("width")) - 1
+            return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda acc, i: acc + F.get(v, i) * (
+                F.least(i + 1.0, end) - F.greatest(i.cast("double"), start)))
 
-    along = F.transform(positions(F.col("new_w")), cell)
+        return F.transform(positions(F.col("new_w")), cell)
+
+    along = bind(F.col("v"), cells_of)
     y = F.col("y")
     first = F.floor(y / F.col("step_y")).cast("int")
     last = F.least(F.ceil((y + 1) / F.col("step_y")).cast("int"), F.col("new_h")) - 1

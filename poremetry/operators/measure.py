@@ -176,37 +176,20 @@ def outline_moments(points: DataFrame) -> DataFrame:
                           (F.col("x") - tx * TILE - TILE // 2).cast("double").alias("u"),
                           (F.col("y") - ty * TILE - TILE // 2).cast("double").alias("v"))
 
-    def power(name: str, n: int) -> Column:
-        out = F.lit(1.0)
-        for _ in range(n):
-            out = out * F.col(name)
-        return out
-
     per_tile = local.groupBy(*PORE, "tx", "ty").agg(
-        *[F.sum(F.col("w") * power("u", i) * power("v", j)).alias(f"m{i}{j}") for i, j in POWERS])
+        *[F.expr("sum(" + " * ".join(["w"] + ["u"] * i + ["v"] * j) + f") AS m{i}{j}") for i, j in POWERS])
     gathered = per_tile.groupBy(*PORE).agg(
         F.min("tx").alias("ox"), F.min("ty").alias("oy"),
         F.collect_list(F.struct("tx", "ty", *[f"m{i}{j}" for i, j in POWERS])).alias("tiles"))
 
-    def moved(i: int, j: int) -> Column:
-        def add(acc, t):
-            dx, dy = (t["tx"] - F.col("ox")) * float(TILE), (t["ty"] - F.col("oy")) * float(TILE)
-            px, py = [F.lit(1.0)], [F.lit(1.0)]
-            for _ in range(i):
-                px.append(px[-1] * dx)
-            for _ in range(j):
-                py.append(py[-1] * dy)
-            for a in range(i + 1):
-                for b in range(j + 1):
-                    acc = acc + t[f"m{a}{b}"] * px[i - a] * py[j - b] * float(comb(i, a) * comb(j, b))
-            return acc
-
-        single = F.get("tiles", F.lit(0))[f"m{i}{j}"]
-        return F.when(F.size("tiles") == 1, single).otherwise(F.aggregate("tiles", F.lit(0.0), add))
+    def moved(i: int, j: int) -> str:
+        terms = [" * ".join([f"{comb(i, a) * comb(j, b)} * t.m{a}{b}"] + [f"(t.tx - ox) * {TILE}D"] * (i - a) + [f"(t.ty - oy) * {TILE}D"] * (j - b))
+                 for a in range(i + 1) for b in range(j + 1)]
+        return f"CASE WHEN size(tiles) = 1 THEN tiles[0].m{i}{j} ELSE aggregate(tiles, 0D, (acc, t) -> acc + {' + '.join(terms)}) END AS m{i}{j}"
 
     return gathered.select(
         *PORE, (F.col("ox") * TILE + TILE // 2).alias("ox"), (F.col("oy") * TILE + TILE // 2).alias("oy"),
-        *[moved(i, j).alias(f"m{i}{j}") for i, j in POWERS])
+        *[F.expr(moved(i, j)) for i, j in POWERS])
 
 
 def spread_axes(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from poremetry.functions.rows import bits_of_runs, label_runs_of, labels_of_runs, positions, runs_of_bits
+from poremetry.functions.rows import bind, bits_of_runs, label_runs_of, labels_of_runs, positions, runs_of_bits
 from poremetry.operators import components as cc, filters, masks
 from poremetry.operators.neighbours import BAND_PIXELS, band_rows, stacked
 from poremetry.workspace import attach, materialize
@@ -64,20 +64,23 @@ def distance_squared(mask: DataFrame, block_pixels: int = BAND_PIXELS) -> DataFr
     """
     width = F.col("width")
 
+    def gaps(runs):
+        def piece(r, i):
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["x1"])
+            return F.concat(F.array_repeat(F.lit(0), r["x0"] - start), inside(r))
+
+        last = F.coalesce(F.get(runs, F.size(runs) - 1)["x1"], F.lit(0))
+        return F.concat(F.flatten(F.transform(runs, piece)), F.array_repeat(F.lit(0), width - last))
+
     def inside(r):
         left = lambda i: F.when(r["x0"] > 0, i + 1).otherwise(FAR)
         right = lambda i: F.when(r["x1"] < width, r["x1"] - r["x0"] - i).otherwise(FAR)
         return F.transform(F.sequence(F.lit(0), r["x1"] - r["x0"] - 1), lambda i: F.least(left(i), right(i), F.lit(FAR)))
 
-    def piece(r, i):
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["x1"])
-        return F.concat(F.array_repeat(F.lit(0), r["x0"] - start), inside(r))
-
-    last = F.coalesce(F.get("runs", F.size("runs") - 1)["x1"], F.lit(0))
-    gap = F.concat(F.flatten(F.transform("runs", piece)), F.array_repeat(F.lit(0), width - last))
     size = F.greatest(F.lit(1), F.floor(F.lit(float(block_pixels)) / F.col("height")).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(width / size).cast("int") - 1), lambda b: F.slice("gap", b * size + 1, size))
-    cut = mask.withColumn("gap", gap).select("image_id", "height", "width", "y", F.posexplode(blocks).alias("block", "gap"))
+    index = F.sequence(F.lit(0), F.ceil(width / size).cast("int") - 1)
+    blocks = bind(bind(F.col("runs"), gaps), lambda g: F.transform(index, lambda b: F.slice(g, b * size + 1, size)))
+    cut = mask.select("image_id", "height", "width", "y", F.posexplode(blocks).alias("block", "gap"))
     solved = cut.groupBy("image_id", "block").applyInArrow(
         lambda key, table: _nearest_in_column(table),
         "image_id bigint, height int, width int, y int, block int, d2 array<bigint>")
@@ -211,13 +214,15 @@ def flood(rows: DataFrame, band_pixels: int | None = None) -> DataFrame:
         spread = state.select(
             "image_id", "height", "width", "y", "cost", "seed", "key", F.col("y").alias("at"), F.explode(touched).alias("_band"))
         spread = spread.withColumn("core", F.floor(F.col("y") / band) == F.col("_band"))
-        return materialize(spread.groupBy("image_id", "_band").applyInArrow(lambda key, table: _flood_band(table), names))
+        return materialize(spread.groupBy("image_id", "_band").applyInArrow(lambda key, table: _flood_band(table), names),
+                           moving=F.max(F.col("changed") & (F.col("height") > band)))
 
     unreached = F.transform("cost", lambda c: F.lit(int(UNREACHED)).cast("bigint"))
     state = one_round(rows.withColumn("key", unreached))
-    done = state.where(F.col("height") <= band)
-    rest = state.where(F.col("height") > band)
-    while not rest.where("changed").isEmpty():
+    if not state.metrics["moving"]:
+        return state.drop("seed", "changed")
+    done, rest = state.where(F.col("height") <= band), one_round(state.where(F.col("height") > band))
+    while rest.metrics["moving"]:
         rest = one_round(rest)
     return done.unionByName(rest).drop("seed", "changed")
 

@@ -46,6 +46,11 @@ def line_mask(spark, folder):
     return th.threshold(line(spark, folder), BRIGHT)
 
 
+def solid_mask(spark, folder):
+    """Dark phase of the density rasters: large connected areas with bright specks."""
+    return th.threshold(line(spark, folder), ThresholdParams(polarity="poresDarker", median_k=0))
+
+
 def line_labels(spark, folder):
     return cc.components(line_mask(spark, folder), 8)
 
@@ -354,7 +359,7 @@ def threshold_meta(spark, folder):
 
 @query
 def threshold_batch(spark, folder):
-    return runs_of(study.threshold_batch(line(spark, folder), "otsu", "poresBrighter", median_k=0))
+    return runs_of(study.threshold_batch(line(spark, folder), "otsu", "poresDarker", median_k=0))
 
 
 # Masks and components ----------------------------------------------------------------------------------------------
@@ -377,7 +382,7 @@ def components8(spark, folder):
 
 @query
 def fill_holes(spark, folder):
-    return runs_of(masks.fill_holes(line_mask(spark, folder)))
+    return runs_of(masks.fill_holes(solid_mask(spark, folder)))
 
 
 @query
@@ -397,7 +402,7 @@ def islands(spark, folder):
 
 @query
 def small_holes(spark, folder):
-    return runs_of(masks.fill_small_holes(line_mask(spark, folder), 5, 4))
+    return runs_of(masks.fill_small_holes(solid_mask(spark, folder), 5, 4))
 
 
 @query
@@ -439,11 +444,6 @@ def mask_from_labels(spark, folder):
 # Separation --------------------------------------------------------------------------------------------------------
 
 
-def solid_mask(spark, folder):
-    """Dark phase of the density rasters: large connected areas with bright specks."""
-    return th.threshold(line(spark, folder), ThresholdParams(polarity="poresDarker", median_k=0))
-
-
 @query
 def distance_exact(spark, folder):
     return separate.distance_squared(solid_mask(spark, folder)).select("image_id", "y", F.posexplode("d2").alias("x", "d2"))

@@ -97,13 +97,40 @@ def labels(prefix: str) -> str:
 LINE_LABELS = [*LINE_MASK, runs_cte("r", "m"), components("f", "r", 8), labels("f")]
 
 
-def flipped(base: list[str], layer_fg: bool, connectivity: int, condition: str, out: str = "m2") -> list[str]:
-    """The mask after components of one side that meet ``condition`` change sides."""
-    side = "fg" if layer_fg else "NOT fg"
-    return [*base, runs_cte(f"{out}_r", "m", side), components(f"{out}_k", f"{out}_r", connectivity), f"""{out}_flip AS (
-    SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x FROM {out}_k_comp JOIN {out}_k_fact USING (image_id, c) WHERE {condition})""",
+def reached(prefix: str, runs: str, connectivity: int, start: str) -> str:
+    """CTEs <prefix>_node and <prefix>_out(id): runs connected to the runs that meet ``start``."""
+    reach = "=" if connectivity == 8 else ""
+    return f"""{prefix}_node AS (SELECT *, CAST(image_id AS BIGINT) * 1000000 + y * w + x0 AS id FROM {runs}),
+{prefix}_edge AS (SELECT a.id AS s, b.id AS t FROM {prefix}_node a JOIN {prefix}_node b
+    ON a.image_id = b.image_id AND b.y = a.y + 1 AND b.x0 <{reach} a.x1 AND b.x1 >{reach} a.x0),
+{prefix}_sym AS (SELECT s, t FROM {prefix}_edge UNION ALL SELECT t, s FROM {prefix}_edge),
+{prefix}_out(id) AS (SELECT id FROM {prefix}_node WHERE {start} UNION SELECT e.t FROM {prefix}_out o JOIN {prefix}_sym e ON e.s = o.id)"""
+
+
+BORDER = "y = 0 OR y = h - 1 OR x0 = 0 OR x1 = w"
+
+
+def swapped(base: list[str], flips: str, out: str, source: str = "m") -> list[str]:
+    """The mask after the runs selected by ``flips`` (image_id, y, x0, x1) change sides."""
+    return [*base, f"{out}_flip AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x FROM ({flips}))",
             f"""{out} AS (SELECT m.image_id, m.y, m.x, m.h, m.w, (m.fg <> (p.x IS NOT NULL)) AS fg
-    FROM m LEFT JOIN {out}_flip p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x)"""]
+    FROM {source} m LEFT JOIN {out}_flip p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x)"""]
+
+
+def dropped(base: list[str], connectivity: int, condition: str, out: str = "m2") -> list[str]:
+    """The mask without the components that meet ``condition``."""
+    return swapped([*base, runs_cte(f"{out}_r", "m"), components(f"{out}_k", f"{out}_r", connectivity)],
+                   f"SELECT image_id, y, x0, x1 FROM {out}_k_comp JOIN {out}_k_fact USING (image_id, c) WHERE {condition}", out)
+
+
+def filled(base: list[str], largest: int | None = None, out: str = "m2") -> list[str]:
+    """The mask with enclosed background (of fewer than ``largest`` pixels) added: what the frame cannot reach."""
+    parts = [*base, runs_cte(f"{out}_r", "m", "NOT fg"), reached(out, f"{out}_r", 4, BORDER),
+             f"{out}_in AS (SELECT * EXCLUDE (id) FROM {out}_node WHERE id NOT IN (SELECT id FROM {out}_out))"]
+    if largest is None:
+        return swapped(parts, f"SELECT image_id, y, x0, x1 FROM {out}_in", out)
+    return swapped([*parts, components(f"{out}_k", f"{out}_in", 4)],
+                   f"SELECT image_id, y, x0, x1 FROM {out}_k_comp JOIN {out}_k_fact USING (image_id, c) WHERE area < {largest}", out)
 
 
 def mask_result(parts: list[str], name: str = "m2", recursive: bool = True) -> str:
@@ -119,7 +146,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["explode_pixels"] = with_(BYTES) + "SELECT image_id, CAST(p // 15 AS INT) AS y, CAST(p % 15 AS INT) AS pos, v FROM bytes WHERE p < 60"
 ORACLES["text_raster_rows"] = with_(TEXT) + """SELECT image_id, any_value(h) AS height, y, CAST(sum(CAST(v AS BIGINT) * (x + 1)) AS BIGINT) AS weighted
 FROM px GROUP BY image_id, y"""
-ORACLES["to_gray"] = with_(BYTES) + """SELECT b.image_id, CAST(b.p // 15 AS INT) AS y, CAST(b.p % 15 // 3 AS INT) AS x,
+ORACLES["to_gray"] = with_(BYTES) + """SELECT b.image_id, CAST(b.p // 15 AS INT) AS y, CAST((b.p % 15) // 3 AS INT) AS x,
 CAST(floor(b.v * 0.114::DOUBLE + g.v * 0.587::DOUBLE + r.v * 0.299::DOUBLE + 0.5::DOUBLE) AS INT) AS v
 FROM bytes b JOIN bytes g ON g.image_id = b.image_id AND g.p = b.p + 1 JOIN bytes r ON r.image_id = b.image_id AND r.p = b.p + 2
 WHERE b.p < 60 AND b.p % 3 = 0"""
@@ -180,7 +207,7 @@ c AS (SELECT image_id, ty, tx, v, least(y + 1, (ty + 1) * sy) - greatest(y, ty *
       FROM px, sz, range(8) a(ty), range(11) b(tx) WHERE y + 1 > ty * sy AND y < (ty + 1) * sy AND x + 1 > tx * sx AND x < (tx + 1) * sx)""") + """
 SELECT image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, CAST(round_even(sum(v * oy * ox) / any_value(area), 0) AS INT) AS v FROM c GROUP BY image_id, ty, tx"""
 ORACLES["resize_nearest"] = with_(EVENT) + """SELECT image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, v FROM px, range(37) a(ty), range(20) b(tx)
-WHERE y = ty * 24 // 37 AND x = tx * 31 // 20"""
+WHERE px.y = (ty * 24) // 37 AND px.x = (tx * 31) // 20"""
 SMALL = "sv AS (SELECT image_id, y, x, h, w, CASE WHEN image_id % 3 = 0 THEN v ELSE CAST(v > 127 AS INT) END AS v FROM px), top AS (SELECT image_id, max(v) AS t FROM sv GROUP BY image_id)"
 ORACLES["mask_normalise"] = with_(TILES, SMALL) + "SELECT image_id, y, x, CASE WHEN t <= 1 THEN v * 255 ELSE v END AS v FROM sv JOIN top USING (image_id)"
 ORACLES["bool_mask"] = with_(TILES, SMALL, mask("CASE WHEN t > 1 THEN v >= 128 ELSE v > 0 END", "sv JOIN top USING (image_id)"), runs_cte("r", "m")) + RUNS.format("r")
@@ -227,9 +254,9 @@ red AS (SELECT image_id, ty, tx, b, least(n, 1) + ex // 256 + CASE WHEN ex % 256
         AND b // greatest(256 // greatest(ex % 256, 1), 1) < ex % 256 THEN 1 ELSE 0 END AS n FROM lim),
 lut AS (SELECT image_id, ty, tx, b, least(255, round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY b) * (255.0::DOUBLE / 12), 0)) AS o FROM red),
 pos AS (SELECT image_id, y, x, v, y / 3.0::DOUBLE - 0.5 AS fy, x / 4.0::DOUBLE - 0.5 AS fx FROM px),
-at AS (SELECT *, floor(fy) AS ty, floor(fx) AS tx FROM pos)""") + """
+spot AS (SELECT *, floor(fy) AS ty, floor(fx) AS tx FROM pos)""") + """
 SELECT p.image_id, p.y, p.x, CAST(floor((a.o * (1 - (fx - p.tx)) + b.o * (fx - p.tx)) * (1 - (fy - p.ty)) + (c.o * (1 - (fx - p.tx)) + d.o * (fx - p.tx)) * (fy - p.ty) + 0.5) AS INT) AS v
-FROM at p JOIN lut a ON a.image_id = p.image_id AND a.ty = greatest(p.ty, 0) AND a.tx = greatest(p.tx, 0) AND a.b = p.v
+FROM spot p JOIN lut a ON a.image_id = p.image_id AND a.ty = greatest(p.ty, 0) AND a.tx = greatest(p.tx, 0) AND a.b = p.v
 JOIN lut b ON b.image_id = p.image_id AND b.ty = greatest(p.ty, 0) AND b.tx = least(p.tx + 1, 7) AND b.b = p.v
 JOIN lut c ON c.image_id = p.image_id AND c.ty = least(p.ty + 1, 7) AND c.tx = greatest(p.tx, 0) AND c.b = p.v
 JOIN lut d ON d.image_id = p.image_id AND d.ty = least(p.ty + 1, 7) AND d.tx = least(p.tx + 1, 7) AND d.b = p.v"""
@@ -282,38 +309,37 @@ ORACLES["percentile_mask"] = with_(LINE, "q AS (SELECT image_id, quantile_cont(C
 ORACLES["adaptive_mask"] = with_(EVENT, *blur(11, "replicate"), "ab AS (SELECT *, v > round_even(g, 0) - 2 AS a FROM bl)",
                                  "side AS (SELECT image_id, avg(v) FILTER (a) AS fa, avg(v) FILTER (NOT a) AS fb FROM ab GROUP BY image_id)",
                                  mask("a <> coalesce(fb < fa, false)", "ab JOIN side USING (image_id)"), runs_cte("r", "m")) + RUNS.format("r")
-ORACLES["eyedropper"] = with_(EVENT, "pk AS (SELECT user_id AS image_id, CAST(event_id % 40 - 4 AS INT) AS x, CAST(event_id // 7 % 24 AS INT) AS y FROM events)") + """
+ORACLES["eyedropper"] = with_(EVENT, "pk AS (SELECT user_id AS image_id, CAST(event_id % 40 - 4 AS INT) AS x, CAST((event_id // 7) % 24 AS INT) AS y FROM events)") + """
 SELECT image_id, x, y, v AS pick_value FROM pk JOIN px USING (image_id, y, x)"""
 ORACLES["threshold_meta"] = with_(TILES) + """SELECT image_id, 'percentile' AS method, 'auto' AS polarity, CAST(40.0 AS DOUBLE) AS percentile,
 round(quantile_cont(CAST(v AS DOUBLE), 0.4), 6) AS thresh FROM px GROUP BY image_id"""
 
 # Masks and components ----------------------------------------------------------------------------------------------
 
-HOLES = "NOT border"
-ORACLES["threshold_batch"] = mask_result(flipped(LINE_MASK, False, 4, HOLES))
+ORACLES["threshold_batch"] = mask_result(filled(LINE_DARK))
 ORACLES["runs"] = with_(*LINE_MASK, runs_cte("r", "m")) + RUNS.format("r")
 for conn in (4, 8):
     ORACLES[f"components{conn}"] = with_(*LINE_MASK, runs_cte("r", "m"), components("f", "r", conn), labels("f"), recursive=True) + \
         "SELECT image_id, y, x0, x1, label FROM f_label"
-ORACLES["fill_holes"] = mask_result(flipped(LINE_MASK, False, 4, HOLES))
-ORACLES["remove_small"] = mask_result(flipped(LINE_MASK, True, 8, "area < 4"))
-ORACLES["clear_border"] = mask_result(flipped(LINE_MASK, True, 4, "border"))
-ORACLES["islands"] = mask_result(flipped(LINE_MASK, True, 8, "area < 3 AND NOT border"))
-ORACLES["small_holes"] = mask_result(flipped(LINE_MASK, False, 4, "NOT border AND area < 5"))
+ORACLES["fill_holes"] = mask_result(filled(LINE_DARK))
+ORACLES["remove_small"] = mask_result(dropped(LINE_MASK, 8, "area < 4"))
+ORACLES["clear_border"] = mask_result(dropped(LINE_MASK, 4, "border"))
+ORACLES["islands"] = mask_result(dropped(LINE_MASK, 8, "area < 3 AND NOT border"))
+ORACLES["small_holes"] = mask_result(filled(LINE_DARK, 5))
 SEEDS = "seed AS (SELECT DISTINCT l_suppkey AS image_id, CAST(l_orderkey % 84 AS INT) AS x, CAST(l_partkey % 50 AS INT) AS y FROM lineitem)"
 
 
-def flooded(base: list[str], layer_fg: bool, connectivity: int, where: str) -> str:
-    hit = f"""(SELECT DISTINCT k.image_id, k.c FROM m2_k_comp k JOIN seed s ON s.image_id = k.image_id AND s.y = k.y AND s.x >= k.x0 AND s.x < k.x1 WHERE {where})"""
-    return mask_result(flipped([*base, SEEDS], layer_fg, connectivity, f"(image_id, c) IN {hit}"))
+def flooded(base: list[str], source: str, side: str, connectivity: int, where: str) -> str:
+    hit = f"EXISTS (SELECT 1 FROM seed s WHERE s.image_id = fl_r.image_id AND s.y = fl_r.y AND s.x >= fl_r.x0 AND s.x < fl_r.x1 AND {where})"
+    parts = [*base, SEEDS, runs_cte("fl_r", source, side), f"fl_s AS (SELECT *, {hit} AS hit FROM fl_r)", reached("fl", "fl_s", connectivity, "hit")]
+    return mask_result(swapped(parts, "SELECT image_id, y, x0, x1 FROM fl_node WHERE id IN (SELECT id FROM fl_out)", "m2", source))
 
 
 GROWN = [*LINE_MASK, "o9 AS (SELECT a.i AS dy, b.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i))", """grown AS (
 SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, bool_or(q.fg) AS fg FROM m p CROSS JOIN o9
 JOIN m q ON q.image_id = p.image_id AND q.y = p.y + o9.dy AND q.x = p.x + o9.dx GROUP BY p.image_id, p.y, p.x)"""]
-ORACLES["flood_add"] = flooded(GROWN, False, 4, "s.x % 12 = 0").replace("FROM m WHERE NOT fg", "FROM grown WHERE NOT fg").replace(
-    "FROM m LEFT JOIN m2_flip p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x", "FROM grown m LEFT JOIN m2_flip p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x")
-ORACLES["flood_remove"] = flooded(LINE_MASK, True, 8, "true")
+ORACLES["flood_add"] = flooded(GROWN, "grown", "NOT fg", 4, "s.x % 12 = 0")
+ORACLES["flood_remove"] = flooded(LINE_MASK, "m", "fg", 8, "true")
 
 STAMPS = """ed AS (SELECT user_id AS image_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'paint' WHEN 'click' THEN 'erase' WHEN 'purchase' THEN 'paint_line'
  WHEN 'signup' THEN 'erase_line' ELSE CASE WHEN event_id % 50 = 0 THEN 'reset' ELSE 'paint' END END AS op, event_id % 37 - 3 AS x, event_id % 29 - 2 AS y,
@@ -364,7 +390,7 @@ ORACLES["post_cleanup"] = with_(*LINE_LABELS, """
 lf AS (SELECT image_id, label, sum(x1 - x0) AS area, bool_or(y = 0 OR y = h - 1 OR x0 = 0 OR x1 = w) AS border FROM f_label GROUP BY image_id, label),
 nl AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INT) AS nw FROM lf WHERE area >= 2 AND NOT border)""", recursive=True) + """
 SELECT image_id, y, x0, x1, nw AS label FROM f_label JOIN nl USING (image_id, label)"""
-ORACLES["pipeline_mask"] = mask_result([*flipped(LINE_MASK, False, 4, HOLES), runs_cte("r3", "m2"), components("k3", "r3", 8), """
+ORACLES["pipeline_mask"] = mask_result([*filled(LINE_MASK), runs_cte("r3", "m2"), components("k3", "r3", 8), """
 keep AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x, h, w, true AS fg FROM k3_comp JOIN k3_fact USING (image_id, c) WHERE area >= 3 AND NOT border)"""], "keep")
 
 # Measurements ------------------------------------------------------------------------------------------------------

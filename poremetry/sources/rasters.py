@@ -63,7 +63,7 @@ def split_valid(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
 def byte_rows(rasters: DataFrame) -> DataFrame:
     """One row per raster row with ``bytes``: whole numbers 0..255, channels interleaved."""
     line = F.col("width") * F.col("n_channels")
-    text = F.decode(F.expr("substring(data, y * width * n_channels + 1, width * n_channels)"), F.lit("ISO-8859-1"))
+    text = F.decode(F.expr("substring(data, y * width * n_channels + 1, width * n_channels)"), "ISO-8859-1")
     return (
         rasters.select("image_id", "height", "width", "n_channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
         .select("image_id", "height", "width", "n_channels", "y", F.transform(F.slice(F.split(text, ""), 1, line), lambda c: F.ascii(c)).alias("bytes"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 # A per-image or per-component table is broadcast only below this estimated size.
 BROADCAST_BYTES = 32 << 20
@@ -29,15 +28,26 @@ def workspace_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage, survives the loss of executors, and gives the optimizer true sizes.
+    Cuts the lineage, survives the loss of executors, and gives the optimizer true sizes. The row count and any
+    further aggregate ``metrics`` are observed during the write and kept in ``.metrics`` of the result.
     """
     spark = df.sparkSession
     path = f"{workspace_dir(spark)}/poremetry/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation()
+    watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    watched.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.metrics = watch.get
+    return written
+
+
+def row_count(written: DataFrame) -> int:
+    """Rows of a written table: observed while writing, else read from the Parquet footers."""
+    known = getattr(written, "metrics", None)
+    return known["rows"] if known else written.count()
 
 
 def _row_bytes(schema: T.StructType) -> int:
@@ -47,15 +57,12 @@ def _row_bytes(schema: T.StructType) -> int:
 def attach(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", spread: str = "y") -> DataFrame:
     """Join a written table of facts (one row per key) to many rows.
 
-    The row count of ``facts`` comes from Parquet footers. Small tables are broadcast. Larger ones are joined on
+    The row count of ``facts`` is known without running it again. Small tables are broadcast. Larger ones are joined on
     (key, slice of ``spread``), so a key that owns a large share of ``rows`` is split over many tasks.
     """
-    if facts.count() * _row_bytes(facts.schema) <= BROADCAST_BYTES:
+    if row_count(facts) * _row_bytes(facts.schema) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(facts), on, how)
     sliced = facts.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SALT_SLICES - 1))))
     keyed = rows.withColumn("_slice", F.pmod(F.col(spread), F.lit(SALT_SLICES)).cast("int"))
     return keyed.join(sliced, [*on, "_slice"], how).drop("_slice")
 
-
-def all_of(conditions):
-    return reduce(lambda a, b: a & b, conditions)
