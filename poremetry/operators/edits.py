@@ -16,14 +16,14 @@ LINES = ("paint_line", "erase_line")
 
 
 def stamps(edits: DataFrame) -> DataFrame:
-    """Disk stamps of edits: lines become stamps every half radius, coordinates truncated."""
+    """Disk stamps of edits: lines become stamps every half radius, coordinates rounded down."""
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     step = F.greatest(F.lit(1), F.floor(F.col("radius") / 2))
     length = F.greatest(F.lit(1.0), F.sqrt((dx * dx + dy * dy).cast("double")))
     n = F.greatest(F.lit(1), F.floor(length / step)).cast("int")
     count = F.when(F.col("op").isin(*LINES), n).otherwise(0)
     along = lambda a, d: F.when(F.col("n") == 0, F.col(a)).otherwise(
-        F.when(F.col("i") == F.col("n"), F.col(a) + d).otherwise((F.col(a) + F.col("i") * (d / F.col("n"))))).cast("int")
+        F.when(F.col("i") == F.col("n"), F.col(a) + d).otherwise(F.floor(F.col(a) + F.col("i") * (d / F.col("n"))))).cast("int")
     return (
         edits.where(F.col("op") != "reset").withColumn("n", count).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
         .select("image_id", "seq", F.col("op").isin(*PAINTS).alias("paint"), along("x", dx).alias("cx"), along("y", dy).alias("cy"),

@@ -93,7 +93,9 @@ def resize_nearest(scan: DataFrame, height: int, width: int) -> DataFrame:
     rows = scan.where(low <= high).withColumn("ty", F.explode(F.sequence(low, high)))
     picked = bind(F.col("v"), lambda v: F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.get(v, F.floor(x * F.col("width") / width).cast("int"))))
-    return rows.select("image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("ty").alias("y"), picked.alias("v"))
+    # Two steps, so that "width" inside the lambda is the old width and not the new column.
+    return rows.select("image_id", "ty", picked.alias("v")).select(
+        "image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("ty").alias("y"), "v")
 
 
 PREVIEW_PIXELS = 1_200_000

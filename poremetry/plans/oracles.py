@@ -347,8 +347,8 @@ STAMPS = """ed AS (SELECT user_id AS image_id, event_id AS seq, CASE event_type
 en AS (SELECT *, CASE WHEN op LIKE '%line' THEN greatest(1, CAST(floor(greatest(1.0, sqrt(CAST((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) AS DOUBLE))) / greatest(1, radius // 2)) AS INT)) ELSE 0 END AS n
        FROM ed WHERE op <> 'reset'),
 st AS (SELECT image_id, seq, op LIKE 'paint%' AS paint, greatest(1, radius) AS r,
-       CASE WHEN n = 0 THEN x WHEN i = n THEN x2 ELSE trunc(x + i * (CAST(x2 - x AS DOUBLE) / n)) END AS cx,
-       CASE WHEN n = 0 THEN y WHEN i = n THEN y2 ELSE trunc(y + i * (CAST(y2 - y AS DOUBLE) / n)) END AS cy FROM en, unnest(range(0, n + 1)) t(i)),
+       CASE WHEN n = 0 THEN x WHEN i = n THEN x2 ELSE floor(x + i * (CAST(x2 - x AS DOUBLE) / n)) END AS cx,
+       CASE WHEN n = 0 THEN y WHEN i = n THEN y2 ELSE floor(y + i * (CAST(y2 - y AS DOUBLE) / n)) END AS cy FROM en, unnest(range(0, n + 1)) t(i)),
 disk AS (SELECT image_id, seq, paint, CAST(cy + dy AS INT) AS y, cx, CAST(floor(sqrt(CAST(r * r - dy * dy AS DOUBLE))) AS INT) AS half FROM st, unnest(range(-r, r + 1)) t(dy)),
 sr AS (SELECT image_id, seq, paint, y, CAST(greatest(0, cx - half) AS INT) AS x0, CAST(least(31, cx + half + 1) AS INT) AS x1 FROM disk WHERE y BETWEEN 0 AND 23)"""
 ORACLES["brush_stamps"] = with_(STAMPS) + "SELECT image_id, seq, paint, y, x0, x1 FROM sr WHERE x0 < x1"
