@@ -280,7 +280,7 @@ def local_maxima(spark, folder):
 
 @query
 def morph_open(spark, folder):
-    return runs_of(masks.opened(line_mask(spark, folder), 3))
+    return runs_of(masks.opened(solid_mask(spark, folder), 3))
 
 
 @query

@@ -10,13 +10,13 @@ from poremetry.operators.filters import ellipse_reach, gaussian_weights
 LINE = """
 cell AS (SELECT l_suppkey AS image_id, CAST(l_quantity AS INT) - 1 AS y, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS x,
          sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS s FROM lineitem GROUP BY ALL),
-px AS (SELECT i.image_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, CAST(least(255, coalesce(c.s, 0) // 50000) AS INT) AS v, 50 AS h, 84 AS w
+px AS MATERIALIZED (SELECT i.image_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, CAST(least(255, coalesce(c.s, 0) // 50000) AS INT) AS v, 50 AS h, 84 AS w
        FROM (SELECT DISTINCT l_suppkey AS image_id FROM lineitem) i CROSS JOIN range(50) a(y) CROSS JOIN range(84) b(x)
        LEFT JOIN cell c ON c.image_id = i.image_id AND c.y = a.y AND c.x = b.x)"""
 
 EVENT = """
 cell AS (SELECT user_id AS image_id, hour(ts) AS y, day(ts) - 1 AS x, sum(CAST(round(value * 100) AS BIGINT)) AS s FROM events GROUP BY ALL),
-px AS (SELECT i.image_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, CAST(least(255, coalesce(c.s, 0) // 100) AS INT) AS v, 24 AS h, 31 AS w
+px AS MATERIALIZED (SELECT i.image_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, CAST(least(255, coalesce(c.s, 0) // 100) AS INT) AS v, 24 AS h, 31 AS w
        FROM (SELECT DISTINCT user_id AS image_id FROM events) i CROSS JOIN range(24) a(y) CROSS JOIN range(31) b(x)
        LEFT JOIN cell c ON c.image_id = i.image_id AND c.y = a.y AND c.x = b.x)"""
 
@@ -25,12 +25,12 @@ bytes AS (SELECT vec_id AS image_id, p - 1 AS p, CAST(greatest(0, least(255, flo
           FROM embeddings, unnest(range(1, 65)) t(p))"""
 
 TILES = BYTES + """,
-px AS (SELECT image_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, v, 8 AS h, 8 AS w FROM bytes)"""
+px AS MATERIALIZED (SELECT image_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, v, 8 AS h, 8 AS w FROM bytes)"""
 
 TEXT = """
 chars AS (SELECT doc_id AS image_id, length(text) AS n, string_split(text, '') AS c FROM documents WHERE length(text) > 0),
 known AS (SELECT image_id, n, unnest(c) AS c, unnest(range(len(c))) AS p FROM chars),
-px AS (SELECT image_id, CAST(p // 64 AS INT) AS y, CAST(p % 64 AS INT) AS x, unicode(c) % 256 AS v, CAST(ceil(n / 64) AS INT) AS h, 64 AS w FROM known
+px AS MATERIALIZED (SELECT image_id, CAST(p // 64 AS INT) AS y, CAST(p % 64 AS INT) AS x, unicode(c) % 256 AS v, CAST(ceil(n / 64) AS INT) AS h, 64 AS w FROM known
        UNION ALL SELECT image_id, CAST(q // 64 AS INT), CAST(q % 64 AS INT), 0, CAST(ceil(n / 64) AS INT), 64
        FROM chars, unnest(range(n, CAST(ceil(n / 64) AS INT) * 64)) t(q))"""
 
@@ -53,7 +53,7 @@ side AS (SELECT image_id, any_value(thresh) AS thresh, avg(v) FILTER (v > thresh
 
 
 def mask(condition: str, source: str = "px") -> str:
-    return f"m AS (SELECT image_id, y, x, h, w, {condition} AS fg FROM {source})"
+    return f"m AS MATERIALIZED (SELECT image_id, y, x, h, w, {condition} AS fg FROM {source})"
 
 
 def with_(*parts: str, recursive: bool = False) -> str:
@@ -252,7 +252,7 @@ dense AS (SELECT t.image_id, t.ty, t.tx, b.b, coalesce(th.n, 0) AS n FROM (SELEC
 lim AS (SELECT *, sum(n - least(n, 1)) OVER (PARTITION BY image_id, ty, tx) AS ex FROM dense),
 red AS (SELECT image_id, ty, tx, b, least(n, 1) + ex // 256 + CASE WHEN ex % 256 > 0 AND b % greatest(256 // greatest(ex % 256, 1), 1) = 0
         AND b // greatest(256 // greatest(ex % 256, 1), 1) < ex % 256 THEN 1 ELSE 0 END AS n FROM lim),
-lut AS (SELECT image_id, ty, tx, b, least(255, round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY b) * (255.0::DOUBLE / 12), 0)) AS o FROM red),
+lut AS MATERIALIZED (SELECT image_id, ty, tx, b, least(255, round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY b) * (255.0::DOUBLE / 12), 0)) AS o FROM red),
 pos AS (SELECT image_id, y, x, v, y / 3.0::DOUBLE - 0.5 AS fy, x / 4.0::DOUBLE - 0.5 AS fx FROM px),
 spot AS (SELECT *, floor(fy) AS ty, floor(fx) AS tx FROM pos)""") + """
 SELECT p.image_id, p.y, p.x, CAST(floor((a.o * (1 - (fx - p.tx)) + b.o * (fx - p.tx)) * (1 - (fy - p.ty)) + (c.o * (1 - (fx - p.tx)) + d.o * (fx - p.tx)) * (fy - p.ty) + 0.5) AS INT) AS v
@@ -262,32 +262,35 @@ JOIN lut c ON c.image_id = p.image_id AND c.ty = least(p.ty + 1, 7) AND c.tx = g
 JOIN lut d ON d.image_id = p.image_id AND d.ty = least(p.ty + 1, 7) AND d.tx = least(p.tx + 1, 7) AND d.b = p.v"""
 
 
-def offsets(k: int) -> str:
-    cells = [(dy, dx) for dy, lo, hi in ellipse_reach(k) for dx in range(lo, hi + 1)]
-    return "d(dy, dx) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in cells) + ")"
+def ellipse_max(k: int, source: str, value: str) -> list[str]:
+    """CTEs ending in em(image_id, y, x, h, w, value, top): largest value in the elliptical neighbourhood, by windows."""
+    spans = ellipse_reach(k)
+    sides = sorted({(-lo, hi) for _, lo, hi in spans})
+    along = ", ".join(f"max({value}) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS s{a}_{b}" for a, b in sides)
+    down = ", ".join(f"{'lag' if dy < 0 else 'lead'}(s{-lo}_{hi}, {abs(dy)}) OVER c" for dy, lo, hi in spans)
+    return [f"ea AS MATERIALIZED (SELECT image_id, y, x, h, w, {value}, {along} FROM {source})",
+            f"em AS MATERIALIZED (SELECT image_id, y, x, h, w, {value}, greatest({down}) AS top FROM ea WINDOW c AS (PARTITION BY image_id, x ORDER BY y))"]
 
 
-ORACLES["local_maxima"] = with_(LINE, offsets(5), """pk AS (SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, any_value(p.v) = max(q.v) AND any_value(p.v) >= 60 AS fg
-FROM px p CROSS JOIN d JOIN px q ON q.image_id = p.image_id AND q.y = p.y + d.dy AND q.x = p.x + d.dx GROUP BY p.image_id, p.y, p.x)""", runs_cte("r", "pk")) + RUNS.format("r")
+ORACLES["local_maxima"] = with_(LINE, *ellipse_max(5, "px", "v"), mask("v = top AND v >= 60", "em"), runs_cte("r", "m")) + RUNS.format("r")
 
 
-def box(source: str, out: str, fold: str) -> str:
-    return f"""{out} AS (SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, {fold}(q.fg) AS fg FROM {source} p
-    JOIN {source} q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY p.image_id, p.y, p.x)"""
+def box(source: str, out: str, fold: str) -> list[str]:
+    """3 x 3 fold of a mask by two windows; positions outside the frame are left out."""
+    near = "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+    return [f"{out}_a AS (SELECT image_id, y, x, h, w, {fold}(fg) OVER (PARTITION BY image_id, y ORDER BY x {near}) AS fg FROM {source})",
+            f"{out} AS MATERIALIZED (SELECT image_id, y, x, h, w, {fold}(fg) OVER (PARTITION BY image_id, x ORDER BY y {near}) AS fg FROM {out}_a)"]
 
 
 def boxes(base: list[str], folds: list[str]) -> str:
-    """3 x 3 erosions (bool_and) and dilations (bool_or) in turn; offsets are joined one by one."""
     parts, source = list(base), "m"
-    parts.append("o9 AS (SELECT a.i AS dy, b.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i))")
     for n, fold in enumerate(folds):
-        parts.append(f"""s{n} AS (SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, {fold}(q.fg) AS fg FROM {source} p CROSS JOIN o9
-    JOIN {source} q ON q.image_id = p.image_id AND q.y = p.y + o9.dy AND q.x = p.x + o9.dx GROUP BY p.image_id, p.y, p.x)""")
+        parts += box(source, f"s{n}", fold)
         source = f"s{n}"
     return with_(*parts, runs_cte("result", source)) + RUNS.format("result")
 
 
-ORACLES["morph_open"] = boxes(LINE_MASK, ["bool_and", "bool_or"])
+ORACLES["morph_open"] = boxes(LINE_DARK, ["bool_and", "bool_or"])
 ORACLES["morph_close"] = boxes(LINE_MASK, ["bool_or", "bool_and"])
 ORACLES["morph_open_close"] = boxes(LINE_DARK, ["bool_and", "bool_or", "bool_or", "bool_and"])
 
@@ -335,9 +338,7 @@ def flooded(base: list[str], source: str, side: str, connectivity: int, where: s
     return mask_result(swapped(parts, "SELECT image_id, y, x0, x1 FROM fl_node WHERE id IN (SELECT id FROM fl_out)", "m2", source))
 
 
-GROWN = [*LINE_MASK, "o9 AS (SELECT a.i AS dy, b.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i))", """grown AS (
-SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, bool_or(q.fg) AS fg FROM m p CROSS JOIN o9
-JOIN m q ON q.image_id = p.image_id AND q.y = p.y + o9.dy AND q.x = p.x + o9.dx GROUP BY p.image_id, p.y, p.x)"""]
+GROWN = [*LINE_MASK, *box("m", "grown", "bool_or")]
 ORACLES["flood_add"] = flooded(GROWN, "grown", "NOT fg", 4, "s.x % 12 = 0")
 ORACLES["flood_remove"] = flooded(LINE_MASK, "m", "fg", 8, "true")
 
@@ -372,17 +373,16 @@ ORACLES["mask_from_labels"] = ORACLES["pick_mask"]
 # The nearest background is found per column first: distance along the row to background, then the best row offset.
 DIST = [*LINE_DARK, """gx AS (SELECT image_id, y, x, h, w, fg, least(coalesce(x - max(CASE WHEN NOT fg THEN x END) OVER l, 100000), coalesce(min(CASE WHEN NOT fg THEN x END) OVER g - x, 100000)) AS g FROM m
 WINDOW l AS (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
-        """dist AS (SELECT a.image_id, a.y, a.x, any_value(a.h) AS h, any_value(a.w) AS w, any_value(a.fg) AS fg,
+        """dist AS MATERIALIZED (SELECT a.image_id, a.y, a.x, any_value(a.h) AS h, any_value(a.w) AS w, any_value(a.fg) AS fg,
 least(min(CAST(b.g AS BIGINT) * b.g + (a.y - b.y) * (a.y - b.y)), 17956) AS d2 FROM gx a JOIN gx b USING (image_id, x) GROUP BY a.image_id, a.y, a.x)"""]
 ORACLES["distance_exact"] = with_(*DIST) + "SELECT image_id, y, x, CAST(d2 AS BIGINT) AS d2 FROM dist"
 ORACLES["distance_blur"] = with_(*DIST, "dd AS (SELECT *, sqrt(CAST(d2 AS DOUBLE)) AS d FROM dist)", *blur(3, "reflect", "dd", "d")) + \
     "SELECT image_id, y, x, round(g, 6) AS d FROM bl"
 ORACLES["distance_norm"] = with_(*DIST, "dm AS (SELECT image_id, max(sqrt(CAST(d2 AS DOUBLE))) AS t FROM dist GROUP BY image_id)") + """
 SELECT image_id, y, x, round(CASE WHEN t > 1e-9 THEN sqrt(CAST(d2 AS DOUBLE)) / t ELSE 0 END, 6) AS n FROM dist JOIN dm USING (image_id)"""
-ORACLES["markers"] = with_(*DIST, offsets(5), "dm AS (SELECT image_id, 0.5 * greatest(max(sqrt(CAST(d2 AS DOUBLE))), 1e-9) AS t FROM dist GROUP BY image_id)", """
-pk AS (SELECT p.image_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w, any_value(p.d2) = max(q.d2) AND sqrt(CAST(any_value(p.d2) AS DOUBLE)) >= any_value(t) AS fg
-FROM dist p JOIN dm ON dm.image_id = p.image_id CROSS JOIN d JOIN dist q ON q.image_id = p.image_id AND q.y = p.y + d.dy AND q.x = p.x + d.dx GROUP BY p.image_id, p.y, p.x)""",
-                           runs_cte("r", "pk"), components("f", "r", 8), labels("f"), recursive=True) + "SELECT image_id, y, x0, x1, label FROM f_label"
+ORACLES["markers"] = with_(*DIST, *ellipse_max(5, "dist", "d2"), "dm AS (SELECT image_id, 0.5 * greatest(max(sqrt(CAST(d2 AS DOUBLE))), 1e-9) AS t FROM dist GROUP BY image_id)",
+                           mask("d2 = top AND sqrt(CAST(d2 AS DOUBLE)) >= t", "em JOIN dm USING (image_id)").replace("m AS", "pk AS", 1), runs_cte("r", "pk"), components("f", "r", 8), labels("f"),
+                           recursive=True) + "SELECT image_id, y, x0, x1, label FROM f_label"
 ORACLES["no_peak_fallback"] = with_(TILES, "hi AS (SELECT DISTINCT image_id FROM px WHERE v >= 230)", """
 m AS (SELECT image_id, y, x, h, w, CASE WHEN image_id IN (FROM hi) THEN v >= 230 ELSE v BETWEEN 170 AND 230 END AS fg FROM px)""",
                                     runs_cte("r", "m"), components("f", "r", 8), labels("f"), recursive=True) + "SELECT image_id, y, x0, x1, label FROM f_label"
@@ -409,7 +409,7 @@ pad AS (SELECT b.image_id * 100000 + b.label AS image_id, a.y, c.x, bbox_x1 - bb
         LEFT JOIN lp ON lp.image_id = b.image_id AND lp.label = b.label AND lp.y = a.y + bbox_y0 - 1 AND lp.x = c.x + bbox_x0 - 1)""",
            runs_cte("br", "pad", "NOT fg"), components("bk", "br", 4), """
 hole AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x FROM bk_comp JOIN bk_fact USING (image_id, c) WHERE NOT border),
-solid AS (SELECT image_id, y, x FROM pad WHERE fg UNION ALL SELECT image_id, y, x FROM hole)"""]
+solid AS MATERIALIZED (SELECT image_id, y, x FROM pad WHERE fg UNION ALL SELECT image_id, y, x FROM hole)"""]
 STEPS = [*OUTLINE, """
 quad AS (SELECT image_id, y - dy AS qy, x - dx AS qx, sum(CASE WHEN dy = dx THEN 1 ELSE 0 END) AS diag, count(*) AS n FROM solid, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx) GROUP BY ALL),
 per AS (SELECT image_id // 100000 AS image_id, CAST(image_id % 100000 AS INT) AS label, sum(CASE WHEN n = 2 AND diag = 1 THEN 1 ELSE 0 END) AS straight,
