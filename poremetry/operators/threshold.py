@@ -60,7 +60,7 @@ def otsu_thresholds(hist: DataFrame) -> DataFrame:
     """(image_id, thresh): the value with the largest between-class variance, 0 for a constant image."""
     n1, s1 = F.col("n1"), F.col("s1")
     n2, s2 = F.col("total_n") - n1, F.col("total_s") - s1
-    gap = s1 / n1 - s2 / n2
+    gap = s1 / n1 - F.try_divide(s2, n2)
     sigma = F.when(n2 > 0, n1.cast("double") * n2.cast("double") * gap * gap)
     best = F.max(F.when(n2 > 0, F.struct(sigma.alias("sigma"), (-F.col("v")).alias("neg"))))
     return (
@@ -99,7 +99,7 @@ def choose_polarity(facts: DataFrame, polarity: str) -> DataFrame:
     A side without pixels makes neither mask "dark"; an unknown polarity acts like "auto".
     """
     both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
-    mean_a, mean_b = F.col("s_a") / F.col("n_a"), F.col("s_b") / F.col("n_b")
+    mean_a, mean_b = F.try_divide("s_a", "n_a"), F.try_divide("s_b", "n_b")
     a_dark, b_dark = both & (mean_a < mean_b), both & (mean_b < mean_a)
     invert = {"poresDarker": ~a_dark, "poresBrighter": a_dark}.get(polarity, b_dark & ~a_dark)
     invert = F.coalesce(invert, F.lit(polarity == "poresDarker"))

@@ -12,6 +12,11 @@ from poremetry.workspace import attach, materialize
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 
 
+def image_key(path: Column) -> Column:
+    """Stable id of a file; the sources write the slashes after the scheme differently."""
+    return F.xxhash64(F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/"))
+
+
 def image_paths(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """(path, image_id) of the image files below a folder; ``image_id`` is a stable hash of the path.
 
@@ -22,7 +27,7 @@ def image_paths(spark: SparkSession, folder: str, limit: int | None = None) -> D
              .select("path").where(F.col("path").rlike(pattern)))
     if limit is not None:
         files = files.orderBy("path").limit(limit)
-    return files.withColumn("image_id", F.xxhash64("path"))
+    return files.withColumn("image_id", image_key(F.col("path")))
 
 
 def scan_images(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +48,7 @@ def scan_images(spark: SparkSession, folder: str, limit: int | None = None) -> t
 def rasters_of_images(images: DataFrame) -> DataFrame:
     """Raster rows of Spark's image source."""
     return images.select(
-        F.xxhash64("image.origin").alias("image_id"), F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
+        image_key(F.col("image.origin")).alias("image_id"), F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
         F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 
 
