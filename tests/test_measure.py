@@ -4,7 +4,6 @@ import math
 import numpy as np
 import pytest
 from conftest import arrays, bits, brute_components, disk, label_arrays, noise
-from pyspark.sql import functions as F
 
 from poremetry.operators import components as cc, measure, separate
 from poremetry.operators.separate import SeparationParams
@@ -193,4 +192,3 @@ def test_fallback_to_components(mask):
 def test_empty_labels(spark, labelled):
     assert measure.measure(labelled({0: np.zeros((5, 5), dtype=int)})).count() == 0
     assert bits(spark.createDataFrame([], "image_id bigint, height int, width int, y int, runs array<struct<x0:int,x1:int>>")) == {}
-    assert F.lit(1) is not None
