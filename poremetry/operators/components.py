@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from poremetry.operators.contract import smallest_reachable
 from poremetry.operators.neighbours import band_rows
-from poremetry.workspace import materialize, row_count
+from poremetry.workspace import materialize
 
 NODE = ["image_id", "layer"]
 
@@ -87,34 +88,6 @@ def _seam_pairs(parts: DataFrame, band: Column) -> DataFrame:
     )
 
 
-def contract(pairs: DataFrame) -> DataFrame:
-    """(NODE..., part, root): smallest reachable part for every part named in ``pairs`` (NODE..., a, b).
-
-    Each round every node joins its smallest neighbour and the graph is rewritten on the joined nodes, so it shrinks
-    geometrically; both tables are written each round.
-    """
-    edges = materialize(pairs)
-    found = None
-    while row_count(edges):
-        both = edges.select(*NODE, "a", "b").unionByName(edges.select(*NODE, F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(*NODE, "a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
-        jump = parent.select(*NODE, F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = materialize(parent.join(jump, [*NODE, "p"]).select(*NODE, "a", F.col("pp").alias("p")))
-        of_a = parent.select(*NODE, "a", F.col("p").alias("pa"))
-        of_b = parent.select(*NODE, F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = materialize(
-            edges.join(of_a, [*NODE, "a"]).join(of_b, [*NODE, "b"])
-            .select(*NODE, F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
-        step = parent.withColumnRenamed("a", "root")
-        if found is None:
-            found = parent.select(*NODE, F.col("a").alias("part"), F.col("p").alias("root"))
-        else:
-            found = found.join(step, [*NODE, "root"], "left").select(
-                *NODE, "part", F.coalesce("p", "root").alias("root"))
-        found = materialize(found)
-    return found
-
-
 def label_runs(runs: DataFrame, connectivity: Column | int = 8, band_pixels: int | None = None) -> DataFrame:
     """Adds ``part`` (component within its band) and ``comp`` (component within the image) to run rows.
 
@@ -130,7 +103,8 @@ def label_runs(runs: DataFrame, connectivity: Column | int = 8, band_pixels: int
     parts = materialize(
         plain.groupBy("image_id", F.floor(F.col("y") / band).alias("_band")).applyInArrow(
             lambda key, table: _label_band(table), schema), seams=F.max(F.col("height") > band))
-    roots = contract(_seam_pairs(parts.where(F.col("height") > band), band)) if parts.metrics["seams"] else None
+    seams = _seam_pairs(parts.where(F.col("height") > band), band) if parts.metrics["seams"] else None
+    roots = smallest_reachable(seams, NODE).withColumnRenamed("node", "part") if seams is not None else None
     if roots is None:
         return parts.withColumn("comp", F.col("part")).drop("reach")
     return (

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -13,6 +18,18 @@ BROADCAST_BYTES = 32 << 20
 SALT_SLICES = 64
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="spark-poremetry-"), "poremetry")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "poremetry"))
+        _shipped.add(context.applicationId)
 
 
 def workspace_dir(spark: SparkSession) -> str:
@@ -28,6 +45,42 @@ def workspace_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc.sc().isStopped() is False
+                         else spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    """The written tables of this application; they go when Python ends, at the latest."""
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_release_quietly, spark, app)
+    return _written[app]
+
+
+def _release_quietly(spark: SparkSession, app: str) -> None:
+    for path in _written.pop(app, []):
+        try:
+            _delete(spark, path)
+        except Exception:  # the gateway may be gone already
+            return
+
+
+@contextmanager
+def scoped_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside the block when it ends; results must have been written or collected by then."""
+    paths = _paths(spark)
+    start = len(paths)
+    try:
+        yield
+    finally:
+        for path in paths[start:]:
+            _delete(spark, path)
+        del paths[start:]
+
+
 def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -36,6 +89,7 @@ def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{workspace_dir(spark)}/poremetry/{uuid.uuid4().hex}"
+    _paths(spark).append(path)
     watch = Observation()
     watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
     watched.write.parquet(path)
