@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poremetry.llm import licenses
+from poremetry.llm import licenses, quality_rules
 
 
 def _text(value: str) -> str:
@@ -61,4 +61,71 @@ FROM files f LEFT JOIN base_of b USING (rid) LEFT JOIN more m USING (rid)
 """
 
 
-ORACLES = {"op1_license_scan": license_scan()}
+def quality_rule_verdicts() -> str:
+    names = [*quality_rules.TOLERANCES, "length"]
+    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM rated" for m in names)
+    upper = ", ".join(f"greatest({least}, {quality_rules.LIMIT_TIMES} * max(CASE WHEN measure = '{m}' THEN q50 END)) AS {m}"
+                      for m, least in quality_rules.TOLERANCES.items())
+    within = " AND ".join(f"r.{m} <= t.{m}" for m in quality_rules.TOLERANCES)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS t
+  FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls
+  FROM texts),
+words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+windows AS (SELECT rid, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM windows WHERE c IS NOT NULL),
+covered AS (
+  SELECT rid, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY rid),
+counted AS (
+  SELECT s.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals, CAST(len(ls) AS BIGINT) AS n_lines
+  FROM split s LEFT JOIN covered c USING (rid)),
+rated AS (
+  SELECT *, coalesce(1000 * n_symbols // nullif(n_words, 0), 0) AS symbols, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines,
+         coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats, coalesce(1000 * n_capitals // nullif(word_chars, 0), 0) AS capitals,
+         coalesce(100 * word_chars // nullif(n_words, 0), 0) AS length
+  FROM counted),
+long AS ({unpivot}),
+binned AS (
+  SELECT lang, source, measure,
+         CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bin
+  FROM long),
+kinds AS (
+  SELECT lang, source, measure, bin FROM binned
+  UNION ALL SELECT lang, NULL, measure, bin FROM binned UNION ALL SELECT NULL, NULL, measure, bin FROM binned),
+summed AS (SELECT lang, source, measure, bin, count(*) AS n FROM kinds GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (k ORDER BY bin) AS upto, sum(n) OVER k AS total FROM summed WINDOW k AS (PARTITION BY lang, source, measure)),
+quantiles AS (
+  SELECT lang, source, measure, max(total) AS total, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS q25,
+         min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS q50, min(CASE WHEN 100 * upto >= 75 * total THEN bin END) AS q75
+  FROM ranked GROUP BY lang, source, measure),
+limits AS (
+  SELECT lang, source, max(total) AS n_docs, {upper},
+         max(CASE WHEN measure = 'length' THEN q25 END) // {quality_rules.LENGTH_TIMES} AS shortest,
+         {quality_rules.LENGTH_TIMES} * max(CASE WHEN measure = 'length' THEN q75 END) AS longest
+  FROM quantiles GROUP BY lang, source),
+chosen AS (
+  SELECT o.lang AS for_lang, o.source AS for_source,
+         CASE WHEN o.n_docs >= {quality_rules.LEAST_DOCS} THEN 2 WHEN l.n_docs >= {quality_rules.LEAST_DOCS} THEN 1 ELSE 0 END AS level
+  FROM limits o JOIN limits l ON l.lang = o.lang AND l.source IS NULL WHERE o.source IS NOT NULL),
+thresholds AS (
+  SELECT for_lang, for_source, t.* FROM chosen c JOIN limits t
+    ON (level = 2 AND t.lang = for_lang AND t.source = for_source) OR (level = 1 AND t.lang = for_lang AND t.source IS NULL)
+    OR (level = 0 AND t.lang IS NULL)),
+judged AS (
+  SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         {within} AND r.length BETWEEN t.shortest AND t.longest AS fits
+  FROM rated r JOIN thresholds t ON for_lang = r.lang AND for_source = r.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fits AS kept FROM judged
+"""
+
+
+ORACLES = {"op1_license_scan": license_scan(), "op7_quality_rules": quality_rule_verdicts()}

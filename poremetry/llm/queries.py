@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poremetry.llm import licenses
+from poremetry.llm import licenses, quality_rules
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op7_quality_rules(spark, folder):
+    return quality_rules.judge(table(spark, folder, "documents"))
