@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poremetry.llm import licenses, quality_rules
+from poremetry.llm import decontaminate, licenses, quality_rules, url_filters
 
 
 def _text(value: str) -> str:
@@ -72,8 +72,10 @@ WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS t
   FROM documents),
 split AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws,
-         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls
+  SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls
   FROM texts),
 words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
 windows AS (SELECT rid, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
@@ -128,4 +130,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES = {"op1_license_scan": license_scan(), "op7_quality_rules": quality_rule_verdicts()}
+def url_verdicts() -> str:
+    rules = ", ".join(f"({_text(v)}, {_text(r)})" for v, r in url_filters.BASE_RULES)
+
+    def regex(glob: str) -> str:
+        out = glob.replace(".", "[.]").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*").replace("?", "[^/]")
+        return f"regexp_full_match('.' || host || path, {_text(out)}, 's')"
+
+    own = " OR ".join(regex(g) for g in url_filters.OWN_GLOBS)
+    return rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1) ELSE '' END AS h,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path
+  FROM pages),
+clean AS (SELECT rid, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+rules(verdict, rule) AS (VALUES {rules}),
+fitting AS (
+  SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM clean, rules
+  WHERE ends_with('.' || host, '.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {own} THEN 'block' ELSE 'allow' END) AS verdict
+FROM clean LEFT JOIN fitting USING (rid)
+"""
+
+
+def contaminated() -> str:
+    return rf"""
+WITH tokens AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+placed AS (SELECT kind, id, row_number() OVER () AS rid, ws FROM tokens),
+words AS (SELECT kind, id, rid, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM placed),
+shingles AS (
+  SELECT kind, id, n, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s
+  FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+of_item AS (SELECT DISTINCT id AS item_id, s FROM shingles WHERE kind = 'i' AND s IS NOT NULL),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM of_item GROUP BY item_id),
+common AS (
+  SELECT id AS doc_id, item_id, count(DISTINCT s) AS n_common FROM shingles JOIN of_item USING (s) WHERE kind = 'd' GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_common, n_common / n_shingles AS containment
+FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= {decontaminate.CONTAINMENT} * n_shingles
+"""
+
+
+ORACLES = {"op1_license_scan": license_scan(), "op7_quality_rules": quality_rule_verdicts(), "op8_url_filter": url_verdicts(),
+           "op10_decontaminate": contaminated()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poremetry.llm import licenses, quality_rules
+from poremetry.llm import chat_quotes, decontaminate, licenses, quality_rules, url_filters
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,21 @@ def op1_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op6_chat_format(spark, folder):
+    return chat_quotes.format_chats(table(spark, folder, "conversations"))
+
+
 @query
 def op7_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query
+def op8_url_filter(spark, folder):
+    return url_filters.judge(table(spark, folder, "pages"))
+
+
+@query
+def op10_decontaminate(spark, folder):
+    return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
