@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from poremetry.llm import chat_quotes, decontaminate, licenses, quality_rules, url_filters
+from poremetry.llm import (
+    bpe, chat_quotes, decontaminate, language_id, licenses, quality_classifier, quality_rules, url_filters)
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,17 @@ def op1_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op4_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+@query
+def op5_bpe(spark, folder):
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op6_chat_format(spark, folder):
     return chat_quotes.format_chats(table(spark, folder, "conversations"))
@@ -42,6 +55,12 @@ def op8_url_filter(spark, folder):
     return url_filters.judge(table(spark, folder, "pages"))
 
 
+@query
+def op9_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
+
+
 @query
 def op10_decontaminate(spark, folder):
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
