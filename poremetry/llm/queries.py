@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from poremetry.llm import (
-    bpe, chat_quotes, decontaminate, language_id, licenses, quality_classifier, quality_rules, url_filters)
+    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, quality_classifier, quality_rules, url_filters)
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op2_html_extract(spark, folder):
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 @query
 def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents")
