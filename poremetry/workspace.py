@@ -19,6 +19,7 @@ SALT_SLICES = 64
 
 _local_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_kept: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -72,24 +73,28 @@ def _release_quietly(spark: SparkSession, app: str) -> None:
 def scoped_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables written inside the block when it ends; results must have been written or collected by then."""
     paths = _paths(spark)
-    start = len(paths)
+    before = set(paths)
     try:
         yield
     finally:
-        for path in paths[start:]:
+        for path in [p for p in paths if p not in before and p not in _kept]:
             _delete(spark, path)
-        del paths[start:]
+            paths.remove(path)
 
 
-def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
+def materialize(df: DataFrame, scoped: bool = True, **metrics: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the optimizer true sizes. The row count and any
-    further aggregate ``metrics`` are observed during the write and kept in ``.metrics`` of the result.
+    further aggregate ``metrics`` are observed during the write and kept in ``.metrics`` of the result. A table that is not
+    ``scoped`` outlives the enclosing ``scoped_tables`` block and goes when Python ends.
     """
     spark = df.sparkSession
     path = f"{workspace_dir(spark)}/poremetry/{uuid.uuid4().hex}"
-    _paths(spark).append(path)
+    paths = _paths(spark)
+    paths.append(path)
+    if not scoped:
+        _kept.add(path)
     watch = Observation()
     watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
     watched.write.parquet(path)
