@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from poremetry.llm import (
-    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, quality_classifier, quality_rules, url_filters)
+    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, ngram_join, quality_classifier, quality_rules, url_filters)
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,11 @@ def op2_html_extract(spark, folder):
     return html_extract.extract(table(spark, folder, "pages"))
 
 
+@query
+def op3_ngram_jaccard(spark, folder):
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 @query
 def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents")
@@ -69,3 +75,8 @@ def op9_quality_classifier(spark, folder):
 @query
 def op10_decontaminate(spark, folder):
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
