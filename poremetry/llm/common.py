@@ -34,3 +34,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+FILTER_BITS = 20  # a hash filter has 2^20 bits, whatever the number of keys
+
+
+def hash_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true for every value of ``keys[key]`` and false for most others.
+
+    A bitmap of the hashes. It has a fixed size, so it may pass the driver and stand in plans as a constant; with very many keys it
+    lets more through and stays correct.
+    """
+    bit = F.xxhash64(key).bitwiseAND(2 ** FILTER_BITS - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))
+    found = keys.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("slot")).agg(F.bit_or(one).alias("bits")).collect()
+    bits = {r.slot: r.bits for r in found}
+    words = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(2 ** (FILTER_BITS - 6)))), ",").cast("array<bigint>")  # folded to a constant
+
+    def known(h: Column) -> Column:
+        slot = F.call_function("shiftright", h.bitwiseAND(2 ** FILTER_BITS - 1), F.lit(6)).cast("int")
+        return F.getbit(F.get(words, slot), h.bitwiseAND(63).cast("int")) == 1
+
+    return lambda value: let(F.xxhash64(value), known)

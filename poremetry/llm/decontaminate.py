@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poremetry.llm.common import let
+from poremetry.llm.common import hash_filter, let
 from poremetry.llm.licenses import SEPARATORS
 from poremetry.workspace import materialize
 
 SHINGLE = 5  # words
 CONTAINMENT = 80  # per cent of an item's shingles that a contaminated document holds
-FILTER_BITS = 20  # the bitmap of item hashes has 2^20 bits, whatever the number of items
 
 
 def _words(text: Column) -> Column:
@@ -47,28 +48,8 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
     return materialize(counted.select("item_id", "shingle", "length", "n", signature.alias("signature")))
 
 
-def _bitmap(shingles: DataFrame) -> tuple[str, list[int]]:
-    """A bitmap of the hashes of all item shingles, as comma-joined 64-bit words, and the shingle lengths in use (1 to 5).
-
-    Of fixed size, so it may pass the driver and stand in the plan as a constant.
-    """
-    bit = F.xxhash64("shingle").bitwiseAND(2 ** FILTER_BITS - 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))
-    found = shingles.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("slot")).agg(F.bit_or(one).alias("bits")).collect()
-    bits = dict((r.slot, r.bits) for r in found)
-    lengths = sorted(r.length for r in shingles.select("length").distinct().collect())
-    return ",".join(str(bits.get(i, 0)) for i in range(2 ** (FILTER_BITS - 6))), lengths
-
-
-def _held(words: Column, bitmap: Column, length: int) -> Column:
-    """Shingles of ``words`` whose hash is set in the bitmap: all that are in an item, and few others."""
-    def maybe(gram: Column) -> Column:
-        def known(h: Column) -> Column:
-            slot = F.call_function("shiftright", h.bitwiseAND(2 ** FILTER_BITS - 1), F.lit(6)).cast("int")
-            return F.getbit(F.get(bitmap, slot), h.bitwiseAND(63).cast("int")) == 1
-
-        return let(F.xxhash64(gram), known)
-
+def _held(words: Column, maybe: Callable[[Column], Column], length: int) -> Column:
+    """Shingles of ``words`` that pass the filter: all that are in an item, and few others."""
     return F.filter(F.transform(_starts(words, length), lambda i: _gram(words, i, length)), maybe)
 
 
@@ -77,15 +58,15 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, item_id, n_shingles, n_common, containment): documents that hold 80 % of the distinct shingles of an item.
 
     Shingles are five consecutive words, lower-cased, without punctuation. Documents are read once, row by row; only shingles
-    that pass the bitmap leave a row. Candidate pairs share a value of an item's MinHash signature; they are verified with the shingles
+    that pass a hash filter leave a row. Candidate pairs share a value of an item's MinHash signature; they are verified with the shingles
     themselves. Null and empty texts hold nothing; repeated documents give one pair; empty tables give no pairs;
     further columns are ignored.
     """
     shingles = item_shingles(items, item_id, item_text)
-    bits, lengths = _bitmap(shingles)
-    bitmap = F.split(F.lit(bits), ",").cast("array<bigint>")  # folded to a constant
+    maybe = hash_filter(shingles, "shingle")
+    lengths = sorted(r.length for r in shingles.select("length").distinct().collect())  # five numbers at most
     held = let(_words(F.col(text)), lambda w: F.array_distinct(F.concat(
-        *[_held(w, bitmap, n) for n in lengths] or [F.array().cast("array<string>")])))
+        *[_held(w, maybe, n) for n in lengths] or [F.array().cast("array<string>")])))
     scanned = materialize(docs.select(F.col(doc_id).alias("doc_id"), held.alias("held")).where(F.size("held") > 0))
     shared = scanned.select("doc_id", F.explode("held").alias("shingle"))
     candidates = shared.join(shingles.where("signature").select("shingle", "item_id"), "shingle").select("doc_id", "item_id").distinct()

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poremetry.llm.common import hash_filter
 from poremetry.operators.contract import smallest_reachable
 from poremetry.workspace import materialize, row_count
 
@@ -214,17 +215,19 @@ def _postings(sets: DataFrame) -> DataFrame:
 def _links(sets: DataFrame) -> DataFrame:
     """(node, root) of every set that links with another.
 
-    First every set of a list is tried with the list's first and last one, which finds nearly all components in a number of
-    pairs that is linear in the lists, also for thousands of near copies. Then only pairs from different components are
+    First every set is tried with two others: of the first and of the last sets of its lists, those that most of its lists share. Two pairs a
+    set, also among thousands of near copies, find nearly all components. Then only pairs from different components are
     left: within a list the sets outside its largest component are merged with the others. Nothing is capped, so no link between components is lost.
     """
     lists = _postings(sets)
     me = F.struct("node", "n")
     ends = materialize(lists.groupBy("token").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.node < hi.node"))
-    pivots = lists.join(ends, "token").select("node", "n", F.explode(F.array("lo", "hi")).alias("p"))
-    near = pivots.where((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
-        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-    found = _linked(materialize(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))), sets)
+    pivots = lists.join(ends, "token").select("node", "n", F.posexplode(F.array("lo", "hi")).alias("side", "p"))
+    merged = pivots.where((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n"))).groupBy(
+        "node", "side", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("hits"))
+    nearest = merged.groupBy("node", "side").agg(F.max(F.struct("hits", -F.col("pivot"), F.col("pivot")))["pivot"].alias("pivot"))
+    near = nearest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    found = _linked(materialize(near), sets)
     groups = smallest_reachable(found)
     placed = materialize(lists.join(groups, "node", "left").select(*lists.columns, F.coalesce("root", "node").alias("part")))
     parts = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
@@ -263,7 +266,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     size = F.least("n", missing + F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / F.lit(100))))
     open_reps = materialize(reps.join(shared, "s1").where(F.col("shared") >= size - missing).select("s1", "s2", "n", "rep"))
 
-    texts = given.join(open_reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = open_reps.select(F.col("rep").alias("doc_id")).distinct()
+    texts = given.where(hash_filter(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi")  # most texts stay where they are
     built = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep bigint, s1 bigint, s2 bigint, tokens array<bigint>")
     sets = materialize(built.join(open_reps, ["rep", "s1", "s2"]).dropDuplicates(["s1", "s2"]).select(
         F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "tokens"))
