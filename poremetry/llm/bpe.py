@@ -14,10 +14,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from poremetry.llm.common import in_pieces
+
 # How the vocabulary file's pre-tokenizer splits normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-CACHED_WORDS = 200_000  # per generation; two generations are held
+CACHED_WORDS = 150_000  # per generation; two generations are held
 
 
 def byte_characters() -> list[str]:
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = list(bpe.encode_batch(batch.column(1).to_pylist()))
             ids = pa.array([np.frombuffer(r[0], "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "ids", "decoded"])
@@ -195,7 +197,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in in_pieces(batches):
             counts, ids, decoded = [], [], []
             for raw, shown in bpe.encode_batch(batch.column(1).to_pylist()):
                 counts.append(len(raw) // 4)

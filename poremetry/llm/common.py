@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +37,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+PIECE_ROWS = 256  # rows of a batch that a Python task turns into objects at once
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that a task never holds Python objects for a whole batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 FILTER_BITS = 20  # a hash filter has 2^20 bits, whatever the number of keys
 
 

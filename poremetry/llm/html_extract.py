@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import ascii_lower
+from poremetry.llm.common import ascii_lower, in_pieces
 from poremetry.workspace import materialize
 
 MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -174,7 +174,8 @@ def votes(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pages_of = ((h.as_py(), t.as_py()) for h, t in zip(batch.column(0), batch.column(1)))
+            for host, text in pages_of:
                 for path, score in Page(text or "").container_scores().items():
                     sums[host, path] = sums.get((host, path), 0.0) + score
             rows = [(h, p, round(1e6 * s)) for (h, p), s in sums.items()]
@@ -200,7 +201,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = []
             for source_text, winner in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist()):
                 page = Page(source_text or "")

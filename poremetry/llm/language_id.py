@@ -10,6 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poremetry.llm.common import in_pieces
+
 LETTER = regex.compile(r"\p{L}")
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
@@ -24,7 +26,7 @@ UNDETERMINED = "und"
 
 def byte_classes() -> np.ndarray:
     """Letters without case, UTF-8 continuation bytes by their low five bits, lead bytes by length, the rest as one class."""
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.int32)
     for i in range(26):
         table[ord("a") + i] = table[ord("A") + i] = 1 + i
     table[0x80:0xC0] = 27 + (np.arange(0x80, 0xC0) & 31)
@@ -173,7 +175,7 @@ def classify(network: ByteNetwork, texts: list[str | None], tables: list[np.ndar
     start = 0
     while start < len(known):
         stop, size = start, 0
-        while stop < len(known) and (stop == start or size < 1 << 21):
+        while stop < len(known) and (stop == start or size < 1 << 20):
             size += len(texts[known[stop]])
             stop += 1
         rows = known[start:stop]
@@ -198,7 +200,7 @@ def predict(docs: DataFrame, network: ByteNetwork, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
-        for batch in batches:
+        for batch in in_pieces(batches):
             langs, scores = classify(network, batch.column(2).to_pylist(), tables)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
@@ -214,7 +216,7 @@ def keep_identified(docs: DataFrame, network: ByteNetwork, least: float = 0.4, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
-        for batch in batches:
+        for batch in in_pieces(batches):
             langs, scores = classify(network, batch.column(place).to_pylist(), tables)
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
 

@@ -10,21 +10,21 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import hash_filter
+from poremetry.llm.common import hash_filter, in_pieces
 from poremetry.operators.contract import smallest_reachable
 from poremetry.workspace import materialize, row_count
 
 SHINGLE = 4  # words
 SIMILARITY = 85  # per cent of the union that two linked sets share
 EXTRA = 10  # per cent of a set by which the sketching prefix is longer than needed
-CHUNK = 1 << 21  # shingles that a task holds at once
+CHUNK = 1 << 20  # shingles that a task holds at once
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -102,19 +102,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.concat_arrays(pieces)
 
         batch = pa.RecordBatch.from_arrays([
-            column(ids[0].type if ids else pa.int64(), pa.concat_arrays(ids) if ids else [], None, None, None),
+            column(pa.int64(), ids, None, None, None),
             column(pa.int64(), [f[0] for f in facts], None, None, None),
             column(pa.int64(), [f[1] for f in facts], owner[~repeated], None, sets),
             column(pa.int64(), [f[2] for f in facts], None, None, None),
             column(pa.int64(), None, alone, marks, None),
             column(pa.int64(), None, None, None, shared.astype(np.int64))],
             names=["doc_id", "n", "s1", "s2", "token", "shared"])
-        for start in range(0, n_rows, 1 << 18):
-            yield batch.slice(start, 1 << 18)
+        for start in range(0, n_rows, 1 << 16):
+            yield batch.slice(start, 1 << 16)
 
     ids, facts, tokens, held = [], [], [], 0
-    for batch in batches:
-        ids.append(batch.column(0))
+    for batch in in_pieces(batches):
+        ids += batch.column(0).to_pylist()
         for text in batch.column(1).to_pylist():
             found = shingle_set(text, hashes)
             facts.append((len(found), *signature(found)))
@@ -160,7 +160,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in in_pieces(batches):
         found = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
         named = [signature(f) for f in found]
         yield pa.RecordBatch.from_arrays([

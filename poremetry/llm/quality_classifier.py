@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from poremetry.llm.common import in_pieces
 from poremetry.llm.language_id import held_out
 
 PASSAGE = 512  # bytes
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("labelled"), F.col(text).alias("text")).join(F.broadcast(ids), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = []
             for content in batch.column("text").to_pylist():
                 x, _ = passages([(content or "").encode()])
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: GatedAttention, doc_id: str = "doc_id", text:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             p = score_texts(model, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
@@ -198,7 +199,7 @@ def keep_good(docs: DataFrame, model: GatedAttention, text: str = "text") -> Dat
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             yield batch.filter(pa.array(score_texts(model, batch.column(place).to_pylist()) >= THRESHOLD, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
