@@ -32,35 +32,47 @@ def units_available(scales: DataFrame) -> bool:
     return common_unit(scales).first()["unit_name"] is not None
 
 
-def in_units(px: str, units: str | None, use_units: bool) -> Column:
+def in_units(px: str, units: str | None) -> Column:
+    """The value in units where all scaled images share one unit and the pore has a scale, else in pixels."""
     value = F.col(px).cast("double")
-    return F.coalesce(F.col(units), value) if use_units and units else value
+    return F.when(F.col("_common"), F.coalesce(F.col(units), value)).otherwise(value) if units else value
 
 
-def area_range(pores: DataFrame, smallest: float = 0.0, largest: float = 0.0, use_units: bool = False) -> DataFrame:
-    """Pores with an area inside inclusive bounds; 0 means no bound. A pore without scaled area is compared in pixels."""
-    area = in_units("area_px", "area_units2", use_units)
+def with_common(pores: DataFrame, scales: DataFrame | None) -> DataFrame:
+    """Adds whether values in units are comparable: one row of facts, joined without a driver read; never without ``scales``."""
+    if scales is None:
+        return pores.withColumn("_common", F.lit(False))
+    return pores.join(F.broadcast(common_unit(scales).select(F.col("unit_name").isNotNull().alias("_common"))), F.lit(True))
+
+
+def area_range(pores: DataFrame, smallest: float = 0.0, largest: float = 0.0, scales: DataFrame | None = None) -> DataFrame:
+    """Pores with an area inside inclusive bounds; 0 means no bound.
+
+    With ``scales`` bounds are in units if these share one unit; else, and for a pore without scaled area, in pixels.
+    """
+    pores = with_common(pores, scales)
+    area = in_units("area_px", "area_units2")
     if smallest > 0:
         pores = pores.where(area >= smallest)
     if largest > 0:
         pores = pores.where(area <= largest)
-    return pores
+    return pores.drop("_common")
 
 
 def select_pores(pores: DataFrame, image_index: int | None = None, border: bool = True, smallest: float = 0.0,
-                 largest: float = 0.0, use_units: bool = False) -> DataFrame:
+                 largest: float = 0.0, scales: DataFrame | None = None) -> DataFrame:
     chosen = scope(pores, image_index)
-    return area_range(chosen if border else exclude_border(chosen), smallest, largest, use_units)
+    return area_range(chosen if border else exclude_border(chosen), smallest, largest, scales)
 
 
-def metric_values(pores: DataFrame, use_units: bool = False, metrics: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
+def metric_values(pores: DataFrame, scales: DataFrame | None = None, metrics: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
     """(image_index, label, metric, value) for every known metric asked for; missing values are left out."""
     known = [m for m in metrics if m in METRICS]
     if not known:
         return pores.select("image_index", "label", F.lit("").alias("metric"), F.lit(0.0).alias("value")).where(F.lit(False))
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), in_units(*METRICS[m], use_units).alias("value")) for m in known])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), in_units(*METRICS[m]).alias("value")) for m in known])
     missing = F.col("value").isNull() | (F.isnan("value") & F.col("metric").isin("eq_diam", "circularity"))
-    return pores.select("image_index", "label", F.inline(pairs)).where(~missing)
+    return with_common(pores, scales).select("image_index", "label", F.inline(pairs)).where(~missing)
 
 
 def histogram(values: DataFrame, bins: int = 40) -> DataFrame:

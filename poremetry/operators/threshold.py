@@ -124,7 +124,7 @@ def global_thresholds(scan: DataFrame, params: ThresholdParams) -> DataFrame:
 
 
 def threshold_meta(scan: DataFrame, params: ThresholdParams) -> DataFrame:
-    """Per-image threshold metadata."""
+    """Per-image threshold metadata of the filtered image that is thresholded, not of the raw scan."""
     base = [F.lit(params.method).alias("method"), F.lit(params.polarity).alias("polarity")]
     images = scan.select("image_id").distinct()
     if params.method == "otsu":
@@ -136,7 +136,7 @@ def threshold_meta(scan: DataFrame, params: ThresholdParams) -> DataFrame:
         return images.select("image_id", *base, F.lit(int(params.pick_value)).alias("pickValue"),
                              F.lit(max(0, int(params.pick_tolerance))).alias("pickTolerance"))
     p = min(100.0, max(0.0, float(params.percentile)))
-    return percentile_thresholds(gray_histogram(scan), p).select(
+    return percentile_thresholds(gray_histogram(prepare(scan, params)), p).select(
         "image_id", *base, F.lit(p).alias("percentile"), "thresh")
 
 
@@ -201,11 +201,19 @@ def prepare(scan: DataFrame, params: ThresholdParams) -> DataFrame:
 
 def threshold(scan: DataFrame, params: ThresholdParams = ThresholdParams()) -> DataFrame:
     """Binary mask of every image: filters, threshold, polarity, optional open and close."""
-    from poremetry.operators import masks
+    return mask_of(prepared(scan, params), params)
+
 
+def prepared(scan: DataFrame, params: ThresholdParams) -> DataFrame:
+    """The filtered scan, written once; the scan itself when no filter is asked for."""
     filtered = prepare(scan, params)
-    if filtered is not scan:
-        filtered = materialize(filtered)
+    return filtered if filtered is scan else materialize(filtered)
+
+
+def mask_of(filtered: DataFrame, params: ThresholdParams) -> DataFrame:
+    """Mask of a scan that has been filtered already."""
+    from poremetry.operators import masks
+
     if params.method == "pick":
         mask = pick_mask(filtered, params.pick_value, params.pick_tolerance)
     elif params.method == "adaptive":

@@ -407,7 +407,7 @@ def small_holes(spark, folder):
 
 @query
 def flood_add(spark, folder):
-    return runs_of(masks.flood(masks.dilate(line_mask(spark, folder), 3), seeds(spark, folder).where("x % 12 = 0"), True, 4))
+    return runs_of(masks.flood(masks.dilate(line_mask(spark, folder), 3), seeds(spark, folder), True, 4))
 
 
 @query
@@ -643,7 +643,12 @@ def common_unit(spark, folder):
 # Analysis ----------------------------------------------------------------------------------------------------------
 
 
-def simple_pores(spark, folder):
+def one_unit(spark, folder):
+    """The scales in millimetres only."""
+    return image_scales(spark, folder).where("unit_name = 'mm'")
+
+
+def simple_pores(spark, folder, scales=image_scales):
     """Pores with the measures that follow from areas and boxes, with units."""
     base = measure.basic_measures(line_labels(spark, folder)).select(
         "image_id", "label", "area_px", "touches_border", measure.eq_diameter(F.col("area_px")).alias("eq_diam_px"),
@@ -651,12 +656,20 @@ def simple_pores(spark, folder):
         *[F.when(F.col("area_px") > 1, (F.col(b) - F.col(a)).cast("double")).alias(f"{n}_px") for n, a, b in (
             ("major_axis", "bbox_x0", "bbox_x1"), ("minor_axis", "bbox_y0", "bbox_y1"), ("feret_max", "bbox_x0", "bbox_x1"), ("feret_min", "bbox_y0", "bbox_y1"))],
         F.lit(None).cast("double").alias("aspect_ratio"), (F.col("area_px") * 0.25).alias("orientation_deg"))
-    return measure.scaled(base, image_scales(spark, folder)).withColumnRenamed("image_id", "image_index")
+    return measure.scaled(base, scales(spark, folder)).withColumnRenamed("image_id", "image_index")
 
 
 @query
 def pore_filter(spark, folder):
-    chosen = analyse.select_pores(simple_pores(spark, folder), border=False, smallest=0.0004, largest=6.0, use_units=True)
+    """Scales in two units: bounds are in pixels."""
+    chosen = analyse.select_pores(simple_pores(spark, folder), border=False, smallest=2.0, largest=6.0, scales=image_scales(spark, folder))
+    return chosen.select("image_index", "label", "area_px")
+
+
+@query
+def pore_filter_units(spark, folder):
+    """Scales in one unit: bounds are in units, for pores without a scale in pixels."""
+    chosen = analyse.select_pores(simple_pores(spark, folder, one_unit), border=False, smallest=0.0004, largest=6.0, scales=one_unit(spark, folder))
     return chosen.select("image_index", "label", "area_px")
 
 
@@ -667,7 +680,12 @@ def pore_scope(spark, folder):
 
 @query
 def metric_values(spark, folder):
-    return rounded(analyse.metric_values(simple_pores(spark, folder), use_units=True), "value")
+    return rounded(analyse.metric_values(simple_pores(spark, folder), image_scales(spark, folder)), "value")
+
+
+@query
+def metric_values_units(spark, folder):
+    return rounded(analyse.metric_values(simple_pores(spark, folder, one_unit), one_unit(spark, folder)), "value")
 
 
 @query

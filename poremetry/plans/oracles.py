@@ -143,13 +143,16 @@ ORACLES: dict[str, str] = {}
 
 # Sources, sinks, geometry ------------------------------------------------------------------------------------------
 
-ORACLES["explode_pixels"] = with_(BYTES) + "SELECT image_id, CAST(p // 15 AS INT) AS y, CAST(p % 15 AS INT) AS pos, v FROM bytes WHERE p < 60"
+PADDED = """
+padded AS (SELECT vec_id AS image_id, t.p, CASE WHEN t.p < len(embedding) THEN CAST(greatest(0, least(255, floor((CAST(embedding[t.p + 1] AS DOUBLE) + 0.5) * 255))) AS INT) ELSE 0 END AS v
+           FROM embeddings, LATERAL (SELECT unnest(range(15 * CAST(ceil(len(embedding) / 15) AS BIGINT))) AS p) t)"""
+ORACLES["explode_pixels"] = with_(PADDED) + "SELECT image_id, CAST(p // 15 AS INT) AS y, CAST(p % 15 AS INT) AS pos, v FROM padded"
 ORACLES["text_raster_rows"] = with_(TEXT) + """SELECT image_id, any_value(h) AS height, y, CAST(sum(CAST(v AS BIGINT) * (x + 1)) AS BIGINT) AS weighted
 FROM px GROUP BY image_id, y"""
-ORACLES["to_gray"] = with_(BYTES) + """SELECT b.image_id, CAST(b.p // 15 AS INT) AS y, CAST((b.p % 15) // 3 AS INT) AS x,
-CAST(floor(b.v * 0.114::DOUBLE + g.v * 0.587::DOUBLE + r.v * 0.299::DOUBLE + 0.5::DOUBLE) AS INT) AS v
-FROM bytes b JOIN bytes g ON g.image_id = b.image_id AND g.p = b.p + 1 JOIN bytes r ON r.image_id = b.image_id AND r.p = b.p + 2
-WHERE b.p < 60 AND b.p % 3 = 0"""
+ORACLES["to_gray"] = with_(PADDED, """
+tri AS (SELECT image_id, p // 3 AS px, max(CASE WHEN p % 3 = 0 THEN v END) AS b, max(CASE WHEN p % 3 = 1 THEN v END) AS g, max(CASE WHEN p % 3 = 2 THEN v END) AS r
+        FROM padded GROUP BY image_id, p // 3)""") + """
+SELECT image_id, CAST(px // 5 AS INT) AS y, CAST(px % 5 AS INT) AS x, CAST(floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE + 0.5::DOUBLE) AS INT) AS v FROM tri"""
 ORACLES["minmax_normalise"] = """WITH e AS (SELECT vec_id AS image_id, p - 1 AS x, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, unnest(range(1, 65)) t(p)),
 s AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM e GROUP BY image_id)
 SELECT image_id, 0 AS y, CAST(x AS INT) AS x, CAST(CASE WHEN hi > lo THEN floor((v - lo) * 255.0::DOUBLE / (hi - lo)) ELSE 0 END AS INT) AS v FROM e JOIN s USING (image_id)"""
@@ -314,8 +317,8 @@ ORACLES["adaptive_mask"] = with_(EVENT, *blur(11, "replicate"), "ab AS (SELECT *
                                  mask("a <> coalesce(fb < fa, false)", "ab JOIN side USING (image_id)"), runs_cte("r", "m")) + RUNS.format("r")
 ORACLES["eyedropper"] = with_(EVENT, "pk AS (SELECT user_id AS image_id, CAST(event_id % 40 - 4 AS INT) AS x, CAST((event_id // 7) % 24 AS INT) AS y FROM events)") + """
 SELECT image_id, x, y, v AS pick_value FROM pk JOIN px USING (image_id, y, x)"""
-ORACLES["threshold_meta"] = with_(TILES) + """SELECT image_id, 'percentile' AS method, 'auto' AS polarity, CAST(40.0 AS DOUBLE) AS percentile,
-round(quantile_cont(CAST(v AS DOUBLE), 0.4), 6) AS thresh FROM px GROUP BY image_id"""
+ORACLES["threshold_meta"] = f"""SELECT image_id, 'percentile' AS method, 'auto' AS polarity, CAST(40.0 AS DOUBLE) AS percentile,
+round(quantile_cont(CAST(v AS DOUBLE), 0.4), 6) AS thresh FROM ({median(TILES, 3)}) GROUP BY image_id"""
 
 # Masks and components ----------------------------------------------------------------------------------------------
 
@@ -339,7 +342,7 @@ def flooded(base: list[str], source: str, side: str, connectivity: int, where: s
 
 
 GROWN = [*LINE_MASK, *box("m", "grown", "bool_or")]
-ORACLES["flood_add"] = flooded(GROWN, "grown", "NOT fg", 4, "s.x % 12 = 0")
+ORACLES["flood_add"] = flooded(GROWN, "grown", "NOT fg", 4, "true")
 ORACLES["flood_remove"] = flooded(LINE_MASK, "m", "fg", 8, "true")
 
 STAMPS = """ed AS (SELECT user_id AS image_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'paint' WHEN 'click' THEN 'erase' WHEN 'purchase' THEN 'paint_line'
@@ -474,15 +477,20 @@ UNION ALL SELECT CASE WHEN min(unit_name) = max(unit_name) THEN min(unit_name) E
 SIMPLE = [*LINE_LABELS, BASIC, SCALES, """
 sp AS (SELECT image_id AS image_index, label, area_px, touches_border, sqrt(4.0 * area_px / pi()) AS eq, CAST(bbox_x1 - bbox_x0 AS DOUBLE) AS bw, CAST(bbox_y1 - bbox_y0 AS DOUBLE) AS bh,
        CASE WHEN u > 0 THEN u END AS u FROM basic LEFT JOIN sc USING (image_id))"""]
+SIMPLE_MM = [*LINE_LABELS, BASIC, SCALES.replace("s_suppkey % 3 <> 0", "s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0"), SIMPLE[-1]]
 ORACLES["pore_filter"] = with_(*SIMPLE, recursive=True) + """SELECT image_index, label, area_px FROM sp WHERE NOT touches_border
+AND area_px BETWEEN 2 AND 6"""
+ORACLES["pore_filter_units"] = with_(*SIMPLE_MM, recursive=True) + """SELECT image_index, label, area_px FROM sp WHERE NOT touches_border
 AND coalesce(area_px * (u * u), area_px) BETWEEN 0.0004 AND 6.0"""
 ORACLES["pore_scope"] = with_(*SIMPLE, recursive=True) + "SELECT image_index, label, area_px FROM sp WHERE image_index = 7 AND area_px >= 2"
-ORACLES["metric_values"] = with_(*SIMPLE, """
+METRIC_VALUES = """
 mv AS (SELECT image_index, label, 'eq_diam' AS metric, eq * coalesce(u, 1) AS value FROM sp UNION ALL SELECT image_index, label, 'area', coalesce(area_px * (u * u), area_px) FROM sp
 UNION ALL SELECT image_index, label, 'circularity', bw / bh FROM sp WHERE area_px > 1
 UNION ALL SELECT image_index, label, n, bw * coalesce(u, 1) FROM sp, (VALUES ('feret_max'), ('major_axis')) t(n) WHERE area_px > 1
-UNION ALL SELECT image_index, label, n, bh * coalesce(u, 1) FROM sp, (VALUES ('feret_min'), ('minor_axis')) t(n) WHERE area_px > 1)""", recursive=True) + """
-SELECT image_index, label, metric, round(value, 6) AS value FROM mv"""
+UNION ALL SELECT image_index, label, n, bh * coalesce(u, 1) FROM sp, (VALUES ('feret_min'), ('minor_axis')) t(n) WHERE area_px > 1)"""
+IN_PIXELS = SIMPLE[-1].replace("CASE WHEN u > 0 THEN u END", "CAST(NULL AS DOUBLE)")
+for name, parts in (("metric_values", [*SIMPLE[:-1], IN_PIXELS]), ("metric_values_units", SIMPLE_MM)):
+    ORACLES[name] = with_(*parts, METRIC_VALUES, recursive=True) + "\nSELECT image_index, label, metric, round(value, 6) AS value FROM mv"
 
 
 def hist_sql(bins: int, columns: str) -> str:

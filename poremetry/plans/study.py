@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from poremetry.operators import measure as measuring, separate as separating
 from poremetry.operators.masks import fill_holes
 from poremetry.operators.separate import SeparationParams
-from poremetry.operators.threshold import ThresholdParams, threshold, threshold_meta
+from poremetry.operators.threshold import ThresholdParams, mask_of, prepared, threshold, threshold_meta
 from poremetry.sources.rasters import gray_scanlines, split_valid
 from poremetry.workspace import materialize
 
@@ -27,8 +27,10 @@ class Segmentation:
 def segment(scan: DataFrame, thresholds: ThresholdParams = ThresholdParams(),
             separation: SeparationParams = SeparationParams(method="none", min_area_px=0)) -> Segmentation:
     """Threshold, fill holes, drop specks, clear the border, separate, clean labels."""
-    mask = materialize(separating.clean_mask(threshold(scan, thresholds), separation))
-    return Segmentation(mask, separating.separate(mask, separation), threshold_meta(scan, thresholds))
+    filtered = prepared(scan, thresholds)
+    mask = materialize(separating.clean_mask(mask_of(filtered, thresholds), separation))
+    meta = threshold_meta(filtered, replace(thresholds, median_k=0, gaussian_k=0, use_clahe=False))
+    return Segmentation(mask, separating.separate(mask, separation), meta)
 
 
 def process_batch(scan: DataFrame, thresholds: ThresholdParams = ThresholdParams(),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from poremetry.functions.gray import luma, stretch
-from poremetry.functions.rows import bind
+from poremetry.functions.gray import BLUE, GREEN, RED, stretch
 from poremetry.workspace import attach, materialize
 
+BAND_VALUES = 1 << 20  # numbers that leave a decoding task at once
 # The file types an image study reads.
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 
@@ -17,32 +21,19 @@ def image_key(path: Column) -> Column:
     return F.xxhash64(F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/"))
 
 
-def image_paths(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """(path, image_id) of the image files below a folder; ``image_id`` is a stable hash of the path.
+def scan_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rasters, rejects) of the image files below a folder. Files that do not decode are listed in ``rejects`` with a reason.
 
-    Only the file listing is read. ``limit`` keeps the first files in path order.
+    Decoding happens in the executors, one file per row, and a file that fails stays as a row without pixels, so both results split
+    one scan. 16-bit gray arrives scaled to 8 bits, alpha is dropped.
     """
     pattern = r"(?i)\.(" + "|".join(EXTENSIONS) + r")$"
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-             .select("path").where(F.col("path").rlike(pattern)))
-    if limit is not None:
-        files = files.orderBy("path").limit(limit)
-    return files.withColumn("image_id", image_key(F.col("path")))
-
-
-def scan_images(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rasters, rejects) of a folder. Files that do not decode are listed in ``rejects`` with a reason.
-
-    Decoding happens in the executors, one file per row; 16-bit gray arrives scaled to 8 bits, alpha is dropped.
-    """
-    wanted = image_paths(spark, folder, limit)
-    decoded = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder)
-    rasters = rasters_of_images(decoded)
-    if limit is not None:
-        rasters = rasters.join(wanted.select("image_id"), "image_id", "left_semi")
-    rejects = wanted.join(rasters.select("image_id"), "image_id", "left_anti").select(
-        "path", F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": could not read image")).alias("error"))
-    return rasters, rejects
+    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(folder)
+    decoded = rasters_of_images(images).where(F.col("path").rlike(pattern))
+    bad = F.col("height") < 0
+    rejects = decoded.where(bad).select(
+        "path", "image_id", F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": could not read image")).alias("error"))
+    return decoded.where(~bad), rejects
 
 
 def rasters_of_images(images: DataFrame) -> DataFrame:
@@ -65,24 +56,45 @@ def split_valid(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rasters.where(valid_raster()), rasters.where(~valid_raster()).select("image_id", reason.alias("error"))
 
 
+def _bands(batch: pa.RecordBatch, column: str, to_values) -> Iterator[pa.RecordBatch]:
+    """Rows of every raster of a batch, at most BAND_VALUES numbers at a time; the image itself goes no further than this step."""
+    for i in range(batch.num_rows):
+        image_id, height, width, channels = (batch.column(c)[i].as_py() for c in ("image_id", "height", "width", "n_channels"))
+        pixels = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8).reshape(height, width, channels)
+        step = max(1, BAND_VALUES // (width * channels))
+        for y in range(0, height, step):
+            values = to_values(pixels[y:y + step])
+            n, line = values.shape
+            same = lambda v, kind: pa.array(np.full(n, v), kind)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * line + 1, line), pa.int32()), pa.array(values.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [same(image_id, pa.int64()), same(height, pa.int32()), same(width, pa.int32()), same(channels, pa.int32()),
+                 pa.array(np.arange(y, y + n), pa.int32()), lists], names=["image_id", "height", "width", "n_channels", "y", column])
+
+
+def _rows(rasters: DataFrame, column: str, to_values) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _bands(batch, column, to_values)
+
+    given = rasters.select(F.col("image_id").cast("bigint"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("n_channels").cast("int"), "data")
+    return given.mapInArrow(run, f"image_id bigint, height int, width int, n_channels int, y int, {column} array<int>")
+
+
 def byte_rows(rasters: DataFrame) -> DataFrame:
-    """One row per raster row with ``bytes``: whole numbers 0..255, channels interleaved."""
-    line = F.col("width") * F.col("n_channels")
-    text = F.decode(F.expr("substring(data, y * width * n_channels + 1, width * n_channels)"), "ISO-8859-1")
-    return (
-        rasters.select("image_id", "height", "width", "n_channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-        .select("image_id", "height", "width", "n_channels", "y", F.transform(F.slice(F.split(text, ""), 1, line), lambda c: F.ascii(c)).alias("bytes"))
-    )
+    """One row per raster row with ``bytes``: whole numbers 0..255, channels interleaved. Linear in the number of pixels."""
+    return _rows(rasters, "bytes", lambda p: p.reshape(len(p), -1).astype(np.int32))
 
 
 def gray_scanlines(rasters: DataFrame) -> DataFrame:
     """Scanlines of rasters; colour becomes luma, alpha is ignored. Needs no shuffle."""
-    def gray(b):
-        n = F.col("n_channels")
-        return F.when(n == 1, b).otherwise(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: luma(
-            F.get(b, x * n), F.get(b, x * n + 1), F.get(b, x * n + 2))))
+    def gray(p: np.ndarray) -> np.ndarray:
+        if p.shape[2] == 1:
+            return p[:, :, 0].astype(np.int32)
+        b, g, r = (p[:, :, c].astype(np.float64) for c in range(3))
+        return np.floor(b * BLUE + g * GREEN + r * RED + 0.5).astype(np.int32)
 
-    return byte_rows(rasters).select("image_id", "height", "width", "y", bind(F.col("bytes"), gray).alias("v"))
+    return _rows(rasters, "v", gray).drop("n_channels")
 
 
 def explode_pixels(scan: DataFrame) -> DataFrame:

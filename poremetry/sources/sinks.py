@@ -37,8 +37,8 @@ def label_rows(label_runs: DataFrame, paths: DataFrame | None = None) -> DataFra
 
 def write_masks(mask: DataFrame, folder: str, paths: DataFrame | None = None) -> None:
     """Parquet runs clustered by image, so that reading one image prunes row groups."""
-    mask_rows(mask, paths).sortWithinPartitions("image_id", "y").write.parquet(folder)
+    mask_rows(mask, paths).repartitionByRange("image_id", "y").sortWithinPartitions("image_id", "y").write.parquet(folder)
 
 
 def write_labels(label_runs: DataFrame, folder: str, paths: DataFrame | None = None) -> None:
-    label_rows(label_runs, paths).sortWithinPartitions("image_id", "y").write.parquet(folder)
+    label_rows(label_runs, paths).repartitionByRange("image_id", "y").sortWithinPartitions("image_id", "y").write.parquet(folder)

@@ -61,13 +61,14 @@ def _byte(e: Column) -> Column:
 
 
 def embedding_tiles(spark: SparkSession, folder: str) -> DataFrame:
-    """One 8 x 8 image per embedding; needs no shuffle."""
+    """One image per embedding, eight values per row, last row padded with 0; needs no shuffle."""
+    height = F.ceil(F.size("embedding") / 8).cast("int")
     return (
-        table(spark, folder, "embeddings")
-        .select(F.col("vec_id").alias("image_id"), F.transform("embedding", _byte).alias("all"),
-                F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
-        .select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), "y",
-                F.slice("all", F.col("y") * 8 + 1, 8).alias("v"))
+        table(spark, folder, "embeddings").where(F.size("embedding") > 0)
+        .select(F.col("vec_id").alias("image_id"), height.alias("height"),
+                F.concat(F.transform("embedding", _byte), F.array_repeat(F.lit(0), height * 8 - F.size("embedding"))).alias("all"),
+                F.explode(F.sequence(F.lit(0), height - 1)).alias("y"))
+        .select("image_id", "height", F.lit(8).alias("width"), "y", F.slice("all", F.col("y") * 8 + 1, 8).alias("v"))
     )
 
 
@@ -87,11 +88,13 @@ def text_rasters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def colour_rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """Three-channel 4 x 5 rasters, one per embedding: bytes in row-major BGR order (the last four are unused)."""
+    """Three-channel rasters five pixels wide, one per embedding: bytes in row-major BGR order, the last row padded with 0."""
+    n = F.size("embedding")
+    height = F.ceil(n / 15).cast("int")
+    byte = F.transform("embedding", lambda e: F.lpad(F.hex(_byte(e).cast("bigint")), 2, "0"))
     return (
         table(spark, folder, "embeddings")
         .select(F.col("vec_id").alias("image_id"), F.concat(F.lit("embedding/"), F.col("vec_id"), F.lit(".png")).alias("path"),
-                F.lit(4).alias("height"), F.lit(5).alias("width"), F.lit(3).alias("n_channels"),
-                F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 60),
-                                                 lambda e: F.lpad(F.hex(_byte(e).cast("bigint")), 2, "0")), "")).alias("data"))
+                height.alias("height"), F.lit(5).alias("width"), F.lit(3).alias("n_channels"),
+                F.unhex(F.concat(F.array_join(byte, ""), F.repeat(F.lit("00"), height * 15 - n))).alias("data"))
     )

@@ -51,8 +51,14 @@ def test_image_files(spark, tmp_path):
     luma = np.floor(colour[..., 2] * 0.114 + colour[..., 1] * 0.587 + colour[..., 0] * 0.299 + 0.5)
     assert np.abs(lines["c.PNG"] - luma).max() <= 1
     assert [r.error for r in rejects.collect()] == ["bad.jpg: could not read image"]
-    first, _ = rasters.scan_images(spark, str(tmp_path), limit=1)
-    assert [os.path.basename(r.path) for r in first.collect()] == ["a.png"]
+
+
+def test_a_large_raster(spark):
+    side = 8000
+    big = spark.range(1).select(F.col("id").alias("image_id"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(1).alias("n_channels"),
+                                F.repeat(F.lit("ab"), side * side // 2).cast("binary").alias("data"))
+    sums = rasters.gray_scanlines(big).agg(F.count("*"), F.sum(F.get("v", F.lit(0))), F.sum(F.get("v", F.lit(side - 1)))).first()
+    assert tuple(sums) == (side, side * ord("a"), side * ord("b"))
 
 
 def test_watching_a_folder(spark, tmp_path):
@@ -173,9 +179,12 @@ def test_filters_values_and_report(spark, labelled):
     pores = measure.measure(labelled({0: image}), scales)
     assert [r.label for r in analyse.select_pores(pores, border=False).orderBy("label").collect()] == [2, 3]
     assert [r.label for r in analyse.select_pores(pores, smallest=9, largest=9).collect()] == [1]
-    assert [r.label for r in analyse.select_pores(pores, smallest=6, use_units=True).collect()] == [3]
-    values = {(r.metric, r.label): r.value for r in analyse.metric_values(pores, use_units=True).collect()}
+    assert [r.label for r in analyse.select_pores(pores, smallest=6, scales=scales).collect()] == [3]
+    values = {(r.metric, r.label): r.value for r in analyse.metric_values(pores, scales).collect()}
     assert ("circularity", 2) not in values and ("feret_max", 2) not in values and values["area", 3] == 6.25
+    mixed = scales.union(spark.createDataFrame([(1, 0.5, "um")], scales.schema))
+    assert [r.label for r in analyse.select_pores(pores, smallest=10, scales=mixed).collect()] == [3]
+    assert {(r.metric, r.label): r.value for r in analyse.metric_values(pores, mixed).collect()}["area", 3] == 25.0
     assert analyse.metric_values(pores, metrics=("nothing",)).count() == 0
     table = {r.label: r for r in analyse.pore_table(pores).collect()}
     assert table[2].feret_max_px == "" and table[2].circularity == "nan" and table[1].border == "yes" and table[3].eq_diam_px == "5.642"
