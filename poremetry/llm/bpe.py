@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from poremetry.llm.common import in_pieces
+from poremetry.llm.common import in_pieces, map_texts
 
 # How the vocabulary file's pre-tokenizer splits normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             ids = pa.array([np.frombuffer(r[0], "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,5 +207,4 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -37,6 +37,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BATCH_ROWS = 1000  # rows that pass between the JVM and Python at once
 PIECE_ROWS = 256  # rows of a batch that a Python task turns into objects at once
 
 
@@ -47,6 +48,19 @@ def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, PIECE_ROWS)
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over rows with long texts.
+
+    Spark's default of 10,000 rows a batch costs tens of MB of buffers per task on both sides; the session's setting is
+    lowered to BATCH_ROWS where it is higher.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 FILTER_BITS = 20  # a hash filter has 2^20 bits, whatever the number of keys
 
 

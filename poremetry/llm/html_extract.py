@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import ascii_lower, in_pieces
+from poremetry.llm.common import ascii_lower, in_pieces, map_texts
 from poremetry.workspace import materialize
 
 MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -184,7 +184,7 @@ def votes(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame
                 names=["host", "path", "score"])
 
     cast = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
-    return cast.mapInArrow(run, "host string, path string, score bigint").groupBy("host", "path").agg(F.sum("score").alias("score"))
+    return map_texts(cast, run, "host string, path string, score bigint").groupBy("host", "path").agg(F.sum("score").alias("score"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -212,4 +212,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
                 names=["page_id", "url", "text", "n_chars"])
 
     given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
-    return given.join(winners, "host", "left").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return map_texts(given.join(winners, "host", "left"), run, f"page_id {kind}, url string, text string, n_chars bigint")

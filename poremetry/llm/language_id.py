@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import in_pieces
+from poremetry.llm.common import in_pieces, map_texts
 
 LETTER = regex.compile(r"\p{L}")
 WINDOW = 256  # bytes
@@ -206,8 +206,7 @@ def predict(docs: DataFrame, network: ByteNetwork, doc_id: str = "doc_id", text:
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, network: ByteNetwork, least: float = 0.4, text: str = "text") -> DataFrame:
@@ -220,4 +219,4 @@ def keep_identified(docs: DataFrame, network: ByteNetwork, least: float = 0.4, t
             langs, scores = classify(network, batch.column(place).to_pylist(), tables)
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

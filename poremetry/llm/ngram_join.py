@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import hash_filter, in_pieces
+from poremetry.llm.common import hash_filter, in_pieces, map_texts
 from poremetry.operators.contract import smallest_reachable
 from poremetry.workspace import materialize, row_count
 
 SHINGLE = 4  # words
 SIMILARITY = 85  # per cent of the union that two linked sets share
 EXTRA = 10  # per cent of a set by which the sketching prefix is longer than needed
-CHUNK = 1 << 20  # shingles that a task holds at once
+CHUNK = 1 << 19  # shingles that a task holds at once
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -189,7 +189,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Written (a, b): the candidate pairs that link."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}"))
-    return materialize(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_probe, "a bigint, b bigint"))
+    return materialize(map_texts(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb"), _probe, "a bigint, b bigint"))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -256,9 +256,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     may repeat, also with different texts; an empty table gives an empty result; further columns are ignored.
     """
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = given.mapInArrow(_sketches, "doc_id bigint, n bigint, s1 bigint, s2 bigint, token bigint, shared bigint")
+    dealt = map_texts(given, _sketches, "doc_id bigint, n bigint, s1 bigint, s2 bigint, token bigint, shared bigint")
     mixed = dealt.repartition(F.coalesce("token", "doc_id", "s1"), F.col("token").isNull() & F.col("s2").isNull())
-    facts = materialize(mixed.mapInArrow(_count_shared, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shared bigint"))
+    facts = materialize(map_texts(mixed, _count_shared, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shared bigint"))
     features = facts.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
     shared = facts.where("shared IS NOT NULL").groupBy("s1").agg(F.sum("shared").alias("shared"))
     reps = materialize(features.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
@@ -268,7 +268,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     ids = open_reps.select(F.col("rep").alias("doc_id")).distinct()
     texts = given.where(hash_filter(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi")  # most texts stay where they are
-    built = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep bigint, s1 bigint, s2 bigint, tokens array<bigint>")
+    built = map_texts(texts.select(F.col("doc_id").alias("rep"), "text"), _sets, "rep bigint, s1 bigint, s2 bigint, tokens array<bigint>")
     sets = materialize(built.join(open_reps, ["rep", "s1", "s2"]).dropDuplicates(["s1", "s2"]).select(
         F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "tokens"))
     groups = _links(sets)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poremetry.llm.common import in_pieces
+from poremetry.llm.common import in_pieces, map_texts
 from poremetry.llm.language_id import held_out
 
 PASSAGE = 512  # bytes
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("labelled").cast(pa.string()), batch.column("target").cast(pa.int32()), pa.array(found, pa.binary())],
                                              names=["labelled", "target", "x"])
 
-    sample = sorted(rows.mapInArrow(run, "labelled string, target int, x binary").collect(), key=lambda r: (r.labelled, r.x))[:TRAIN_ROWS]
+    sample = sorted(map_texts(rows, run, "labelled string, target int, x binary").collect(), key=lambda r: (r.labelled, r.x))[:TRAIN_ROWS]
     bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for r in sample]
     if not bags:
         blank = GatedAttention.fresh(np.zeros(FEATURES), np.ones(FEATURES))
@@ -190,8 +190,7 @@ def score(docs: DataFrame, model: GatedAttention, doc_id: str = "doc_id", text:
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: GatedAttention, text: str = "text") -> DataFrame:
@@ -202,4 +201,4 @@ def keep_good(docs: DataFrame, model: GatedAttention, text: str = "text") -> Dat
         for batch in in_pieces(batches):
             yield batch.filter(pa.array(score_texts(model, batch.column(place).to_pylist()) >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

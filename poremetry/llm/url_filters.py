@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import ascii_lower
+from poremetry.llm.common import ascii_lower, map_texts
 
 # Fixed values: (verdict, rule): host and path in one; a rule fits its host and all subdomains if the path starts with the rule's.
 BASE_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -157,5 +157,4 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", base: li
     """
     host, path = canonical(F.col(url))
     kind = pages.schema[page_id].dataType.simpleString()
-    return pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(
-        rule_matcher(base, own), f"page_id {kind}, host string, path string, rule string, verdict string")
+    return map_texts(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")), rule_matcher(base, own), f"page_id {kind}, host string, path string, rule string, verdict string")
