@@ -32,16 +32,16 @@ def units_available(scales: DataFrame) -> bool:
     return common_unit(scales).first()["unit_name"] is not None
 
 
-def in_units(px: str, units: str | None) -> Column:
+def in_units(px: str, units: str | None, scales: DataFrame | None) -> Column:
     """The value in units where all scaled images share one unit and the pore has a scale, else in pixels."""
     value = F.col(px).cast("double")
-    return F.when(F.col("_common"), F.coalesce(F.col(units), value)).otherwise(value) if units else value
+    return F.when(F.col("_common"), F.coalesce(F.col(units), value)).otherwise(value) if units and scales is not None else value
 
 
 def with_common(pores: DataFrame, scales: DataFrame | None) -> DataFrame:
-    """Adds whether values in units are comparable: one row of facts, joined without a driver read; never without ``scales``."""
+    """Adds whether values in units are comparable: one row of facts, joined without a driver read."""
     if scales is None:
-        return pores.withColumn("_common", F.lit(False))
+        return pores
     return pores.join(F.broadcast(common_unit(scales).select(F.col("unit_name").isNotNull().alias("_common"))), F.lit(True))
 
 
@@ -51,7 +51,7 @@ def area_range(pores: DataFrame, smallest: float = 0.0, largest: float = 0.0, sc
     With ``scales`` bounds are in units if these share one unit; else, and for a pore without scaled area, in pixels.
     """
     pores = with_common(pores, scales)
-    area = in_units("area_px", "area_units2")
+    area = in_units("area_px", "area_units2", scales)
     if smallest > 0:
         pores = pores.where(area >= smallest)
     if largest > 0:
@@ -70,7 +70,7 @@ def metric_values(pores: DataFrame, scales: DataFrame | None = None, metrics: tu
     known = [m for m in metrics if m in METRICS]
     if not known:
         return pores.select("image_index", "label", F.lit("").alias("metric"), F.lit(0.0).alias("value")).where(F.lit(False))
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), in_units(*METRICS[m]).alias("value")) for m in known])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), in_units(*METRICS[m], scales).alias("value")) for m in known])
     missing = F.col("value").isNull() | (F.isnan("value") & F.col("metric").isin("eq_diam", "circularity"))
     return with_common(pores, scales).select("image_index", "label", F.inline(pairs)).where(~missing)
 
