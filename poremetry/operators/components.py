@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poremetry.operators.contract import smallest_reachable
+from poremetry.operators import contract
 from poremetry.operators.neighbours import band_rows
 from poremetry.workspace import materialize
 
@@ -104,7 +104,7 @@ def label_runs(runs: DataFrame, connectivity: Column | int = 8, band_pixels: int
         plain.groupBy("image_id", F.floor(F.col("y") / band).alias("_band")).applyInArrow(
             lambda key, table: _label_band(table), schema), seams=F.max(F.col("height") > band))
     seams = _seam_pairs(parts.where(F.col("height") > band), band) if parts.metrics["seams"] else None
-    roots = smallest_reachable(seams, NODE).withColumnRenamed("node", "part") if seams is not None else None
+    roots = contract.smallest_reachable(seams, NODE).withColumnRenamed("node", "part") if seams is not None else None
     if roots is None:
         return parts.withColumn("comp", F.col("part")).drop("reach")
     return (
