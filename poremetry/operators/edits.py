@@ -1,7 +1,7 @@
 """Brush edits replayed from an event log (image_id, seq, op, x, y, x2, y2, radius).
 
 Operations: "paint" and "erase" stamp a disk at (x, y); "paint_line" and "erase_line" stamp disks along the segment
-to (x2, y2); "reset" empties the mask.
+to (x2, y2); "reset" empties the mask. Any other operation is an error.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from poremetry.functions.rows import bits_of_runs, runs_of_bits
 from poremetry.workspace import attach, materialize
 
 PAINTS = ("paint", "paint_line")
+ERASES = ("erase", "erase_line")
 LINES = ("paint_line", "erase_line")
 
 
 def stamps(edits: DataFrame) -> DataFrame:
     """Disk stamps of edits: lines become stamps every half radius, coordinates rounded down."""
+    unknown = F.raise_error(F.concat(F.lit("unknown edit operation: "), F.coalesce("op", F.lit("null"))))
+    edits = edits.withColumn("op", F.when(F.col("op").isin(*PAINTS, *ERASES, "reset"), F.col("op")).otherwise(unknown))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     step = F.greatest(F.lit(1), F.floor(F.col("radius") / 2))
     length = F.greatest(F.lit(1.0), F.sqrt((dx * dx + dy * dy).cast("double")))

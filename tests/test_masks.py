@@ -135,6 +135,8 @@ def test_replay(spark, mask):
     events = spark.createDataFrame(log, "image_id bigint, seq bigint, op string, x int, y int, x2 int, y2 int, radius int")
     assert (bits(edits.replay(mask({0: base}), events))[0] == replayed(30)).all()
     assert (bits(edits.replay(mask({0: base}), events, as_of_seq=8))[0] == replayed(9)).all()
+    with pytest.raises(Exception, match="unknown edit operation: smear"):
+        edits.replay(mask({0: base}), events.withColumn("op", F.lit("smear"))).collect()
 
 
 def test_sliced_join_equals_broadcast(mask, monkeypatch):
