@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-# A per-image or per-component table is broadcast only below this estimated size.
+# A per-image or per-component table is broadcast only below this size.
 BROADCAST_BYTES = 32 << 20
 # Number of slices of the big side when the small side is too large to broadcast.
 SALT_SLICES = 64
@@ -109,17 +109,48 @@ def row_count(written: DataFrame) -> int:
     return known["rows"] if known else written.count()
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    return sum(48 if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType)) else 8 for f in schema) + 16
+def _fixed_bytes(kind: T.DataType) -> int | None:
+    """Bytes of every value of a type, or None where values differ in size."""
+    if isinstance(kind, T.StructType):
+        parts = [_fixed_bytes(f.dataType) for f in kind]
+        return None if None in parts else sum(parts)
+    return None if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value, nested ones included."""
+    known = _fixed_bytes(kind)
+    if known is not None:
+        return F.lit(known).cast("bigint")
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        each = _fixed_bytes(kind.elementType)
+        total = (F.size(value) * F.lit(each).cast("bigint") if each is not None else F.aggregate(
+            value, F.lit(0).cast("bigint"), lambda total, x: total + _value_bytes(x, kind.elementType)))
+    else:
+        total = F.octet_length(value).cast("bigint")
+    return F.greatest(F.lit(0), F.coalesce(total, F.lit(0))).cast("bigint") + 16
+
+
+def table_bytes(written: DataFrame) -> int:
+    """Bytes of a written table in memory. Rows of one size are only counted; else the values are measured, if there can be few enough."""
+    least = row_count(written) * 16
+    fixed = _fixed_bytes(written.schema)
+    if fixed is not None or least > BROADCAST_BYTES:
+        return least + row_count(written) * (fixed or 0)
+    return least + (written.agg(F.sum(_value_bytes(F.struct(*[F.col(c) for c in written.columns]), written.schema))).first()[0] or 0)
 
 
 def attach(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", spread: str = "y") -> DataFrame:
     """Join a written table of facts (one row per key) to many rows.
 
-    The row count of ``facts`` is known without running it again. Small tables are broadcast. Larger ones are joined on
+    Tables whose measured size is small are broadcast. Larger ones are joined on
     (key, slice of ``spread``), so a key that owns a large share of ``rows`` is split over many tasks.
     """
-    if row_count(facts) * _row_bytes(facts.schema) <= BROADCAST_BYTES:
+    if table_bytes(facts) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(facts), on, how)
     sliced = facts.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SALT_SLICES - 1))))
     keyed = rows.withColumn("_slice", F.pmod(F.col(spread), F.lit(SALT_SLICES)).cast("int"))

@@ -11,6 +11,7 @@ from conftest import arrays, disk
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from poremetry import workspace
 from poremetry.functions.geometry import clamp_rect, margins_to_rect, rect_to_margins
 from poremetry.operators import analyse, calibrate, geometry, measure, render, threshold as th
 from poremetry.plans import study
@@ -210,6 +211,22 @@ def test_scope_merge(scan):
     assert {i: int(a.sum()) for i, a in single.items()} == {0: 0, 1: 0, 2: 4}
 
 
+def test_attach_measures_arrays_before_a_broadcast(spark, monkeypatch):
+    rows = spark.range(40).select((F.col("id") % 4).alias("image_id"), F.col("id").alias("y"))
+    nested = F.array_repeat(F.array_repeat(F.lit(7), 256), 8)
+    facts = workspace.materialize(spark.range(4).select(F.col("id").alias("image_id"), F.when(F.col("id") != 3, nested).alias("strip"), F.lit("ab").alias("s")))
+    size = workspace.table_bytes(facts)
+    assert 3 * 8 * 256 * 8 < size < 4 * 8 * 256 * 8
+    plans = []
+    for limit in (size, size - 1):
+        monkeypatch.setattr(workspace, "BROADCAST_BYTES", limit)
+        joined = workspace.attach(rows, facts, ["image_id"])
+        plans.append(joined._jdf.queryExecution().analyzed().toString())
+        assert sorted((r.y, r.strip is None, r.s) for r in joined.collect()) == [(y, y % 4 == 3, "ab") for y in range(40)]
+    assert "_slice" not in plans[0] and "_slice" in plans[1]
+    assert workspace.table_bytes(workspace.materialize(spark.range(5))) == 5 * (16 + 8) and workspace.table_bytes(facts.where("image_id < 0")) == 0
+
+
 # Contract ----------------------------------------------------------------------------------------------------------
 
 
