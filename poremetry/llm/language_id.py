@@ -149,11 +149,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNetwork:
     """Trains on at most TRAIN_ROWS labelled rows outside the held-out fold, taken in hash order, TRAIN_WINDOWS windows of each.
 
+    Labelled rows are counted first; then tasks send only rows with a hash in the lowest share that holds about four times TRAIN_ROWS of them, so
+    that what reaches the driver does not grow with the number of partitions. Where many rows share one hash or have no letter, the sample may be smaller.
     Without any labelled row the network has no languages and every answer is ``und``.
     """
     size = F.length(text)
     start = lambda k: F.greatest(F.lit(1), (size * k / TRAIN_WINDOWS).cast("int"))
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(text).rlike(r"\p{L}")).select(
+    labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
+    top = min((1 << 64) - 1, (1 << 64) * 4 * TRAIN_ROWS // max(1, labelled.count())) - (1 << 63)
+    rows = labelled.where((F.xxhash64(doc_id, lang) <= F.lit(top)) & F.col(text).rlike(r"\p{L}")).select(
         F.xxhash64(doc_id, lang).alias("h"), F.col(lang).alias("lang"),
         F.array(*[F.substring(F.col(text), start(k), F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]).alias("parts"))
     sample = rows.orderBy("h", "lang", "parts").limit(TRAIN_ROWS).collect()
