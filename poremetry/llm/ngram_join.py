@@ -17,6 +17,7 @@ from poremetry.workspace import materialize, row_count
 SHINGLE = 4  # words
 SIMILARITY = 85  # per cent of the union that two linked sets share
 EXTRA = 10  # per cent of a set by which the sketching prefix is longer than needed
+ROUND_GAIN = 20  # a round of single tries is followed by another when one in so many pairs links
 CHUNK = 1 << 19  # shingles that a task holds at once
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -212,27 +213,60 @@ def _postings(sets: DataFrame) -> DataFrame:
     return materialize(lists.select(F.col("t.token").alias("token"), "node", "n", (F.col("n") - F.col("unique") - F.col("at")).alias("rest")))
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(node, root) of every set that links with another.
+def _try_pivots(asking: DataFrame, pivots: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Written pairs (a, b): every asking row's node with the pivot that most of its lists name, unless the pair was tried before.
 
-    First every set is tried with two others: of the first and of the last sets of its lists, those that most of its lists share. Two pairs a
-    set, also among thousands of near copies, find nearly all components. Then only pairs from different components are
-    left: within a list the sets outside its largest component are merged with the others. Nothing is capped, so no link between components is lost.
+    ``pivots`` has one row (token, p: struct of node and n, side) per list and side.
     """
-    lists = _postings(sets)
-    me = F.struct("node", "n")
-    ends = materialize(lists.groupBy("token").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.node < hi.node"))
-    pivots = lists.join(ends, "token").select("node", "n", F.posexplode(F.array("lo", "hi")).alias("side", "p"))
-    merged = pivots.where((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n"))).groupBy(
-        "node", "side", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("hits"))
+    named = asking.join(pivots, "token").where((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n")))
+    merged = named.groupBy("node", "side", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("hits"))
     nearest = merged.groupBy("node", "side").agg(F.max(F.struct("hits", -F.col("pivot"), F.col("pivot")))["pivot"].alias("pivot"))
-    near = nearest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    found = _linked(materialize(near), sets)
-    groups = smallest_reachable(found)
+    pairs = nearest.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+
+
+def _placed(lists: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists with the component of every set, written, and (token, main) of the lists that hold several: the largest one."""
     placed = materialize(lists.join(groups, "node", "left").select(*lists.columns, F.coalesce("root", "node").alias("part")))
     parts = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    mixed = materialize(parts.groupBy("token").agg(
+    return placed, materialize(parts.groupBy("token").agg(
         F.max(F.struct("k", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "main"))
+
+
+def _links(sets: DataFrame) -> DataFrame:
+    """(node, root) of every set that links with another.
+
+    First every set is tried with two others: of all that stand in its lists, the one with the fewest rarer tokens (the middle of a group of near
+    copies has hardly any) and the last. While enough of such pairs link, sets outside the largest component of a list are tried with a member
+    of that component, drawn anew in each round with weights that favour the middle. A round tries one pair a set. Then only
+    pairs from different components are left: within a list the sets outside its largest component are merged with the others.
+    Nothing is capped, so no link between components is lost.
+    """
+    lists = _postings(sets)
+    rarer = F.col("n") - F.col("rest")
+    ends = materialize(lists.groupBy("token").agg(
+        F.min(F.struct(rarer.alias("rarer"), "node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"), F.min("node").alias("first")).where(
+        "first < hi.node").select("token", F.struct("lo.node", "lo.n").alias("lo"), "hi"))
+    tried = _try_pivots(lists, ends.select("token", F.posexplode(F.array("lo", "hi")).alias("side", "p")), None)
+    found = _linked(tried, sets)
+    groups = smallest_reachable(found)
+    placed, mixed = _placed(lists, groups)
+    latest, gained, rounds = tried, row_count(found), 0
+    while gained and ROUND_GAIN * gained >= row_count(latest):
+        rounds += 1
+        rows = placed.join(mixed, "token")
+        uniform = (F.pmod(F.xxhash64(F.lit(rounds), "node"), F.lit(1 << 30)) + 1) / F.lit(1 << 30)
+        weighted = F.struct((-F.log(uniform) * (rarer + 1)).alias("key"), "node", "n")
+        drawn = rows.where("part = main").groupBy("token").agg(F.min(weighted).alias("p"))
+        pivots = materialize(drawn.select("token", F.struct("p.node", "p.n").alias("p"), F.lit(0).alias("side")))
+        latest = _try_pivots(rows.where("part <> main"), pivots, tried)
+        more = _linked(latest, sets)
+        gained = row_count(more)
+        if gained:
+            tried = materialize(tried.unionByName(latest))
+            found = materialize(found.unionByName(more))
+            groups = smallest_reachable(found)
+            placed, mixed = _placed(lists, groups)
     rows = placed.join(mixed, "token")
     minor = materialize(rows.where("part <> main"))
     other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "rest", "part")])

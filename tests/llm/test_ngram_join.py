@@ -93,3 +93,25 @@ def test_empty(spark):
     assert nj.join(docs).count() == 0 and nj.keep_one(docs).count() == 0
     same = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     assert sorted(tuple(r) for r in nj.join(same).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+
+
+def test_group_of_near_copies_needs_few_tries(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(90), rng.randrange(1, 4)):
+            copy[at] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    tried, probe = [], nj._linked
+
+    def counted(pairs, sets):
+        tried.append(pairs.count())
+        return probe(pairs, sets)
+
+    monkeypatch.setattr(nj, "_linked", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(tuple(r) for r in nj.join(docs).collect()) == brute(rows)
+    assert sum(tried) <= 5 * len(rows)
