@@ -59,24 +59,33 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     Shingles are five consecutive words, lower-cased, without punctuation. Documents are read once, row by row; only shingles
     that pass a hash filter leave a row. Candidate pairs share a value of an item's MinHash signature; they are verified with the shingles
-    themselves. Null and empty texts hold nothing; repeated documents give one pair; empty tables give no pairs;
-    further columns are ignored.
+    themselves. Null and empty texts hold nothing; rows with one id, or with a null id, count as one document and give one pair; empty
+    tables give no pairs; further columns are ignored.
     """
+    return _find(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items, item_id, item_text)
+
+
+def _find(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, one_text: bool = False) -> DataFrame:
+    """``find`` over (doc_id, text); with ``one_text`` rows with one id have one text, which is searched once."""
     shingles = item_shingles(items, item_id, item_text)
     maybe = hash_filter(shingles, "shingle")
     lengths = sorted(r.length for r in shingles.select("length").distinct().collect())  # five numbers at most
-    held = let(_words(F.col(text)), lambda w: F.array_distinct(F.concat(
+    held = let(_words(F.col("text")), lambda w: F.array_distinct(F.concat(
         *[_held(w, maybe, n) for n in lengths] or [F.array().cast("array<string>")])))
-    scanned = materialize(docs.select(F.col(doc_id).alias("doc_id"), held.alias("held")).where(F.size("held") > 0))
+    holding = docs.select("doc_id", held.alias("held")).where(F.size("held") > 0)
+    scanned = materialize(holding.dropDuplicates(["doc_id"]) if one_text else holding)
     shared = scanned.select("doc_id", F.explode("held").alias("shingle"))
     candidates = shared.join(shingles.where("signature").select("shingle", "item_id"), "shingle").select("doc_id", "item_id").distinct()
-    common = shared.join(shingles.select("shingle", "item_id", "n"), "shingle").join(candidates, ["doc_id", "item_id"], "left_semi")
+    common = shared.join(shingles.select("shingle", "item_id", "n"), "shingle").alias("c").join(
+        candidates.alias("k"), F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.item_id") == F.col("k.item_id")), "left_semi")
     counted = common.groupBy("doc_id", "item_id", F.col("n").alias("n_shingles")).agg(F.countDistinct("shingle").alias("n_common"))
     return counted.where(100 * F.col("n_common") >= CONTAINMENT * F.col("n_shingles")).withColumn(
         "containment", F.col("n_common") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no test item."""
-    leaks = materialize(find(docs, items, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col(doc_id) == F.col("_leak"), "left_anti")
+    """The rows of ``docs``, with all their columns, whose text holds no test item. Every text is judged by itself, whatever its id, null ids included."""
+    name = F.xxhash64(F.col(text))
+    texts = docs.select(name.alias("doc_id"), F.col(text).alias("text"))
+    leaks = materialize(_find(texts, items, "item_id", "text", one_text=True).select(F.col("doc_id").alias("_leak")).distinct())
+    return docs.join(leaks, name == F.col("_leak"), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.llm.common import hash_filter, in_pieces, map_texts
+from poremetry.llm.common import fresh, hash_filter, in_pieces, map_texts
 from poremetry.operators.contract import smallest_reachable
 from poremetry.workspace import materialize, row_count
 
@@ -74,13 +74,13 @@ def sketch_size(n: int) -> tuple[int, int]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of three kinds: documents (id, n, s1, s2), prefix tokens (token, s1), and counts of tokens known to be shared (s1, shared).
+    """Rows of three kinds: documents (id, key, n, s1, s2), prefix tokens (token, s1), and counts of tokens known to be shared (s1, shared).
 
     Documents of a task are combined: a token of several of its sets leaves it once, without a set (s1 null).
     """
     hashes = _WordHashes()
 
-    def flush(ids, facts, tokens):
+    def flush(ids, keys, facts, tokens):
         known, at = {}, []
         for k, (n, s1, s2) in enumerate(facts):
             if n and (s1, s2) not in known:
@@ -104,29 +104,31 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         batch = pa.RecordBatch.from_arrays([
             column(pa.int64(), ids, None, None, None),
+            column(pa.int64(), keys, None, None, None),
             column(pa.int64(), [f[0] for f in facts], None, None, None),
             column(pa.int64(), [f[1] for f in facts], owner[~repeated], None, sets),
             column(pa.int64(), [f[2] for f in facts], None, None, None),
             column(pa.int64(), None, alone, marks, None),
             column(pa.int64(), None, None, None, shared.astype(np.int64))],
-            names=["doc_id", "n", "s1", "s2", "token", "shared"])
+            names=["doc_id", "key", "n", "s1", "s2", "token", "shared"])
         for start in range(0, n_rows, 1 << 16):
             yield batch.slice(start, 1 << 16)
 
-    ids, facts, tokens, held = [], [], [], 0
+    ids, keys, facts, tokens, held = [], [], [], [], 0
     for batch in in_pieces(batches):
         ids += batch.column(0).to_pylist()
-        for text in batch.column(1).to_pylist():
+        keys += batch.column(1).to_pylist()
+        for text in batch.column(2).to_pylist():
             found = shingle_set(text, hashes)
             facts.append((len(found), *signature(found)))
             part = found[:sketch_size(len(found))[0]]
             tokens.append(part)
             held += len(part)
         if held > CHUNK:
-            yield from flush(ids, facts, tokens)
-            ids, facts, tokens, held = [], [], [], 0
+            yield from flush(ids, keys, facts, tokens)
+            ids, keys, facts, tokens, held = [], [], [], [], 0
     if facts:
-        yield from flush(ids, facts, tokens)
+        yield from flush(ids, keys, facts, tokens)
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +157,8 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sets, shared = np.unique(owner[(mark == 0) & (spread > 1)], return_counts=True)
     none = pa.nulls(len(sets), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(sets), id_type), none, pa.array(sets, pa.int64()), none, pa.array(shared, pa.int64())],
-        names=["doc_id", "n", "s1", "s2", "shared"])
+        [pa.nulls(len(sets), id_type), none, none, pa.array(sets, pa.int64()), none, pa.array(shared, pa.int64())],
+        names=["doc_id", "key", "n", "s1", "s2", "shared"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +167,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
         named = [signature(f) for f in found]
         yield pa.RecordBatch.from_arrays([
-            batch.column("rep"), pa.array([s[0] for s in named], pa.int64()), pa.array([s[1] for s in named], pa.int64()),
-            pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["rep", "s1", "s2", "tokens"])
+            batch.column("key"), pa.array([s[0] for s in named], pa.int64()), pa.array([s[1] for s in named], pa.int64()),
+            pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["key", "s1", "s2", "tokens"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,42 +283,76 @@ def _links(sets: DataFrame) -> DataFrame:
     return smallest_reachable(found.unionByName(more)) if row_count(more) else groups
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): for every row its set size and the smallest id reachable over links.
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """Names a document by its id, which may be null, and its text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text)
 
-    Two documents link when their sets of word 4-grams share 85 % of their union. Equal sets are joined first, under a
-    128-bit name. Sets with too few shared tokens in a prefix of their hash order cannot have a partner and leave the search; the rest
-    are merged and probed (see ``_links``). Null and empty texts have an empty set and link with nothing; rows with one id
-    may repeat, also with different texts; an empty table gives an empty result; further columns are ignored.
+
+def _first(doc_id: str, key: str) -> Column:
+    """(id, key) of the row with the smallest id; a null id comes last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("open"), F.col(doc_id).alias("id"), F.col(key).alias("key")))
+
+
+def _components(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, n, component, kept): every row with the smallest id of its component and the key of the row that stands for it.
+
+    Rows are named by ``_row_key``, so a null id or one id with several texts is no obstacle. Rows without a shingle stand for themselves.
     """
-    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = map_texts(given, _sketches, "doc_id bigint, n bigint, s1 bigint, s2 bigint, token bigint, shared bigint")
-    mixed = dealt.repartition(F.coalesce("token", "doc_id", "s1"), F.col("token").isNull() & F.col("s2").isNull())
-    facts = materialize(map_texts(mixed, _count_shared, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shared bigint"))
-    features = facts.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).select(
+        "doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    dealt = map_texts(given, _sketches, "doc_id bigint, key bigint, n bigint, s1 bigint, s2 bigint, token bigint, shared bigint")
+    mixed = dealt.repartition(F.coalesce("token", "doc_id", "key", "s1"), F.col("token").isNull() & F.col("s2").isNull())
+    facts = materialize(map_texts(mixed, _count_shared, "doc_id bigint, key bigint, n bigint, s1 bigint, s2 bigint, shared bigint"))
+    features = facts.where("n IS NOT NULL").select("doc_id", "key", "n", "s1", "s2")
     shared = facts.where("shared IS NOT NULL").groupBy("s1").agg(F.sum("shared").alias("shared"))
-    reps = materialize(features.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
+    reps = materialize(features.where("n > 0").groupBy("s1", "s2", "n").agg(_first("doc_id", "key").alias("f")).select(
+        "s1", "s2", "n", F.col("f.id").alias("rep"), F.col("f.key").alias("key")))
     missing = F.col("n") - F.ceil(F.col("n") * SIMILARITY / F.lit(100))
     size = F.least("n", missing + F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / F.lit(100))))
-    open_reps = materialize(reps.join(shared, "s1").where(F.col("shared") >= size - missing).select("s1", "s2", "n", "rep"))
+    open_reps = materialize(reps.join(shared, "s1").where(F.col("shared") >= size - missing).select("s1", "s2", "n", "rep", "key"))
 
-    ids = open_reps.select(F.col("rep").alias("doc_id")).distinct()
-    texts = given.where(hash_filter(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi")  # most texts stay where they are
-    built = map_texts(texts.select(F.col("doc_id").alias("rep"), "text"), _sets, "rep bigint, s1 bigint, s2 bigint, tokens array<bigint>")
-    sets = materialize(built.join(open_reps, ["rep", "s1", "s2"]).dropDuplicates(["s1", "s2"]).select(
-        F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "tokens"))
+    keys = open_reps.select("key").distinct()
+    texts = given.where(hash_filter(keys, "key")(F.col("key"))).join(keys, "key", "left_semi")  # most texts stay where they are
+    built = map_texts(texts.select("key", "text"), _sets, "key bigint, s1 bigint, s2 bigint, tokens array<bigint>")
+    sets = materialize(built.join(open_reps, ["key", "s1", "s2"]).dropDuplicates(["s1", "s2"]).select(
+        F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "key", "tokens"))
     groups = _links(sets)
-    members = sets.select("node", "s1", "s2", "rep").join(groups, "node")
-    names = materialize(members.groupBy("root").agg(F.min("rep").alias("component")))
-    renamed = members.join(names, "root").select("s1", "s2", "component")
-    own = materialize(reps.join(renamed, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
+    members = sets.select("node", "s1", "s2", "rep", "key").join(groups, "node")
+    names = materialize(members.groupBy("root").agg(_first("rep", "key").alias("first")))
+    renamed = members.join(names, "root").select("s1", "s2", "first")
+    own = materialize(reps.join(renamed, ["s1", "s2"], "left").select(
+        "s1", "s2", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("first.id")).alias("component"),
+        F.coalesce("first.key", "key").alias("kept")))
+    some = F.col("n") > 0
     return features.join(own, ["s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "key", "n", F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
+        F.when(some, F.col("kept")).otherwise(F.col("key")).alias("kept"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): for every row its set size and the smallest id reachable over links.
+
+    Two documents link when their sets of word 4-grams share 85 % of their union. Equal sets are joined first, under a
+    128-bit name. Sets with too few shared tokens in a prefix of their hash order cannot have a partner and leave the search; the rest
+    are merged and probed (see ``_links``). Null and empty texts have an empty set and link with nothing; rows with one id
+    may repeat, also with different texts; rows with a null id take part in links, and a component without any id has a null
+    ``component_id``; an empty table gives an empty result; further columns are ignored.
+    """
+    return _components(docs, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id names its component; of rows that share such an id one stays."""
-    joined = materialize(join(docs, doc_id, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")),
-                         twice=F.max(F.col("_n") > 1))
-    kept = docs.join(joined.select("_kept"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates([doc_id]) if joined.metrics["twice"] else kept
+    """One row of ``docs``, with all its columns, of every component: that with the smallest id; one with a null id only where no other has one.
+
+    The decision is made per id and text, so an id with several unlinked texts keeps each of them. Rows without words link with
+    nothing and stay, repeated ones of one id once, those with a null id all.
+    """
+    chosen = materialize(_components(docs, doc_id, text).where("key = kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")).agg(
+        F.count(F.lit(1)).alias("_n")), twice=F.max(F.col("_n") > 1))
+    key, single = fresh(docs, "_key", "_single")
+    keyed = docs.withColumn(key, _row_key(F.col(doc_id).cast("bigint"), F.col(text)))
+    kept = keyed.join(chosen.select("_id", "_kept"), (F.col(key) == F.col("_kept")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    if chosen.metrics["twice"]:
+        blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.withColumn(single, F.when(F.col(doc_id).isNull() & blank, F.monotonically_increasing_id())).dropDuplicates([doc_id, key, single])
+    return kept.select(*docs.columns)

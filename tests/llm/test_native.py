@@ -96,6 +96,16 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, tests.where("item_id < 0")).count() == 0 and decontaminate.find(docs.where("doc_id < 0"), tests).count() == 0
 
 
+def test_texts_are_decontaminated_one_by_one(spark):
+    item = [f"i{k}" for k in range(30)]
+    leak, half, rest = " ".join(["x", *item, "y"]), " ".join(item[:17]), " ".join(item[13:])
+    rows = [(None, leak), (None, "a clean text"), (9, leak), (9, "another clean text"), (5, half), (5, rest), (None, None), (None, leak)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, place int")
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    assert sorted(r.place for r in decontaminate.drop_contaminated(docs, tests).collect()) == [1, 3, 4, 5, 6]
+    assert {(r.doc_id, r.item_id, r.n_common) for r in decontaminate.find(docs, tests).collect()} == {(None, 1, 26), (9, 1, 26), (5, 1, 26)}
+
+
 URLS = ["https://www.Example.com/en/x?y", "http://example.com/en/", "http://notexample.com/en/", "http://a.net/es/1", "http://net/fr/", "http://x.com", "http://x.com/",
         "x.com/en/", None, "", "://", "a://b://c/d", "http://ads-track.example.org/q", "http://h.org/a/adclick/b", "http://h.org/phishing", "http://a.net/.com/",
         "http://h.org/wp-login.php", "http://cheap-pills.org/\x00", "http://é.com/" + "z" * 5000, "http://u:p@x.com:80/en/#f", "http://a.net/es/\nb"]

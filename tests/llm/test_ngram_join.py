@@ -115,3 +115,28 @@ def test_group_of_near_copies_needs_few_tries(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert sorted(tuple(r) for r in nj.join(docs).collect()) == brute(rows)
     assert sum(tried) <= 5 * len(rows)
+
+
+def test_null_ids_and_ids_with_two_texts(spark):
+    make = lambda c: [f"{c}{i}" for i in range(60)]
+    near = lambda ws: " ".join([*ws[:-1], "z"])
+    a, b, c, d = (make(x) for x in "abcd")
+    rows = [(None, " ".join(make("u"))), (None, " ".join(make("u"))), (9, " ".join(a)), (9, " ".join(b)), (3, " ".join(b)), (None, near(b)),
+            (None, " ".join(c)), (None, near(c)), (None, None), (None, " \n"), (4, None), (4, None), (8, " ".join(d)), (8, near(d)), (8, "x y z one two three")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, _key int").repartition(3)
+    kept = nj.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r._key for r in kept.collect())
+    assert [k for k in got if k not in (0, 1, 6, 7, 8, 9, 10, 11, 12, 13)] == [2, 4, 14]
+    assert [len({*got} & {*g}) for g in [(0, 1), (6, 7), (8, 9), (10, 11), (12, 13)]] == [1, 1, 2, 1, 1]
+    named = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in nj.join(docs).collect()), key=str)
+    assert len(named) == len(rows) and (True, 0, 57, 3) in named and (True, 0, 57, None) in named
+
+
+def test_chain_through_a_null_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    middle = base[5:] + [f"m{i}" for i in range(5)]
+    end = middle[5:] + [f"e{i}" for i in range(5)]
+    docs = spark.createDataFrame([(7, " ".join(base)), (None, " ".join(middle)), (2, " ".join(end))], "doc_id bigint, text string")
+    assert {r.component_id for r in nj.join(docs).collect()} == {2}
+    assert [r.doc_id for r in nj.keep_one(docs).collect()] == [2]
