@@ -26,7 +26,7 @@ SCOPES = set("ul ol dl table article section div body main td th".split())
 CONTAINERS = set("article main section div td body".split())
 # Elements and names that hold no part of an article.
 DROPPED = set(("script style noscript template nav header footer aside form button select textarea input label iframe object svg canvas audio video "
-               "menu dialog head title math embed").split())
+               "menu dialog head title embed").split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 BOILERPLATE = set(("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner "
                    "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices "
@@ -34,6 +34,7 @@ BOILERPLATE = set(("ad ads adv advert adverts advertisement advertising adsense
                    "recommendations comment comments reply replies respond disqus widget widgets toolbar pagination pager skip search").split())
 HEADERS = {"header", "site-header", "page-header", "global-header", "top-header", "main-header", "siteheader", "pageheader", "topbar"}
 PROSE = set("article content post entry story main body text".split())
+CLEARLY = 2  # a page's own best container replaces the host's when it scores so many times more
 MARKS_OTHERS = {"has", "no", "with", "without"}  # such names tell about the page, not about the element
 KEEP_DESPITE_NAME = {"body", "html", "main"}
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -44,6 +45,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.path, self.dropped, self.link = ["#root"], [-1], [""], [False], [False]
+        self.weight = [0.0]  # of a container, else 0
         self.pieces: list[tuple[int, int, str]] = []  # element, block, raw text
         self.block = 0
         self._read(source)
@@ -100,7 +102,9 @@ class Page:
                     boiler = True
         element = len(self.tag)
         kind = ".".join([name, *sorted({re.sub(r"\d+", "", one).strip("-_") for one in whole} - {""})])
+        prose = name in ("article", "main") or any(set(SPLIT.split(k)) & PROSE for k in kind.split(".")[1:])
         self.tag.append(name)
+        self.weight.append(0.0 if name not in CONTAINERS else 0.6 if name == "body" else 1.4 if prose else 1.0)
         self.parent.append(parent)
         self.path.append(f"{self.path[parent]}>{kind}" if name in BLOCKS or name in CONTAINERS else self.path[parent])
         self.dropped.append(self.dropped[parent] or boiler)
@@ -129,8 +133,11 @@ class Page:
             if name == "p" and self.tag[stack[i]] in SCOPES:
                 return
 
-    def container_scores(self) -> dict[str, float]:
-        """Score of every generalised container path: its share of the page's text outside links, favouring deep and article-like ones."""
+    def container_scores(self, but: str = "") -> dict[str, float]:
+        """Score of every generalised container path: its share of the page's text outside links, favouring deep and article-like ones.
+
+        With ``but``, only containers that neither hold nor stand inside a container with that path (see ``climbed``).
+        """
         size = [0.0] * len(self.tag)
         for element, _, raw in self.pieces:
             if not self.link[element]:
@@ -138,21 +145,46 @@ class Page:
         for element in range(len(size) - 1, 0, -1):  # children come after their parents
             size[self.parent[element]] += size[element]
         total, scores = max(size[0], 1.0), {}
+        left_out = [False] * len(self.tag)
+        if but:
+            tops = self.climbed(but)
+            left_out = self.within(tops)
+            for element in tops:
+                while element >= 0:
+                    left_out[element] = True
+                    element = self.parent[element]
         for element in range(1, len(size)):
-            if self.tag[element] not in CONTAINERS or self.dropped[element] or not size[element]:
+            if not self.weight[element] or self.dropped[element] or not size[element] or left_out[element]:
                 continue
             path = self.path[element]
-            kind = path.rpartition(">")[2].split(".")
-            prose = kind[0] in ("article", "main") or any(set(SPLIT.split(k)) & PROSE for k in kind[1:])
-            weight = 0.6 if kind[0] == "body" else 1.4 if prose else 1.0
-            scores[path] = scores.get(path, 0.0) + weight * (1 + 0.02 * path.count(">")) * size[element] / total
+            scores[path] = scores.get(path, 0.0) + self.weight[element] * (1 + 0.02 * path.count(">")) * size[element] / total
         return scores
 
-    def text(self, path: str) -> str:
-        """Blocks inside the containers with a path (the whole page for an empty path), one per line."""
-        inside = [not path] + [False] * (len(self.tag) - 1)
+    def climbed(self, path: str) -> set[int]:
+        """The outermost containers around those with a path that weigh no less.
+
+        The vote goes to the inner one of two such containers when it holds nearly all of the text; titles and leads can stand between.
+        """
+        tops = set()
+        for element in range(1, len(self.tag)):
+            if self.weight[element] and self.path[element] == path:
+                top = up = element
+                while up > 0:
+                    if self.weight[up] >= self.weight[element]:
+                        top = up
+                    up = self.parent[up]
+                tops.add(top)
+        return tops
+
+    def within(self, tops: set[int]) -> list[bool]:
+        inside = [False] * len(self.tag)
         for element in range(1, len(self.tag)):
-            inside[element] = inside[self.parent[element]] or self.tag[element] in CONTAINERS and self.path[element] == path
+            inside[element] = inside[self.parent[element]] or element in tops
+        return inside
+
+    def text(self, path: str) -> str:
+        """Blocks inside the containers that ``climbed`` finds for a path (the whole page for an empty path), one per line."""
+        inside = self.within(self.climbed(path)) if path else [True] * len(self.tag)
         blocks: dict[int, list[str]] = {}
         for element, block, raw in self.pieces:
             if inside[element]:
@@ -160,6 +192,16 @@ class Page:
         lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
         return "\n".join(line for line in lines if line)
 
+    def article(self, winner: str) -> str:
+        """The text of the host's winning path, or that of the page's own best container where the winner is absent, empty or clearly the smaller one."""
+        text = self.text(winner) if winner else ""
+        if text:
+            own, others = self.container_scores(), self.container_scores(but=winner)
+            rival = best_path(others)
+            held = max((own.get(self.path[top], 0.0) for top in self.climbed(winner)), default=0.0)
+            return self.text(rival) if rival and others[rival] > CLEARLY * held else text
+        return self.text(best_path(self.container_scores()))
+
 
 def best_path(scores: dict[str, float]) -> str:
     return max(scores, key=lambda p: (scores[p], p)) if scores else ""
@@ -191,7 +233,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     Every page scores its containers; the scores are added per host and generalised tag-class path; every page is read again with the
-    winning path of its host. A page without that container, or with no text in it, uses its own best container. Inside, navigation,
+    winning path of its host, from which it climbs to the outermost container that weighs no less. A page without that container, with no text
+    in it, or with a container beside it that holds clearly more, uses its own best container. Inside, navigation,
     headers, footers, asides, forms, scripts, adverts, notices and comments are left out by element, role and name.
     Null and empty pages have an empty text; null urls share the empty host; repeated rows are extracted one by one; an empty table gives an
     empty result; further columns are ignored. The winners, one short row per host, are broadcast only below Spark's size limit;
@@ -204,9 +247,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
         for batch in in_pieces(batches):
             texts = []
             for source_text, winner in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist()):
-                page = Page(source_text or "")
-                text = page.text(winner) if winner else ""
-                texts.append(text or page.text(best_path(page.container_scores())))
+                texts.append(Page(source_text or "").article(winner))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

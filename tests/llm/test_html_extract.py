@@ -47,3 +47,24 @@ def test_votes_agree(spark):
     rows = [(n, "http://h/", f"<body><div class='box{n}'><p>{'text ' * 30}</p></div></body>") for n in range(5)]
     won = hx.votes(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy(F.desc("score")).first()
     assert won.path == ">body>div.box"
+
+
+WRAPPED = "<body><nav><a href='/'>Menu</a></nav>%s<footer>Foot</footer></body>"
+
+
+@pytest.mark.parametrize("outer", ["<article>%s</article>", "<main><article class='p'>%s</article></main>", "<div class='post'>%s</div>", "<div class='box'>%s</div>"])
+def test_title_beside_a_long_body(spark, outer):
+    inner = "div" if "box" in outer else "div class='content'"
+    page = lambda n: WRAPPED % (outer % f"<h1>Title {n}</h1><p>Lead</p><{inner}><p>{'word ' * 900}</p><math><mi>x</mi></math></div><figure><figcaption>Fig</figcaption></figure>")
+    rows = [(n, "http://h/", page(n)) for n in range(4)] + [(9, "http://h/", WRAPPED % (outer % f"<h1>Title 9</h1><p>Lead</p><{inner}>brief</div>"))]
+    got = {r.page_id: r.text.split("\n") for r in hx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[9] == ["Title 9", "Lead", "brief"]
+    assert all(got[n] == [f"Title {n}", "Lead", ("word " * 900).strip(), "x", "Fig"] for n in range(4))
+
+
+def test_teaser_under_the_winning_path(spark):
+    rows = [(n, "http://h/", WRAPPED % f"<article>{'text ' * 300}</article>") for n in range(4)]
+    rows.append((9, "http://h/", WRAPPED % f"<article>Read on</article><section class='story'><h1>Own</h1>{'long ' * 300}</section>"))
+    rows.append((8, "http://h/", WRAPPED % f"<article>Short one</article><div>{'unnamed ' * 3}</div>"))
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[9] == "Own\n" + ("long " * 300).strip() and got[8] == "Short one" and got[0] == ("text " * 300).strip()
