@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.llm.common import let
 from poremetry.workspace import materialize
@@ -102,7 +102,8 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def notices(scanned: DataFrame) -> DataFrame:
     """(row_id, label, share): notices that stand in a document, with the share of their weight in place.
 
-    A word weighs its inverse document frequency over the whole table, in thousandths. The rarest words of each notice are
+    A word weighs its inverse document frequency over the whole table, in thousandths; where every document holds every word of a notice,
+    that is 0 for all of them and they weigh alike instead. The rarest words of each notice are
     looked up; their places propose where the notice starts, the other words are intersected at the same relative
     positions, and the mandatory phrases are verified in the text.
     """
@@ -113,6 +114,8 @@ def notices(scanned: DataFrame) -> DataFrame:
         frequency, "word", "left").select(
         "template", "label", "offset", "word",
         F.floor(1000 * F.log((n_docs + 1) / (F.coalesce("count", F.lit(0)) + 1))).cast("bigint").alias("weight"))
+    silent = F.max("weight").over(Window.partitionBy("template")) <= 0
+    postings = postings.withColumn("weight", F.when(silent, F.lit(1).cast("bigint")).otherwise(F.col("weight")))
     rarest = F.row_number().over(_by_rarity())
     postings = materialize(postings.withColumn("probe", rarest <= PROBES))  # at most as many rows as words in TEMPLATES
     totals = postings.groupBy("template").agg(F.sum("weight").alias("total"))
@@ -133,8 +136,6 @@ def notices(scanned: DataFrame) -> DataFrame:
 
 
 def _by_rarity():
-    from pyspark.sql import Window
-
     return Window.partitionBy("template").orderBy(F.desc("weight"), "word", "offset")
 
 

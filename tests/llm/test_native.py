@@ -42,6 +42,13 @@ def test_license_scan(spark):
     assert licenses.scan(docs.where("doc_id < 0")).count() == 0
 
 
+def test_every_copy_of_one_notice(spark):
+    for text, label in [("Released under the MIT License.", "mit"), (" ".join(licenses.TEMPLATES[11][1].split()), "isc")]:
+        for n in (1, 3):
+            got = licenses.scan(spark.createDataFrame([(i, text) for i in range(n)], "doc_id bigint, text string")).collect()
+            assert [(r.labels, r.score) for r in got] == [(label, 1.0)] * n
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
