@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Trains on at most TRAIN_ROWS labelled documents outside the held-out fold, taken in hash order.
 
     Labelled ids are sampled first (a bounded table, so it may be broadcast); their passages are encoded where the texts are. Several labels of
-    one id count as the smallest. Without labelled documents every score is 0.5.
+    one id count as the smallest; of several rows of one id the one whose passages hash smallest is taken, before anything reaches the driver. Without labelled documents every score is 0.5.
     """
     ids = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("labelled")).agg(
         F.min(label).alias("target")).orderBy(F.xxhash64("labelled"), "labelled").limit(TRAIN_ROWS)
@@ -148,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("labelled").cast(pa.string()), batch.column("target").cast(pa.int32()), pa.array(found, pa.binary())],
                                              names=["labelled", "target", "x"])
 
-    sample = sorted(map_texts(rows, run, "labelled string, target int, x binary").collect(), key=lambda r: (r.labelled, r.x))[:TRAIN_ROWS]
+    encoded = map_texts(rows, run, "labelled string, target int, x binary")
+    one_each = encoded.groupBy("labelled", "target").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x"))
+    sample = sorted(one_each.collect(), key=lambda r: (r.labelled, r.x))
     bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for r in sample]
     if not bags:
         blank = GatedAttention.fresh(np.zeros(FEATURES), np.ones(FEATURES))

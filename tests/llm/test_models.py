@@ -99,3 +99,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+
+
+def test_one_labelled_id_with_many_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier.GatedAttention, "train", lambda self, x, owner, target: seen.append((len(set(owner.tolist())), target.tolist())))
+    fold = spark.range(60).where(~language_id.held_out(F.col("id"))).select("id").collect()
+    ids = [r.id for r in fold][:10]
+    rows = [(ids[0], f"text {k}") for k in range(200)] + [(i, f"other {i}") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i != ids[0])) for i in ids], "doc_id bigint, quality int")
+    quality_classifier.fit(docs, labels)
+    assert seen[0][0] == 10 and sorted(seen[0][1]) == [0.0] + [1.0] * 9
