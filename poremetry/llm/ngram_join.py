@@ -202,7 +202,7 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 def _postings(sets: DataFrame) -> DataFrame:
     """Written short inverted lists (token, node, n, rest): the rarest tokens of every set that any partner must share one of.
 
-    A set of n shingles may leave its needed(n) - 1 most frequent tokens out of the merge (the long lists, which are only probed); tokens of a single
+    A set of n shingles may leave its needed(n) - 1 most frequent tokens out of the merge: their lists are never built. Tokens of a single
     set have no list. ``rest`` counts the set's tokens from this one on, in the order of frequency.
     """
     each = sets.select("node", F.explode("tokens").alias("token"))
