@@ -176,5 +176,23 @@ FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= {decontaminate.CO
 """
 
 
+def without_repeats() -> str:
+    """Every 50-byte string of every document as hexadecimal text."""
+    return """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT r, doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 49))) AS i FROM d)),
+f AS (SELECT r, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM w),
+g AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM f WHERE again),
+h AS (SELECT r, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM h GROUP BY r, span),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS done, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+         FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 ORACLES = {"op1_license_scan": license_scan(), "op7_quality_rules": quality_rule_verdicts(), "op8_url_filter": url_verdicts(),
-           "op10_decontaminate": contaminated()}
+           "op10_decontaminate": contaminated(), "op13_suffix_dedup": without_repeats()}

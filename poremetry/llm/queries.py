@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poremetry.llm import (
-    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, ngram_join, quality_classifier, quality_rules, url_filters)
+    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, ngram_join, quality_classifier, quality_rules, suffix_dedup, url_filters)
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,12 @@ def op10_decontaminate(spark, folder):
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op13_suffix_dedup(spark, folder):
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
