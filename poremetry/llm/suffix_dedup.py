@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from poremetry.llm.common import fresh, map_texts
 from poremetry.workspace import materialize
 
-GRAM = 8  # bytes of an anchor
-BATCH_BYTES = 4 << 20  # text that a task cuts into pieces at once; longer documents are cut in several steps
-BUCKET_BYTES = 8 << 20  # pieces of an average bucket; there are as many buckets as the input needs
-SHARD_BYTES = 2 << 20  # pieces whose suffixes are sorted together
+GRAM = 12  # bytes of an anchor
+BATCH_BYTES = 8 << 20  # text whose pieces a task packs together
+STEP_BYTES = 1 << 20  # text that is cut into pieces at once; longer documents are cut in several steps
+BUCKET_BYTES = 12 << 20  # pieces of an average bucket; there are as many buckets as the input needs
+SHARD_BYTES = 1 << 20  # pieces whose suffixes are sorted together
 LANES = 4096  # places where Kasai's scan goes on at once
 SAMPLE_SHARE = 32  # one row in so many decides which anchors count as common (this moves work, not results)
 COMMON_ANCHORS = 2000  # at most so many common anchors; an anchor is common from this part of all pieces on
@@ -58,36 +59,52 @@ def spread_ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def cut(text: np.ndarray, ends: np.ndarray, length: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, offset of the anchor) of the pieces of a batch of texts that stand one after the other, each up to its end.
+def cut(text: np.ndarray, ends: np.ndarray, length: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, offset of the anchor) of the pieces of some texts that stand one after the other, each up to its end.
 
-    A piece is a run of windows with the same anchor. Windows with a common anchor stand alone. Last comes the hash of every place.
+    A piece is a run of windows with the same anchor. Windows with a common anchor stand alone.
     """
     n = len(text) - length + 1
-    none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
-    h = mixed(words_at(text))
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    words = words_at(text)
+    h = mixed(mixed(words) ^ np.append(words[GRAM - 8:], np.zeros(GRAM - 8, np.uint64)))
     low = np.uint64((1 << 24) - 1)
     found = sliding_minimum((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)[:n]
     anchor = (found & low).astype(np.int64)
     inside = np.ones(n, bool)
     for end in ends:
         inside[max(0, end - length + 1):end] = False
-    alone = np.isin(h[anchor], common) if len(common) else np.zeros(n, bool)
     first = inside.copy()
-    first[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | alone[1:]
+    first[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1])
+    if len(common) and first.any():
+        starts = np.flatnonzero(first)
+        known = np.isin(hash_at(text, anchor[starts], GRAM), common)
+        alone = known[np.maximum(np.cumsum(first) - 1, 0)] & inside
+        first |= alone
+    else:
+        alone = np.zeros(n, bool)
     starts = np.flatnonzero(first)
     count = np.diff(np.append(np.cumsum(inside)[starts] - 1, inside.sum()))
-    return starts, count, np.where(alone[starts], ALONE, anchor[starts] - starts), h
+    return starts, count.astype(np.int64), np.where(alone[starts], ALONE, anchor[starts] - starts)
+
+
+def hash_at(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` bytes from every place on; at least eight."""
+    rows = np.lib.stride_tricks.sliding_window_view(text, 8)
+    h = np.zeros(len(places), np.uint64)
+    for step in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        h = mixed(h ^ rows[places + step].view(">u8").ravel().astype(np.uint64))
+    return h
 
 
-def names(h: np.ndarray, starts: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+def names(text: np.ndarray, starts: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
     """What pieces with equal windows have in common: the hash of the anchor, or of the whole content where a window stands alone."""
-    alone = np.flatnonzero(offset == ALONE)
-    name = h[starts + np.where(offset == ALONE, 0, offset)]
-    for step in [*range(8, length - 7, 8), length - 8]:
-        name[alone] = mixed(name[alone] ^ h[starts[alone] + step])
+    alone = offset == ALONE
+    name = np.empty(len(starts), np.uint64)
+    name[~alone] = hash_at(text, (starts + offset)[~alone], GRAM)
+    name[alone] = hash_at(text, starts[alone], length)
     return name
 
 
@@ -192,16 +209,50 @@ def contents(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(text, length)[at].view(f"S{length}").ravel()
 
 
+def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from every place on."""
+    words, n = words_at(text), len(text) - length + 1
+    h = np.zeros(n, np.uint64)
+    for step in [*range(0, length - 7, 8), length - 8]:
+        h ^= words[step:step + n]
+        h *= SPREAD
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def in_shards(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the pieces of every shard."""
+    shard = (np.cumsum(sizes) - 1) // SHARD_BYTES
+    edges = np.flatnonzero(np.append(True, np.diff(shard) != 0)) if len(shard) else shard
+    for lo, hi in zip(edges, np.append(edges[1:], len(sizes))):
+        yield np.arange(lo, hi)
+
+
+def may_share(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Whether a piece has a window whose hash comes twice. The others cannot share a window and need no sorting."""
+    sizes = counts + length - 1
+    parts = []
+    for mine in in_shards(sizes):
+        local = text[spread_ranges(starts[mine], sizes[mine])]
+        begin = np.cumsum(sizes[mine]) - sizes[mine]
+        parts.append(window_hashes(local, length)[spread_ranges(begin, counts[mine])])
+    h = np.concatenate(parts)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return np.add.reduceat(twice, np.cumsum(counts) - counts) > 0
+
+
 def smallest_documents(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For every window of distinct pieces, piece by piece: the smallest document that has its content.
 
     Shards of bounded size are sorted on their own. Their sorted lists of distinct windows are merged by binary search.
     """
     sizes = counts + length - 1
-    shard = (np.cumsum(sizes) - 1) // SHARD_BYTES
     merged, least, parts = np.zeros(0, f"S{length}"), np.zeros(0, np.int64), []
-    for s in np.unique(shard):
-        mine = np.flatnonzero(shard == s)
+    for mine in in_shards(sizes):
         local = text[spread_ranges(starts[mine], sizes[mine])]
         begin = np.cumsum(sizes[mine]) - sizes[mine]
         number, place = window_classes(local, spread_ranges(begin, counts[mine]), length)
@@ -246,14 +297,20 @@ def batch_pieces(docs: list[tuple[int, int, int, bytes]], length: int, buckets:
 
     Equal pieces of the batch travel once, with all their places in the smallest document; in its later documents they are gone already.
     """
+    ids, tags, shift = (np.array([d[i] for d in docs], np.int64) for i in range(3))
     text = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
     ends = np.cumsum([len(d[3]) for d in docs])
-    starts, counts, offset, h = cut(text, ends, length, common)
+    parts, done = [], 0
+    for k in range(len(docs)):
+        if ends[k] - done >= STEP_BYTES or k == len(docs) - 1:
+            parts.append([done, *cut(text[done:ends[k]], ends[np.searchsorted(ends, done, "right"):k + 1] - done, length, common)])
+            done = ends[k]
+    starts = np.concatenate([p[0] + p[1] for p in parts])
+    counts, offset = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
     if not len(starts):
         return
-    name = names(h, starts, offset, length)
+    name = names(text, starts, offset, length)
     owner = np.searchsorted(ends, starts, "right")
-    ids, tags, shift = (np.array([d[i] for d in docs], np.int64) for i in range(3))
     base = shift - np.append(0, ends[:-1])
     bucket = (name % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
@@ -290,7 +347,7 @@ def resolve(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     shift = np.cumsum([0, *[len(p[1]) for p in parts]])
     piece = np.concatenate([np.cumsum(p[6]) + s for p, s in zip(parts, shift)])
     starts = np.cumsum(sizes) - sizes
-    gram = names(mixed(words_at(text)), starts, np.concatenate([p[2] for p in parts]).astype(np.int64), length)
+    gram = names(text, starts, np.concatenate([p[2] for p in parts]).astype(np.int64), length)
     # Anchors of one document only are of no interest.
     _, group = np.unique(gram, return_inverse=True)
     top = group.max() + 1 if len(group) else 0
@@ -311,6 +368,8 @@ def resolve(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
         # Anchors with several distinct pieces: their windows are compared.
         family = group[chosen[place]]
         open_ = np.flatnonzero(np.bincount(family, minlength=top)[family] > 1)
+        if len(open_):
+            open_ = open_[may_share(text, starts[chosen[place[open_]]], count[open_], length)]
         if len(open_):
             best = smallest_documents(text, starts[chosen[place[open_]]], count[open_], least[open_], length)
             lost = best < np.repeat(least[open_], count[open_])
@@ -335,8 +394,8 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, in
     for batch in rows:
         for doc, tag, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             raw, length = text, len(text)
-            for start in range(0, length, BATCH_BYTES):
-                part = raw[start:start + BATCH_BYTES + 127]
+            for start in range(0, length, STEP_BYTES):
+                part = raw[start:start + STEP_BYTES + 63]
                 held.append((doc, tag, start, part))
                 size += len(part)
                 if size >= BATCH_BYTES:
@@ -354,9 +413,9 @@ def common_anchors(docs: DataFrame, length: int) -> list[int]:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _batches(rows):
             text = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
-            starts, _, offset, h = cut(text, np.cumsum([len(d[3]) for d in docs]), length, np.zeros(0, np.uint64))
+            starts, _, offset = cut(text, np.cumsum([len(d[3]) for d in docs]), length, np.zeros(0, np.uint64))
             if len(starts):
-                anchors, n = np.unique(names(h, starts, offset, length), return_counts=True)
+                anchors, n = np.unique(names(text, starts, offset, length), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
     share = docs.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLE_SHARE)) == 0)

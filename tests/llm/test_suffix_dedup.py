@@ -85,8 +85,8 @@ def test_small_shards_merge_and_common_anchors(monkeypatch):
     monkeypatch.setattr(sd, "LANES", 3)
     docs = [(i, 0, 0, t.encode()) for i, t in rows]
     text = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
-    starts, _, offset, h = sd.cut(text, np.cumsum([len(d[3]) for d in docs]), 50, np.zeros(0, np.uint64))
-    anchors, n = np.unique(sd.names(h, starts, offset, 50), return_counts=True)
+    starts, _, offset = sd.cut(text, np.cumsum([len(d[3]) for d in docs]), 50, np.zeros(0, np.uint64))
+    anchors, n = np.unique(sd.names(text, starts, offset, 50), return_counts=True)
     for common in (np.zeros(0, np.uint64), anchors[np.argsort(-n)[:20]], anchors):
         buckets = {}
         for k in range(0, len(docs), 7):
@@ -107,6 +107,7 @@ def test_long_document_in_parts(spark, monkeypatch):
     long = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
     docs = [(0, 0, 0, long[9_000:12_000].encode()), (1, 0, 0, long.encode())]
     monkeypatch.setattr(sd, "BATCH_BYTES", 2_000)
+    monkeypatch.setattr(sd, "STEP_BYTES", 1_000)
     import pyarrow as pa
 
     table = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([0, 0]), pa.array([d[3] for d in docs], pa.binary())], names=["doc_id", "tag", "text"])
