@@ -27,6 +27,7 @@ SHARD_BYTES = 1 << 20  # pieces whose suffixes are sorted together
 LANES = 4096  # places where Kasai's scan goes on at once
 SAMPLE_SHARE = 32  # one row in so many decides which anchors count as common (this moves work, not results)
 COMMON_ANCHORS = 2000  # at most so many common anchors; an anchor is common from this part of all pieces on
+SAMPLE_TEXT = 1 << 18  # bytes of sampled text that serve as compression dictionary
 ALONE = 255  # in place of an anchor's offset: the piece is one window with a common anchor
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -271,18 +272,29 @@ def smallest_documents(text: np.ndarray, starts: np.ndarray, counts: np.ndarray,
     return np.concatenate([least[np.searchsorted(merged, lists)[number]] for number, lists in parts] or [least])
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Named columns in one compressed value."""
-    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays.values()], names=list(arrays))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.compress(sink.getvalue(), 3)
+class Codec:
+    """Compression with a dictionary of sampled text, as the packed values are small."""
 
+    def __init__(self, sample: bytes = b"", level: int = 6):
+        known = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if sample else None
+        if known:
+            known.precompute_compress(level=level)
+        self.compress = zstandard.ZstdCompressor(level=level, dict_data=known).compress
+        self.decompress = zstandard.ZstdDecompressor(dict_data=known).decompress
 
-def unpack(blob: bytes, **kinds) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(zstandard.decompress(blob)).read_next_batch()
-    return [np.frombuffer(batch.column(name)[0].as_py(), kind) for name, kind in kinds.items()]
+    def pack(self, **arrays: np.ndarray) -> bytes:
+        """Named columns in one compressed value; numbers are laid out byte by byte, as their upper bytes are alike."""
+        parts = [pa.array([a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()], pa.binary()) for a in arrays.values()]
+        batch = pa.RecordBatch.from_arrays(parts, names=list(arrays))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        return self.compress(sink.getvalue().to_pybytes())
+
+    def unpack(self, packed: bytes, **kinds) -> list[np.ndarray]:
+        batch = pa.ipc.open_stream(self.decompress(packed)).read_next_batch()
+        planes = lambda name, kind: np.frombuffer(batch.column(name)[0].as_py(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        return [np.ascontiguousarray(planes(name, kind).T).view(kind).ravel() for name, kind in kinds.items()]
 
 
 def delta(values: np.ndarray) -> np.ndarray:
@@ -292,7 +304,7 @@ def delta(values: np.ndarray) -> np.ndarray:
 KINDS = {"text": np.uint8, "size": np.uint8, "offset": np.uint8, "doc": np.int64, "tag": np.int64, "at": np.int64, "piece": np.int64, "gone": np.int64}
 
 
-def batch_pieces(docs: list[tuple[int, int, int, bytes]], length: int, buckets: int, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def batch_pieces(docs: list[tuple[int, int, int, bytes]], length: int, buckets: int, common: np.ndarray, codec: Codec) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed pieces) of a batch of (doc_id, tag, offset, bytes).
 
     Equal pieces of the batch travel once, with all their places in the smallest document; in its later documents they are gone already.
@@ -330,15 +342,15 @@ def batch_pieces(docs: list[tuple[int, int, int, bytes]], length: int, buckets:
         chosen = np.unique(piece)
         new = np.zeros(len(mine), np.int64)
         new[chosen] = np.arange(len(chosen))
-        yield int(bucket[mine[0]]), pack(
+        yield int(bucket[mine[0]]), codec.pack(
             text=text[spread_ranges(starts[mine][chosen], sizes[chosen])], size=sizes[chosen].astype(np.uint8), offset=offset[mine][chosen].astype(np.uint8),
             doc=delta(doc[~later]), tag=delta(tag[~later]), at=delta(at[~later]), piece=delta(new[piece[~later]]),
             gone=np.concatenate([delta(doc[later]), delta(tag[later]), delta(at[later]), counts[mine][later]]))
 
 
-def resolve(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def resolve(blobs: list[bytes], length: int, codec: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, tag, first byte, number of bytes) of the strings of a bucket that also start in a smaller document."""
-    parts = [unpack(b, **KINDS) for b in blobs]
+    parts = [codec.unpack(b, **KINDS) for b in blobs]
     gone = [np.split(p[7], 4) for p in parts]
     out = [[np.cumsum(g[0]), np.cumsum(g[1]), np.cumsum(g[2]), g[3] + length - 1] for g in gone if len(g[0])]
     text = np.concatenate([p[0] for p in parts])
@@ -425,7 +437,13 @@ def common_anchors(docs: DataFrame, length: int) -> list[int]:
     return [r.anchor for r in seen.where(F.col("n") > max(1000, total // COMMON_ANCHORS)).orderBy(F.desc("n"), "anchor").limit(COMMON_ANCHORS).collect()]
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+def sample_text(docs: DataFrame) -> bytes:
+    """Up to SAMPLE_TEXT bytes of text from rows that a hash picks, at most 1 KB of each."""
+    picked = docs.orderBy(F.xxhash64("doc_id", "tag")).select(F.substring("text", 1, 1024).alias("text")).limit(SAMPLE_TEXT // 256).collect()
+    return b"".join(r.text for r in picked)[:SAMPLE_TEXT]
+
+
+def repeated_spans(docs: DataFrame, length: int, sample: bytes) -> DataFrame:
     """(doc_id, tag, spans): byte ranges (start * 128 + size) that also start in a smaller document; ranges overlap and touch."""
     total = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -433,12 +451,13 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     common = np.array(common_anchors(docs, length), np.int64).view(np.uint64)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sample)
         for batch in _batches(rows):
-            packed = list(batch_pieces(batch, length, buckets, common))
+            packed = list(batch_pieces(batch, length, buckets, common, codec))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())], names=["bucket", "packed"])
 
     def merge(table: pa.Table) -> pa.Table:
-        doc, tag, at, size = resolve(table.column("packed").to_pylist(), length)
+        doc, tag, at, size = resolve(table.column("packed").to_pylist(), length, Codec(sample))
         return pa.table({"doc_id": doc, "tag": tag, "span": at * 128 + size})
 
     found = map_texts(docs, deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(merge, "doc_id bigint, tag bigint, span bigint")
@@ -471,13 +490,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     # Without repeated ids the id names a row; else a hash of the text tells rows of one id apart.
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
     rows = rows.withColumn("tag", F.xxhash64("text") if twice else F.lit(0).cast("bigint")).select("doc_id", "tag", "text")
-    spans = materialize(repeated_spans(rows.where("doc_id is not null"), length))
+    sample = sample_text(rows)
+    spans = materialize(repeated_spans(rows.where("doc_id is not null"), length, sample))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sample)
         for batch in batches:
             out = []
             for packed, found in zip(batch.column(1), batch.column(2)):
-                raw = zstandard.decompress(packed.as_py()) if packed.as_py() else b""
+                raw = codec.decompress(packed.as_py()) if packed.as_py() else b""
                 starts, ends = covered(found.values.to_numpy(zero_copy_only=False) if found.is_valid else None)
                 kept = b"".join([raw[a:b] for a, b in zip(np.append(0, ends), np.append(starts, len(raw)))])
                 out.append((len(raw), len(raw) - len(kept), len(starts), kept))
@@ -487,8 +508,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sample, 3)
         for batch in batches:
-            small = [zstandard.compress(t, 1) if t else b"" for t in batch.column(2).to_pylist()]
+            small = [codec.compress(t) if t else b"" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["doc_id", "tag", "text"])
 
     small = map_texts(rows, squeeze, "doc_id bigint, tag bigint, text binary")

@@ -84,17 +84,18 @@ def test_small_shards_merge_and_common_anchors(monkeypatch):
     monkeypatch.setattr(sd, "SHARD_BYTES", 700)
     monkeypatch.setattr(sd, "LANES", 3)
     docs = [(i, 0, 0, t.encode()) for i, t in rows]
+    codec = sd.Codec(docs[0][3])
     text = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
     starts, _, offset = sd.cut(text, np.cumsum([len(d[3]) for d in docs]), 50, np.zeros(0, np.uint64))
     anchors, n = np.unique(sd.names(text, starts, offset, 50), return_counts=True)
     for common in (np.zeros(0, np.uint64), anchors[np.argsort(-n)[:20]], anchors):
         buckets = {}
         for k in range(0, len(docs), 7):
-            for bucket, packed in sd.batch_pieces(docs[k:k + 7], 50, 5, common):
+            for bucket, packed in sd.batch_pieces(docs[k:k + 7], 50, 5, common, codec):
                 buckets.setdefault(bucket, []).append(packed)
         spans = {}
         for blobs in buckets.values():
-            for doc, _, at, size in zip(*sd.resolve(blobs, 50)):
+            for doc, _, at, size in zip(*sd.resolve(blobs, 50, codec)):
                 spans.setdefault(int(doc), []).append(at * 128 + size)
         for (i, size, removed, count, _), (doc, raw) in zip(plain(rows), rows):
             starts, ends = sd.covered(np.array(spans.get(doc, []), np.int64))
@@ -111,8 +112,8 @@ def test_long_document_in_parts(spark, monkeypatch):
     import pyarrow as pa
 
     table = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([0, 0]), pa.array([d[3] for d in docs], pa.binary())], names=["doc_id", "tag", "text"])
-    blobs = [p for part in sd._batches(iter([table])) for _, p in sd.batch_pieces(part, 50, 1, np.zeros(0, np.uint64))]
-    doc, _, at, size = sd.resolve(blobs, 50)
+    blobs = [p for part in sd._batches(iter([table])) for _, p in sd.batch_pieces(part, 50, 1, np.zeros(0, np.uint64), sd.Codec())]
+    doc, _, at, size = sd.resolve(blobs, 50, sd.Codec())
     starts, ends = sd.covered((at * 128 + size)[doc == 1])
     assert set(doc) == {1} and list(zip(starts, ends)) == [(9_000, 12_000)]
 
