@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poremetry.llm import (
-    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, ngram_join, quality_classifier, quality_rules, suffix_dedup, url_filters)
+    bpe, chat_quotes, decontaminate, html_extract, language_id, licenses, ngram_join, quality_classifier, quality_rules, suffix_dedup,
+    token_alignment, url_filters, whitening)
 from poremetry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,17 @@ def op10_decontaminate(spark, folder):
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op11_token_alignment(spark, folder):
+    return token_alignment.align(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op13_suffix_dedup(spark, folder):
     done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))

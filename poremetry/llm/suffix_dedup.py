@@ -437,15 +437,17 @@ def common_anchors(docs: DataFrame, length: int) -> list[int]:
     return [r.anchor for r in seen.where(F.col("n") > max(1000, total // COMMON_ANCHORS)).orderBy(F.desc("n"), "anchor").limit(COMMON_ANCHORS).collect()]
 
 
-def sample_text(docs: DataFrame) -> bytes:
-    """Up to SAMPLE_TEXT bytes of text from rows that a hash picks, at most 1 KB of each."""
-    picked = docs.orderBy(F.xxhash64("doc_id", "tag")).select(F.substring("text", 1, 1024).alias("text")).limit(SAMPLE_TEXT // 256).collect()
-    return b"".join(r.text for r in picked)[:SAMPLE_TEXT]
+def sample_text(docs: DataFrame, rows: int) -> bytes:
+    """Up to SAMPLE_TEXT bytes of text from about 1,000 of ``rows`` rows that a hash picks, at most 1 KB of each."""
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(max(1, rows // 1024))) == 0).select(F.substring("text", 1, 1024).alias("text"))
+    return b"".join(r.text for r in picked.limit(2048).collect())[:SAMPLE_TEXT]
 
 
-def repeated_spans(docs: DataFrame, length: int, sample: bytes) -> DataFrame:
-    """(doc_id, tag, spans): byte ranges (start * 128 + size) that also start in a smaller document; ranges overlap and touch."""
-    total = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+def repeated_spans(docs: DataFrame, length: int, total: int, sample: bytes) -> DataFrame:
+    """(doc_id, tag, spans): byte ranges (start * 128 + size) that also start in a smaller document; ranges overlap and touch.
+
+    ``total`` is the number of bytes of all texts, ``sample`` some of them.
+    """
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(total * 3.5 / BUCKET_BYTES))
     common = np.array(common_anchors(docs, length), np.int64).view(np.uint64)
@@ -490,8 +492,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     # Without repeated ids the id names a row; else a hash of the text tells rows of one id apart.
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
     rows = rows.withColumn("tag", F.xxhash64("text") if twice else F.lit(0).cast("bigint")).select("doc_id", "tag", "text")
-    sample = sample_text(rows)
-    spans = materialize(repeated_spans(rows.where("doc_id is not null"), length, sample))
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("bytes")).first()
+    sample = sample_text(rows, facts.rows)
+    spans = materialize(repeated_spans(rows.where("doc_id is not null"), length, facts.bytes, sample))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sample)
