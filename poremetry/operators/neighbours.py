@@ -18,6 +18,16 @@ def band_rows(height: Column, width: Column, at_least: int = 1, pixels: int | No
     return F.greatest(F.lit(at_least), rows)
 
 
+def bundle(pixels: int | None = None) -> Column:
+    """Number of the group of neighbouring image ids that fit ``pixels`` pixels together; an image of that size or more has its own.
+
+    Grouping by (height, width, bundle, band) gives as many groups as the pixels need, not as many as there are images.
+    """
+    area = F.col("height").cast("double") * F.col("width")
+    images = F.greatest(F.lit(1), F.floor(F.lit(float(pixels or BAND_PIXELS)) / area)).cast("bigint")
+    return F.col("image_id") - F.pmod(F.col("image_id"), images)
+
+
 def stacked(rows: DataFrame, column: str, radius: int, edge: str = "clip", below: int | None = None) -> DataFrame:
     """Adds ``stack``: ``column`` of the rows y-radius .. y+below, in order.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from poremetry.functions.rows import bind, bits_of_runs, label_runs_of, labels_of_runs, positions, runs_of_bits
 from poremetry.operators import components as cc, filters, masks
-from poremetry.operators.neighbours import BAND_PIXELS, band_rows, stacked
-from poremetry.workspace import attach, materialize
+from poremetry.operators.neighbours import BAND_PIXELS, band_rows, bundle, stacked
+from poremetry.workspace import attach, materialize, row_count
 
 SEPARATIONS = ("none", "watershed")
 # Stands for "no background in this row".
@@ -36,30 +37,54 @@ class SeparationParams:
             raise ValueError(f"unknown separation method: {self.method}")
 
 
-def _nearest_in_column(table: pa.Table) -> pa.Table:
-    """Squared distances of one block of columns from the distances along the rows; exact.
+def nearest_in_columns(start: np.ndarray) -> np.ndarray:
+    """Smallest ``start[i] + (y - i)^2`` over the rows i of every column, for every row y.
 
-    Row offsets are tried outwards until no remaining distance can shrink, so the loop length is the largest radius.
+    The lower envelope of each column's parabolas is built downwards and read off upwards, all columns side by side, so the time does
+    not depend on how far the nearest row is.
     """
-    table = table.take(pa.array(np.argsort(table.column("y").to_numpy())))
-    height = table.num_rows
-    along = table.column("gap").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(height, -1)
-    start = along * along
-    best = start.copy()
-    dy = 1
-    while dy < height and start.min() < FAR * FAR and dy * dy < best.max():
-        np.minimum(best[dy:], start[:-dy] + dy * dy, out=best[dy:])
-        np.minimum(best[:-dy], start[dy:] + dy * dy, out=best[:-dy])
-        dy += 1
-    width = best.shape[1]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(height + 1, dtype=np.int32) * width), pa.array(best.ravel()))
-    return table.drop_columns(["gap"]).append_column("d2", lists)
+    height, columns = start.shape
+    owner, since = np.zeros((height, columns), np.int32), np.zeros((height, columns), np.int32)
+    top, everywhere = np.zeros(columns, np.int64), np.arange(columns)
+    for y in range(1, height):
+        at = everywhere
+        while at.size:
+            i, x = owner[top[at], at].astype(np.int64), since[top[at], at].astype(np.int64)
+            at = at[start[i, at] + (x - i) ** 2 > start[y, at] + (x - y) ** 2]
+            top[at] -= 1
+            at = at[top[at] >= 0]
+        below = np.maximum(top, 0)
+        i = owner[below, everywhere].astype(np.int64)
+        # the first row where the new parabola is lower than the one on top
+        turn = np.where(top < 0, 0, 1 + (y * y - i * i + start[y] - start[i, everywhere]) // np.maximum(2 * (y - i), 1))
+        at = np.flatnonzero(turn < height)
+        top[at] += 1
+        owner[top[at], at], since[top[at], at] = y, turn[at]
+    best = np.empty_like(start)
+    for y in range(height - 1, -1, -1):
+        i = owner[top, everywhere].astype(np.int64)
+        best[y] = start[i, everywhere] + (y - i) ** 2
+        top -= (since[top, everywhere] == y) & (y > 0)
+    return best
+
+
+def _nearest_of_block(table: pa.Table) -> pa.Table:
+    """Squared distances of one block of columns, of one or several images of one size, from the distances along the rows."""
+    table = table.take(pa.array(np.lexsort((table.column("y").to_numpy(), table.column("image_id").to_numpy()))))
+    height = table.column("height")[0].as_py()
+    images = table.num_rows // height
+    along = table.column("gap").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(images, height, -1)
+    width = along.shape[2]
+    best = nearest_in_columns((along * along).transpose(1, 0, 2).reshape(height, -1))
+    best = best.reshape(height, images, width).transpose(1, 0, 2)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1, dtype=np.int32) * width), pa.array(best.ravel()))
+    return table.drop_columns(["gap", "_bundle"]).append_column("d2", lists)
 
 
 def distance_squared(mask: DataFrame, block_pixels: int = BAND_PIXELS) -> DataFrame:
     """Scanlines ``d2``: exact squared Euclidean distance of every pixel to the nearest background pixel.
 
-    Along the row it follows from the runs; across rows, blocks of columns of bounded size are solved independently.
+    Along the row it follows from the runs; across rows, blocks of columns of bounded size are solved independently, small images together.
     An image without background gets (height + width) squared everywhere.
     """
     width = F.col("width")
@@ -81,8 +106,8 @@ def distance_squared(mask: DataFrame, block_pixels: int = BAND_PIXELS) -> DataFr
     index = F.sequence(F.lit(0), F.ceil(width / size).cast("int") - 1)
     blocks = bind(bind(F.col("runs"), gaps), lambda g: F.transform(index, lambda b: F.slice(g, b * size + 1, size)))
     cut = mask.select("image_id", "height", "width", "y", F.posexplode(blocks).alias("block", "gap"))
-    solved = cut.groupBy("image_id", "block").applyInArrow(
-        lambda key, table: _nearest_in_column(table),
+    solved = cut.withColumn("_bundle", bundle(block_pixels)).groupBy("height", "width", "_bundle", "block").applyInArrow(
+        lambda key, table: _nearest_of_block(table),
         "image_id bigint, height int, width int, y int, block int, d2 array<bigint>")
     whole = solved.groupBy("image_id", "y").agg(
         F.first("height").alias("height"), F.first("width").alias("width"),
@@ -152,16 +177,14 @@ LEVEL, STEP = np.int64(1) << 55, np.int64(1) << 31
 UNREACHED = np.iinfo(np.int64).max
 
 
-def settle(cost, key, inside, stride):
-    """Smallest key of every inside pixel, given the starting keys; arrays are flat frames with a closed margin.
+def settle(cost, key, start, changed, inside, stride):
+    """Keys of every inside pixel when nothing moves any more; arrays are flat frames with a closed margin.
 
     A pixel takes the best of its start and its four neighbours' keys carried over to it: a cost above the level
-    raises the level and restarts the steps, otherwise one step is added. Only neighbours of changed pixels are
+    raises the level and restarts the steps, otherwise one step is added. Only neighbours of ``changed`` pixels are
     recomputed, so the work follows the flood front.
     """
-    start = key.copy()
     moves = np.array([-stride, -1, 1, stride])
-    changed = np.flatnonzero(key != UNREACHED)
     while changed.size:
         near = np.unique((changed[:, None] + moves).ravel())
         near = near[inside[near]]
@@ -177,54 +200,112 @@ def settle(cost, key, inside, stride):
     return key
 
 
-def _flood_band(table: pa.Table) -> pa.Table:
-    table = table.take(pa.array(np.argsort(table.column("at").to_numpy())))
-    rows, width = table.num_rows, table.column("width")[0].as_py()
-    frame = lambda fill: np.full((rows + 2, width + 2), fill, dtype=np.int64)
-    grid = lambda name: table.column(name).combine_chunks().flatten().to_numpy().astype(np.int64).reshape(rows, width)
-    core = table.column("core").to_numpy(zero_copy_only=False)
-    cost, key, inside = frame(0), frame(UNREACHED), np.zeros((rows + 2, width + 2), dtype=bool)
-    cost[1:-1, 1:-1] = grid("cost")
-    seed = grid("seed")
-    start = np.where(seed > 0, cost[1:-1, 1:-1] * LEVEL + seed, UNREACHED)
-    key[1:-1, 1:-1] = np.where(core[:, None], start, grid("key"))
-    inside[1:-1, 1:-1] = core[:, None]
-    settled = settle(cost.ravel(), key.ravel(), inside.ravel(), width + 2).reshape(rows + 2, width + 2)[1:-1, 1:-1]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(settled.ravel()))
-    changed = (settled != grid("key")).any(axis=1)
-    out = table.drop_columns(["key", "core", "at", "_band"]).append_column("key", lists).append_column("changed", pa.array(changed))
-    return out.filter(pa.array(core))
+def _flood_bands(table: pa.Table) -> pa.Table:
+    """Settles a band, or several images of one band each. Rows that are not ``core`` are a neighbour's edge and stay as they are.
+
+    Without such rows the flood starts from the seeds, with them from the edges, on top of the keys the band has.
+    """
+    table = table.take(pa.array(np.lexsort((table.column("y").to_numpy(), table.column("image_id").to_numpy()))))
+    width = table.column("width")[0].as_py()
+    column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+    image, core = column("image_id"), column("core").astype(bool)
+    # one closed row before every image and one at the end
+    place = np.arange(len(image)) + 1 + np.append(0, np.cumsum(image[1:] != image[:-1]))
+    shape = (place[-1] + 2, width + 2)
+    cells = lambda name: table.column(name).combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, width)
+
+    def frame(values, fill):
+        out = np.full(shape, fill, dtype=np.asarray(values).dtype)
+        out[place, 1:-1] = values
+        return out.ravel()
+
+    given, seed = cells("key"), cells("seed")
+    cost, key = frame(cells("cost"), 0), frame(given, UNREACHED)
+    inside = frame(np.repeat(core[:, None], width, axis=1), False)
+    start = np.where(frame(seed, 0) > 0, cost * LEVEL + frame(seed, 0), UNREACHED)
+    if core.all():
+        key = start.copy()
+        front = np.flatnonzero(key != UNREACHED)
+    else:
+        front = np.flatnonzero(~inside & (key != UNREACHED))
+    settled = settle(cost, key, start, front, inside, width + 2).reshape(shape)[place, 1:-1]
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * width), pa.array(v.ravel()))
+    # what the band's edges were before, for the neighbours
+    edge = core & (np.append(True, (image[1:] != image[:-1]) | ~core[:-1]) | np.append((image[1:] != image[:-1]) | ~core[1:], True))
+    n = np.cumsum(edge)
+    before = pa.ListArray.from_arrays(
+        pa.array(np.append(0, n).astype(np.int32) * width, mask=np.append(~edge, False)), pa.array(given[edge].ravel()))
+    out = table.select(["image_id", "height", "width", "y", "band", "cost", "seed"])
+    return out.append_column("key", lists(settled)).append_column("before", before).filter(pa.array(core))
+
+
+def _crosses(edge_key, edge_before, cost, key):
+    """Whether a changed edge can change the row that faces it: some pixel gets a better key, or has lost the one it stands on."""
+    none, level, step = F.lit(int(UNREACHED)), F.lit(int(LEVEL)), F.lit(int(STEP))
+
+    def carried(k, c):
+        return F.when(c.cast("bigint") > F.floor(k / level), c * level + step + k % step).otherwise(k + step)
+
+    def matters(s):
+        better = (s["new"] != none) & (carried(s["new"], s["c"]) < s["k"])
+        lost = (s["old"] != none) & (s["old"] != s["new"]) & (carried(s["old"], s["c"]) == s["k"])
+        return better | lost
+
+    return F.exists(F.arrays_zip(edge_key.alias("new"), edge_before.alias("old"), cost.alias("c"), key.alias("k")), matters)
 
 
 def flood(rows: DataFrame, band_pixels: int | None = None) -> DataFrame:
     """Scanlines with ``key`` for every pixel: the flood of the whole frame from the seeds.
 
-    Bands of bounded size are solved on their own and exchange their edge rows until nothing changes. Images of one
-    band are done after the first round; only the others take part in later rounds. The result does not depend on
-    the bands, because each key is the unique fixed point of its neighbours' keys.
+    Bands of bounded size are solved on their own, small images several at a time. Then only the bands are solved again that a neighbour's
+    changed edge row can change, on top of the keys they have, until there are none; a round writes those bands and the last
+    written version of a band counts. The result does not depend on the bands, because keys have one fixed point.
     """
     band = band_rows(F.col("height"), F.col("width"), pixels=band_pixels)
-    bands = F.greatest(F.lit(1), F.ceil(F.col("height") / band)).cast("int")
-    names = "image_id bigint, height int, width int, y int, cost array<int>, seed array<int>, key array<bigint>, changed boolean"
-
-    def one_round(state: DataFrame) -> DataFrame:
-        touched = F.sequence(
-            F.greatest(F.lit(0), F.floor((F.col("y") - 1) / band).cast("int")),
-            F.least(bands - 1, F.floor((F.col("y") + 1) / band).cast("int")))
-        spread = state.select(
-            "image_id", "height", "width", "y", "cost", "seed", "key", F.col("y").alias("at"), F.explode(touched).alias("_band"))
-        spread = spread.withColumn("core", F.floor(F.col("y") / band) == F.col("_band"))
-        return materialize(spread.groupBy("image_id", "_band").applyInArrow(lambda key, table: _flood_band(table), names),
-                           moving=F.max(F.col("changed") & (F.col("height") > band)))
+    names = ("image_id bigint, height int, width int, y int, band int, cost array<int>, seed array<int>, key array<bigint>, "
+             "before array<bigint>")
+    frame = ["image_id", "height", "width", "y", "band", "cost", "seed", "key"]
+
+    def solve(bands: DataFrame, version: int) -> DataFrame:
+        solved = bands.withColumn("_bundle", bundle(band_pixels)).groupBy("height", "width", "_bundle", "band").applyInArrow(
+            lambda key, table: _flood_bands(table), names)
+        return materialize(solved.withColumn("version", F.lit(version)), tall=F.max(F.col("height") > band))
 
     unreached = F.transform("cost", lambda c: F.lit(int(UNREACHED)).cast("bigint"))
-    state = one_round(rows.withColumn("key", unreached))
-    if not state.metrics["moving"]:
-        return state.drop("seed", "changed")
-    done, rest = state.where(F.col("height") <= band), one_round(state.where(F.col("height") > band))
-    while rest.metrics["moving"]:
-        rest = one_round(rest)
-    return done.unionByName(rest).drop("seed", "changed")
+    versions = [solve(rows.select(
+        "image_id", "height", "width", "y", F.floor(F.col("y") / band).cast("int").alias("band"), "cost", "seed",
+        unreached.alias("key"), F.lit(True).alias("core")), 0)]
+    if not versions[0].metrics["tall"]:
+        return versions[0].select("image_id", "height", "width", "y", "cost", "key")
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    edges, again = [], []
+    while True:
+        edges.append(materialize(versions[-1].where((F.col("height") > band) & F.col("before").isNotNull())))
+        latest = union(edges).groupBy("image_id", "y").agg(F.max_by(F.struct(*frame[1:3], *frame[4:]), "version").alias("e")).select(
+            "image_id", "y", "e.*")
+        y = F.col("y")
+        faced = F.filter(F.array(F.when(y % band == 0, y - 1), F.when((y + 1) % band == 0, y + 1)), lambda f: (f >= 0) & (f < F.col("height")))
+        changed = edges[-1].where("key <> before").select(
+            "image_id", F.explode(faced).alias("y"), F.col("key").alias("edge_key"), F.col("before").alias("edge_before"))
+        work = materialize(changed.join(latest, ["image_id", "y"]).where(_crosses(F.col("edge_key"), F.col("edge_before"), F.col("cost"), F.col("key")))
+                           .select("image_id", "band").distinct().withColumn("version", F.lit(len(versions))))
+        if not row_count(work):
+            break
+        last = F.lit(0) if not again else F.coalesce("last", F.lit(0))
+        known = work.select("image_id", "band")
+        if again:
+            known = known.join(union(again).groupBy("image_id", "band").agg(F.max("version").alias("last")), ["image_id", "band"], "left")
+        known = materialize(known.select("image_id", "band", last.alias("last")))
+        again.append(work)
+        core = attach(union(versions), known, ["image_id", "band"]).where("version = last").select(*frame, F.lit(True).alias("core"))
+        beside = F.filter(F.array(F.when(y % band == 0, F.col("band") - 1), F.when((y + 1) % band == 0, F.col("band") + 1)), lambda b: b >= 0)
+        facing = latest.select("image_id", "height", "width", "y", F.explode(beside).alias("band"), "cost", "seed", "key", F.lit(False).alias("core"))
+        versions.append(solve(core.unionByName(attach(facing, known.drop("last"), ["image_id", "band"])), len(versions)))
+    newest = materialize(union(again).groupBy("image_id", "band").agg(F.max("version").alias("last"))) if again else None
+    whole = union(versions)
+    if newest is not None:
+        whole = attach(whole, newest, ["image_id", "band"], "left").where(F.col("version") == F.coalesce("last", F.lit(0)))
+    return whole.select("image_id", "height", "width", "y", "cost", "key")
 
 
 def watershed_labels(flooded: DataFrame, lines: bool = True, frame: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from conftest import arrays, bits, brute_components, disk, label_arrays, noise
 
+from poremetry import workspace
 from poremetry.operators import components as cc, measure, separate
 from poremetry.operators.separate import SeparationParams
 
@@ -26,6 +27,16 @@ def test_distance_is_exact(mask, block):
     assert all((found[i] == brute_distance(a)).all() for i, a in images.items())
 
 
+def test_nearest_in_columns_of_any_reach():
+    rng = np.random.default_rng(3)
+    far = separate.FAR ** 2
+    for height, share in ((1, 0.5), (2, 0.5), (40, 0.9), (300, 0.002)):
+        start = np.where(rng.random((height, 30)) < share, rng.integers(0, 50, (height, 30)) ** 2, far)
+        y = np.arange(height)
+        best = np.array([(start + ((y - k) ** 2)[:, None]).min(axis=0) for k in y])
+        assert (separate.nearest_in_columns(start) == best).all()
+
+
 def brute_flood(cost, seed):
     """Best-first flood with keys (level, steps since the level rose, label)."""
     best, heap = {}, [(int(cost[p]), 0, int(seed[p]), p) for p in zip(*np.nonzero(seed))]
@@ -60,6 +71,41 @@ def test_flood_matches_best_first_search(spark, band_pixels):
             assert (key >> 55, (key >> 31) % (1 << 24), key % (1 << 31)) == expected[r.image_id][r.y, x]
 
 
+def test_flood_over_many_bands_writes_only_what_changes(spark, monkeypatch):
+    """A winding corridor takes the flood through 16 bands one by one; a second image is done in the first rounds. Joins are sliced."""
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    wall, shape = 200, (32, 21)
+    cost = np.full(shape, wall)
+    cost[::2, :] = 1  # rows of low cost, joined at alternating ends
+    cost[1::4, -1] = cost[3::4, 0] = 1
+    seed = np.zeros(shape, dtype=int)
+    seed[0, 0], seed[9, 10] = 3, 8
+    cost[9:], seed[11::2, 4] = 3, np.arange(10, 21)
+    easy = np.random.default_rng(5).integers(0, 3, shape)
+    spots = (np.arange(shape[0])[:, None] % 4 == 1) & (np.arange(shape[1]) % 5 == 2)
+    images = {0: (cost, seed), 1: (easy, np.where(spots, np.arange(1, spots.size + 1).reshape(shape), 0))}
+    rows = [(i, *shape, y, c[y].tolist(), s[y].tolist()) for i, (c, s) in images.items() for y in range(shape[0])]
+    frame = spark.createDataFrame(rows, "image_id bigint, height int, width int, y int, cost array<int>, seed array<int>")
+    written, real = [], separate.materialize
+
+    def counted(df, **metrics):
+        out = real(df, **metrics)
+        if "tall" in metrics:
+            written.append((out.metrics["rows"], {r.image_id for r in out.select("image_id").distinct().collect()}))
+        return out
+
+    monkeypatch.setattr(separate, "materialize", counted)
+    found = {(r.image_id, r.y): r.key for r in separate.flood(frame, 2 * shape[1]).collect()}
+    assert len(found) == len(rows)
+    for i, (c, s) in images.items():
+        best = brute_flood(c, s)
+        for (y, x), key in best.items():
+            k = found[i, y][x]
+            assert (k >> 55, (k >> 31) % (1 << 24), k % (1 << 31)) == key
+    assert written[0] == (64, {0, 1}) and len(written) > 5
+    assert all(n <= 4 for n, _ in written[5:]) and written[-1][1] == {0}
+
+
 def test_two_disks_are_split_and_one_is_not(mask):
     images = {0: disk(SHAPE, 35, 50, 20) | disk(SHAPE, 65, 50, 20), 1: disk(SHAPE, 50, 50, 20), 2: np.zeros(SHAPE, bool)}
     rows = separate.watershed(mask(images), SeparationParams())
