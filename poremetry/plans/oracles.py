@@ -389,6 +389,56 @@ ORACLES["markers"] = with_(*DIST, *ellipse_max(5, "dist", "d2"), "dm AS (SELECT
 ORACLES["no_peak_fallback"] = with_(TILES, "hi AS (SELECT DISTINCT image_id FROM px WHERE v >= 230)", """
 m AS (SELECT image_id, y, x, h, w, CASE WHEN image_id IN (FROM hi) THEN v >= 230 ELSE v BETWEEN 170 AND 230 END AS fg FROM px)""",
                                     runs_cte("r", "m"), components("f", "r", 8), labels("f"), recursive=True) + "SELECT image_id, y, x0, x1, label FROM f_label"
+
+
+def flood_keys(start: str) -> list[str]:
+    """fk: level, steps and label of every pixel flooded from the seeds of ``start`` (image_id, y, x, h, w, fg, c, seed).
+
+    Levels are smallest largest costs; steps count from where the level last rose; labels run along the steps.
+    """
+    near = "JOIN cst n ON n.image_id = k.image_id AND n.y = k.y + dy AND n.x = k.x + dx"
+    key = "USING KEY (image_id, y, x)"
+    return [
+        "o4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1))", f"cst AS MATERIALIZED ({start})",
+        f"""lv(image_id, y, x, l) {key} AS (SELECT image_id, y, x, c FROM cst WHERE seed > 0 UNION
+  SELECT b.* FROM (SELECT n.image_id, n.y, n.x, min(greatest(k.l, n.c)) AS l FROM lv k CROSS JOIN o4 {near} GROUP BY ALL) b
+  LEFT JOIN recurring.lv r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.l < coalesce(r.l, 1000))""",
+        "lc AS MATERIALIZED (SELECT cst.*, l FROM cst JOIN lv USING (image_id, y, x))",
+        """ent AS (SELECT n.image_id, n.y, n.x FROM lc k CROSS JOIN o4 JOIN lc n ON n.image_id = k.image_id AND n.y = k.y + dy AND n.x = k.x + dx
+  WHERE n.seed = 0 AND k.l < n.c GROUP BY ALL)""",
+        f"""st(image_id, y, x, l, s) {key} AS (
+  SELECT image_id, y, x, l, 0 FROM lc WHERE seed > 0 UNION ALL SELECT image_id, y, x, l, 1 FROM ent JOIN lc USING (image_id, y, x) UNION
+  SELECT b.* FROM (SELECT n.image_id, n.y, n.x, n.l, min(k.s + 1) AS s FROM st k CROSS JOIN o4 {near.replace("cst", "lc")} AND n.l = k.l GROUP BY ALL) b
+  LEFT JOIN recurring.st r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.s < coalesce(r.s, 1000000))""",
+        "sc AS MATERIALIZED (SELECT lc.*, s FROM lc JOIN st USING (image_id, y, x))",
+        f"""lb(image_id, y, x, l, s, label) {key} AS (SELECT image_id, y, x, l, s, seed FROM sc WHERE seed > 0 UNION
+  SELECT b.* FROM (SELECT n.image_id, n.y, n.x, n.l, n.s, min(k.label) AS label FROM lb k CROSS JOIN o4 {near.replace("cst", "sc")}
+                   AND CASE WHEN n.l = k.l THEN n.s = k.s + 1 ELSE k.l < n.c AND n.s = 1 AND n.seed = 0 END GROUP BY ALL) b
+  LEFT JOIN recurring.lb r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.label < coalesce(r.label, 1000000000))""",
+        "fk AS MATERIALIZED (SELECT cst.*, lb.l, lb.s, lb.label FROM cst JOIN lb USING (image_id, y, x))"]
+
+
+def split_pores(base: list[str], lines: bool, min_distance: int = 3, rel: float = 0.2) -> list[str]:
+    """ws: label runs of the pores of ``m``, split from blurred distances (``min_distance`` and ``rel`` pick the peaks)."""
+    cut = """AND NOT EXISTS (SELECT 1 FROM o4 JOIN fk k ON k.image_id = f.image_id AND k.y = f.y + dy AND k.x = f.x + dx
+             WHERE k.label <> f.label AND (k.l, k.s, k.label) < (f.l, f.s, f.label)) AND f.x > 0 AND f.x < f.w - 1 AND f.y > 0 AND f.y < f.h - 1"""
+    return [
+        *base, *DIST[len(LINE_DARK):], "dd AS (SELECT *, sqrt(CAST(d2 AS DOUBLE)) AS d FROM dist)", *blur(3, "reflect", "dd", "d"),
+        "bd AS MATERIALIZED (SELECT bl.image_id, bl.y, bl.x, m.h, m.w, m.fg, g FROM bl JOIN m USING (image_id, y, x))",
+        "bm AS (SELECT image_id, max(g) AS t FROM bd GROUP BY image_id)", *ellipse_max(min_distance, "bd", "g"),
+        mask(f"g = top AND g >= {rel}::DOUBLE * greatest(t, 1e-9::DOUBLE)", "em JOIN bm USING (image_id)").replace("m AS", "pk AS", 1),
+        runs_cte("pr", "pk"), components("pf", "pr", 8), labels("pf"),
+        "pl AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x, label FROM pf_label)",
+        *flood_keys("""SELECT image_id, y, x, h, w, fg, CAST(255 - floor(CASE WHEN t > 1e-9::DOUBLE THEN g / t ELSE 0.0::DOUBLE END * 255) AS INT) AS c,
+  CASE WHEN fg THEN coalesce(label, 0) ELSE 0 END AS seed FROM bd JOIN bm USING (image_id) LEFT JOIN pl USING (image_id, y, x)"""),
+        f"wl AS (SELECT image_id, y, x, label FROM fk f WHERE fg {cut if lines else ''})",
+        """ws AS (SELECT image_id, y, min(x) AS x0, CAST(max(x) + 1 AS INT) AS x1, label FROM (
+  SELECT *, x - row_number() OVER (PARTITION BY image_id, y, label ORDER BY x) AS run FROM wl) GROUP BY image_id, y, label, run)"""]
+
+
+SPLIT_RESULT = "SELECT image_id, y, x0, x1, CAST(label AS INT) AS label FROM ws"
+ORACLES["watershed"] = with_(*split_pores(LINE_MASK, True), recursive=True) + SPLIT_RESULT
+ORACLES["watershed_without_lines"] = with_(*split_pores(LINE_MASK, False), recursive=True) + SPLIT_RESULT
 ORACLES["post_cleanup"] = with_(*LINE_LABELS, """
 lf AS (SELECT image_id, label, sum(x1 - x0) AS area, bool_or(y = 0 OR y = h - 1 OR x0 = 0 OR x1 = w) AS border FROM f_label GROUP BY image_id, label),
 nl AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INT) AS nw FROM lf WHERE area >= 2 AND NOT border)""", recursive=True) + """
