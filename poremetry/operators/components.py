@@ -1,6 +1,6 @@
 """Connected components of row runs, spread over bands of each image and joined at the seams.
 
-Inside a band (a bounded group of scanlines) components are found in one grouped Arrow step. Only the components
+Inside a band (a bounded group of scanlines, or several small images) components are found in one grouped Arrow step. Only the components
 that touch a seam between two bands take part in the iterative part, which contracts their graph in a few rounds.
 A component is named by the raster index ``y * width + x0`` of its first run, so names do not depend on the bands.
 """
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.operators import contract
-from poremetry.operators.neighbours import band_rows
+from poremetry.operators.neighbours import band_rows, bundle
 from poremetry.workspace import materialize
 
 NODE = ["image_id", "layer"]
@@ -56,12 +56,13 @@ def smallest_reachable(n, i, j):
 
 
 def _label_band(table: pa.Table) -> pa.Table:
-    col = {name: table.column(name).to_numpy() for name in ("layer", "y", "x0", "x1", "reach")}
-    order = np.lexsort((col["x0"], col["y"], col["layer"]))
-    table = table.take(pa.array(order))
-    layer, y, x0, x1, reach = (col[k][order].astype(np.int64) for k in ("layer", "y", "x0", "x1", "reach"))
-    _, dense_layer = np.unique(layer, return_inverse=True)
-    root = smallest_reachable(len(y), *touching_runs(dense_layer, y - y.min(), x0, x1, reach))
+    """Components of one band, or of several small images."""
+    col = {name: table.column(name).to_numpy() for name in ("image_id", "layer", "y", "x0", "x1", "reach")}
+    order = np.lexsort((col["x0"], col["y"], col["layer"], col["image_id"]))
+    table = table.drop_columns(["_bundle"]).take(pa.array(order))
+    image, layer, y, x0, x1, reach = (col[k][order].astype(np.int64) for k in ("image_id", "layer", "y", "x0", "x1", "reach"))
+    apart = np.append(0, np.cumsum((image[1:] != image[:-1]) | (layer[1:] != layer[:-1])))
+    root = smallest_reachable(len(y), *touching_runs(apart, y - y.min(), x0, x1, reach))
     width = table.column("width").to_numpy().astype(np.int64)
     return table.append_column("part", pa.array(y[root] * width[root] + x0[root]))
 
@@ -101,7 +102,7 @@ def label_runs(runs: DataFrame, connectivity: Column | int = 8, band_pixels: int
     plain = runs.select(*[F.col(c) for c in runs.columns])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", part bigint"
     parts = materialize(
-        plain.groupBy("image_id", F.floor(F.col("y") / band).alias("_band")).applyInArrow(
+        plain.withColumn("_bundle", bundle(band_pixels)).groupBy("height", "width", "_bundle", F.floor(F.col("y") / band).alias("_band")).applyInArrow(
             lambda key, table: _label_band(table), schema), seams=F.max(F.col("height") > band))
     seams = _seam_pairs(parts.where(F.col("height") > band), band) if parts.metrics["seams"] else None
     roots = contract.smallest_reachable(seams, NODE).withColumnRenamed("node", "part") if seams is not None else None

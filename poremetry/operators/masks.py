@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.functions.rows import bind, bits_of_runs, complement_runs, merge_segments, positions, runs_of_bits
+from poremetry.functions.rows import RUNS_TYPE, complement_runs, merge_segments
 from poremetry.operators.components import NODE, explode_runs, label_runs, parts_where
 from poremetry.operators.filters import odd_kernel
-from poremetry.operators.neighbours import stacked
+from poremetry.operators.neighbours import band_rows, bundle
 from poremetry.workspace import attach, materialize
 
 FG, BG = 1, 0
@@ -112,42 +115,99 @@ def flood(mask: DataFrame, seeds: DataFrame, add: bool, connectivity: int = 8, b
     return mask_of_segments(marked.unionByName(other), F.col("fg"))
 
 
-def _box(mask: DataFrame, k: int, grow: bool) -> DataFrame:
-    """k x k maximum (grow) or minimum of a mask; positions outside the frame are ignored."""
-    r = odd_kernel(k) // 2
-    width = F.col("width")
-    pick = F.array_max if grow else F.array_min
-    fold = F.greatest if grow else F.least
-    bits = mask.select("image_id", "height", "width", "y", bits_of_runs(F.col("runs"), width).alias("bits"))
-    tall = stacked(bits, "bits", r)
-    across = F.aggregate(
-        F.slice("stack", 2, F.greatest(F.size("stack") - 1, F.lit(0))), F.get("stack", F.lit(0)),
-        lambda acc, row: F.zip_with(acc, row, lambda a, b: fold(a, b)))
-    along = bind(across, lambda col: F.transform(positions(width), lambda x: pick(F.slice(
-        col, F.greatest(x - r, F.lit(0)) + 1, F.least(x + r, width - 1) - F.greatest(x - r, F.lit(0)) + 1))))
-    return tall.select("image_id", "height", "width", "y", runs_of_bits(along).alias("runs"))
+def _merged(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of intervals per row, as sorted runs that do not touch: one sort and one running maximum over all rows."""
+    wide = width + 1
+    order = np.argsort(row * wide + x0, kind="stable")
+    row, x0 = row[order], x0[order]
+    reach = np.maximum.accumulate(row * wide + x1[order])
+    new = np.append(True, row[1:] * wide + x0[1:] > reach[:-1])[:len(row)]
+    last = np.append(new[1:], True)[:len(row)]
+    return row[new], x0[new], reach[last] - row[new] * wide
+
+
+def _complement(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gaps of sorted runs in every row of ``rows`` (ascending)."""
+    first = np.searchsorted(row, rows)
+    starts, ends = np.insert(x1, first, 0), np.insert(x0, np.searchsorted(row, rows, "right"), width)
+    owner = np.insert(row, first, rows)
+    kept = starts < ends
+    return owner[kept], starts[kept], ends[kept]
+
+
+def _grown(row, x0, x1, r: int, width: int):
+    """Union of the rows y - r .. y + r of runs widened by r; windows of rows double until they have the height of the box."""
+    row, x0, x1 = _merged(row, np.maximum(x0 - r, 0), np.minimum(x1 + r, width), width)
+    tall = 1
+    while tall < 2 * r + 1:
+        step = min(tall, 2 * r + 1 - tall)
+        row, x0, x1 = _merged(np.append(row, row - step), np.append(x0, x0), np.append(x1, x1), width)
+        tall += step
+    return row + r, x0, x1
+
+
+def _box_band(table: pa.Table, steps: list[tuple[bool, int]], reach: int) -> pa.Table:
+    """Boxes one after the other on a band with ``reach`` more rows on either side, or on several small images."""
+    table = table.take(pa.array(np.lexsort((table.column("y").to_numpy(), table.column("image_id").to_numpy()))))
+    image, y, width = table.column("image_id").to_numpy(), table.column("y").to_numpy().astype(np.int64), table.column("width")[0].as_py()
+    # images stand apart by more rows than any box reaches
+    rows = y + np.append(0, np.cumsum(image[1:] != image[:-1])) * (table.column("height")[0].as_py() + 2 * reach + 2)
+    runs = table.column("runs").combine_chunks()
+    flat = runs.flatten()
+    row = np.repeat(rows, pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+    x0, x1 = (flat.field(c).to_numpy().astype(np.int64) for c in ("x0", "x1"))
+    for grow, r in steps:
+        if not grow:
+            row, x0, x1 = _complement(row, x0, x1, rows, width)
+        row, x0, x1 = _grown(row, x0, x1, r, width)
+        place = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+        known = rows[place] == row
+        row, x0, x1 = row[known], x0[known], x1[known]
+        if not grow:
+            row, x0, x1 = _complement(row, x0, x1, rows, width)
+    pairs = pa.StructArray.from_arrays([pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["x0", "x1"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(rows, rows[-1] + 1)).astype(np.int32)), pairs)
+    out = table.select(["image_id", "height", "width", "y"]).append_column("runs", lists)
+    return out.filter(table.column("core"))
+
+
+def _boxes(mask: DataFrame, steps: list[tuple[bool, int]], band_pixels: int | None = None) -> DataFrame:
+    """k x k maxima (True, k) and minima (False, k) of a mask one after the other; positions outside the frame are ignored.
+
+    All steps run on run lists in one grouped pass: a band takes as many further rows along as the steps reach together.
+    """
+    radii = [(grow, odd_kernel(k) // 2) for grow, k in steps]
+    reach = sum(r for _, r in radii)
+    band = band_rows(F.col("height"), F.col("width"), at_least=max(1, 4 * reach), pixels=band_pixels)
+    bands = F.greatest(F.lit(1), F.ceil(F.col("height") / band)).cast("int")
+    touched = F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - reach) / band).cast("int")),
+                         F.least(bands - 1, F.floor((F.col("y") + reach) / band).cast("int")))
+    spread = mask.select("image_id", "height", "width", "y", "runs", F.explode(touched).alias("_band"), bundle(band_pixels).alias("_bundle"))
+    spread = spread.withColumn("core", F.floor(F.col("y") / band) == F.col("_band"))
+    return spread.groupBy("height", "width", "_bundle", "_band").applyInArrow(
+        lambda key, table: _box_band(table, radii, reach), f"image_id bigint, height int, width int, y int, runs {RUNS_TYPE}")
 
 
 def dilate(mask: DataFrame, k: int) -> DataFrame:
-    return _box(mask, k, True)
+    return _boxes(mask, [(True, k)])
 
 
 def erode(mask: DataFrame, k: int) -> DataFrame:
-    return _box(mask, k, False)
+    return _boxes(mask, [(False, k)])
 
 
 def opened(mask: DataFrame, k: int) -> DataFrame:
-    return dilate(erode(mask, k), k)
+    return _boxes(mask, [(False, k), (True, k)])
 
 
 def closed(mask: DataFrame, k: int) -> DataFrame:
-    return erode(dilate(mask, k), k)
+    return _boxes(mask, [(True, k), (False, k)])
 
 
-def open_close(mask: DataFrame, k: int) -> DataFrame:
+def open_close(mask: DataFrame, k: int, band_pixels: int | None = None) -> DataFrame:
     """Open then close; the two middle dilations are one dilation with a box of 2k - 1."""
     k = odd_kernel(k)
-    return erode(dilate(erode(mask, k), 2 * k - 1), k)
+    return _boxes(mask, [(False, k), (True, 2 * k - 1), (False, k)], band_pixels)
 
 
 def mask_from_labels(label_runs_: DataFrame, frames: DataFrame) -> DataFrame:

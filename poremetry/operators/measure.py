@@ -277,38 +277,77 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(seq)[:-1] + half(seq[::-1])[:-1], dtype=float)
 
 
-def calipers(ys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[float, float]:
-    """(largest distance, shorter side of the smallest-area rectangle) of the outline given by its row extremes."""
-    points = np.unique(np.concatenate([np.stack([ys, left], 1), np.stack([ys, right], 1)]), axis=0)
-    ring = hull(points)
+SLAB = 2048  # image rows whose outline points one partial hull takes in
+FEW_ROWS = 64  # row extremes that go on as they are
+
+
+def extreme(ring: np.ndarray, angles: np.ndarray, at: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """Largest projection of a convex ring onto every direction, by where the direction's normal lies among the edge angles.
+
+    The neighbours of the corner found are looked at as well, as angles are rounded; projections of whole numbers are exact.
+    """
+    corner = np.searchsorted(angles, at)
+    near = ring[(corner[:, None] + np.arange(-1, 2)) % len(ring)]
+    return np.einsum("ijk,ik->ij", near, direction).max(axis=1)
+
+
+def calipers(ring: np.ndarray) -> tuple[float, float]:
+    """(largest distance, shorter side of the smallest-area rectangle) of a convex ring of whole numbers (y, x).
+
+    Calipers turn along the edges: a corner's farthest corner is opposite one of its edges. Of rectangles of one area the
+    one with the smallest side counts. Linear but for the sort of the edges.
+    """
     if len(ring) < 2:
         return 0.0, 0.0
-    apart = ring[:, None, :] - ring[None, :, :]
-    longest = float(np.sqrt((apart ** 2).sum(-1).max()))
     edge = np.roll(ring, -1, axis=0) - ring
-    edge /= np.hypot(edge[:, 0], edge[:, 1])[:, None]
-    along = ring @ edge.T
-    across = ring @ np.stack([-edge[:, 1], edge[:, 0]])
-    a, b = np.ptp(along, axis=0), np.ptp(across, axis=0)
-    best = int(np.argmin(a * b))
-    return longest, float(min(a[best], b[best]))
-
-
-def ferets(runs: DataFrame) -> DataFrame:
+    angles = np.arctan2(edge[:, 1], edge[:, 0])
+    first = int(angles.argmin())
+    ring, edge, angles = (np.roll(v, -first, axis=0) for v in (ring, edge, angles))
+    turned = lambda quarter: (angles + quarter * np.pi / 2 + np.pi) % (2 * np.pi) - np.pi
+    normal = np.stack([-edge[:, 1], edge[:, 0]], axis=1)
+    # corner i lies before edge i: the farthest in direction of angle a is where edges turn past a + 90 degrees
+    opposite = (np.searchsorted(angles, turned(2))[:, None] + np.arange(-1, 2)) % len(ring)
+    apart = np.concatenate([ring[opposite] - ring[:, None], ring[opposite] - np.roll(ring, -1, axis=0)[:, None]], axis=1)
+    longest = float(np.sqrt((apart ** 2).sum(axis=2).max()))
+    here = (normal * ring).sum(axis=1)
+    across = extreme(ring, angles, turned(2), normal) - here
+    along = extreme(ring, angles, turned(1), edge) + extreme(ring, angles, turned(3), -edge)
+    square = (edge ** 2).sum(axis=1)
+    shorter = np.minimum(along, across) / np.sqrt(square)
+    best = np.lexsort((shorter, along * across / square))[0]
+    return longest, float(shorter[best])
+
+
+def row_hull(ys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Convex hull of pixels given by their row extremes."""
+    return hull(np.unique(np.concatenate([np.stack([ys, left], 1), np.stack([ys, right], 1)]), axis=0))
+
+
+def ferets(runs: DataFrame, slab: int = SLAB) -> DataFrame:
     """(image_id, label, feret_max_px, feret_min_px); NULL for one-pixel pores.
 
-    Only the leftmost and rightmost pixel of each row can be a hull corner, so a label sends at most two points per
-    image row.
+    Only the leftmost and rightmost pixel of each row can be a hull corner. Slabs of rows make partial hulls, which are small whatever
+    the size of the pore; the hull of a pore is the hull of its slabs' corners.
     """
+    points = "array<struct<y:int,x:int>>"
+
+    @F.pandas_udf(points)
+    def partial(ys: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([[{"y": int(y), "x": int(x)} for y, x in row_hull(*each)] if len(each[0]) else [] for each in zip(ys, left, right)])
+
     @F.pandas_udf("longest double, shortest double")
-    def measure(ys: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([calipers(*each) for each in zip(ys, left, right)], columns=["longest", "shortest"])
+    def measure(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+        rings = (hull(np.unique(np.stack(each, 1), axis=0)) for each in zip(ys, xs))
+        return pd.DataFrame([calipers(ring) for ring in rings], columns=["longest", "shortest"])
 
     extremes = runs.groupBy(*ROW).agg(F.min("x0").alias("lo"), (F.max("x1") - 1).alias("hi"))
-    per_label = extremes.groupBy(*PORE).agg(F.sort_array(F.collect_list(F.struct("y", "lo", "hi"))).alias("e"))
-    arrays = per_label.select(*PORE, *[F.col(f"e.{c}").alias(c) for c in ("y", "lo", "hi")])
-    several = (F.size("y") > 1) | (F.get("lo", F.lit(0)) < F.get("hi", F.lit(0)))
-    measured = arrays.where(several).select(*PORE, measure("y", "lo", "hi").alias("f"))
+    slabs = extremes.groupBy(*PORE, F.floor(F.col("y") / slab).alias("slab")).agg(F.collect_list(F.struct("y", "lo", "hi")).alias("e"))
+    tall = F.size("e") > FEW_ROWS
+    column = lambda c: F.when(tall, F.col(f"e.{c}")).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(*[F.transform("e", lambda r: F.struct(r["y"].alias("y"), r[c].alias("x"))) for c in ("lo", "hi")])
+    corners = slabs.select(*PORE, F.when(tall, partial(column("y"), column("lo"), column("hi"))).otherwise(ends).alias("p"))
+    pores = corners.groupBy(*PORE).agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p")).where(F.size("p") > 1)
+    measured = pores.select(*PORE, measure("p.y", "p.x").alias("f"))
     return measured.select(*PORE, F.col("f.longest").alias("feret_max_px"), F.col("f.shortest").alias("feret_min_px"))
 
 

@@ -247,22 +247,19 @@ def blur(k: int, edge: str, source: str = "px", value: str = "v") -> list[str]:
 ORACLES["median_filter"] = median(EVENT, 3)
 ORACLES["median_filter_wide"] = median(TILES, 5)
 ORACLES["gaussian_filter"] = with_(EVENT, *blur(5, "reflect")) + "SELECT image_id, y, x, CAST(floor(g + 0.5) AS INT) AS v FROM bl"
+# A tile has 12 pixels and a clip of 1 a bin, so its curve at v counts the distinct values up to v and the share of the excess spread up to v.
 ORACLES["clahe"] = with_(EVENT, """
 wide AS (SELECT p.image_id, y, CAST(t.x AS INT) AS x, v FROM px p JOIN range(32) t(x) ON p.x = CASE WHEN t.x < 31 THEN t.x ELSE 60 - t.x END),
-th AS (SELECT image_id, y // 3 AS ty, x // 4 AS tx, v, count(*) AS n FROM wide GROUP BY ALL),
-dense AS (SELECT t.image_id, t.ty, t.tx, b.b, coalesce(th.n, 0) AS n FROM (SELECT DISTINCT image_id, ty, tx FROM th) t CROSS JOIN range(256) b(b)
-          LEFT JOIN th ON th.image_id = t.image_id AND th.ty = t.ty AND th.tx = t.tx AND th.v = b.b),
-lim AS (SELECT *, sum(n - least(n, 1)) OVER (PARTITION BY image_id, ty, tx) AS ex FROM dense),
-red AS (SELECT image_id, ty, tx, b, least(n, 1) + ex // 256 + CASE WHEN ex % 256 > 0 AND b % greatest(256 // greatest(ex % 256, 1), 1) = 0
-        AND b // greatest(256 // greatest(ex % 256, 1), 1) < ex % 256 THEN 1 ELSE 0 END AS n FROM lim),
-lut AS MATERIALIZED (SELECT image_id, ty, tx, b, least(255, round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY b) * (255.0::DOUBLE / 12), 0)) AS o FROM red),
+tile AS MATERIALIZED (SELECT image_id, y // 3 AS ty, x // 4 AS tx, list(DISTINCT v) AS vs, CAST(count(*) - count(DISTINCT v) AS INT) AS ex FROM wide GROUP BY ALL),
 pos AS (SELECT image_id, y, x, v, y / 3.0::DOUBLE - 0.5 AS fy, x / 4.0::DOUBLE - 0.5 AS fx FROM px),
-spot AS (SELECT *, floor(fy) AS ty, floor(fx) AS tx FROM pos)""") + """
-SELECT p.image_id, p.y, p.x, CAST(floor((a.o * (1 - (fx - p.tx)) + b.o * (fx - p.tx)) * (1 - (fy - p.ty)) + (c.o * (1 - (fx - p.tx)) + d.o * (fx - p.tx)) * (fy - p.ty) + 0.5) AS INT) AS v
-FROM spot p JOIN lut a ON a.image_id = p.image_id AND a.ty = greatest(p.ty, 0) AND a.tx = greatest(p.tx, 0) AND a.b = p.v
-JOIN lut b ON b.image_id = p.image_id AND b.ty = greatest(p.ty, 0) AND b.tx = least(p.tx + 1, 7) AND b.b = p.v
-JOIN lut c ON c.image_id = p.image_id AND c.ty = least(p.ty + 1, 7) AND c.tx = greatest(p.tx, 0) AND c.b = p.v
-JOIN lut d ON d.image_id = p.image_id AND d.ty = least(p.ty + 1, 7) AND d.tx = least(p.tx + 1, 7) AND d.b = p.v"""
+spot AS (SELECT *, CAST(floor(fy) AS INT) AS ty, CAST(floor(fx) AS INT) AS tx FROM pos),
+near AS (SELECT p.*, dy, dx, least(255, round_even((len(list_filter(t.vs, lambda u: u <= p.v)) + CASE WHEN ex > 0 THEN least(ex, p.v // (256 // ex) + 1) ELSE 0 END)
+                * (255.0::DOUBLE / 12), 0)) AS o
+         FROM spot p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dy, dx)
+         JOIN tile t ON t.image_id = p.image_id AND t.ty = greatest(0, least(7, p.ty + dy)) AND t.tx = greatest(0, least(7, p.tx + dx))),
+four AS (SELECT image_id, y, x, any_value(fy - ty) AS wy, any_value(fx - tx) AS wx, max(o) FILTER (dy = 0 AND dx = 0) AS a, max(o) FILTER (dy = 0 AND dx = 1) AS b,
+         max(o) FILTER (dy = 1 AND dx = 0) AS c, max(o) FILTER (dy = 1 AND dx = 1) AS d FROM near GROUP BY image_id, y, x)""") + """
+SELECT image_id, y, x, CAST(floor((a * (1 - wx) + b * wx) * (1 - wy) + (c * (1 - wx) + d * wx) * wy + 0.5) AS INT) AS v FROM four"""
 
 
 def ellipse_max(k: int, source: str, value: str) -> list[str]:
@@ -399,7 +396,8 @@ def flood_keys(start: str) -> list[str]:
     near = "JOIN cst n ON n.image_id = k.image_id AND n.y = k.y + dy AND n.x = k.x + dx"
     key = "USING KEY (image_id, y, x)"
     return [
-        "o4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1))", f"cst AS MATERIALIZED ({start})",
+        "o4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1))", f"cst0 AS MATERIALIZED ({start})",
+        "cst AS MATERIALIZED (FROM cst0 WHERE image_id IN (SELECT image_id FROM cst0 WHERE seed > 0))",
         f"""lv(image_id, y, x, l) {key} AS (SELECT image_id, y, x, c FROM cst WHERE seed > 0 UNION
   SELECT b.* FROM (SELECT n.image_id, n.y, n.x, min(greatest(k.l, n.c)) AS l FROM lv k CROSS JOIN o4 {near} GROUP BY ALL) b
   LEFT JOIN recurring.lv r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.l < coalesce(r.l, 1000))""",
@@ -418,13 +416,13 @@ def flood_keys(start: str) -> list[str]:
         "fk AS MATERIALIZED (SELECT cst.*, lb.l, lb.s, lb.label FROM cst JOIN lb USING (image_id, y, x))"]
 
 
-def split_pores(base: list[str], lines: bool, min_distance: int = 3, rel: float = 0.2) -> list[str]:
-    """ws: label runs of the pores of ``m``, split from blurred distances (``min_distance`` and ``rel`` pick the peaks)."""
+def split_pores(base: list[str], lines: bool, min_distance: int = 3, rel: float = 0.2, source: str = "m") -> list[str]:
+    """ws: label runs of the pores of ``source``, split from blurred distances (``min_distance`` and ``rel`` pick the peaks)."""
     cut = """AND NOT EXISTS (SELECT 1 FROM o4 JOIN fk k ON k.image_id = f.image_id AND k.y = f.y + dy AND k.x = f.x + dx
              WHERE k.label <> f.label AND (k.l, k.s, k.label) < (f.l, f.s, f.label)) AND f.x > 0 AND f.x < f.w - 1 AND f.y > 0 AND f.y < f.h - 1"""
     return [
-        *base, *DIST[len(LINE_DARK):], "dd AS (SELECT *, sqrt(CAST(d2 AS DOUBLE)) AS d FROM dist)", *blur(3, "reflect", "dd", "d"),
-        "bd AS MATERIALIZED (SELECT bl.image_id, bl.y, bl.x, m.h, m.w, m.fg, g FROM bl JOIN m USING (image_id, y, x))",
+        *base, *[p.replace("FROM m\n", f"FROM {source}\n") for p in DIST[len(LINE_DARK):]], "dd AS (SELECT *, sqrt(CAST(d2 AS DOUBLE)) AS d FROM dist)", *blur(3, "reflect", "dd", "d"),
+        f"bd AS MATERIALIZED (SELECT bl.image_id, bl.y, bl.x, m.h, m.w, m.fg, g FROM bl JOIN {source} m USING (image_id, y, x))",
         "bm AS (SELECT image_id, max(g) AS t FROM bd GROUP BY image_id)", *ellipse_max(min_distance, "bd", "g"),
         mask(f"g = top AND g >= {rel}::DOUBLE * greatest(t, 1e-9::DOUBLE)", "em JOIN bm USING (image_id)").replace("m AS", "pk AS", 1),
         runs_cte("pr", "pk"), components("pf", "pr", 8), labels("pf"),
@@ -439,6 +437,18 @@ def split_pores(base: list[str], lines: bool, min_distance: int = 3, rel: float
 SPLIT_RESULT = "SELECT image_id, y, x0, x1, CAST(label AS INT) AS label FROM ws"
 ORACLES["watershed"] = with_(*split_pores(LINE_MASK, True), recursive=True) + SPLIT_RESULT
 ORACLES["watershed_without_lines"] = with_(*split_pores(LINE_MASK, False), recursive=True) + SPLIT_RESULT
+# The whole study: 3 x 3 median, Otsu, holes, specks of fewer than 3 pixels, split, small labels dropped and the rest numbered.
+SEGMENTED = split_pores([
+    LINE.replace("px AS", "raw AS"), "d9 AS (SELECT a.i AS dy, b.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i))", """
+px AS MATERIALIZED (SELECT p.image_id, p.y, p.x, list_sort(list(q.v))[5] AS v, any_value(p.h) AS h, any_value(p.w) AS w FROM raw p CROSS JOIN d9 JOIN raw q
+  ON q.image_id = p.image_id AND q.y = greatest(0, least(p.h - 1, p.y + d9.dy)) AND q.x = greatest(0, least(p.w - 1, p.x + d9.dx)) GROUP BY p.image_id, p.y, p.x)""",
+    *filled([OTSU, mask("v > thresh", "px JOIN otsu USING (image_id)")]), runs_cte("r3", "m2"), components("k3", "r3", 8),
+    "big AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x FROM k3_comp JOIN k3_fact USING (image_id, c) WHERE area >= 3)",
+    "clean AS MATERIALIZED (SELECT m2.* REPLACE (big.x IS NOT NULL AS fg) FROM m2 LEFT JOIN big USING (image_id, y, x))"], True, source="clean")
+SEGMENTED += ["""f_label AS MATERIALIZED (SELECT ws.image_id, y, x0, x1, nw AS label, 50 AS h, 84 AS w FROM ws JOIN (
+  SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INT) AS nw FROM ws GROUP BY image_id, label HAVING sum(x1 - x0) >= 3
+  ) n USING (image_id, label))"""]
+ORACLES["pipeline_segment"] = with_(*SEGMENTED, recursive=True) + "SELECT image_id, y, x0, x1, label FROM f_label"
 ORACLES["post_cleanup"] = with_(*LINE_LABELS, """
 lf AS (SELECT image_id, label, sum(x1 - x0) AS area, bool_or(y = 0 OR y = h - 1 OR x0 = 0 OR x1 = w) AS border FROM f_label GROUP BY image_id, label),
 nl AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INT) AS nw FROM lf WHERE area >= 2 AND NOT border)""", recursive=True) + """
@@ -498,6 +508,19 @@ pt AS (SELECT image_id, label, y, lo AS x FROM ex UNION SELECT image_id, label,
 SELECT a.image_id, a.label, round(sqrt(CAST(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS DOUBLE)), 6) AS feret_max_px
 FROM pt a JOIN pt b USING (image_id, label) GROUP BY a.image_id, a.label HAVING count(*) > 1"""
 
+# Every pair of points with all points on one side is an edge of the hull; the rectangle of smallest area (then side) counts.
+ORACLES["feret_min"] = with_(*LINE_LABELS, """
+ex AS (SELECT image_id, label, y, min(x0) AS lo, max(x1) - 1 AS hi FROM f_label GROUP BY ALL),
+pt AS MATERIALIZED (SELECT image_id, label, y, lo AS x FROM ex UNION SELECT image_id, label, y, hi FROM ex),
+pair AS (SELECT a.image_id, a.label, a.y, a.x, CAST(b.y - a.y AS BIGINT) AS dy, CAST(b.x - a.x AS BIGINT) AS dx
+         FROM pt a JOIN pt b ON a.image_id = b.image_id AND a.label = b.label AND (a.y, a.x) <> (b.y, b.x)),
+side AS (SELECT p.image_id, p.label, p.dy, p.dx, min(p.dy * (c.x - p.x) - p.dx * (c.y - p.y)) AS least, max(p.dy * (c.x - p.x) - p.dx * (c.y - p.y)) AS across,
+                max(p.dy * (c.y - p.y) + p.dx * (c.x - p.x)) - min(p.dy * (c.y - p.y) + p.dx * (c.x - p.x)) AS along
+         FROM pair p JOIN pt c ON c.image_id = p.image_id AND c.label = p.label GROUP BY p.image_id, p.label, p.y, p.x, p.dy, p.dx),
+rect AS (SELECT image_id, label, CAST(along * across AS DOUBLE) / (dy * dy + dx * dx) AS area, least(along, across) / sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) AS shorter
+         FROM side WHERE least >= 0)""", recursive=True) + """
+SELECT image_id, label, round(arg_min(shorter, (area, shorter)), 6) AS feret_min_px FROM rect GROUP BY image_id, label"""
+
 SCALES = """sc AS (SELECT s_suppkey AS image_id, CASE WHEN s_suppkey % 7 = 0 THEN 0.0::DOUBLE ELSE (s_suppkey % 5 + 1) / 100.0::DOUBLE END AS u,
 CASE WHEN s_suppkey % 2 = 0 THEN 'mm' ELSE 'um' END AS unit_name FROM supplier WHERE s_suppkey % 3 <> 0)"""
 ORACLES["scaled_measures"] = with_(*LINE_LABELS, BASIC, SCALES, recursive=True) + """

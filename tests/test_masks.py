@@ -99,6 +99,22 @@ def test_morphology(mask):
         assert (found[i] == opened[i]).all() and (found_both[i] == both[i]).all() and (wide[i] == box(a, 2, np.any)).all()
 
 
+@pytest.mark.parametrize("band_pixels", [None, 60])
+def test_boxes_in_one_pass(mask, band_pixels):
+    """Several boxes on bands with halos, on sizes next to the box, on empty and full rows: the same as one after the other on the whole frame."""
+    images = {0: noise(8, (47, 9), 0.6), 1: noise(9, (47, 9), 0.1), 2: np.ones((5, 30), bool), 3: np.zeros((3, 2), bool), 4: noise(10, (1, 40), 0.5), 5: noise(11, (40, 1), 0.5)}
+
+    def box(a, r, fold):
+        return np.array([[fold(a[max(0, y - r):y + r + 1, max(0, x - r):x + r + 1]) for x in range(a.shape[1])] for y in range(a.shape[0])])
+
+    steps = [(False, 3), (True, 5), (True, 3), (False, 7)]
+    found = bits(masks._boxes(mask(images), steps, band_pixels))
+    for i, a in images.items():
+        for grow, k in steps:
+            a = box(a, k // 2, np.any if grow else np.all)
+        assert (found[i] == a).all(), i
+
+
 def test_mask_from_labels(mask):
     images = {0: noise(3, (12, 15), 0.5), 1: np.zeros((4, 4), dtype=bool)}
     rows = mask(images)

@@ -238,3 +238,38 @@ def test_fallback_to_components(mask):
 def test_empty_labels(spark, labelled):
     assert measure.measure(labelled({0: np.zeros((5, 5), dtype=int)})).count() == 0
     assert bits(spark.createDataFrame([], "image_id bigint, height int, width int, y int, runs array<struct<x0:int,x1:int>>")) == {}
+
+
+def test_ferets_of_any_slab_height(labelled):
+    """Hulls merged from slabs of a few rows give what all pairs of pixels and all hull edges give."""
+    rng = np.random.default_rng(6)
+    tall = np.zeros((150, 40), int)
+    tall[disk((150, 40), 75, 20, 19)] = 1
+    tall[np.arange(150), rng.integers(0, 5, 150)] = 2
+    tall[5:9, 33:38] = 3
+    tall[140, 39] = 4
+    tall[120:140:2, 36] = 5
+    expected = {}
+    for label in range(1, 6):
+        pts = np.argwhere(tall == label)
+        if len(pts) < 2:
+            continue
+        apart = ((pts[:, None] - pts[None]) ** 2).sum(-1)
+        best = min(((np.ptp(pts @ e) * np.ptp(pts @ n) / (e @ e), min(np.ptp(pts @ e), np.ptp(pts @ n)) / math.sqrt(e @ e))
+                    for e, n in _edges(pts)))
+        expected[label] = (math.sqrt(apart.max()), best[1])
+    for slab in (7, measure.SLAB):
+        found = {r.label: (r.feret_max_px, r.feret_min_px) for r in measure.ferets(labelled({0: tall}), slab).collect()}
+        assert found.keys() == expected.keys()
+        np.testing.assert_allclose([found[k] for k in sorted(found)], [expected[k] for k in sorted(expected)], rtol=1e-12)
+
+
+def _edges(pts):
+    """Edges of the hull and their normals: differences of points with all points on one side."""
+    outer = np.array([p for y in np.unique(pts[:, 0]) for p in {(y, pts[pts[:, 0] == y, 1].min()), (y, pts[pts[:, 0] == y, 1].max())}])
+    for a in outer:
+        for b in outer:
+            e = b - a
+            n = np.array([-e[1], e[0]])
+            if e.any() and ((pts - a) @ n >= 0).all():
+                yield e, n
