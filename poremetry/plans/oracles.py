@@ -397,7 +397,9 @@ def flood_keys(start: str) -> list[str]:
     key = "USING KEY (image_id, y, x)"
     return [
         "o4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1))", f"cst0 AS MATERIALIZED ({start})",
-        "cst AS MATERIALIZED (FROM cst0 WHERE image_id IN (SELECT image_id FROM cst0 WHERE seed > 0))",
+        "cst AS MATERIALIZED (FROM cst0 WHERE image_id IN (SELECT image_id FROM cst0 WHERE seed > 0 GROUP BY image_id HAVING min(seed) < max(seed)))",
+        # a single label takes the whole frame
+        "one AS (SELECT image_id, min(seed) AS label FROM cst0 WHERE seed > 0 GROUP BY image_id HAVING min(seed) = max(seed))",
         f"""lv(image_id, y, x, l) {key} AS (SELECT image_id, y, x, c FROM cst WHERE seed > 0 UNION
   SELECT b.* FROM (SELECT n.image_id, n.y, n.x, min(greatest(k.l, n.c)) AS l FROM lv k CROSS JOIN o4 {near} GROUP BY ALL) b
   LEFT JOIN recurring.lv r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.l < coalesce(r.l, 1000))""",
@@ -413,7 +415,7 @@ def flood_keys(start: str) -> list[str]:
   SELECT b.* FROM (SELECT n.image_id, n.y, n.x, n.l, n.s, min(k.label) AS label FROM lb k CROSS JOIN o4 {near.replace("cst", "sc")}
                    AND CASE WHEN n.l = k.l THEN n.s = k.s + 1 ELSE k.l < n.c AND n.s = 1 AND n.seed = 0 END GROUP BY ALL) b
   LEFT JOIN recurring.lb r ON r.image_id = b.image_id AND r.y = b.y AND r.x = b.x WHERE b.label < coalesce(r.label, 1000000000))""",
-        "fk AS MATERIALIZED (SELECT cst.*, lb.l, lb.s, lb.label FROM cst JOIN lb USING (image_id, y, x))"]
+        "fk AS MATERIALIZED (SELECT cst.*, lb.l, lb.s, lb.label FROM cst JOIN lb USING (image_id, y, x) UNION ALL SELECT cst0.*, 0, 0, one.label FROM cst0 JOIN one USING (image_id))"]
 
 
 def split_pores(base: list[str], lines: bool, min_distance: int = 3, rel: float = 0.2, source: str = "m") -> list[str]:
@@ -439,9 +441,10 @@ ORACLES["watershed"] = with_(*split_pores(LINE_MASK, True), recursive=True) + SP
 ORACLES["watershed_without_lines"] = with_(*split_pores(LINE_MASK, False), recursive=True) + SPLIT_RESULT
 # The whole study: 3 x 3 median, Otsu, holes, specks of fewer than 3 pixels, split, small labels dropped and the rest numbered.
 SEGMENTED = split_pores([
-    LINE.replace("px AS", "raw AS"), "d9 AS (SELECT a.i AS dy, b.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i))", """
-px AS MATERIALIZED (SELECT p.image_id, p.y, p.x, list_sort(list(q.v))[5] AS v, any_value(p.h) AS h, any_value(p.w) AS w FROM raw p CROSS JOIN d9 JOIN raw q
-  ON q.image_id = p.image_id AND q.y = greatest(0, least(p.h - 1, p.y + d9.dy)) AND q.x = greatest(0, least(p.w - 1, p.x + d9.dx)) GROUP BY p.image_id, p.y, p.x)""",
+    LINE.replace("px AS", "raw AS"), """
+row3 AS (SELECT image_id, y, x, h, w, [coalesce(lag(v) OVER a, v), v, coalesce(lead(v) OVER a, v)] AS t FROM raw WINDOW a AS (PARTITION BY image_id, y ORDER BY x)),
+px AS MATERIALIZED (SELECT image_id, y, x, h, w, list_sort(coalesce(lag(t) OVER c, t) || t || coalesce(lead(t) OVER c, t))[5] AS v
+  FROM row3 WINDOW c AS (PARTITION BY image_id, x ORDER BY y))""",
     *filled([OTSU, mask("v > thresh", "px JOIN otsu USING (image_id)")]), runs_cte("r3", "m2"), components("k3", "r3", 8),
     "big AS (SELECT image_id, y, CAST(unnest(range(x0, x1)) AS INT) AS x FROM k3_comp JOIN k3_fact USING (image_id, c) WHERE area >= 3)",
     "clean AS MATERIALIZED (SELECT m2.* REPLACE (big.x IS NOT NULL AS fg) FROM m2 LEFT JOIN big USING (image_id, y, x))"], True, source="clean")
