@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poremetry.llm.common import hash_filter, let
+from poremetry.llm.common import fresh, hash_filter, let
 from poremetry.llm.licenses import SEPARATORS
 from poremetry.workspace import materialize
 
@@ -84,8 +84,13 @@ def _find(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, one_t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no test item. Every text is judged by itself, whatever its id, null ids included."""
+    """The rows of ``docs``, with all their columns, whose text holds no test item. Every text is judged by itself, whatever its id, null ids included.
+
+    Items of fewer than five words are too common to be evidence ("Yes"): ``find`` reports them, but no document is dropped for them alone.
+    """
     name = F.xxhash64(F.col(text))
+    leak, = fresh(docs, "_leak")
     texts = docs.select(name.alias("doc_id"), F.col(text).alias("text"))
-    leaks = materialize(_find(texts, items, "item_id", "text", one_text=True).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, name == F.col("_leak"), "left_anti")
+    long = items.where(F.size(_words(F.col("text"))) >= SHINGLE)
+    leaks = materialize(_find(texts, long, "item_id", "text", one_text=True).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(leaks, name == F.col(leak), "left_anti")

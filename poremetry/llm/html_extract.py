@@ -32,6 +32,7 @@ BOILERPLATE = set(("ad ads adv advert adverts advertisement advertising adsense
                    "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices "
                    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
                    "recommendations comment comments reply replies respond disqus widget widgets toolbar pagination pager skip search").split())
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p".split())
 HEADERS = {"header", "site-header", "page-header", "global-header", "top-header", "main-header", "siteheader", "pageheader", "topbar"}
 PROSE = set("article content post entry story main body text".split())
 CLEARLY = 2  # a page's own best container replaces the host's when it scores so many times more
@@ -96,8 +97,12 @@ class Page:
         whole = names.split()
         boiler = name in DROPPED or facts.get("role", "").lower() in DROPPED_ROLES or "hidden" in facts or facts.get("aria-hidden", "") == "true"
         if not boiler and name not in KEEP_DESPITE_NAME:
+            ids = re.sub(r"([a-z])([A-Z])", r"\1-\2", facts.get("id", "")).lower().split()
             for one in whole:
                 words = set(SPLIT.split(one))
+                # headings and paragraphs, and all ids, which repeat a heading's words, count only where every word says so
+                if (name in TEXT_TAGS or one in ids) and one not in HEADERS and not words <= BOILERPLATE:
+                    continue
                 if one in HEADERS or words & BOILERPLATE and not words & MARKS_OTHERS and not words & PROSE - {"post", "main", "text"}:
                     boiler = True
         element = len(self.tag)

@@ -347,11 +347,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     The decision is made per id and text, so an id with several unlinked texts keeps each of them. Rows without words link with
     nothing and stay, repeated ones of one id once, those with a null id all.
     """
-    chosen = materialize(_components(docs, doc_id, text).where("key = kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")).agg(
-        F.count(F.lit(1)).alias("_n")), twice=F.max(F.col("_n") > 1))
-    key, single = fresh(docs, "_key", "_single")
+    key, single, own, named, n = fresh(docs, "_key", "_single", "_id", "_kept", "_n")
+    chosen = materialize(_components(docs, doc_id, text).where("key = kept").groupBy(F.col("doc_id").alias(own), F.col("key").alias(named)).agg(
+        F.count(F.lit(1)).alias(n)), twice=F.max(F.col(n) > 1))
     keyed = docs.withColumn(key, _row_key(F.col(doc_id).cast("bigint"), F.col(text)))
-    kept = keyed.join(chosen.select("_id", "_kept"), (F.col(key) == F.col("_kept")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    kept = keyed.join(chosen.select(own, named), (F.col(key) == F.col(named)) & F.col(doc_id).cast("bigint").eqNullSafe(F.col(own)), "left_semi")
     if chosen.metrics["twice"]:
         blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         kept = kept.withColumn(single, F.when(F.col(doc_id).isNull() & blank, F.monotonically_increasing_id())).dropDuplicates([doc_id, key, single])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poremetry.llm import decontaminate, licenses, quality_rules, url_filters
+from poremetry.llm import decontaminate, licenses, url_filters
 
 
 def _text(value: str) -> str:
@@ -62,11 +62,14 @@ FROM files f LEFT JOIN base_of b USING (rid) LEFT JOIN more m USING (rid)
 
 
 def quality_rule_verdicts() -> str:
-    names = [*quality_rules.TOLERANCES, "length"]
-    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM rated" for m in names)
-    upper = ", ".join(f"greatest({least}, {quality_rules.LIMIT_TIMES} * max(CASE WHEN measure = '{m}' THEN q50 END)) AS {m}"
-                      for m, least in quality_rules.TOLERANCES.items())
-    within = " AND ".join(f"r.{m} <= t.{m}" for m in quality_rules.TOLERANCES)
+    """Limits: median + 6 (upper decile - median), word length half the lower to twice the upper quartile, 20 documents of the wider kind mixed in."""
+    names = ["symbols", "dup_lines", "repeats", "capitals"]
+    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM rated" for m in [*names, "length"])
+    upper = ", ".join(f"max(CASE WHEN measure = '{m}' THEN q50 + 6 * (q90 - q50) END) AS {m}" for m in names)
+    both = [*names, "shortest", "longest"]
+    mixed = lambda own, wide: ", ".join(f"({own}.n_docs * {own}.{m} + 20 * {wide}.{m}) // ({own}.n_docs + 20) AS {m}" for m in both)
+    counts = [("symbols", "n_symbols", 2), ("dup_lines", "n_dup_lines", 2), ("repeats", "n_repeat_words", 6), ("capitals", "n_capitals", 2)]
+    within = " AND ".join(f"(r.{m} <= t.{m} OR r.{n} <= {few})" for m, n, few in counts)
     return rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS t
@@ -107,21 +110,15 @@ ranked AS (
   SELECT *, sum(n) OVER (k ORDER BY bin) AS upto, sum(n) OVER k AS total FROM summed WINDOW k AS (PARTITION BY lang, source, measure)),
 quantiles AS (
   SELECT lang, source, measure, max(total) AS total, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS q25,
-         min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS q50, min(CASE WHEN 100 * upto >= 75 * total THEN bin END) AS q75
+         min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS q50, min(CASE WHEN 100 * upto >= 75 * total THEN bin END) AS q75,
+         min(CASE WHEN 100 * upto >= 90 * total THEN bin END) AS q90
   FROM ranked GROUP BY lang, source, measure),
 limits AS (
   SELECT lang, source, max(total) AS n_docs, {upper},
-         max(CASE WHEN measure = 'length' THEN q25 END) // {quality_rules.LENGTH_TIMES} AS shortest,
-         {quality_rules.LENGTH_TIMES} * max(CASE WHEN measure = 'length' THEN q75 END) AS longest
+         max(CASE WHEN measure = 'length' THEN q25 END) // 2 AS shortest, 2 * max(CASE WHEN measure = 'length' THEN q75 END) AS longest
   FROM quantiles GROUP BY lang, source),
-chosen AS (
-  SELECT o.lang AS for_lang, o.source AS for_source,
-         CASE WHEN o.n_docs >= {quality_rules.LEAST_DOCS} THEN 2 WHEN l.n_docs >= {quality_rules.LEAST_DOCS} THEN 1 ELSE 0 END AS level
-  FROM limits o JOIN limits l ON l.lang = o.lang AND l.source IS NULL WHERE o.source IS NOT NULL),
-thresholds AS (
-  SELECT for_lang, for_source, t.* FROM chosen c JOIN limits t
-    ON (level = 2 AND t.lang = for_lang AND t.source = for_source) OR (level = 1 AND t.lang = for_lang AND t.source IS NULL)
-    OR (level = 0 AND t.lang IS NULL)),
+of_lang AS (SELECT l.lang, {mixed("l", "w")} FROM limits l JOIN limits w ON w.lang IS NULL WHERE l.lang IS NOT NULL AND l.source IS NULL),
+thresholds AS (SELECT o.lang AS for_lang, o.source AS for_source, {mixed("o", "w")} FROM limits o JOIN of_lang w ON w.lang = o.lang WHERE o.source IS NOT NULL),
 judged AS (
   SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          {within} AND r.length BETWEEN t.shortest AND t.longest AS fits

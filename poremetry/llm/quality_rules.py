@@ -8,13 +8,15 @@ from poremetry.llm.common import let, words_of
 from poremetry.workspace import materialize
 
 SPACE = r"[\x20\x09-\x0D]"
-# Measures with an upper limit: the least limit that is ever set (per thousand), else LIMIT_TIMES the median of the kind.
-TOLERANCES = {"symbols": 400, "dup_lines": 400, "repeats": 300, "capitals": 400}
-LIMIT_TIMES = 3
+# Measures with an upper limit, and how many single occurrences are no evidence whatever the limit: two symbols, duplicate lines or capitals, one
+# repeated window of three words.
+OCCURRENCES = {"symbols": ("n_symbols", 2), "dup_lines": ("n_dup_lines", 2), "repeats": ("n_repeat_words", 6), "capitals": ("n_capitals", 2)}
+# A limit lies this many times the distance from the median to the upper decile above the median.
+SPREADS = 6
 # The mean word length may lie this many times below the lower or above the upper quartile of its kind.
 LENGTH_TIMES = 2
-# A language and source with fewer documents is judged with its language, a smaller language with all documents.
-LEAST_DOCS = 100
+# A language and source counts against its language, and a language against all documents, as its own documents against this many.
+PRIOR_DOCS = 20
 EXACT_BINS = 64  # values below have a bin of their own; above, a bin is at most 1/32 wide
 
 
@@ -74,13 +76,13 @@ def sketches(measured: DataFrame) -> DataFrame:
     Sketches of two parts of the data, or of two kinds, are merged by adding the counts of equal bins. A sketch has at most
     64 + 32 * 58 bins whatever the number of documents; tasks add up their own counts before anything is shuffled.
     """
-    names = [*TOLERANCES, "length"]
+    names = [*OCCURRENCES, "length"]
     values = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in names])
     return measured.select("lang", "source", F.inline(values)).groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def limits(sketched: DataFrame) -> DataFrame:
-    """(lang, source, n_docs, limits): limits of every kind, of every language (source null) and of all documents (both null)."""
+    """(lang, source, n_docs, limits): limits of every kind, of every language (source null) and of all documents (both null), each from its own sketch."""
     nothing = F.lit(None).cast("string")
     of_langs = sketched.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")).withColumn("source", nothing)
     of_all = sketched.groupBy("measure", "bin").agg(F.sum("n").alias("n")).withColumns({"lang": nothing, "source": nothing})
@@ -89,10 +91,10 @@ def limits(sketched: DataFrame) -> DataFrame:
     ranked = wide.select("*", F.sum("n").over(kind.orderBy("bin")).alias("upto"), F.sum("n").over(kind).alias("total"))
     quantile = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bin")))
     per_measure = ranked.groupBy("lang", "source", "measure").agg(
-        quantile(25).alias("q25"), quantile(50).alias("q50"), quantile(75).alias("q75"), F.max("total").alias("total"))
+        *[quantile(p).alias(f"q{p}") for p in (25, 50, 75, 90)], F.max("total").alias("total"))
     of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     return per_measure.groupBy("lang", "source").agg(F.max("total").alias("n_docs"), F.struct(
-        *[F.greatest(F.lit(least), LIMIT_TIMES * of(m, "q50")).alias(m) for m, least in TOLERANCES.items()],
+        *[(of(m, "q50") + SPREADS * (of(m, "q90") - of(m, "q50"))).alias(m) for m in OCCURRENCES],
         F.expr(f"max(CASE WHEN measure = 'length' THEN q25 END) div {LENGTH_TIMES}").alias("shortest"),
         (LENGTH_TIMES * of("length", "q75")).alias("longest")).alias("limits"))
 
@@ -102,21 +104,28 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Words are runs without ASCII white space. A document is kept if it passes the base rule (50 words at least, at most half of
     them in repeated windows) and stays within the limits of its language and source, which are read off the sketches of all
-    documents. Null or empty text has no words and fails the base rule; null languages and sources are kinds of
+    documents: no measure has a fixed cutoff. Limits of small kinds lean on their language and those of small languages on all documents, by the number
+    of documents. Null or empty text has no words and fails the base rule; null languages and sources are kinds of
     their own; repeated rows are judged one by one; an empty table gives an empty result; further columns are ignored.
     """
     measured = measures(docs, doc_id, text, lang, source)
     found = materialize(limits(materialize(sketches(measured))))
-    own = found.where("source IS NOT NULL").select("lang", "source", F.when(F.col("n_docs") >= LEAST_DOCS, F.col("limits")).alias("own"))
-    of_lang = found.where("lang IS NOT NULL AND source IS NULL").select(
-        "lang", F.when(F.col("n_docs") >= LEAST_DOCS, F.col("limits")).alias("of_lang"))
-    of_all = found.where("lang IS NULL").select(F.col("limits").alias("of_all"))  # one row
-    chosen = materialize(own.join(of_lang, "lang", "left").join(F.broadcast(of_all), F.lit(True), "left").select(
-        "lang", "source", F.coalesce("own", "of_lang", "of_all").alias("limit")))
-    within = F.lit(True)
-    for m in TOLERANCES:
-        within = within & (F.col(m) <= F.col("limit")[m])
-    within = within & F.col("length").between(F.col("limit.shortest"), F.col("limit.longest"))
+    names = [*OCCURRENCES, "shortest", "longest"]
+    level = lambda where, *keys: found.where(where).select(*keys, F.col("n_docs").alias("n"), F.col("limits"))
+
+    def leaning(own: DataFrame, wider: DataFrame, on) -> DataFrame:
+        """Limits of ``own`` drawn towards those of ``wider``, as whole numbers."""
+        both = own.join(wider.select(*[c for c in wider.columns if c == "lang"], F.col("limits").alias("wider")), on, "left")
+        mixed = [F.expr(f"(n * limits.{m} + {PRIOR_DOCS} * wider.{m}) div (n + {PRIOR_DOCS})").alias(m) for m in names]
+        return both.withColumn("limits", F.struct(*mixed)).drop("wider")
+
+    # one row for all documents, one for every language
+    of_lang = materialize(leaning(level("lang IS NOT NULL AND source IS NULL", "lang"), F.broadcast(level("lang IS NULL")), F.lit(True)))
+    own = level("source IS NOT NULL", "lang", "source")
+    chosen = materialize(leaning(own, of_lang, "lang").select("lang", "source", F.col("limits").alias("limit")))
+    within = F.col("length").between(F.col("limit.shortest"), F.col("limit.longest"))
+    for m, (count, few) in OCCURRENCES.items():
+        within = within & ((F.col(m) <= F.col("limit")[m]) | (F.col(count) <= few))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.join(chosen, ["lang", "source"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

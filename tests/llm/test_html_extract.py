@@ -68,3 +68,14 @@ def test_teaser_under_the_winning_path(spark):
     rows.append((8, "http://h/", WRAPPED % f"<article>Short one</article><div>{'unnamed ' * 3}</div>"))
     got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got[9] == "Own\n" + ("long " * 300).strip() and got[8] == "Short one" and got[0] == ("text " * 300).strip()
+
+
+def test_headings_and_ids_are_no_boilerplate():
+    """Ids repeat a heading's words; headings and paragraphs go only where every word of their class says so."""
+    kept = ['<h2 id="how-to-share-files">How to share files</h2>', '<h2 id="menu-of-the-day">Menu of the day</h2>',
+            '<section id="search-algorithms"><p>Search in sorted lists takes few steps, as every step halves the list that is left.</p></section>',
+            '<p class="related-work">Related work is older than this text and longer, too.</p>']
+    body = "<p>" + "A long paragraph of the article with many words in it. " * 8 + "</p>"
+    page = f'<html><body><div class="menu"><a href="/">Home</a></div><article><h1>Title</h1>{body}{"".join(kept)}<p class="advert">Buy now</p></article></body></html>'
+    text = hx.Page(page).article(hx.best_path(hx.Page(page).container_scores()))
+    assert all(w in text for w in ("How to share files", "Menu of the day", "Search in sorted", "Related work")) and "Buy now" not in text and "Home" not in text

@@ -76,6 +76,22 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.where("doc_id < 0")).count() == 0
 
 
+def test_adaptive_limits_decide(spark):
+    """One text is kept in a source where it is ordinary and goes in one where it stands out; no cutoff is fixed and no number of documents switches."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(3, 8)))
+    plain = lambda n=80: " ".join(word() for _ in range(n))
+    marked = lambda share: " ".join(word() + ("#" if k % share == 0 else "") for k in range(90))
+    text = marked(3)
+    for n in (99, 100, 101, 400):
+        rows = [(k, plain(), "en", "prose") for k in range(n)] + [(1000 + k, marked(rng.randrange(2, 9)), "en", "code") for k in range(n // 9)]
+        rows += [(5000, text, "en", "prose"), (5001, text, "en", "code"), (5002, plain() + " # #", "en", "prose")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+        kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+        assert not kept[5000] and kept[5001] and kept[5002], n
+        assert sum(kept[k] for k in range(n)) == n and sum(kept[1000 + k] for k in range(n // 9)) == n // 9
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -99,10 +115,19 @@ def test_decontamination(spark):
     got = decontaminate.find(docs, tests).collect()
     assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
     left = {r.doc_id for r in decontaminate.drop_contaminated(docs, tests).collect()}
-    assert left == {i for i, _ in texts} - {w[0] for w in want}
+    assert left == {i for i, _ in texts} - {w[0] for w in want if len(items[w[1]][1]) >= 5}
     assert decontaminate.find(docs, tests.where("item_id < 0")).count() == 0 and decontaminate.find(docs.where("doc_id < 0"), tests).count() == 0
 
 
+def test_short_items_drop_nothing(spark):
+    """Items of fewer than five words are reported, but nothing goes for them; helper columns never clash."""
+    docs = spark.createDataFrame([(1, "yes we can do it", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id bigint, text string, _leak int, _n int")
+    items = spark.createDataFrame([(1, "Yes"), (2, "A b c d e")], "item_id int, text string")
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "yes we can do it", 7, 8)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()} == {(1, 1), (2, 2)}
+
+
 def test_texts_are_decontaminated_one_by_one(spark):
     item = [f"i{k}" for k in range(30)]
     leak, half, rest = " ".join(["x", *item, "y"]), " ".join(item[:17]), " ".join(item[13:])

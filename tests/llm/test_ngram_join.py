@@ -88,6 +88,13 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
 
 
+def test_keep_one_with_helper_names(spark):
+    rows = [(1, "one two three four five", 1, 2, 3, 4, 5), (2, "one two three four five", 1, 2, 3, 4, 5), (3, "six seven eight nine", 1, 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, _kept int, _n int, _key int, _single int")
+    kept = nj.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert nj.join(docs).count() == 0 and nj.keep_one(docs).count() == 0
