@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poremetry.functions.rows import RUNS_TYPE, complement_runs, merge_segments
+from poremetry.functions.rows import RUNS_TYPE, bind, complement_runs, merge_segments, runs_of_bits
 from poremetry.operators.components import NODE, explode_runs, label_runs, parts_where
 from poremetry.operators.filters import odd_kernel
 from poremetry.operators.neighbours import band_rows, bundle
