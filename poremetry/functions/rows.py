@@ -86,6 +86,38 @@ def merge_segments(segments: Column) -> Column:
     return bind(segments, build)
 
 
+def overlaid(runs: Column, decided: Column, width: Column) -> Column:
+    """``runs`` where nothing is decided, else what ``decided``, disjoint sorted runs (x0, x1, paint), says."""
+
+    def between(d):
+        """Runs cut down to the gaps between the decided ones: a gap has index i when i decided runs end before it."""
+        def gap(i):
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(d, i - 1)["x1"])
+            end = F.coalesce(F.get(d, i)["x0"], width)
+            inside = F.filter(runs, lambda r: (r["x0"] < end) & (r["x1"] > start))
+            return F.transform(inside, lambda r: segment(F.greatest(r["x0"], start), F.least(r["x1"], end)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), gap))
+
+    def segment(x0, x1):
+        return F.struct(x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
+
+    def build(d):
+        painted = F.transform(F.filter(d, lambda r: r["paint"]), lambda r: segment(r["x0"], r["x1"]))
+        return bind(F.sort_array(F.concat(between(d), painted)), touching_merged)
+
+    return bind(decided, build)
+
+
+def touching_merged(runs: Column) -> Column:
+    """Runs that meet end to start become one; ``runs`` are sorted and disjoint."""
+    index = F.sequence(F.lit(0), F.size(runs) - 1)
+    starts = F.filter(index, lambda i: (i == 0) | (F.get(runs, i - 1)["x1"] < F.get(runs, i)["x0"]))
+    ends = F.filter(index, lambda i: (i == F.size(runs) - 1) | (F.get(runs, i)["x1"] < F.get(runs, i + 1)["x0"]))
+    merged = F.zip_with(starts, ends, lambda s, e: run(F.get(runs, s)["x0"], F.get(runs, e)["x1"]))
+    return F.when(F.size(runs) > 0, merged).otherwise(F.array().cast(RUNS_TYPE))
+
+
 def total(values: Column) -> Column:
     """Exact integer sum of an array."""
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)

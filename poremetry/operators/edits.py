@@ -6,9 +6,13 @@ to (x2, y2); "reset" empties the mask. Any other operation is an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poremetry.functions.rows import bits_of_runs, runs_of_bits
+from poremetry.functions.rows import RUNS_TYPE, overlaid
 from poremetry.workspace import attach, materialize
 
 PAINTS = ("paint", "paint_line")
@@ -33,41 +37,75 @@ def stamps(edits: DataFrame) -> DataFrame:
                 F.greatest(F.lit(1), F.col("radius")).cast("int").alias("radius")))
 
 
-def stamp_runs(stamps_: DataFrame, frames: DataFrame) -> DataFrame:
-    """(image_id, seq, paint, y, x0, x1): one run per disk row, clipped to the frame (image_id, height, width)."""
+def stamp_runs(stamps_: DataFrame, frames: DataFrame, width: bool = False) -> DataFrame:
+    """(image_id, seq, paint, y, x0, x1): one run per disk row, clipped to the frame (image_id, height, width); its ``width`` on demand."""
     half = F.floor(F.sqrt((F.col("radius") * F.col("radius") - F.col("dy") * F.col("dy")).cast("double"))).cast("int")
     rows = stamps_.withColumn("dy", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn("half", half)
     return (
         attach(rows, materialize(frames.select("image_id", "height", "width")), ["image_id"], spread="seq")
         .select("image_id", "seq", "paint", (F.col("cy") + F.col("dy")).alias("y"), "height",
                 F.greatest(F.lit(0), F.col("cx") - F.col("half")).alias("x0"),
-                F.least(F.col("width"), F.col("cx") + F.col("half") + 1).alias("x1"))
+                F.least(F.col("width"), F.col("cx") + F.col("half") + 1).alias("x1"), *(["width"] if width else []))
         .where((F.col("y") >= 0) & (F.col("y") < F.col("height")) & (F.col("x0") < F.col("x1"))).drop("height"))
 
 
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per scanline the runs that its edits decide: stamps are laid down in the order of the log, the last one on top."""
+    for batch in batches:
+        owner, first, last, fill = [], [], [], []
+        widths, lists = batch.column("width").to_numpy(), batch.column("stamps")
+        offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+        x0, x1 = flat.field("x0").to_numpy(), flat.field("x1").to_numpy()
+        tone = np.where(flat.field("paint").to_numpy(zero_copy_only=False), 2, 1).astype(np.uint8)
+        for i, width in enumerate(widths):
+            line = np.zeros(width + 2, np.uint8)
+            for k in range(offsets[i], offsets[i + 1]):
+                line[x0[k] + 1:x1[k] + 1] = tone[k]
+            cuts = np.flatnonzero(line[1:] != line[:-1])
+            kept = np.flatnonzero(line[cuts[:-1] + 1])
+            owner.append(np.full(len(kept), i))
+            first.append(cuts[kept])
+            last.append(cuts[kept + 1])
+            fill.append(line[cuts[kept] + 1] == 2)
+        owner, first, last, fill = (np.concatenate(part) if part else np.zeros(0, int) for part in (owner, first, last, fill))
+        runs = pa.StructArray.from_arrays(
+            [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(fill.astype(bool))], names=["x0", "x1", "paint"])
+        ends = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("image_id"), batch.column("y"), pa.ListArray.from_arrays(ends, runs)], names=["image_id", "y", "decided"])
+
+
+def decided_rows(drawn: DataFrame) -> DataFrame:
+    """(image_id, y, decided): disjoint sorted runs (x0, x1, paint) of every scanline with stamp runs (image_id, seq, paint, y, x0, x1, width).
+
+    A run is the union of two runs whose length is the largest power of two in it. The last edit of each such run is found by a maximum with
+    map-side partials, so a scanline gathers at most width * log2(width) of them, however long the log is. Ties of ``seq`` paint.
+    """
+    power = F.floor(F.log2((F.col("x1") - F.col("x0")).cast("double"))).cast("int")
+    size = F.pow(F.lit(2), F.col("power")).cast("int")
+    halves = drawn.withColumn("power", power).withColumn("at", F.explode(F.array_distinct(F.array(F.col("x0"), F.col("x1") - size))))
+    last = halves.groupBy("image_id", "y", "width", "power", "at").agg(F.max(F.struct("seq", "paint")).alias("s"))
+    stamp = F.struct(F.col("s.seq").alias("seq"), F.col("s.paint").alias("paint"), F.col("at").alias("x0"), (F.col("at") + size).alias("x1"))
+    rows = last.groupBy("image_id", "y", "width").agg(F.sort_array(F.collect_list(stamp)).alias("stamps"))
+    return rows.mapInArrow(_decided, "image_id bigint, y int, decided array<struct<x0:int,x1:int,paint:boolean>>")
+
+
 def replay(mask: DataFrame, edits: DataFrame, as_of_seq: int | None = None) -> DataFrame:
     """Mask after the edit log, up to ``as_of_seq`` if given.
 
-    The last edit of a pixel decides it. Deciding is a max per pixel with map-side partials, so an image or a spot
-    with very many edits is no hot key; edits before an image's last reset are dropped first.
+    The last edit of a place decides it; edits up to an image's last reset are dropped before they are drawn. Everything happens on runs: a
+    scanline's runs and the runs its edits decide are cut at each other's ends and merged. A null ``seq`` counts as earlier than any other.
     """
     if as_of_seq is not None:
         edits = edits.where(F.col("seq") <= as_of_seq)
     frames = mask.where("y = 0").select("image_id", "height", "width")
-    resets = edits.where(F.col("op") == "reset").groupBy("image_id").agg(F.max("seq").alias("reset_seq"))
-    drawn = stamp_runs(stamps(edits), frames)
-    pixels = drawn.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "seq", "paint")
-    last = pixels.groupBy("image_id", "y", "x").agg(F.max(F.struct("seq", "paint")).alias("s"))
-    resets = materialize(resets)
-    live = attach(last, resets, ["image_id"], "left").where(F.col("reset_seq").isNull() | (F.col("s.seq") > F.col("reset_seq")))
-    by_row = live.groupBy("image_id", "y").agg(
-        F.sort_array(F.collect_list(F.when(F.col("s.paint"), F.col("x")))).alias("on"),
-        F.sort_array(F.collect_list(F.when(~F.col("s.paint"), F.col("x")))).alias("off"))
+    resets = materialize(edits.where(F.col("op") == "reset").groupBy("image_id").agg(F.max("seq").alias("reset_seq")))
+    live = attach(stamps(edits), resets, ["image_id"], "left", spread="seq").where(
+        F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))).drop("reset_seq")
+    by_row = decided_rows(stamp_runs(live, frames, width=True))
     rows = attach(mask, resets, ["image_id"], "left").join(by_row, ["image_id", "y"], "left")
-    single = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<int>")), lambda x: F.struct(x.alias("x0"), (x + 1).alias("x1")))
-    base = F.when(F.col("reset_seq").isNull(), F.col("runs")).otherwise(F.array().cast("array<struct<x0:int,x1:int>>"))
-    width = F.col("width")
-    rows = rows.select("image_id", "height", "width", "y", base.alias("base"), single(F.col("on")).alias("on"), single(F.col("off")).alias("off"))
-    painted = F.zip_with(bits_of_runs(F.col("base"), width), bits_of_runs(F.col("on"), width), lambda a, b: F.greatest(a, b))
-    after = F.zip_with(painted, bits_of_runs(F.col("off"), width), lambda a, b: a * (1 - b))
-    return rows.select("image_id", "height", "width", "y", runs_of_bits(after).alias("runs"))
+    base = F.when(F.col("reset_seq").isNull(), F.col("runs")).otherwise(F.array().cast(RUNS_TYPE))
+    untouched = F.col("decided").isNull()
+    rows = rows.select("image_id", "height", "width", "y", base.alias("base"), "decided")
+    return rows.select("image_id", "height", "width", "y", F.when(untouched, F.col("base")).otherwise(
+        overlaid(F.col("base"), F.col("decided"), F.col("width"))).alias("runs"))

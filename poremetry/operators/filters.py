@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from poremetry.functions.rows import bind, mirrored, padded, positions
-from poremetry.operators.neighbours import stacked
+from poremetry.operators.neighbours import band_rows, bundle, stacked
 from poremetry.workspace import attach, materialize
 
 # Binomial-like weights of the small Gaussian kernels (sigma derived from the kernel size).
@@ -55,18 +57,62 @@ def median(scan: DataFrame, k: int = 3) -> DataFrame:
 
 def weighted_sum(values: Column, first: Column, weights: list[float]) -> Column:
     """Sum of ``weights[i] * values[first + i]``, left to right."""
-    if len(weights) <= 9:
-        acc = F.get(values, first) * weights[0]
-        for i, w in enumerate(weights[1:], 1):
-            acc = acc + F.get(values, first + i) * w
-        return acc
-    pairs = F.zip_with(F.slice(values, first + 1, len(weights)), F.array(*map(F.lit, weights)), lambda v, w: v * w)
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p)
+    acc = F.get(values, first) * weights[0]
+    for i, w in enumerate(weights[1:], 1):
+        acc = acc + F.get(values, first + i) * w
+    return acc
+
+
+def _source(index: np.ndarray, size: int, edge: str) -> np.ndarray:
+    """Places inside a line of ``size`` that stand for places outside of it."""
+    if edge == "replicate":
+        return np.clip(index, 0, size - 1)
+    period = max(2 * (size - 1), 1)
+    folded = index % period
+    return np.where(folded < size, folded, period - folded) if size > 1 else np.zeros_like(index)
+
+
+def _blur_band(table: pa.Table, column: str, weights: list[float], edge: str, out: str) -> pa.Table:
+    """Separable sums over a band with its halo, or over several small images: one pass per weight over all pixels of an image."""
+    table = table.take(pa.array(np.lexsort((table.column("y").to_numpy(), table.column("image_id").to_numpy()))))
+    image, y = table.column("image_id").to_numpy(), table.column("y").to_numpy()
+    height, width, r = table.column("height")[0].as_py(), table.column("width")[0].as_py(), len(weights) // 2
+    values = table.column(column).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width)
+    core = table.column("_core").to_numpy(zero_copy_only=False).astype(bool)
+    wide = _source(np.arange(-r, width + r), width, edge)
+    starts = np.append(np.flatnonzero(np.append(True, image[1:] != image[:-1])), len(image))
+    blurred = []
+    for first, end in zip(starts[:-1], starts[1:]):
+        lines = values[first:end, wide]
+        along = sum(lines[:, i:i + width] * w for i, w in enumerate(weights))
+        own = y[first:end][core[first:end]]
+        near = _source(own[:, None] + np.arange(-r, r + 1), height, edge) - y[first]
+        blurred.append(sum(along[near[:, i]] * w for i, w in enumerate(weights)))
+    flat = np.concatenate(blurred).ravel()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
+    kept = table.filter(pa.array(core)).drop_columns([c for c in (out, "_core", "_band", "_bundle") if c in table.column_names])
+    return kept.append_column(out, lists)
+
+
+def _wide_blur(rows: DataFrame, column: str, weights: list[float], edge: str, out: str, band_pixels: int | None = None) -> DataFrame:
+    """``blur`` with a long kernel: bands of bounded size take ``radius`` more rows along on either side, so no row is copied per weight."""
+    reach = len(weights) // 2
+    band = band_rows(F.col("height"), F.col("width"), at_least=max(1, 4 * reach), pixels=band_pixels)
+    bands = F.greatest(F.lit(1), F.ceil(F.col("height") / band)).cast("int")
+    touched = F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - reach) / band).cast("int")),
+                         F.least(bands - 1, F.floor((F.col("y") + reach) / band).cast("int")))
+    spread = rows.withColumn("_band", F.explode(touched)).withColumn("_bundle", bundle(band_pixels)).withColumn(
+        "_core", F.floor(F.col("y") / band) == F.col("_band"))
+    schema = T.StructType([f for f in rows.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return spread.groupBy("height", "width", "_bundle", "_band").applyInArrow(
+        lambda key, table: _blur_band(table, column, weights, edge, out), schema)
 
 
 def blur(rows: DataFrame, column: str, k: int, edge: str, out: str) -> DataFrame:
     """Separable Gaussian of ``column`` as doubles in ``out``: along the row first, then across rows."""
     weights = gaussian_weights(k)
+    if k > 9:
+        return _wide_blur(rows, column, weights, edge, out)
     r = k // 2
     width = F.col("width")
     if edge == "replicate":
@@ -77,16 +123,9 @@ def blur(rows: DataFrame, column: str, k: int, edge: str, out: str) -> DataFrame
     extended = F.transform(extended, lambda v: v.cast("double"))
     along = bind(extended, lambda e: F.transform(positions(width), lambda x: weighted_sum(e, x, weights)))
     tall = stacked(rows.withColumn(out, along), out, r, edge)
-    if k <= 9:
-        across = F.transform(positions(width), lambda x: sum(
-            (F.get(F.get("stack", F.lit(i)), x) * w for i, w in enumerate(weights[1:], 1)),
-            F.get(F.get("stack", F.lit(0)), x) * weights[0]))
-    else:
-        literal = F.array(*map(F.lit, weights))
-        across = F.aggregate(
-            F.zip_with("stack", literal, lambda row, w: F.transform(row, lambda v: v * w)),
-            F.transform(F.get("stack", F.lit(0)), lambda v: F.lit(0.0)),
-            lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
+    across = F.transform(positions(width), lambda x: sum(
+        (F.get(F.get("stack", F.lit(i)), x) * w for i, w in enumerate(weights[1:], 1)),
+        F.get(F.get("stack", F.lit(0)), x) * weights[0]))
     return tall.withColumn(out, across).drop("stack")
 
 

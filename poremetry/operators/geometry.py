@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from poremetry.functions.geometry import clamp_rect, margins_to_rect, rect_to_margins
-from poremetry.functions.rows import bind, positions
+from poremetry.functions.rows import bind, run, touching_merged
 from poremetry.workspace import attach, materialize
 
 
@@ -86,11 +90,17 @@ def apply_crop(scan: DataFrame, rect: tuple[int, int, int, int], image_id: int |
 
 
 def resize_nearest(scan: DataFrame, height: int, width: int) -> DataFrame:
-    """Nearest-neighbour resize; every target row picks its source row, so source rows are only copied as needed."""
+    """Nearest-neighbour resize of scanlines (``v``) or masks (``runs``); every target row picks its source row, so source rows are only
+    copied as needed. A run's ends move to the target columns whose source columns lie in it; runs without any vanish, others may meet."""
     # Target rows whose source row is y: floor(t * h / height) = y.
     low = F.ceil(F.col("y") * height / F.col("height")).cast("int")
     high = F.ceil((F.col("y") + 1) * height / F.col("height")).cast("int") - 1
     rows = scan.where(low <= high).withColumn("ty", F.explode(F.sequence(low, high)))
+    if "v" not in scan.columns:
+        target = lambda x: F.ceil(x * width / F.col("width")).cast("int")
+        moved = F.filter(F.transform("runs", lambda r: run(target(r["x0"]), target(r["x1"]))), lambda r: r["x0"] < r["x1"])
+        rows = rows.select("image_id", "ty", bind(moved, touching_merged).alias("runs"))
+        return rows.select("image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("ty").alias("y"), "runs")
     picked = bind(F.col("v"), lambda v: F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.get(v, F.floor(x * F.col("width") / width).cast("int"))))
     # Two steps, so that "width" inside the lambda is the old width and not the new column.
@@ -101,37 +111,44 @@ def resize_nearest(scan: DataFrame, height: int, width: int) -> DataFrame:
 PREVIEW_PIXELS = 1_200_000
 
 
+def _partial_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted cell sums of scanlines: one row per (image, target row) of a batch, not one per source row."""
+    for batch in batches:
+        image, height, width, new_h, new_w, y = (batch.column(c).to_numpy() for c in ("image_id", "height", "width", "new_h", "new_w", "y"))
+        sums: dict[tuple, np.ndarray] = {}
+        for i in range(batch.num_rows):
+            step_x, step_y = width[i] / new_w[i], height[i] / new_h[i]
+            # area below x of the row as a step function; a cell is the difference of its two ends
+            below = np.append(0.0, np.cumsum(batch.column("v")[i].values.to_numpy().astype(float)))
+            cells = np.diff(np.interp(np.minimum(np.arange(new_w[i] + 1) * step_x, width[i]), np.arange(width[i] + 1), below))
+            for ty in range(int(y[i] / step_y), min(int(np.ceil((y[i] + 1) / step_y)), new_h[i])):
+                share = min(y[i] + 1.0, (ty + 1) * step_y) - max(float(y[i]), ty * step_y)
+                key = (image[i], new_h[i], new_w[i], ty)
+                if share > 0:
+                    sums[key] = sums.get(key, 0.0) + cells * (share / (step_x * step_y))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[j] for k in sums], kind) for j, kind in enumerate(kinds)), pa.array(list(sums.values()), pa.list_(pa.float64()))],
+            names=["image_id", "new_h", "new_w", "ty", "sums"])
+
+
 def preview(scan: DataFrame, max_pixels: int = PREVIEW_PIXELS) -> DataFrame:
     """Downscale images above ``max_pixels`` by area averaging; smaller images pass unchanged.
 
-    Rows are averaged along x in place; a source row then contributes its overlap to at most two target rows, and
-    target rows are summed with map-side partial sums per cell.
+    Scanlines are averaged along x and added up per target row before the shuffle, which then carries about as many rows as the preview has;
+    a target row gathers one array of cells per batch that holds some of its source rows.
     """
     pixels = F.col("height").cast("bigint") * F.col("width")
     scale = F.sqrt(F.lit(float(max_pixels)) / pixels)
     new_h = F.greatest(F.lit(1), F.floor(F.col("height") * scale)).cast("int")
     new_w = F.greatest(F.lit(1), F.floor(F.col("width") * scale)).cast("int")
-    large = scan.where(pixels > max_pixels).withColumn("new_h", new_h).withColumn("new_w", new_w)
-    large = large.withColumn("step_x", F.col("width") / F.col("new_w")).withColumn("step_y", F.col("height") / F.col("new_h"))
-
-    def cells_of(v):
-        def cell(x):
-            start, end = x * F.col("step_x"), (x + 1) * F.col("step_x")
-            first, last = F.floor(start).cast("int"), F.least(F.ceil(end).cast("int"), F.col("width")) - 1
-            return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda acc, i: acc + F.get(v, i) * (
-                F.least(i + 1.0, end) - F.greatest(i.cast("double"), start)))
-
-        return F.transform(positions(F.col("new_w")), cell)
-
-    along = bind(F.col("v"), cells_of)
-    y = F.col("y")
-    first = F.floor(y / F.col("step_y")).cast("int")
-    last = F.least(F.ceil((y + 1) / F.col("step_y")).cast("int"), F.col("new_h")) - 1
-    spread = large.withColumn("along", along).withColumn("ty", F.explode(F.sequence(first, F.greatest(first, last))))
-    overlap = F.greatest(F.lit(0.0), F.least(y + 1.0, (F.col("ty") + 1) * F.col("step_y")) - F.greatest(y.cast("double"), F.col("ty") * F.col("step_y")))
-    cells = spread.select("image_id", "new_h", "new_w", "ty", overlap.alias("share"), (F.col("step_x") * F.col("step_y")).alias("area"), F.posexplode("along").alias("x", "s"))
-    summed = cells.groupBy("image_id", "new_h", "new_w", "ty", "x").agg((F.sum(F.col("s") * F.col("share")) / F.first("area")).alias("mean"))
-    rows = summed.groupBy("image_id", "new_h", "new_w", "ty").agg(F.sort_array(F.collect_list(F.struct("x", F.rint("mean").cast("int").alias("v")))).alias("c"))
+    large = scan.where(pixels > max_pixels).select(
+        F.col("image_id").cast("bigint"), F.col("height").cast("int"), F.col("width").cast("int"), new_h.alias("new_h"), new_w.alias("new_w"),
+        F.col("y").cast("int"), "v")
+    partial = large.mapInArrow(_partial_cells, "image_id bigint, new_h int, new_w int, ty int, sums array<double>")
+    rows = partial.groupBy("image_id", "new_h", "new_w", "ty").agg(F.collect_list("sums").alias("parts"))
+    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b))
     small = scan.where(pixels <= max_pixels).select("image_id", "height", "width", "y", "v")
     return small.unionByName(rows.select(
-        "image_id", F.col("new_h").alias("height"), F.col("new_w").alias("width"), F.col("ty").alias("y"), F.col("c.v").alias("v")))
+        "image_id", F.col("new_h").alias("height"), F.col("new_w").alias("width"), F.col("ty").alias("y"),
+        F.transform(whole, lambda m: F.rint(m).cast("int")).alias("v")))

@@ -46,11 +46,17 @@ def colour_labels(scan: DataFrame, label_runs: DataFrame, on_gray: bool = True,
         F.when(F.col("any"), blend(palette(F.col("label"), c), F.col("v"), alpha)).otherwise(F.col("v")).alias(c) for c in CHANNELS])
 
 
+def scrambled(image: Column, label: Column, seed: int) -> Column:
+    """Multiplicative hash of (image, label, seed) below 2^32."""
+    start = (F.pmod(image, F.lit(2 ** 31)) + seed) * 40503
+    return (label.cast("bigint") * 2654435761 + start) % 2 ** 32
+
+
 def hue_colours(label_runs: DataFrame, seed: int = 123) -> DataFrame:
     """(image_id, label, b, g, r): evenly spaced hues handed to the labels of an image in a seeded hash order."""
     labels = label_runs.select("image_id", "label").distinct()
     # Ranks come from hash slices, so that the labels of one image are not sorted in one task.
-    sliced = labels.withColumn("h", F.xxhash64("label", F.lit(seed) + F.col("image_id"))).withColumn("slice", F.shiftright("h", 56))
+    sliced = labels.withColumn("h", scrambled(F.col("image_id"), F.col("label"), seed)).withColumn("slice", F.shiftright("h", 24))
     sizes = sliced.groupBy("image_id", "slice").agg(F.count(F.lit(1)).alias("k"))
     order = Window.partitionBy("image_id").orderBy("slice")
     sizes = sizes.select("image_id", "slice", F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
@@ -74,15 +80,19 @@ def hue_colours(label_runs: DataFrame, seed: int = 123) -> DataFrame:
 
 
 def colour_hues(scan: DataFrame, label_runs: DataFrame, seed: int = 123, on_gray: bool = False, alpha: float = ALPHA) -> DataFrame:
-    """Hue colours; over gray only labelled pixels are blended."""
-    colours = hue_colours(label_runs, seed).select("image_id", "label", *[F.col(c).alias(f"l_{c}") for c in CHANNELS])
-    runs = attach(label_runs, materialize(colours), ["image_id", "label"]).select("image_id", "y", "x0", "x1", *[f"l_{c}" for c in CHANNELS])
-    tinted = runs.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), *[f"l_{c}" for c in CHANNELS])
-    pixels = scan.select("image_id", "y", F.posexplode("v").alias("x", "v")).join(tinted, ["image_id", "y", "x"], "left")
+    """Hue colours; over gray only labelled pixels are blended.
+
+    A run carries its colour as one positive number in the list of its scanline, so pixels are made only for the result.
+    """
+    packed = (F.col("b") + F.col("g") * 256 + F.col("r") * 65536 + 2 ** 24).cast("int")
+    colours = materialize(hue_colours(label_runs, seed).select("image_id", "label", packed.alias("colour")))
+    runs = attach(label_runs, colours, ["image_id", "label"]).select("image_id", "y", "x0", "x1", F.col("colour").alias("label"))
+    pixels = _pixels(label_rows(scan, runs))
     ground = F.col("v") if on_gray else F.lit(0)
     a = alpha if on_gray else 1.0
+    tint = lambda k: F.shiftright("label", 8 * k).bitwiseAND(255)
     return pixels.select("image_id", "y", "x", *[
-        F.when(F.col(f"l_{c}").isNull(), ground).otherwise(blend(F.col(f"l_{c}"), ground, a)).alias(c) for c in CHANNELS])
+        F.when(F.col("label") == 0, ground).otherwise(blend(tint(k), ground, a)).alias(c) for k, c in enumerate(CHANNELS)])
 
 
 def mask_overlay(scan: DataFrame, mask: DataFrame, alpha: float = ALPHA, style: str = "raise") -> DataFrame:

@@ -151,7 +151,7 @@ def peak_mask(rows: DataFrame, maxima: DataFrame, min_distance: int, rel_thresho
 
 def markers_or_components(markers: DataFrame, mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """Marker label runs; images without any marker get the components of their foreground instead."""
-    lacking = mask.join(markers.select("image_id").distinct(), "image_id", "left_anti")
+    lacking = attach(mask, materialize(markers.select("image_id").distinct()), ["image_id"], "left_anti")
     return markers.unionByName(cc.components(lacking, connectivity))
 
 

@@ -604,6 +604,17 @@ ORACLES["colour_labels"] = with_(*COLOURED, recursive=True) + "SELECT image_id,
     channel(n, f) for n, f in (("b", 40503), ("g", 30011), ("r", 20021))) + " FROM cp"
 ORACLES["colour_labels_plain"] = with_(*COLOURED, recursive=True) + "SELECT image_id, y, x, " + ", ".join(
     f"CAST(CAST(label AS BIGINT) * {f} % 256 AS INT) AS {n}" for n, f in (("b", 40503), ("g", 30011), ("r", 20021))) + " FROM cp"
+HUES = [*COLOURED, """
+hl AS (SELECT image_id, label, (CAST(label AS BIGINT) * 2654435761 + (image_id % 2147483648 + 123) * 40503) % 4294967296 AS h FROM (SELECT DISTINCT image_id, label FROM f_label)),
+hr AS (SELECT image_id, label, floor((row_number() OVER (PARTITION BY image_id ORDER BY h, label) - 1) * 179::DOUBLE / count(*) OVER (PARTITION BY image_id)) AS hue FROM hl),
+hs AS (SELECT image_id, label, floor(hue / 30) AS s, hue / 30 - floor(hue / 30) AS f, 255 * (1 - 200 / 255::DOUBLE) AS low FROM hr),
+hv AS (SELECT image_id, label, s, low, 255 * (1 - 200 / 255::DOUBLE * f) AS fall, 255 * (1 - 200 / 255::DOUBLE * (1 - f)) AS rise FROM hs),
+hc AS (SELECT image_id, label, round_even(CASE s WHEN 0 THEN low WHEN 1 THEN low WHEN 2 THEN rise WHEN 3 THEN 255 WHEN 4 THEN 255 ELSE fall END, 0) AS tb,
+       round_even(CASE s WHEN 0 THEN rise WHEN 1 THEN 255 WHEN 2 THEN 255 WHEN 3 THEN fall ELSE low END, 0) AS tg,
+       round_even(CASE s WHEN 0 THEN 255 WHEN 1 THEN fall WHEN 2 THEN low WHEN 3 THEN low WHEN 4 THEN rise ELSE 255 END, 0) AS tr FROM hv)"""]
+ORACLES["colour_hues"] = with_(*HUES, recursive=True) + "SELECT cp.image_id, y, x, " + ", ".join(
+    f"CAST(CASE WHEN t{n} IS NULL THEN v ELSE round_even(t{n} * 0.45::DOUBLE + v * 0.55::DOUBLE, 0) END AS INT) AS {n}" for n in "bgr") + \
+    " FROM cp LEFT JOIN hc ON hc.image_id = cp.image_id AND hc.label = cp.label"
 ORACLES["mask_overlay"] = with_(TILES, "o AS (SELECT *, CAST(CASE WHEN v BETWEEN 90 AND 210 THEN round_even(255 * 0.45::DOUBLE + v * 0.55::DOUBLE, 0) ELSE v END AS INT) AS t FROM px)") + \
     "SELECT image_id, y, x, v AS b, t AS g, t AS r FROM o"
 ORACLES["mask_overlay_tint"] = with_(TILES, "o AS (SELECT *, v BETWEEN 225 AND 235 AS fg, bool_or(v BETWEEN 225 AND 235) OVER (PARTITION BY image_id) AS has FROM px)") + "SELECT image_id, y, x, " + ", ".join(

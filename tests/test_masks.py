@@ -155,6 +155,24 @@ def test_replay(spark, mask):
         edits.replay(mask({0: base}), events.withColumn("op", F.lit("smear"))).collect()
 
 
+def test_many_edits_of_one_spot(spark, mask):
+    base = noise(7, (12, 70), 0.4)
+    rng = np.random.default_rng(9)
+    log = [(0, seq, ("paint", "erase")[int(rng.integers(2))], int(rng.integers(-4, 75)), int(rng.integers(3, 9)), int(rng.integers(0, 12))) for seq in range(400)]
+    want = base.copy()
+    for _, seq, op, x, y, r in log:
+        stamp(want, x, y, r, op == "paint")
+    events = spark.createDataFrame([(*e[:5], 0, 0, e[5]) for e in log] + [(9, 0, "paint", 1, 1, 0, 0, 2)],
+                                   "image_id bigint, seq bigint, op string, x int, y int, x2 int, y2 int, radius int")
+    after = edits.replay(mask({0: base, 1: base}), events)
+    assert (bits(after)[0] == want).all() and (bits(after)[1] == base).all()
+    for r in after.collect():
+        assert all(a.x1 < b.x0 for a, b in zip(r.runs, r.runs[1:]))
+    gathered = edits.decided_rows(edits.stamp_runs(edits.stamps(events), spark.createDataFrame([(0, 12, 70)], "image_id bigint, height int, width int"), width=True))
+    assert max(len(r.decided) for r in gathered.collect()) <= 70
+    assert (bits(edits.replay(mask({0: base}), events.where("seq < 0")))[0] == base).all()
+
+
 def test_sliced_join_equals_broadcast(mask, monkeypatch):
     images = {i: noise(i, (20, 20), 0.5) for i in range(3)}
     whole = bits(geometry.crop_batch(mask(images), rect=(3, 2, 15, 11)))

@@ -102,6 +102,21 @@ def test_ellipse_dilation(scan, k):
             assert found[i][y, x] == max(near)
 
 
+@pytest.mark.parametrize("edge,mode", [("replicate", "edge"), ("reflect", "reflect")])
+@pytest.mark.parametrize("k", [11, 51])
+def test_wide_blur_in_bands(scan, k, edge, mode):
+    images = {i: np.random.default_rng(i).integers(0, 256, (150, 9)) for i in range(3)}
+    w = gaussian_weights(k)
+    rows = scan(images).withColumn("more", F.col("y") + 1)
+    for pixels in (1, 700, None):
+        found = filters._wide_blur(rows, "v", w, edge, "g", pixels)
+        assert found.where("more <> y + 1").count() == 0 and found.columns == [*rows.columns, "g"]
+        for i, got in arrays(found, "g").items():
+            p = np.pad(images[i].astype(float), k // 2, mode)
+            along = sum(p[:, d:d + 9] * w[d] for d in range(k))
+            assert np.allclose(got, sum(along[d:d + 150] * w[d] for d in range(k)), atol=1e-9)
+
+
 def test_adaptive_and_clahe_run_on_small_images(scan):
     images = {0: np.full((1, 1), 128), 1: np.random.default_rng(3).integers(0, 256, (20, 24))}
     out = bits(th.threshold(scan(images), ThresholdParams(method="adaptive", adaptive_block=1, use_clahe=True, clahe_tile=2)))
