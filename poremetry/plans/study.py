@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from poremetry.operators import measure as measuring, separate as separating
 from poremetry.operators.masks import fill_holes
 from poremetry.operators.separate import SeparationParams
 from poremetry.operators.threshold import ThresholdParams, mask_of, prepared, threshold, threshold_meta
-from poremetry.sources.rasters import gray_scanlines, split_valid
-from poremetry.workspace import materialize
+from poremetry.sources.rasters import decode_once, image_files, rasters_of_images
+from poremetry.workspace import attach, materialize
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,17 @@ def threshold_batch(scan: DataFrame, method: str = "otsu", polarity: str = "auto
 def process_rasters(rasters: DataFrame, thresholds: ThresholdParams = ThresholdParams(),
                     separation: SeparationParams = SeparationParams(), scales: DataFrame | None = None,
                     measure: bool = True) -> tuple[Segmentation, DataFrame]:
-    """(results, rejects): unusable rasters are reported and never stop the others."""
-    usable, rejects = split_valid(rasters)
-    return process_batch(gray_scanlines(usable), thresholds, separation, scales, measure), rejects
+    """(results, rejects): unusable rasters are reported and never stop the others. Every raster is decoded once."""
+    scan, files = decode_once(rasters)
+    return process_batch(scan, thresholds, separation, scales, measure), files.where("error IS NOT NULL").select("image_id", "error")
+
+
+def process_folder(spark: SparkSession, folder: str, thresholds: ThresholdParams = ThresholdParams(),
+                   separation: SeparationParams = SeparationParams(), scales: DataFrame | None = None,
+                   measure: bool = True) -> tuple[Segmentation, DataFrame]:
+    """(results, files) of the image files below a folder; ``files`` lists every file (image_id, path, height, width, error)."""
+    scan, files = decode_once(rasters_of_images(image_files(spark, folder)))
+    return process_batch(scan, thresholds, separation, scales, measure), files
 
 
 def label_mask(mask: DataFrame, separation: SeparationParams = SeparationParams()) -> DataFrame | None:
@@ -70,7 +78,7 @@ def apply_scope(previous: DataFrame, fresh: DataFrame, image_id: int | None = No
     if image_id is not None:
         fresh = fresh.where(F.col("image_id") == image_id)
         return previous.where(F.col("image_id") != image_id).unionByName(fresh)
-    return previous.join(fresh.select("image_id").distinct(), "image_id", "left_anti").unionByName(fresh)
+    return attach(previous, materialize(fresh.select("image_id").distinct()), ["image_id"], "left_anti").unionByName(fresh)
 
 
 def with_progress(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:

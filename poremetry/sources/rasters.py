@@ -14,6 +14,7 @@ from poremetry.workspace import attach, materialize
 BAND_VALUES = 1 << 20  # numbers that leave a decoding task at once
 # The file types an image study reads.
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
+IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS) + "}"
 
 
 def image_key(path: Column) -> Column:
@@ -27,13 +28,18 @@ def scan_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     Decoding happens in the executors, one file per row, and a file that fails stays as a row without pixels, so both results split
     one scan. 16-bit gray arrives scaled to 8 bits, alpha is dropped.
     """
-    pattern = r"(?i)\.(" + "|".join(EXTENSIONS) + r")$"
-    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(folder)
-    decoded = rasters_of_images(images).where(F.col("path").rlike(pattern))
+    decoded = rasters_of_images(image_files(spark, folder))
     bad = F.col("height") < 0
-    rejects = decoded.where(bad).select(
-        "path", "image_id", F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": could not read image")).alias("error"))
-    return decoded.where(~bad), rejects
+    return decoded.where(~bad), decoded.where(bad).select("path", "image_id", unreadable().alias("error"))
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Spark's image source over the image files of a folder; files of other types are never opened, empty files are skipped."""
+    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(folder)
+
+
+def unreadable() -> Column:
+    return F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": could not read image"))
 
 
 def rasters_of_images(images: DataFrame) -> DataFrame:
@@ -51,9 +57,42 @@ def valid_raster() -> Column:
 
 def split_valid(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable rasters, rejects with a reason): one bad raster never stops the others."""
-    reason = F.when(F.col("data").isNull(), "no data").when(~F.coalesce(F.col("n_channels").isin(1, 3, 4), F.lit(False)), "unsupported channels").otherwise(
+    return rasters.where(valid_raster()), rasters.where(~valid_raster()).select("image_id", reject_reason().alias("error"))
+
+
+def reject_reason() -> Column:
+    return F.when(F.col("data").isNull(), "no data").when(~F.coalesce(F.col("n_channels").isin(1, 3, 4), F.lit(False)), "unsupported channels").otherwise(
         "data does not fit the frame")
-    return rasters.where(valid_raster()), rasters.where(~valid_raster()).select("image_id", reason.alias("error"))
+
+
+def decode_once(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gray scanlines, files) of raster rows; both read one written table, so every image is decoded once, whatever reads them.
+
+    ``files`` has a row per raster: (image_id, path, height, width, error); ``error`` is null unless the raster cannot be used. Rasters
+    that Spark could not decode have a negative height. Without a ``path`` column it is null.
+    """
+    if "path" not in rasters.columns:
+        rasters = rasters.withColumn("path", F.lit(None).cast("string"))
+    error = F.when(F.col("height") < 0, F.coalesce(unreadable(), F.lit("could not read image"))).when(~valid_raster(), reject_reason())
+    given = rasters.select(
+        F.col("image_id").cast("bigint"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("n_channels").cast("int"),
+        F.when(error.isNull(), F.col("data")).alias("data"), "path", error.alias("error"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            facts = batch.select(["image_id", "path", "height", "width", "error"])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*facts.columns, pa.array(np.full(n, -1), pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=[*facts.schema.names, "y", "v"])
+            for lines in _bands(batch.filter(batch.column("data").is_valid()), "v", gray_values):
+                m = lines.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [lines.column("image_id"), pa.nulls(m, pa.string()), lines.column("height"), lines.column("width"), pa.nulls(m, pa.string()),
+                     lines.column("y"), lines.column("v")], names=[*facts.schema.names, "y", "v"])
+
+    written = materialize(given.mapInArrow(run, "image_id bigint, path string, height int, width int, error string, y int, v array<int>"))
+    return (written.where("y >= 0").select("image_id", "height", "width", "y", "v"),
+            written.where("y < 0").select("image_id", "path", "height", "width", "error"))
 
 
 def _bands(batch: pa.RecordBatch, column: str, to_values) -> Iterator[pa.RecordBatch]:
@@ -86,15 +125,17 @@ def byte_rows(rasters: DataFrame) -> DataFrame:
     return _rows(rasters, "bytes", lambda p: p.reshape(len(p), -1).astype(np.int32))
 
 
+def gray_values(p: np.ndarray) -> np.ndarray:
+    """Gray values of some rows of pixels (rows, columns, channels)."""
+    if p.shape[2] == 1:
+        return p[:, :, 0].astype(np.int32)
+    b, g, r = (p[:, :, c].astype(np.float64) for c in range(3))
+    return np.floor(b * BLUE + g * GREEN + r * RED + 0.5).astype(np.int32)
+
+
 def gray_scanlines(rasters: DataFrame) -> DataFrame:
     """Scanlines of rasters; colour becomes luma, alpha is ignored. Needs no shuffle."""
-    def gray(p: np.ndarray) -> np.ndarray:
-        if p.shape[2] == 1:
-            return p[:, :, 0].astype(np.int32)
-        b, g, r = (p[:, :, c].astype(np.float64) for c in range(3))
-        return np.floor(b * BLUE + g * GREEN + r * RED + 0.5).astype(np.int32)
-
-    return _rows(rasters, "v", gray).drop("n_channels")
+    return _rows(rasters, "v", gray_values).drop("n_channels")
 
 
 def explode_pixels(scan: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from poremetry.operators.measure import PORE_COLUMNS
 from poremetry.sources.rasters import stem
+from poremetry.workspace import attach, materialize
 
 
 def csv_rows(pores: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def _named(rows: DataFrame, paths: DataFrame | None, suffix: str) -> DataFrame:
     if paths is None:
         return rows.withColumn("name", F.concat(F.lit("image_"), F.col("image_id"), F.lit(suffix)))
     names = paths.select("image_id", F.concat(stem(F.col("path")), F.lit(suffix)).alias("name"))
-    return rows.join(names, "image_id")
+    return attach(rows, materialize(names), ["image_id"])
 
 
 def mask_rows(mask: DataFrame, paths: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,7 +20,7 @@ SALT_SLICES = 64
 
 _local_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
-_kept: set[str] = set()
+_scopes = threading.local()  # open scopes of a thread, each a list of written tables
 _shipped: set[str] = set()
 
 
@@ -71,15 +72,15 @@ def _release_quietly(spark: SparkSession, app: str) -> None:
 
 @contextmanager
 def scoped_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables written inside the block when it ends; results must have been written or collected by then."""
-    paths = _paths(spark)
-    before = set(paths)
+    """Deletes the tables that this thread writes inside the block when it ends; results must have been written or collected by then."""
+    stack = _scopes.__dict__.setdefault("open", [])
+    stack.append([])
     try:
         yield
     finally:
-        for path in [p for p in paths if p not in before and p not in _kept]:
+        for path in stack.pop():
             _delete(spark, path)
-            paths.remove(path)
+            _paths(spark).remove(path)
 
 
 def materialize(df: DataFrame, scoped: bool = True, **metrics: Column) -> DataFrame:
@@ -91,10 +92,10 @@ def materialize(df: DataFrame, scoped: bool = True, **metrics: Column) -> DataFr
     """
     spark = df.sparkSession
     path = f"{workspace_dir(spark)}/poremetry/{uuid.uuid4().hex}"
-    paths = _paths(spark)
-    paths.append(path)
-    if not scoped:
-        _kept.add(path)
+    _paths(spark).append(path)
+    stack = getattr(_scopes, "open", [])
+    if scoped and stack:
+        stack[-1].append(path)
     watch = Observation()
     watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
     watched.write.parquet(path)

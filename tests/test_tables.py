@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from conftest import arrays, disk
+from conftest import arrays, bits, disk
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -76,6 +76,36 @@ def test_watching_a_folder(spark, tmp_path):
     assert {r.area_px for r in seen} == {int(disk((40, 40), 20, 20, 10).sum()), int(disk((50, 50), 25, 25, 12).sum())}
 
 
+def test_watching_reports_bad_files_and_leaves_no_tables(spark, tmp_path):
+    from poremetry.streaming.watch import watch_folder
+
+    os.makedirs(tmp_path / "in")
+    png(tmp_path / "in" / "one.png", disk((40, 40), 20, 20, 10) * 255)
+    (tmp_path / "in" / "broken.PNG").write_bytes(b"no image")
+    (tmp_path / "in" / "notes.txt").write_text("other")
+    seen, bad, before = [], [], set(workspace._paths(spark))
+    watch_folder(spark, str(tmp_path / "in"), lambda pores, batch: seen.extend(pores.collect()), str(tmp_path / "state"),
+                 th.ThresholdParams(polarity="poresBrighter", median_k=0), report=lambda rejects, batch: bad.extend(rejects.collect())).awaitTermination()
+    assert len(seen) == 1 and [r.error for r in bad] == ["broken.PNG: could not read image"] and bad[0].path.endswith("broken.PNG")
+    assert set(workspace._paths(spark)) == before
+
+
+def test_one_decode_serves_scanlines_and_rejects(spark, tmp_path):
+    image = np.random.default_rng(8).integers(0, 256, (30, 20))
+    png(tmp_path / "a.png", image)
+    (tmp_path / "b.tif").write_bytes(b"II*")
+    (tmp_path / "c.csv").write_text("x")
+    images = rasters.rasters_of_images(rasters.image_files(spark, str(tmp_path)))
+    lines, files = rasters.decode_once(images)
+    assert [(a == image).all() for a in arrays(lines).values()] == [True]
+    assert sorted((r.path[-5:], r.error) for r in files.collect()) == [("a.png", None), ("b.tif", "b.tif: could not read image")]
+    assert all(f.endswith(".parquet") for f in [*lines.inputFiles(), *files.inputFiles()])
+    rows = [(0, 2, 2, 1, bytearray(b"\x00\x80\xff\x01")), (1, 2, 2, 1, None), (2, 2, 2, 1, bytearray(b"\x00")), (3, -1, -1, 1, bytearray()), (4, None, 1, 1, None)]
+    lines, files = rasters.decode_once(spark.createDataFrame(rows, "image_id bigint, height int, width int, n_channels int, data binary"))
+    assert arrays(lines)[0].tolist() == [[0, 128], [255, 1]]
+    assert {r.image_id: r.error for r in files.collect()} == {0: None, 1: "no data", 2: "data does not fit the frame", 3: "could not read image", 4: "no data"}
+
+
 def test_bad_rasters_are_reported(spark):
     rows = [(0, 2, 2, 1, bytearray(b"\x00\x80\xff\x01")), (1, 2, 2, 1, None), (2, 2, 2, 1, bytearray(b"\x00")), (3, 1, 1, 2, bytearray(b"ab"))]
     frame = spark.createDataFrame(rows, "image_id bigint, height int, width int, n_channels int, data binary")
@@ -144,10 +174,23 @@ def test_resampling(scan):
     small = arrays(geometry.preview(scan({0: image}), 150))[0]
     assert small.shape == (10, 15) and np.abs(small - image.reshape(10, 2, 15, 2).mean((1, 3))).max() <= 0.5
     assert (arrays(geometry.preview(scan({0: image}), 600))[0] == image).all()
+    big = np.random.default_rng(3).integers(0, 256, (61, 47))
+    h, w = int(61 * (500 / (61 * 47)) ** 0.5), int(47 * (500 / (61 * 47)) ** 0.5)
+    share = lambda n, m: np.array([[max(0, min(i + 1, (t + 1) * n / m) - max(i, t * n / m)) for i in range(n)] for t in range(m)])
+    want = share(61, h) @ big @ share(47, w).T / (61 / h * 47 / w)
+    assert np.abs(arrays(geometry.preview(scan({4: big, 5: 255 - big}).repartition(3), 500))[4] - want).max() <= 0.5 + 1e-9
     doubled = arrays(geometry.resize_nearest(scan({0: image}), 40, 60))[0]
     assert (doubled == image.repeat(2, 0).repeat(2, 1)).all()
 
 
+def test_resized_masks(mask, scan):
+    image = np.random.default_rng(6).random((23, 31)) < 0.5
+    image[4], image[5] = False, True
+    for h, w in ((23, 31), (46, 93), (9, 7), (40, 5), (1, 1)):
+        got = bits(geometry.resize_nearest(mask({2: image}), h, w))[2]
+        assert (got == (arrays(geometry.resize_nearest(scan({2: image.astype(int)}), h, w))[2] > 0)).all()
+
+
 # Calibration, analysis, rendering ----------------------------------------------------------------------------------
 
 
@@ -203,10 +246,12 @@ def test_colours(scan, labelled):
     assert len(set(pure)) == 2 and all(max(c) == 255 and min(c) == 55 for c in pure)
 
 
-def test_scope_merge(scan):
+def test_scope_merge(scan, monkeypatch):
     old, new = scan({0: np.zeros((2, 2), int), 1: np.zeros((2, 2), int)}), scan({1: np.ones((2, 2), int), 2: np.ones((2, 2), int)})
     everything = arrays(study.apply_scope(old, new))
     assert {i: int(a.sum()) for i, a in everything.items()} == {0: 0, 1: 4, 2: 4}
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    assert {i: int(a.sum()) for i, a in arrays(study.apply_scope(old, new)).items()} == {0: 0, 1: 4, 2: 4}
     single = arrays(study.apply_scope(old, new, image_id=2))
     assert {i: int(a.sum()) for i, a in single.items()} == {0: 0, 1: 0, 2: 4}
 
