@@ -188,10 +188,97 @@ def test_chats(spark):
     replies = {k: r.reply_to for k, r in got.items() if r.reply_to is not None}
     assert replies == {(1, 2): 1, (1, 3): 2, (1, 600): 1, (2, 2): 1}
     assert [got[1, t].thread for t in (0, 1, 2, 3, 4, 600)] == [0, 1, 1, 1, 4, 1] and got[2, 2].thread == 1
-    assert got[1, 3].text == "My reply" and got[1, 3].max_level == 2 and got[1, 600].n_linked == 3 and got[1, 4].chat == "<|user|>\n\n<|end|>"
+    assert got[1, 3].text == "My reply\n>unknown line" and got[1, 3].max_level == 2 and got[1, 600].n_linked == 3 and got[1, 4].chat == "<|user|>\n\n<|end|>"
     assert chat_quotes.format_chats(chats.where("turn > 1000")).count() == 0
 
 
+def plain_chats(rows):
+    """{(conv, turn): (reply_to, thread, place, text)} message by message; turns are unique."""
+    level = lambda line: re.match(r"(?:[ \t]*>)*", line).group().count(">")
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+
+    def passages(lines):
+        out, part, start = [], [], 0
+        for i, line in enumerate([*lines, None]):
+            blank = line is None or not norm(line)
+            if part and (blank or level(line) != level(lines[start])):
+                bodies = [re.sub(r"^((?:[ \t]*>)*)[ \t]?", "", x) for x in part]
+                pieces = {norm(x) for x in [*bodies, *re.split(r"(?<=[.!?…])\s+", " ".join(bodies))]} - {""}
+                out += [(level(lines[start]), start, x) for x in pieces]
+                part = []
+            if not blank:
+                start = start if part else i
+                part.append(line)
+        return out
+
+    result, reply = {}, {}
+    known = {k: (t or "").split("\n") for k, t in rows.items()}
+    for (conv, turn), lines in known.items():
+        hits = []
+        for lev, at, x in passages(lines):
+            if lev:
+                old = [t for (c, t), ls in known.items() if c == conv and t < turn and any(p[0] == 0 and p[2] == x for p in passages(ls))]
+                hits += [(lev, at, max(old))] if old else []
+        low = [h[2] for h in hits if h[0] == min(hits)[0]]
+        reply[conv, turn] = max(low, key=lambda t: (low.count(t), t)) if low else None
+        gone, i = set(), 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and level(lines[j]):
+                j += 1
+            if j > i:
+                said = i and re.search(r"(wrote|writes).*:$", lines[i - 1])
+                if said or any(i <= h[1] < j for h in hits):
+                    gone |= set(range(i - 1 if said else i, j))
+            i = max(j, i + 1)
+        text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        result[conv, turn] = (re.sub(r"\n{3,}", "\n\n", text) if gone else text).strip(" \n")
+    place = {}
+
+    def visit(conv, turn, root):
+        place[conv, turn] = (root, sum(1 for r, _ in [v for k, v in place.items() if k[0] == conv] if r == root))
+        for c, t in sorted(rows):
+            if c == conv and reply[c, t] == turn:
+                visit(conv, t, root)
+
+    for c, t in sorted(rows):
+        if reply[c, t] is None:
+            visit(c, t, t)
+    return {k: (reply[k], *place[k], result[k]) for k in rows}
+
+
+def test_quotes_wrapped_partial_and_in_reply_order(spark):
+    rng = random.Random(4)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(3, 14))).capitalize() + rng.choice(".!?")
+
+    def wrapped(text, width, marks):
+        lines, line = [], ""
+        for word in text.split():
+            if len(line) + len(word) > width:
+                lines, line = [*lines, line], ""
+            line = f"{line} {word}".strip()
+        return "\n".join(f"{marks}{x}" for x in [*lines, line])
+
+    rows, said = {}, {}
+    for conv, turns in ((1, 40), (2, 7)):
+        for turn in range(turns):
+            said[conv, turn] = [sentence() for _ in range(rng.randrange(1, 5))]
+            own, text = " ".join(said[conv, turn]), ""
+            if turn and rng.random() < 0.8:
+                of = rng.randrange(turn)
+                part = " ".join(said[conv, of][rng.randrange(len(said[conv, of])):])
+                text = rng.choice(["", "On Friday somebody wrote:\n"]) + wrapped(part, rng.choice([20, 35, 72]), rng.choice(["> ", ">"])) + "\n\n"
+            turn = turn * 100
+            rows[conv, turn] = text + (own if rng.random() < 0.5 else wrapped(own, 50, "")) + rng.choice(["", "\n>>> print(1)\n\n\n\nend", "\n"])
+    rows[2, 5000], rows[2, 6000], rows[2, 7000] = None, "long " * 40000, "> nobody said that\n>> x\n\n\n\nreally"
+    chats = spark.createDataFrame([(*k, t, "user", 7, 1) for k, t in rows.items()], "conv_id bigint, turn bigint, text string, role string, lines int, place int")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.place, r.text) for r in chat_quotes.format_chats(chats).collect()}
+    want = plain_chats(rows)
+    assert got == want
+    assert sum(v[0] is not None for v in got.values()) > 25 and max(v[2] for v in got.values()) > 5
+    assert got[2, 7000][3] == "> nobody said that\n>> x\n\n\n\nreally"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twins(spark, name):
     db = duckdb.connect()
