@@ -1,8 +1,18 @@
-"""DuckDB twins of the catalogued queries, written independently of the DataFrame code where possible."""
+"""DuckDB twins of the catalogued queries, written independently of the DataFrame code; nothing is imported from it."""
 
 from __future__ import annotations
 
-from poremetry.operators.filters import ellipse_reach, gaussian_weights
+# Weights of the Gaussian kernels by width, and (dy, first dx, last dx) of the elliptical neighbourhoods by width.
+WEIGHTS = {
+    3: [0.25, 0.5, 0.25],
+    5: [0.0625, 0.25, 0.375, 0.25, 0.0625],
+    11: [0.008812229292562283, 0.027143577143479366, 0.06511405659938266, 0.12164907301380959, 0.17699835683135567, 0.2005654142388208,
+         0.17699835683135567, 0.12164907301380959, 0.06511405659938266, 0.027143577143479366, 0.008812229292562283],
+}
+ELLIPSES = {
+    3: [(-1, 0, 0), (0, -1, 1), (1, 0, 0)],
+    5: [(-2, 0, 0), (-1, -2, 2), (0, -2, 2), (1, -2, 2), (2, 0, 0)],
+}
 
 # Rasters -----------------------------------------------------------------------------------------------------------
 # px(image_id, y, x, v, h, w): dense pixels.
@@ -229,7 +239,7 @@ ON q.image_id = p.image_id AND q.y = greatest(0, least(p.h - 1, p.y + d.dy)) AND
 def blur(k: int, edge: str, source: str = "px", value: str = "v") -> list[str]:
     """CTEs ending in bl(image_id, y, x, v, h, w, g): separable Gaussian of ``value``."""
     r = k // 2
-    rows = ", ".join(f"({i - r}, {w!r}::DOUBLE)" for i, w in enumerate(gaussian_weights(k)))
+    rows = ", ".join(f"({i - r}, {w!r}::DOUBLE)" for i, w in enumerate(WEIGHTS[k]))
 
     def reach(c, n):
         moved = f"p.{c} + wt.d"
@@ -264,7 +274,7 @@ SELECT image_id, y, x, CAST(floor((a * (1 - wx) + b * wx) * (1 - wy) + (c * (1 -
 
 def ellipse_max(k: int, source: str, value: str) -> list[str]:
     """CTEs ending in em(image_id, y, x, h, w, value, top): largest value in the elliptical neighbourhood, by windows."""
-    spans = ellipse_reach(k)
+    spans = ELLIPSES[k]
     sides = sorted({(-lo, hi) for _, lo, hi in spans})
     along = ", ".join(f"max({value}) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS s{a}_{b}" for a, b in sides)
     down = ", ".join(f"{'lag' if dy < 0 else 'lead'}(s{-lo}_{hi}, {abs(dy)}) OVER c" for dy, lo, hi in spans)
