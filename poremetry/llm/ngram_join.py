@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from poremetry.workspace import materialize, row_count
 SHINGLE = 4  # words
 SIMILARITY = 85  # per cent of the union that two linked sets share
 EXTRA = 10  # per cent of a set by which the sketching prefix is longer than needed
+MERGE_COST = 0.0085  # what reading a list costs in the merge against a probe; more of it merges more lists
 ROUND_GAIN = 20  # a round of single tries is followed by another when one in so many pairs links
 CHUNK = 1 << 19  # shingles that a task holds at once
 
@@ -171,48 +173,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["key", "s1", "s2", "tokens"])
 
 
+def _held(asked: np.ndarray, held: np.ndarray) -> int:
+    """How many of ``asked`` a binary search finds in the sorted ``held``."""
+    if not len(held):
+        return 0
+    return int((held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked).sum())
+
+
+def reaches(a: tuple, b: tuple) -> bool:
+    """Whether two sets (n, end, short tokens, sorted long tokens) share enough to link.
+
+    The set whose short tokens end first in the order of frequency asks: all it shares by short tokens are short tokens of the other. Only if
+    those reach the required overlap less the number of its long tokens, the long ones are probed.
+    """
+    (n, end, short, long), (o_n, o_end, o_short, o_long) = (a, b) if a[1] <= b[1] else (b, a)
+    required = -(-SIMILARITY * (n + o_n) // (100 + SIMILARITY))
+    o_short = np.sort(o_short)
+    hits = _held(short, o_short)
+    return hits >= required - len(long) and hits + _held(long, o_short) + _held(long, o_long) >= required
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs that reach the required overlap: the tokens of the smaller set are looked up in the larger by binary search."""
+    """Candidate pairs that reach the required overlap."""
     for batch in batches:
-        keep = []
-        left, right = batch.column("ta"), batch.column("tb")
-        bounds_l, bounds_r = left.offsets.to_numpy(), right.offsets.to_numpy()
-        all_l, all_r = left.values.to_numpy(), right.values.to_numpy()
-        for i in range(batch.num_rows):
-            a = all_l[bounds_l[i]:bounds_l[i + 1]].view(np.uint64)
-            b = all_r[bounds_r[i]:bounds_r[i + 1]].view(np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            common = int((b[at] == a).sum())
-            keep.append(100 * common >= SIMILARITY * (len(a) + len(b) - common))
+        sides = []
+        for side in ("a", "b"):
+            parts = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(f"short_{side}"), batch.column(f"long_{side}"))]
+            n, *end = (batch.column(f"{c}_{side}").to_pylist() for c in ("n", "end_df", "end_token"))
+            sides.append([(n[i], (end[0][i], end[1][i]), *(values[at[i]:at[i + 1]] for values, at in parts)) for i in range(batch.num_rows)])
+        keep = [reaches(a, b) for a, b in zip(*sides)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Written (a, b): the candidate pairs that link."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}"))
-    return materialize(map_texts(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb"), _probe, "a bigint, b bigint"))
+    facts = [c for c in index.columns if c != "node"]
+    of = lambda side: index.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in facts])
+    return materialize(map_texts(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b"), _probe, "a bigint, b bigint"))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """Written short inverted lists (token, node, n, rest): the rarest tokens of every set that any partner must share one of.
+def _indexed(sets: DataFrame) -> DataFrame:
+    """Written (node, n, short, long, end_df, end_token): every set that can have a partner, with its tokens divided by the length of their lists.
 
-    A set of n shingles may leave its needed(n) - 1 most frequent tokens out of the merge: their lists are never built. Tokens of a single
-    set have no list. ``rest`` counts the set's tokens from this one on, in the order of frequency.
+    Of T tokens that any partner shares at least, the L most frequent ones are long: L = T / (MERGE_COST * log2(longest list) + 1), at most T - 1.
+    The lists of the others are merged; those of single sets have nothing to merge. Long lists are kept by set, not by token: whether a
+    list names a set is a binary search in that set's row, and no frequent token becomes a hot group. ``end_df`` and ``end_token`` name the
+    last short token in the order of frequency.
     """
     each = sets.select("node", F.explode("tokens").alias("token"))
-    frequency = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    frequency = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), longest=F.max("df"))
+    cost = MERGE_COST * math.log2(frequency.metrics["longest"] or 2) + 1
     ranked = each.join(frequency, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    sized = ranked.join(sets.select("node", F.col("n").cast("int").alias("n")), "node")
-    unique = F.col("n") - F.size("common")
-    short = F.col("n") - F.ceil(F.col("n") * SIMILARITY / F.lit(100)).cast("int") + 1 - unique
-    lists = sized.where(short > 0).select("node", "n", F.posexplode(F.slice("common", F.lit(1), short)).alias("at", "t"), unique.alias("unique"))
-    return materialize(lists.select(F.col("t.token").alias("token"), "node", "n", (F.col("n") - F.col("unique") - F.col("at")).alias("rest")))
+    least = F.ceil(F.col("n") * SIMILARITY / F.lit(100)).cast("int")
+    sized = ranked.join(sets.select("node", F.col("n").cast("int").alias("n")), "node").where(F.size("common") >= least)
+    long = F.least(least - 1, F.floor(least / F.lit(cost)).cast("int"))
+    cut = sized.withColumn("cut", F.size("common") - long)
+    return materialize(cut.select(
+        "node", "n", F.slice("common", F.lit(1), F.col("cut"))["token"].alias("short"),
+        F.array_sort(F.slice("common", F.col("cut") + 1, F.greatest(long, F.lit(0)))["token"]).alias("long"),
+        F.element_at("common", F.col("cut"))["df"].alias("end_df"), F.element_at("common", F.col("cut"))["token"].alias("end_token")))
+
+
+def _postings(index: DataFrame) -> DataFrame:
+    """Written short inverted lists (token, node, n, rest, long, end_df, end_token).
+
+    ``rest`` counts the set's tokens from this one on, in the order of frequency; ``long`` its long ones.
+    """
+    common = F.size("short") + F.size("long")
+    lists = index.select("node", "n", F.posexplode("short").alias("at", "token"), common.alias("common"), F.size("long").alias("long"), "end_df", "end_token")
+    return materialize(lists.select("token", "node", "n", (F.col("common") - F.col("at")).alias("rest"), "long", "end_df", "end_token"))
 
 
 def _try_pivots(asking: DataFrame, pivots: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -241,16 +274,18 @@ def _links(sets: DataFrame) -> DataFrame:
     First every set is tried with two others: of all that stand in its lists, the one with the fewest rarer tokens (the middle of a group of near
     copies has hardly any) and the last. While enough of such pairs link, sets outside the largest component of a list are tried with a member
     of that component, drawn anew in each round with weights that favour the middle. A round tries one pair a set. Then only
-    pairs from different components are left: within a list the sets outside its largest component are merged with the others.
+    pairs from different components are left: within a list the sets outside its largest component are merged with the others, and pairs whose count
+    reaches the required overlap less the number of long lists are probed (see ``reaches``).
     Nothing is capped, so no link between components is lost.
     """
-    lists = _postings(sets)
+    index = _indexed(sets)
+    lists = _postings(index)
     rarer = F.col("n") - F.col("rest")
     ends = materialize(lists.groupBy("token").agg(
         F.min(F.struct(rarer.alias("rarer"), "node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"), F.min("node").alias("first")).where(
         "first < hi.node").select("token", F.struct("lo.node", "lo.n").alias("lo"), "hi"))
     tried = _try_pivots(lists, ends.select("token", F.posexplode(F.array("lo", "hi")).alias("side", "p")), None)
-    found = _linked(tried, sets)
+    found = _linked(tried, index)
     groups = smallest_reachable(found)
     placed, mixed = _placed(lists, groups)
     latest, gained, rounds = tried, row_count(found), 0
@@ -262,7 +297,7 @@ def _links(sets: DataFrame) -> DataFrame:
         drawn = rows.where("part = main").groupBy("token").agg(F.min(weighted).alias("p"))
         pivots = materialize(drawn.select("token", F.struct("p.node", "p.n").alias("p"), F.lit(0).alias("side")))
         latest = _try_pivots(rows.where("part <> main"), pivots, tried)
-        more = _linked(latest, sets)
+        more = _linked(latest, index)
         gained = row_count(more)
         if gained:
             tried = materialize(tried.unionByName(latest))
@@ -271,15 +306,21 @@ def _links(sets: DataFrame) -> DataFrame:
             placed, mixed = _placed(lists, groups)
     rows = placed.join(mixed, "token")
     minor = materialize(rows.where("part <> main"))
-    other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "rest", "part")])
+    facts = ("node", "n", "rest", "long", "end_df", "end_token", "part")
+    other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in facts])
     least = lambda a, b: F.ceil((a + b) * SIMILARITY / F.lit(100 + SIMILARITY))
     crossing = minor.join(other, "token").where(
         (F.col("part") != F.col("o_part")) & ((F.col("o_part") == F.col("main")) | (F.col("node") < F.col("o_node")))
-        & _sizes_fit(F.col("n"), F.col("o_n")) & (F.least("rest", "o_rest") >= least(F.col("n"), F.col("o_n"))))
-    pairs = materialize(crossing.groupBy(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).agg(F.count(F.lit(1)).alias("hits")))
+        & _sizes_fit(F.col("n"), F.col("o_n")))
+    asks = F.struct("end_df", "end_token") <= F.struct("o_end_df", "o_end_token")
+    merged = crossing.groupBy(
+        F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), least(F.col("n"), F.col("o_n")).alias("required"),
+        F.when(asks, F.col("long")).otherwise(F.col("o_long")).alias("probes")).agg(
+        F.count(F.lit(1)).alias("hits"), F.max(F.least("rest", "o_rest")).alias("rest"))
+    pairs = materialize(merged.where((F.col("hits") >= F.col("required") - F.col("probes")) & (F.col("rest") >= F.col("required"))).select("a", "b"))
     if not row_count(pairs):
         return groups
-    more = _linked(pairs, sets)
+    more = _linked(pairs, index)
     return smallest_reachable(found.unionByName(more)) if row_count(more) else groups
 
 

@@ -98,7 +98,7 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 def test_one_labelled_id_with_many_rows(spark, monkeypatch):
