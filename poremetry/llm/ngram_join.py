@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ from poremetry.workspace import materialize, row_count
 SHINGLE = 4  # words
 SIMILARITY = 85  # per cent of the union that two linked sets share
 EXTRA = 10  # per cent of a set by which the sketching prefix is longer than needed
-MERGE_COST = 0.0085  # what reading a list costs in the merge against a probe; more of it merges more lists
 ROUND_GAIN = 20  # a round of single tries is followed by another when one in so many pairs links
 CHUNK = 1 << 19  # shingles that a task holds at once
 
@@ -219,33 +217,30 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 def _indexed(sets: DataFrame) -> DataFrame:
     """Written (node, n, short, long, end_df, end_token): every set that can have a partner, with its tokens divided by the length of their lists.
 
-    Of T tokens that any partner shares at least, the L most frequent ones are long: L = T / (MERGE_COST * log2(longest list) + 1), at most T - 1.
+    Of the T tokens that any partner shares at least, the T - 1 most frequent ones are long. Fewer long lists would merge those of passages that
+    many sets share, and pairs would grow with the square of such a group.
     The lists of the others are merged; those of single sets have nothing to merge. Long lists are kept by set, not by token: whether a
     list names a set is a binary search in that set's row, and no frequent token becomes a hot group. ``end_df`` and ``end_token`` name the
     last short token in the order of frequency.
     """
     each = sets.select("node", F.explode("tokens").alias("token"))
-    frequency = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), longest=F.max("df"))
-    cost = MERGE_COST * math.log2(frequency.metrics["longest"] or 2) + 1
+    frequency = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     ranked = each.join(frequency, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     least = F.ceil(F.col("n") * SIMILARITY / F.lit(100)).cast("int")
     sized = ranked.join(sets.select("node", F.col("n").cast("int").alias("n")), "node").where(F.size("common") >= least)
-    long = F.least(least - 1, F.floor(least / F.lit(cost)).cast("int"))
+    long = F.ceil(F.col("n") * SIMILARITY / F.lit(100)).cast("int") - 1
     cut = sized.withColumn("cut", F.size("common") - long)
     return materialize(cut.select(
         "node", "n", F.slice("common", F.lit(1), F.col("cut"))["token"].alias("short"),
-        F.array_sort(F.slice("common", F.col("cut") + 1, F.greatest(long, F.lit(0)))["token"]).alias("long"),
+        F.array_sort(F.slice("common", F.col("cut") + 1, long)["token"]).alias("long"),
         F.element_at("common", F.col("cut"))["df"].alias("end_df"), F.element_at("common", F.col("cut"))["token"].alias("end_token")))
 
 
 def _postings(index: DataFrame) -> DataFrame:
-    """Written short inverted lists (token, node, n, rest, long, end_df, end_token).
-
-    ``rest`` counts the set's tokens from this one on, in the order of frequency; ``long`` its long ones.
-    """
+    """Written short inverted lists (token, node, n, rest); ``rest`` counts the set's tokens from this one on, in the order of frequency."""
     common = F.size("short") + F.size("long")
-    lists = index.select("node", "n", F.posexplode("short").alias("at", "token"), common.alias("common"), F.size("long").alias("long"), "end_df", "end_token")
-    return materialize(lists.select("token", "node", "n", (F.col("common") - F.col("at")).alias("rest"), "long", "end_df", "end_token"))
+    lists = index.select("node", "n", F.posexplode("short").alias("at", "token"), common.alias("common"))
+    return materialize(lists.select("token", "node", "n", (F.col("common") - F.col("at")).alias("rest")))
 
 
 def _try_pivots(asking: DataFrame, pivots: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -274,8 +269,9 @@ def _links(sets: DataFrame) -> DataFrame:
     First every set is tried with two others: of all that stand in its lists, the one with the fewest rarer tokens (the middle of a group of near
     copies has hardly any) and the last. While enough of such pairs link, sets outside the largest component of a list are tried with a member
     of that component, drawn anew in each round with weights that favour the middle. A round tries one pair a set. Then only
-    pairs from different components are left: within a list the sets outside its largest component are merged with the others, and pairs whose count
-    reaches the required overlap less the number of long lists are probed (see ``reaches``).
+    pairs from different components are left: within a list the sets outside its largest component are tried with the others where enough tokens follow
+    the shared one. A tried pair's short tokens are merged to a count, and only where that reaches the required overlap less the number of long
+    lists, the long ones are probed (see ``reaches``).
     Nothing is capped, so no link between components is lost.
     """
     index = _indexed(sets)
@@ -306,18 +302,12 @@ def _links(sets: DataFrame) -> DataFrame:
             placed, mixed = _placed(lists, groups)
     rows = placed.join(mixed, "token")
     minor = materialize(rows.where("part <> main"))
-    facts = ("node", "n", "rest", "long", "end_df", "end_token", "part")
-    other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in facts])
+    other = placed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "rest", "part")])
     least = lambda a, b: F.ceil((a + b) * SIMILARITY / F.lit(100 + SIMILARITY))
     crossing = minor.join(other, "token").where(
         (F.col("part") != F.col("o_part")) & ((F.col("o_part") == F.col("main")) | (F.col("node") < F.col("o_node")))
-        & _sizes_fit(F.col("n"), F.col("o_n")))
-    asks = F.struct("end_df", "end_token") <= F.struct("o_end_df", "o_end_token")
-    merged = crossing.groupBy(
-        F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), least(F.col("n"), F.col("o_n")).alias("required"),
-        F.when(asks, F.col("long")).otherwise(F.col("o_long")).alias("probes")).agg(
-        F.count(F.lit(1)).alias("hits"), F.max(F.least("rest", "o_rest")).alias("rest"))
-    pairs = materialize(merged.where((F.col("hits") >= F.col("required") - F.col("probes")) & (F.col("rest") >= F.col("required"))).select("a", "b"))
+        & _sizes_fit(F.col("n"), F.col("o_n")) & (F.least("rest", "o_rest") >= least(F.col("n"), F.col("o_n"))))
+    pairs = materialize(crossing.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
     if not row_count(pairs):
         return groups
     more = _linked(pairs, index)

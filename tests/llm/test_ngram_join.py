@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,29 @@ def test_needed_prefixes():
             assert overlap >= nj.needed(n) and n - overlap <= size - least
 
 
+def test_merged_counts_and_probes_decide_like_whole_sets():
+    """Every pair of random sets: the T-occurrence test against the overlap of the whole sets; most pairs end without a probe."""
+    rng = np.random.default_rng(5)
+    base = [rng.choice(3000, n, replace=False) for n in (60, 61, 90)]
+    sets = [np.union1d(b[rng.random(len(b)) < keep], rng.choice(3000, 4)) for b in base for keep in (0.8, 0.9, 0.97, 1.0) for _ in range(8)]
+    df = np.bincount(np.concatenate(sets))
+    rows = []
+    for tokens in sets:
+        order = sorted((int(df[t]), int(t)) for t in tokens if df[t] > 1)
+        cut = len(order) - nj.needed(len(tokens)) + 1
+        if cut > 0:
+            part = np.array([t for _, t in order])
+            rows.append((tokens, (len(tokens), order[cut - 1], part[:cut], np.sort(part[cut:]))))
+    linked = 0
+    for i, (a, side_a) in enumerate(rows):
+        for b, side_b in rows[:i]:
+            common = len(np.intersect1d(a, b))
+            want = 100 * common >= 85 * (len(a) + len(b) - common)
+            assert nj.reaches(side_a, side_b) == nj.reaches(side_b, side_a) == want
+            linked += want
+    assert linked > 100 and len(rows) > 60
+
+
 def test_keep_one(spark):
     long = " ".join(f"v{i}" for i in range(50))
     rows = [(5, long), (3, long), (3, long), (9, long + " end"), (2, None), (1, "other words stand here alone")]
