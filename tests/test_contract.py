@@ -3,7 +3,7 @@ import random
 import pytest
 
 from poremetry.operators.contract import smallest_reachable
-from poremetry.workspace import _written, scoped_tables
+from poremetry.workspace import _paths, scoped_tables
 
 
 def brute(links):
@@ -28,10 +28,10 @@ def test_smallest_reachable(spark, kind):
         "random": [(rng.randrange(80), rng.randrange(80)) for _ in range(60)],
     }[kind]
     with scoped_tables(spark):
-        before = len(_written[spark.sparkContext.applicationId])
+        before = len(_paths(spark))
         table = spark.createDataFrame([(1, a, b) for a, b in links], "g int, a bigint, b bigint")
         found = {r.node: r.root for r in smallest_reachable(table, ("g",)).collect()}
-        rounds = (len(_written[spark.sparkContext.applicationId]) - before) / 3
+        rounds = (len(_paths(spark)) - before) / 3
     assert found == {k: v for k, v in brute([x for x in links if x[0] != x[1]]).items()}
     assert rounds <= (18 if kind == "path" else 12)
 
