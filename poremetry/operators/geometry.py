@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from poremetry.functions.geometry import clamp_rect, margins_to_rect, rect_to_margins
 from poremetry.functions.rows import bind, run, touching_merged
-from poremetry.workspace import attach, materialize
+from poremetry.workspace import attach, materialize, row_slices
 
 
 def frames(scan: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def crop(scan: DataFrame, rects: DataFrame) -> DataFrame:
     Works on scanlines (``v``) and masks (``runs``); coordinates restart at the corner.
     """
     usable = materialize(rects.where("rect is not null").select("image_id", F.col("rect").alias("r")))
-    inside = attach(scan, usable, ["image_id"]).where((F.col("y") >= F.col("r.y0")) & (F.col("y") < F.col("r.y1")))
+    inside = attach(scan, usable, ["image_id"], slices=row_slices(F.col("r.y0"), F.col("r.y1") - 1)).where(
+        (F.col("y") >= F.col("r.y0")) & (F.col("y") < F.col("r.y1")))
     width = F.col("r.x1") - F.col("r.x0")
     if "v" in scan.columns:
         body = F.slice("v", F.col("r.x0") + 1, width).alias("v")

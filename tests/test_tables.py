@@ -272,6 +272,26 @@ def test_attach_measures_arrays_before_a_broadcast(spark, monkeypatch):
     assert workspace.table_bytes(workspace.materialize(spark.range(5))) == 5 * (16 + 8) and workspace.table_bytes(facts.where("image_id < 0")) == 0
 
 
+def test_sliced_facts_are_never_broadcast(spark, scan, monkeypatch):
+    """Facts that compress well look small on disk: their copies must not be broadcast, and a small image takes one copy of its rectangle."""
+    rows = scan({i: np.arange(60).reshape(12, 5) for i in range(6)})
+    rects = geometry.clamped_rects(geometry.frames(rows), 1, 2, 4, 9)
+    whole = arrays(geometry.crop(rows, rects))
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    copies = workspace.attach(rows, workspace.materialize(rects), ["image_id"])
+    assert "Broadcast" not in plan(copies) and copies.count() == 72
+    for step in (workspace.SLICE_ROWS, 3):
+        monkeypatch.setattr(workspace, "SLICE_ROWS", step)
+        cropped = geometry.crop(rows, rects)
+        assert "Broadcast" not in plan(cropped)
+        assert {i: a.tolist() for i, a in arrays(cropped).items()} == {i: a.tolist() for i, a in whole.items()}
+    for query, height in ((geometry.crop_batch(rows, rect=(1, 2, 4, 9)), 7), (geometry.crop_batch(rows, rect=(1, 2, 4, 9), use_margins=False), 7),
+                          (geometry.apply_crop(rows, (1, 2, 4, 9)), 7)):
+        assert "_slice" in query._jdf.queryExecution().analyzed().toString() and "Broadcast" not in plan(query).split("_slice")[-1]
+        assert query.count() == 6 * height
+
+
 # Contract ----------------------------------------------------------------------------------------------------------
 
 
