@@ -3,6 +3,7 @@ import pytest
 from conftest import arrays, bits, disk
 from pyspark.sql import functions as F
 
+from poremetry import workspace
 from poremetry.operators import filters, threshold as th
 from poremetry.operators.filters import gaussian_weights
 from poremetry.operators.threshold import ThresholdParams
@@ -125,6 +126,52 @@ def test_adaptive_and_clahe_run_on_small_images(scan):
     assert (np.diff(flat[0]) > 0).all() and flat.max() == 255
 
 
+def brute_clahe(image, clip, t):
+    """Whole lookup tables of 256 entries per tile, pixel by pixel."""
+    h, w = image.shape
+    th_, tw = -(-h // t), -(-w // t)
+    wide = np.pad(image, ((0, th_ * t - h), (0, tw * t - w)), "reflect")
+    luts = {}
+    for ty in range(t):
+        for tx in range(t):
+            n = np.bincount(wide[ty * th_:(ty + 1) * th_, tx * tw:(tx + 1) * tw].ravel(), minlength=256)
+            kept = np.minimum(n, max(1, int(clip * th_ * tw / 256)))
+            excess = int((n - kept).sum())
+            rest, step = excess % 256, max(256 // max(excess % 256, 1), 1)
+            v = np.arange(256)
+            luts[ty, tx] = np.minimum(255, np.rint((np.cumsum(kept) + excess // 256 * (v + 1) + np.minimum(rest, v // step + 1)) * (255.0 / (th_ * tw))))
+    out = np.zeros_like(image)
+    for y in range(h):
+        for x in range(w):
+            fy, fx = y / th_ - 0.5, x / tw - 0.5
+            ty, tx = int(np.floor(fy)), int(np.floor(fx))
+            at = lambda a, b: luts[min(max(a, 0), t - 1), min(max(b, 0), t - 1)][image[y, x]]
+            rows = [at(a, tx) * (1 - (fx - tx)) + at(a, tx + 1) * (fx - tx) for a in (ty, ty + 1)]
+            out[y, x] = int(np.floor(rows[0] * (1 - (fy - ty)) + rows[1] * (fy - ty) + 0.5))
+    return out
+
+
+def test_clahe_tables_take_no_more_than_the_pixels(scan, monkeypatch):
+    """Lookup tables hold the values that occur in a tile only, and in a sliced join a small image takes one copy of them."""
+    rng = np.random.default_rng(8)
+    images = {i: rng.integers(0, 256, (24, 31)) ** (i + 1) % 256 for i in range(2)} | {2: np.full((24, 31), 9), 3: rng.integers(0, 4, (17, 40)) * 80}
+    sizes, real = [], filters.materialize
+
+    def sized(df, **metrics):
+        out = real(df, **metrics)
+        sizes.append(workspace.table_bytes(out))
+        return out
+
+    monkeypatch.setattr(filters, "materialize", sized)
+    for limit, step in ((None, None), (0, 4096), (0, 5)):
+        if limit is not None:
+            monkeypatch.setattr(workspace, "BROADCAST_BYTES", limit)
+            monkeypatch.setattr(workspace, "SLICE_ROWS", step)
+        for i, got in arrays(filters.clahe(scan(images), 2.0, 4)).items():
+            assert (got == brute_clahe(images[i], 2.0, 4)).all()
+    assert sizes[0] < 4 * (24 * 32 * 32 + 4 * 64)
+
+
 def test_meta_and_picks(spark, scan):
     rows = scan(random_images())
     assert th.threshold_meta(rows, ThresholdParams()).columns == ["image_id", "method", "polarity"]
