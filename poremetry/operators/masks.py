@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poremetry.functions.rows import RUNS_TYPE, bind, complement_runs, merge_segments, runs_of_bits
-from poremetry.operators.components import NODE, explode_runs, label_runs, parts_where
+from poremetry.operators.components import NODE, explode_runs, label_runs, labelled_rows, parts_where
 from poremetry.operators.filters import odd_kernel
 from poremetry.operators.neighbours import band_rows, bundle
 from poremetry.workspace import attach, materialize
@@ -33,10 +33,25 @@ def mask_of_segments(rows: DataFrame, fg: Column) -> DataFrame:
     ).select("image_id", "height", "width", "y", merge_segments(F.col("s")).alias("runs"))
 
 
-def flip_components(mask: DataFrame, layer: int, connectivity: int, condition: Column, band_pixels: int | None = None) -> DataFrame:
-    """Turn the components of one layer that meet ``condition`` (on area, touches_border) into the other layer."""
+def flip_components(mask: DataFrame, layer: int, connectivity: int, condition, band_pixels: int | None = None) -> DataFrame:
+    """Turn the components of one layer that meet ``condition(area, touches_border)`` into the other layer.
+
+    Images of one band are solved in one grouped step that returns whole rows; only taller ones are labelled across bands and gathered again.
+    """
+    one = F.col("height") <= band_rows(F.col("height"), F.col("width"), pixels=band_pixels)
+    mask = materialize(mask.select(F.col("image_id").cast("bigint"), *[F.col(c).cast("int") for c in ("height", "width", "y")], "runs"), tall=F.max(~one))
+    tall = mask.metrics["tall"]
+    rows = labelled_rows(mask.where(one) if tall else mask, layer == BG, connectivity, band_pixels)
+    kept = F.transform(F.filter("pieces", lambda p: ~condition(p["area"], p["touches_border"])),
+                       lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1")))
+    small = rows.select("image_id", "height", "width", "y", (kept if layer == FG else bind(kept, lambda k: complement_runs(k, F.col("width")))).alias("runs"))
+    return small.unionByName(_flipped_across(mask.where(~one), layer, connectivity, condition, band_pixels)) if tall else small
+
+
+def _flipped_across(mask: DataFrame, layer: int, connectivity: int, condition, band_pixels: int | None) -> DataFrame:
+    """``flip_components`` of images with several bands."""
     labelled = label_runs(segments(mask).where(F.col("layer") == layer), connectivity, band_pixels)
-    flips = parts_where(labelled, condition).withColumn("flip", F.lit(True))
+    flips = parts_where(labelled, condition(F.col("area"), F.col("touches_border"))).withColumn("flip", F.lit(True))
     marked = labelled.join(flips, [*NODE, "part"], "left").select(
         "image_id", "height", "width", "y", "x0", "x1",
         (F.col("flip").isNull() == F.lit(layer == FG)).alias("fg"))
@@ -47,28 +62,30 @@ def flip_components(mask: DataFrame, layer: int, connectivity: int, condition: C
 
 def fill_holes(mask: DataFrame, band_pixels: int | None = None) -> DataFrame:
     """Background that is not 4-connected to the frame becomes foreground."""
-    return flip_components(mask, BG, 4, ~F.col("touches_border"), band_pixels)
+    return flip_components(mask, BG, 4, lambda area, edge: ~edge, band_pixels)
 
 
 def remove_small(mask: DataFrame, min_area: int, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
     """Drop components with fewer than ``min_area`` pixels; no-op for ``min_area`` <= 1."""
     if min_area <= 1:
         return mask
-    return flip_components(mask, FG, connectivity, F.col("area") < min_area, band_pixels)
+    return flip_components(mask, FG, connectivity, lambda area, edge: area < min_area, band_pixels)
 
 
 def clear_border(mask: DataFrame, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
     """Drop components that touch the frame."""
-    return flip_components(mask, FG, connectivity, F.col("touches_border"), band_pixels)
+    return flip_components(mask, FG, connectivity, lambda area, edge: edge, band_pixels)
 
 
 def clean(mask: DataFrame, min_area: int, border: bool, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
     """``remove_small`` then ``clear_border`` with one labelling: neither step splits or joins other components."""
-    drop = (F.col("area") < min_area) if min_area > 1 else F.lit(False)
-    if border:
-        drop = drop | F.col("touches_border")
-    elif min_area <= 1:
+    if min_area <= 1 and not border:
         return mask
+
+    def drop(area: Column, edge: Column) -> Column:
+        small = (area < min_area) if min_area > 1 else F.lit(False)
+        return small | edge if border else small
+
     return flip_components(mask, FG, connectivity, drop, band_pixels)
 
 
@@ -76,15 +93,14 @@ def remove_islands(mask: DataFrame, min_island: int, connectivity: int = 8, spar
     """Drop foreground islands smaller than ``min_island``, optionally sparing those at the frame."""
     if min_island <= 0:
         return mask
-    small = F.col("area") < min_island
-    return flip_components(mask, FG, connectivity, small & ~F.col("touches_border") if spare_border else small)
+    return flip_components(mask, FG, connectivity, lambda area, edge: (area < min_island) & ~edge if spare_border else area < min_island)
 
 
 def fill_small_holes(mask: DataFrame, max_hole: int, connectivity: int = 8) -> DataFrame:
     """Background components away from the frame and smaller than ``max_hole`` become foreground."""
     if max_hole <= 0:
         return mask
-    return flip_components(mask, BG, connectivity, ~F.col("touches_border") & (F.col("area") < max_hole))
+    return flip_components(mask, BG, connectivity, lambda area, edge: ~edge & (area < max_hole))
 
 
 def process_islands(mask: DataFrame, min_island: int, max_hole: int, connectivity: int = 8, spare_border: bool = False) -> DataFrame:
@@ -99,6 +115,7 @@ def flood(mask: DataFrame, seeds: DataFrame, add: bool, connectivity: int = 8, b
     each other's components, so all seeds of a call are applied together.
     """
     layer = BG if add else FG
+    mask = materialize(mask)
     labelled = label_runs(segments(mask).where(F.col("layer") == layer), connectivity, band_pixels)
     points = seeds.select("image_id", "y", F.col("x").alias("seed_x")).distinct()
     hit = (

@@ -173,6 +173,24 @@ def test_many_edits_of_one_spot(spark, mask):
     assert (bits(edits.replay(mask({0: base}), events.where("seq < 0")))[0] == base).all()
 
 
+def test_small_images_are_gathered_once(mask, monkeypatch):
+    """Images of one band are flipped and numbered in the step that labels them; beside a tall image they still are."""
+    images = {i: noise(i, (14, 11), 0.55) for i in range(4)} | {9: noise(9, (60, 11), 0.55)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    only_small = {i: images[i] for i in range(4)}
+    for got in (masks.fill_holes(mask(only_small)), masks.clear_border(mask(only_small)), cc.components(mask(only_small), 8)):
+        assert "Join" not in plan(got)
+    for pixels in (14 * 11, 14 * 11 * 2, None):
+        filled, cleared = bits(masks.fill_holes(mask(images), pixels)), bits(masks.clear_border(mask(images), 4, pixels))
+        found = label_arrays(cc.components(mask(images), 8, pixels), {i: a.shape for i, a in images.items()})
+        for i, image in images.items():
+            edge = lambda labels: set(labels[0]) | set(labels[-1]) | set(labels[:, 0]) | set(labels[:, -1])
+            outside, pores = brute_components(~image, 4), brute_components(image, 4)
+            assert (filled[i] == ~np.isin(outside, list(edge(outside) - {0}))).all()
+            assert (cleared.get(i, image & False) == (image & ~np.isin(pores, list(edge(pores) - {0})))).all()
+            assert (found[i] == brute_components(image, 8)).all()
+
+
 def test_sliced_join_equals_broadcast(mask, monkeypatch):
     images = {i: noise(i, (20, 20), 0.5) for i in range(3)}
     whole = bits(geometry.crop_batch(mask(images), rect=(3, 2, 15, 11)))
