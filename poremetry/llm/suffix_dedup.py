@@ -2,8 +2,8 @@
 
 Two equal strings of ``length`` bytes choose the same anchor inside them (the ``GRAM`` bytes of smallest hash), so text is cut into
 pieces of neighbouring windows with one anchor, and the anchor's hash names the bucket where all windows with that content meet. A
-bucket sorts its distinct pieces shard by shard (Larsson-Sadakane refinement), reads off equal windows from Kasai's common prefixes, and
-merges the shards' sorted window lists by binary search.
+bucket sorts its distinct pieces shard by shard (Larsson-Sadakane refinement) and reads off equal windows from Kasai's common prefixes.
+Shards hold whole families (pieces with one anchor); the sorted window lists of a family that is larger are merged by binary search.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ BATCH_BYTES = 8 << 20  # text whose pieces a task packs together
 STEP_BYTES = 1 << 20  # text that is cut into pieces at once; longer documents are cut in several steps
 BUCKET_BYTES = 12 << 20  # pieces of an average bucket; there are as many buckets as the input needs
 SHARD_BYTES = 1 << 20  # pieces whose suffixes are sorted together
+FILL_PIECES = 8192  # pieces that are laid out at once for comparison
 LANES = 4096  # places where Kasai's scan goes on at once
 SAMPLE_SHARE = 32  # one row in so many decides which anchors count as common (this moves work, not results)
 COMMON_ANCHORS = 2000  # at most so many common anchors; an anchor is common from this part of all pieces on
@@ -112,8 +113,10 @@ def names(text: np.ndarray, starts: np.ndarray, offset: np.ndarray, length: int)
 def equal_pieces(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
     """(one place of every distinct piece, number of its distinct piece for every piece); compares all bytes."""
     table = np.zeros((len(starts), widest + 1), np.uint8)
-    rows = np.repeat(np.arange(len(starts)), sizes)
-    table[rows, spread_ranges(np.zeros(len(starts), np.int64), sizes)] = text[spread_ranges(starts, sizes)]
+    for lo in range(0, len(starts), FILL_PIECES):
+        first, bytes_ = starts[lo:lo + FILL_PIECES], sizes[lo:lo + FILL_PIECES]
+        rows = np.repeat(np.arange(lo, lo + len(first)), bytes_)
+        table[rows, spread_ranges(np.zeros(len(first), np.int64), bytes_)] = text[spread_ranges(first, bytes_)]
     table[:, widest] = sizes - sizes.min() + 1 if len(sizes) else 0
     _, place, group = np.unique(table.view(f"S{widest + 1}").ravel(), return_index=True, return_inverse=True)
     return place, group
@@ -229,6 +232,14 @@ def in_shards(sizes: np.ndarray) -> Iterator[np.ndarray]:
         yield np.arange(lo, hi)
 
 
+def whole_families(family: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the pieces in parts of about SHARD_BYTES that hold whole families (pieces of one name); others share no window."""
+    order = np.argsort(family, kind="stable")
+    head = np.append(True, family[order[1:]] != family[order[:-1]])
+    part = ((np.cumsum(sizes[order]) - sizes[order])[head] // SHARD_BYTES)[np.cumsum(head) - 1]
+    yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
 def may_share(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     """Whether a piece has a window whose hash comes twice. The others cannot share a window and need no sorting."""
     sizes = counts + length - 1
@@ -272,6 +283,17 @@ def smallest_documents(text: np.ndarray, starts: np.ndarray, counts: np.ndarray,
     return np.concatenate([least[np.searchsorted(merged, lists)[number]] for number, lists in parts] or [least])
 
 
+def lost_runs(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window, bytes) of the runs of windows that a document smaller than the piece's own, ``least``, has."""
+    lost = smallest_documents(text, starts, counts, least, length) < np.repeat(least, counts)
+    number = np.repeat(np.arange(len(counts)), counts)
+    offset = spread_ranges(np.zeros(len(counts), np.int64), counts)
+    other = number[1:] != number[:-1]
+    opens = lost & np.append(True, ~lost[:-1] | other)
+    closes = lost & np.append(~lost[1:] | other, True)
+    return number[opens], offset[opens], offset[closes] - offset[opens] + length
+
+
 class Codec:
     """Compression with a dictionary of sampled text, as the packed values are small."""
 
@@ -380,16 +402,17 @@ def resolve(blobs: list[bytes], length: int, codec: Codec) -> tuple[np.ndarray,
         # Anchors with several distinct pieces: their windows are compared.
         family = group[chosen[place]]
         open_ = np.flatnonzero(np.bincount(family, minlength=top)[family] > 1)
-        if len(open_):
-            open_ = open_[may_share(text, starts[chosen[place[open_]]], count[open_], length)]
-        if len(open_):
-            best = smallest_documents(text, starts[chosen[place[open_]]], count[open_], least[open_], length)
-            lost = best < np.repeat(least[open_], count[open_])
-            number = np.repeat(np.arange(len(open_)), count[open_])
-            offset = spread_ranges(np.zeros(len(open_), np.int64), count[open_])
-            opens = lost & np.append(True, ~lost[:-1] | (number[1:] != number[:-1]))
-            closes = lost & np.append(~lost[1:] | (number[1:] != number[:-1]), True)
-            run_piece, run_at, run_size = open_[number[opens]], offset[opens], offset[closes] - offset[opens] + length
+        found = []
+        for part in whole_families(family[open_], count[open_] + length - 1) if len(open_) else []:
+            part = open_[part]
+            part = part[may_share(text, starts[chosen[place[part]]], count[part], length)]
+            if len(part):
+                number, run_at, run_size = lost_runs(text, starts[chosen[place[part]]], count[part], least[part], length)
+                found.append((part[number], run_at, run_size))
+        if found:
+            run_piece, run_at, run_size = (np.concatenate(c) for c in zip(*found))
+            by = np.argsort(run_piece, kind="stable")
+            run_piece, run_at, run_size = run_piece[by], run_at[by], run_size[by]
             runs = np.bincount(run_piece, minlength=len(place))
             first = np.cumsum(runs) - runs
             many = runs[which]

@@ -125,3 +125,20 @@ def test_odd_rows(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
     shown = spark.createDataFrame([("a" * 60, 2), ("a" * 60, 1)], "body string, nr int")
     assert {(r.doc_id, r.n_removed) for r in sd.remove_repeats(shown, doc_id="nr", text="body").collect()} == {(1, 0), (2, 60)}
+
+
+def test_resolving_takes_few_bytes_per_byte_of_pieces():
+    import tracemalloc
+
+    pick = random.Random(5)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9))) for _ in range(3000)]
+    docs = [(i, 0, 0, " ".join(pick.choices(words, k=400)).encode()) for i in range(1200)]
+    docs += [(i + 5000, 0, 0, t[:900] + b" x " + t[900:1500] + b" y " + t[1500:]) for i, _, _, t in docs]
+    codec = sd.Codec()
+    blobs = [packed for lo in range(0, len(docs), 600) for _, packed in sd.batch_pieces(docs[lo:lo + 600], 50, 1, np.zeros(0, np.uint64), codec)]
+    pieces = sum(len(codec.unpack(b, **sd.KINDS)[0]) for b in blobs)
+    tracemalloc.start()
+    doc, _, _, _ = sd.resolve(blobs, 50, codec)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(doc) and peak < 15 * pieces, (peak, pieces)
