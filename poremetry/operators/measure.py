@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poremetry.functions.rows import bind, bits_of_runs
-from poremetry.operators.components import label_runs as label_components
+from poremetry.operators.components import label_runs as label_components, smallest_reachable, touching_runs
+from poremetry.operators.neighbours import BAND_PIXELS, bundle, by_size
 from poremetry.workspace import attach, materialize
 
 # The columns of the pore table, in export order.
@@ -35,12 +39,16 @@ def basic_measures(runs: DataFrame) -> DataFrame:
         F.sum(n).alias("area_px"),
         F.sum((F.col("x0") + F.col("x1") - 1) * n).alias("twice_sum_x"), F.sum(F.col("y") * n).alias("sum_y"),
         F.min("x0").alias("bbox_x0"), F.min("y").alias("bbox_y0"), F.max("x1").alias("bbox_x1"), (F.max("y") + 1).alias("bbox_y1"),
-    ).select(
-        *PORE, "area_px",
+    ).select(*PORE, *_from_sums())
+
+
+def _from_sums() -> list[Column]:
+    return [
+        F.col("area_px"),
         (F.col("twice_sum_x") / 2 / F.col("area_px")).alias("centroid_x"), (F.col("sum_y") / F.col("area_px")).alias("centroid_y"),
-        "bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1",
+        *[F.col(c) for c in ("bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1")],
         ((F.col("bbox_x0") == 0) | (F.col("bbox_y0") == 0) | (F.col("bbox_x1") >= F.col("width"))
-         | (F.col("bbox_y1") >= F.col("height"))).alias("touches_border"))
+         | (F.col("bbox_y1") >= F.col("height"))).alias("touches_border")]
 
 
 def label_rows(runs: DataFrame) -> DataFrame:
@@ -178,9 +186,12 @@ def outline_moments(points: DataFrame) -> DataFrame:
 
     per_tile = local.groupBy(*PORE, "tx", "ty").agg(
         *[F.expr("sum(" + " * ".join(["w"] + ["u"] * i + ["v"] * j) + f") AS m{i}{j}") for i, j in POWERS])
-    gathered = per_tile.groupBy(*PORE).agg(
-        F.min("tx").alias("ox"), F.min("ty").alias("oy"),
-        F.collect_list(F.struct("tx", "ty", *[f"m{i}{j}" for i, j in POWERS])).alias("tiles"))
+    return moved_tiles(per_tile.groupBy(*PORE).agg(F.collect_list(F.struct("tx", "ty", *[f"m{i}{j}" for i, j in POWERS])).alias("tiles")), PORE)
+
+
+def moved_tiles(gathered: DataFrame, keep: list[str]) -> DataFrame:
+    """The sums of a label's ``tiles``, moved to its origin (ox, oy) and added; columns named in ``keep`` stay."""
+    gathered = gathered.withColumn("ox", F.array_min("tiles.tx")).withColumn("oy", F.array_min("tiles.ty"))
 
     def moved(i: int, j: int) -> str:
         terms = [" * ".join([f"{comb(i, a) * comb(j, b)} * t.m{a}{b}"] + [f"(t.tx - ox) * {TILE}D"] * (i - a) + [f"(t.ty - oy) * {TILE}D"] * (j - b))
@@ -188,7 +199,7 @@ def outline_moments(points: DataFrame) -> DataFrame:
         return f"CASE WHEN size(tiles) = 1 THEN tiles[0].m{i}{j} ELSE aggregate(tiles, 0D, (acc, t) -> acc + {' + '.join(terms)}) END AS m{i}{j}"
 
     return gathered.select(
-        *PORE, (F.col("ox") * TILE + TILE // 2).alias("ox"), (F.col("oy") * TILE + TILE // 2).alias("oy"),
+        *keep, (F.col("ox") * TILE + TILE // 2).alias("ox"), (F.col("oy") * TILE + TILE // 2).alias("oy"),
         *[F.expr(moved(i, j)) for i, j in POWERS])
 
 
@@ -241,15 +252,18 @@ def fit_ellipses(moments: np.ndarray) -> np.ndarray:
     return np.stack([major, minor, angle], -1)
 
 
-def axes(moments: DataFrame) -> DataFrame:
-    """(image_id, label, major_axis_px, minor_axis_px, orientation_deg).
+def axes(moments: DataFrame, keep: list[str] = PORE) -> DataFrame:
+    """(image_id, label, major_axis_px, minor_axis_px, orientation_deg); columns named in ``keep`` stay.
 
     Five or more outline points: least-squares ellipse. Two to four, or no proper ellipse: covariance of the points.
     One point: NULL.
     """
     @F.pandas_udf("major double, minor double, angle double")
     def ellipse(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fit_ellipses(rows.to_numpy(dtype=float)), columns=["major", "minor", "angle"])
+        values = rows.to_numpy(dtype=float)
+        found, enough = np.full((len(values), 3), np.nan), values[:, 0] >= 5
+        found[enough] = fit_ellipses(values[enough])
+        return pd.DataFrame(found, columns=["major", "minor", "angle"])
 
     names = [f"m{i}{j}" for i, j in POWERS]
     n = F.col("m00")
@@ -257,7 +271,7 @@ def axes(moments: DataFrame) -> DataFrame:
     fitted = moments.withColumn("few", few).withColumn("fit", ellipse(F.struct(*names)))
     use_fit = (n >= 5) & F.col("fit.major").isNotNull() & ~F.isnan("fit.major") & ~F.isnan("fit.minor")
     part = lambda name: F.when(n >= 2, F.when(use_fit, F.col(f"fit.{name}")).otherwise(F.col(f"few.{name}")))
-    return fitted.select(*PORE, part("major").alias("major_axis_px"), part("minor").alias("minor_axis_px"),
+    return fitted.select(*keep, part("major").alias("major_axis_px"), part("minor").alias("minor_axis_px"),
                          part("angle").alias("orientation_deg"))
 
 
@@ -351,6 +365,203 @@ def ferets(runs: DataFrame, slab: int = SLAB) -> DataFrame:
     return measured.select(*PORE, F.col("f.longest").alias("feret_max_px"), F.col("f.shortest").alias("feret_min_px"))
 
 
+# Images of one band: the pores of several images are measured in one grouped Arrow step.
+
+MOMENTS = [f"m{i}{j}" for i, j in POWERS]
+FACTS = {
+    "sums": "height int, width int, area_px bigint, twice_sum_x bigint, sum_y bigint, bbox_x0 int, bbox_y0 int, bbox_x1 int, bbox_y1 int",
+    "steps": "straight bigint, slanted bigint",
+    "tiles": f"tiles array<struct<tx:int,ty:int,{','.join(f'{m}:double' for m in MOMENTS)}>>",
+    "ferets": "feret_max_px double, feret_min_px double",
+}
+
+
+def _in_bundles(runs: DataFrame, step: Callable[[pa.Table], pa.Table], schema: str, band_pixels: int | None) -> DataFrame:
+    grouped = runs.select("image_id", "label", "y", "x0", "x1", *FRAME, bundle(band_pixels).alias("_bundle")).groupBy(*FRAME, "_bundle")
+    kind = runs.schema["label"].dataType.simpleString()
+    return grouped.applyInArrow(lambda key, table: step(table), f"image_id bigint, label {kind}, {schema}")
+
+
+def _sorted_runs(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image_id, label, height and width of every pore; first run of every pore; pore, y, x0, x1 of the runs in order)."""
+    image, label, y, x0, x1 = (table.column(c).to_numpy() for c in ("image_id", "label", "y", "x0", "x1"))
+    order = np.lexsort((x0, y, label, image))
+    image, label = image[order], label[order]
+    y, x0, x1 = (v[order].astype(np.int64) for v in (y, x0, x1))
+    new = np.append(True, (image[1:] != image[:-1]) | (label[1:] != label[:-1]))
+    head = np.flatnonzero(new)
+    return table.select([*PORE, *FRAME]).take(pa.array(order[head])), head, np.cumsum(new) - 1, y, x0, x1
+
+
+def without_holes(pore: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted runs with enclosed background filled, pore by pore; the same gaps as in ``filled_rows``."""
+    new = np.append(True, (pore[1:] != pore[:-1]) | (y[1:] != y[:-1]))
+    gap = np.flatnonzero(~new)  # gaps are numbered by the run behind them
+    if len(gap):
+        heads = np.flatnonzero(new)
+        first, last = x0[heads], x1[np.append(heads[1:], len(y)) - 1]
+        row, g0, g1 = (np.cumsum(new) - 1)[gap], x1[gap - 1], x0[gap]
+        leak = np.zeros(len(gap), bool)
+        for step in (-1, 1):
+            near = (row + step).clip(0, len(heads) - 1)
+            leak |= (pore[heads[near]] != pore[gap]) | (y[heads[near]] != y[gap] + step) | (first[near] > g0) | (last[near] < g1)
+        root = smallest_reachable(len(gap), *touching_runs(pore[gap], y[gap], g0, g1, 0))
+        leaks = np.zeros(len(gap), bool)
+        leaks[root[leak]] = True
+        new[gap] = leaks[root]
+    start = np.flatnonzero(new)
+    return pore[start], y[start], x0[start], x1[np.append(start[1:], len(y)) - 1]
+
+
+def step_counts(pores: int, pore: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(straight, slanted) of every pore, from the pairs of runs on neighbouring rows that overlap or touch at a corner."""
+    i, j = touching_runs(pore, y, x0, x1, 1)
+    shared = np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j])
+    over = shared > 0
+    count = lambda at, n: np.bincount(at, n, pores).astype(np.int64)
+    three = count(pore[i], np.where(over, (x0[i] != x0[j]).astype(np.int64) + (x1[i] != x1[j]), 0))
+    straight = count(pore, 2 * (x1 - x0 - 1)) + count(pore[i], np.where(over, 2 * shared - 4 * (shared - 1), 0)) - 2 * three
+    return straight, three + 2 * count(pore[i], ~over)
+
+
+def points_of_runs(pore: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pore, y, x, visits) of the outline pixels of filled pores, as in ``outline_points``; some pores at a time.
+
+    Every pore is drawn in a box of its own with an empty frame; boxes of about BAND_PIXELS cells are laid end to end.
+    """
+    head = np.flatnonzero(np.append(True, pore[1:] != pore[:-1]))
+    tail = np.append(head[1:], len(pore))
+    top, left = y[head], np.minimum.reduceat(x0, head)
+    stride = np.maximum.reduceat(x1, head) - left + 2
+    cells = (y[tail - 1] - top + 3) * stride
+    part = (np.cumsum(cells) - cells) // BAND_PIXELS
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(head))):
+        mine = slice(head[lo], tail[hi - 1])
+        box = np.repeat(np.arange(lo, hi), (tail - head)[lo:hi])
+        base = np.append(0, np.cumsum(cells[lo:hi]))
+        n = x1[mine] - x0[mine]
+        first = base[box - lo] + (y[mine] - top[box] + 1) * stride[box] + x0[mine] - left[box] + 1
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, s = np.repeat(first, n) + within, np.repeat(stride[box], n)
+        bits = np.zeros(base[-1], bool)
+        bits[at] = True
+        beside, ends, near = {}, np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        for sy in (-1, 0, 1):
+            for sx in (-1, 0, 1):
+                beside[sy, sx] = bits[at + sy * s + sx]
+                if sy or sx:
+                    near |= beside[sy, sx]
+        for sy in (-1, 1):
+            for sx in (-1, 1):
+                h, v = beside[0, sx], beside[sy, 0]
+                ends += (h != v) + 2 * (~h & ~v & beside[sy, sx])
+        ends[~near] = 2
+        seen = np.flatnonzero(ends)
+        yield np.repeat(pore[mine], n)[seen], np.repeat(y[mine], n)[seen], (np.repeat(x0[mine], n) + within)[seen], ends[seen] // 2
+
+
+def tile_sums(pores: int, points: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """The tiles of every pore: sums of visits * x^i * y^j around the tiles' centres."""
+    keys, sums = [], []
+    for pore, y, x, visits in points:
+        tx, ty = x // TILE, y // TILE
+        order = np.lexsort((ty, tx, pore))
+        pore, tx, ty = pore[order], tx[order], ty[order]
+        u, v, w = (a[order].astype(float) for a in (x - x // TILE * TILE - TILE // 2, y - y // TILE * TILE - TILE // 2, visits))
+        head = np.flatnonzero(np.append(True, (pore[1:] != pore[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])))
+        keys.append((pore[head], tx[head], ty[head]))
+        sums.append([np.add.reduceat(w * u ** i * v ** j, head) for i, j in POWERS])
+    pore, tx, ty = (np.concatenate(c) for c in zip(*keys))
+    fields = [pa.array(tx.astype(np.int32)), pa.array(ty.astype(np.int32)), *[pa.array(np.concatenate(c)) for c in zip(*sums)]]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pore, np.arange(pores + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["tx", "ty", *MOMENTS]))
+
+
+@lru_cache(maxsize=1 << 16)
+def _shape_ferets(rows: int, shape: bytes) -> tuple[float, float]:
+    return calipers(row_hull(*np.frombuffer(shape, np.int32).reshape(3, rows).astype(np.int64)))
+
+
+def shape_ferets(pore: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longest, shorter side) of every pore by the extremes of its rows; NaN for one pixel.
+
+    Small pores have few different shapes: one that was measured before, wherever it lay, is not measured again.
+    """
+    head = np.flatnonzero(np.append(True, pore[1:] != pore[:-1]))
+    rows = np.diff(np.append(head, len(pore)))
+    left = np.repeat(np.minimum.reduceat(lo, head), rows)
+    lines = np.stack([y - np.repeat(y[head], rows), lo - left, hi - left]).astype(np.int32)
+    found = np.full((len(head), 2), np.nan)
+    for count in np.unique(rows):
+        mine = np.flatnonzero(rows == count)
+        shapes = np.ascontiguousarray(lines[:, head[mine][:, None] + np.arange(count)].transpose(1, 0, 2).reshape(len(mine), 3 * count))
+        kinds, which = np.unique(shapes.view(f"V{shapes.itemsize * shapes.shape[1]}").ravel(), return_inverse=True)
+        known = [(np.nan, np.nan) if count == 1 and not any(k.tobytes()) else _shape_ferets(int(count), k.tobytes()) for k in kinds]
+        found[mine] = np.array(known)[which]
+    return found[:, 0], found[:, 1]
+
+
+def _facts(table: pa.Table, want: tuple[str, ...]) -> pa.Table:
+    """The wanted columns of FACTS for the pores of several small images."""
+    pores, head, pore, y, x0, x1 = _sorted_runs(table)
+    tail = np.append(head[1:], len(y)) - 1
+    out = {c: pores.column(c) for c in PORE}
+    if "sums" in want:
+        n = x1 - x0
+        whole = lambda values: np.add.reduceat(values, head)
+        short = lambda values: pa.array(values.astype(np.int32))
+        out |= {c: pores.column(c) for c in FRAME}
+        out |= {"area_px": whole(n), "twice_sum_x": whole((x0 + x1 - 1) * n), "sum_y": whole(y * n),
+                "bbox_x0": short(np.minimum.reduceat(x0, head)), "bbox_y0": short(y[head]),
+                "bbox_x1": short(np.maximum.reduceat(x1, head)), "bbox_y1": short(y[tail] + 1)}
+    if "steps" in want or "tiles" in want:
+        filled = without_holes(pore, y, x0, x1)
+        if "steps" in want:
+            out["straight"], out["slanted"] = step_counts(len(head), *filled)
+        if "tiles" in want:
+            out["tiles"] = tile_sums(len(head), points_of_runs(*filled))
+    if "ferets" in want:
+        row = np.flatnonzero(np.append(True, (pore[1:] != pore[:-1]) | (y[1:] != y[:-1])))
+        longest, shortest = shape_ferets(pore[row], y[row], x0[row], x1[np.append(row[1:], len(y)) - 1] - 1)
+        none = np.isnan(longest)
+        out |= {"feret_max_px": pa.array(longest, mask=none), "feret_min_px": pa.array(shortest, mask=none)}
+    return pa.table(out)
+
+
+def pore_facts(runs: DataFrame, want: list[str], band_pixels: int | None = None) -> DataFrame:
+    """Columns of FACTS for the pores of images of one band, from their label runs."""
+    wanted = tuple(k for k in FACTS if k in want)
+    return _in_bundles(runs, lambda table: _facts(table, wanted), ", ".join(FACTS[k] for k in wanted), band_pixels)
+
+
+def pore_steps(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
+    """``outline_steps`` of the filled pores of written label runs."""
+    return by_size(runs, lambda r: pore_facts(r, ["steps"], band_pixels), lambda r: outline_steps(materialize(filled_rows(r))), band_pixels)
+
+
+def pore_moments(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
+    """``outline_moments`` of the filled pores of written label runs."""
+    return by_size(runs, lambda r: moved_tiles(pore_facts(r, ["tiles"], band_pixels), PORE),
+                   lambda r: outline_moments(outline_points(materialize(filled_rows(r)))), band_pixels)
+
+
+def pore_points(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
+    """``outline_points`` of the filled pores of written label runs."""
+    def step(table: pa.Table) -> pa.Table:
+        pores, _, *sorted_runs = _sorted_runs(table)
+        pore, y, x, visits = (np.concatenate(c) for c in zip(*points_of_runs(*without_holes(*sorted_runs))))
+        keys = pores.select(PORE).take(pa.array(pore))
+        return keys.append_column("y", pa.array(y.astype(np.int32))).append_column("x", pa.array(x.astype(np.int32))).append_column("visits", pa.array(visits))
+
+    return by_size(runs, lambda r: _in_bundles(r, step, "y int, x int, visits bigint", band_pixels),
+                   lambda r: outline_points(materialize(filled_rows(r))), band_pixels)
+
+
+def pore_ferets(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
+    """``ferets`` of written label runs."""
+    return by_size(runs, lambda r: pore_facts(r, ["ferets"], band_pixels).where("feret_max_px is not null"), ferets, band_pixels)
+
+
 def eq_diameter(area: Column) -> Column:
     return F.sqrt(4.0 * area / F.lit(pi))
 
@@ -381,14 +592,23 @@ def scaled(pores: DataFrame, scales: DataFrame | None) -> DataFrame:
     return pores
 
 
-def measure(runs: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+def measure(runs: DataFrame, scales: DataFrame | None = None, band_pixels: int | None = None) -> DataFrame:
     """The pore table: one row per (image, label) with every measurement."""
-    runs = materialize(runs)
-    filled = materialize(filled_rows(runs))
-    pores = basic_measures(runs)
-    pores = pores.join(perimeters(outline_steps(filled)), PORE, "left")
-    pores = pores.join(axes(outline_moments(outline_points(filled))), PORE, "left")
-    pores = pores.join(ferets(runs), PORE, "left")
+    shape = [*PORE, "area_px", "centroid_x", "centroid_y", "bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1", "touches_border", "perimeter_px", "feret_max_px", "feret_min_px"]
+
+    def small(runs: DataFrame) -> DataFrame:
+        facts = pore_facts(runs, list(FACTS), band_pixels)
+        length = (F.col("straight") + F.lit(sqrt(2)) * F.col("slanted")).alias("perimeter_px")
+        return axes(moved_tiles(facts.select(*PORE, *_from_sums(), length, "feret_max_px", "feret_min_px", "tiles"), shape), shape)
+
+    def tall(runs: DataFrame) -> DataFrame:
+        filled = materialize(filled_rows(runs))
+        pores = basic_measures(runs)
+        pores = pores.join(perimeters(outline_steps(filled)), PORE, "left")
+        pores = pores.join(axes(outline_moments(outline_points(filled))), PORE, "left")
+        return pores.join(ferets(runs), PORE, "left")
+
+    pores = by_size(materialize(runs), small, tall, band_pixels)
     pores = (
         pores.withColumn("eq_diam_px", eq_diameter(F.col("area_px")))
         .withColumn("circularity", circularity(F.col("area_px"), F.col("perimeter_px")))

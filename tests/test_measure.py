@@ -273,3 +273,21 @@ def _edges(pts):
             n = np.array([-e[1], e[0]])
             if e.any() and ((pts - a) @ n >= 0).all():
                 yield e, n
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_pores_of_small_images_are_measured_like_those_of_tall_ones(mask, seed):
+    ring = np.zeros((30, 300), bool)
+    ring[3:27, 4:290] = True
+    ring[6:20, 8:280] = False
+    ring[10:14, 100:200] = True  # a pore inside the hole of another
+    ring[16, 30:33] = ring[17, 33:36] = True
+    images = {i: noise(seed * 10 + i, (14, 19), 0.35 + 0.1 * i) for i in range(4)} | {7: ring, 9: np.zeros((4, 5), bool)}
+    runs = workspace.materialize(cc.components(mask(images), 8))
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    for find in (measure.pore_steps, measure.pore_moments, measure.pore_ferets, measure.pore_points):
+        small, tall = find(runs), find(runs, band_pixels=1)
+        assert small.columns == tall.columns and rows(small) == rows(tall), find.__name__
+    small, tall = measure.measure(runs), measure.measure(runs, band_pixels=1)
+    assert small.schema == tall.schema and rows(small) == rows(tall)
+    assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()  # one grouped step makes all measures of small images
