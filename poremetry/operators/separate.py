@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from poremetry.functions.rows import bind, bits_of_runs, label_runs_of, labels_of_runs, positions, runs_of_bits
 from poremetry.operators import components as cc, filters, masks
-from poremetry.operators.neighbours import BAND_PIXELS, band_rows, bundle, stacked
+from poremetry.operators.neighbours import BAND_PIXELS, band_rows, bundle, by_size, stacked
 from poremetry.workspace import attach, materialize, row_count
 
 SEPARATIONS = ("none", "watershed")
@@ -349,17 +349,155 @@ def markers(mask: DataFrame, params: SeparationParams = SeparationParams()) -> t
     return rows, maxima, cc.components(peaks, params.connectivity)
 
 
+# Images of one band: several are separated in one grouped Arrow step. Arrays are (image, y, x).
+
+
+def _images(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(image ids, foreground) of the mask rows of images of one size."""
+    table = table.take(pa.array(np.lexsort((table.column("y").to_numpy(), table.column("image_id").to_numpy()))))
+    height, width = (table.column(c)[0].as_py() for c in ("height", "width"))
+    runs = table.column("runs").combine_chunks()
+    flat = runs.flatten()
+    row = np.repeat(np.arange(table.num_rows), np.diff(runs.offsets.to_numpy()))
+    turns = np.zeros((table.num_rows, width + 1), np.int32)
+    np.add.at(turns, (row, flat.field("x0").to_numpy()), 1)
+    np.add.at(turns, (row, flat.field("x1").to_numpy()), -1)
+    return table.column("image_id").to_numpy()[::height], (np.cumsum(turns, axis=1)[:, :width] > 0).reshape(-1, height, width)
+
+
+def _distances(inside: np.ndarray, blur_k: int) -> np.ndarray:
+    """``smoothed(distance(mask))``."""
+    n, height, width = inside.shape
+    x = np.arange(width)
+    left = x - np.maximum.accumulate(np.where(inside, -FAR, x), axis=2)
+    right = np.minimum.accumulate(np.where(inside, width + FAR, x)[:, :, ::-1], axis=2)[:, :, ::-1] - x
+    along = np.minimum(np.minimum(left, right), FAR).astype(np.int64)
+    best = nearest_in_columns((along * along).transpose(1, 0, 2).reshape(height, -1)).reshape(height, n, width).transpose(1, 0, 2)
+    d = np.sqrt(np.minimum(best, (height + width) ** 2).astype(np.float64))
+    if blur_k and blur_k >= 3:
+        weights = filters.gaussian_weights(filters.odd_kernel(blur_k))
+        reach = len(weights) // 2
+        for axis, size in ((2, width), (1, height)):
+            wide = np.take(d, filters.places_inside(np.arange(-reach, size + reach), size, "reflect"), axis)
+            d = sum(np.take(wide, np.arange(i, i + size), axis) * w for i, w in enumerate(weights))
+    return d
+
+
+def _widest(d: np.ndarray, k: int) -> np.ndarray:
+    """Largest value in the elliptical k x k neighbourhood inside the frame, as ``filters.dilate_ellipse``."""
+    if k == 1:
+        return d
+    height, width = d.shape[1:]
+    spans, c = filters.ellipse_reach(k), k // 2
+    out, along = np.full(d.shape, -np.inf), {}
+    for dy, lo, hi in spans:
+        if (lo, hi) not in along:
+            v, have, size = np.pad(d, ((0, 0), (0, 0), (c, k)), constant_values=-np.inf), 1, hi - lo + 1
+            while have < size:
+                more = min(have, size - have)
+                v = np.maximum(v[:, :, :-more], v[:, :, more:])
+                have += more
+            along[lo, hi] = v[:, :, c + lo:c + lo + width]
+        first, end = max(0, -dy), height - max(0, dy)
+        if first < end:
+            out[:, first:end] = np.maximum(out[:, first:end], along[lo, hi][:, first + dy:end + dy])
+    return out
+
+
+def _marked(d: np.ndarray, params: SeparationParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, x0, x1, label) of the runs of the peaks of ``d``, numbered per image in raster order; rows count through all images."""
+    rel = min(1.0, max(0.0, float(params.peak_rel_threshold)))
+    least = rel * np.maximum(d.max(axis=(1, 2)), 1e-9)
+    peaks = (d == _widest(d, max(1, int(params.peak_min_distance)))) & (d >= least[:, None, None])
+    height, width = d.shape[1:]
+    edge = np.diff(np.pad(peaks.reshape(-1, width), ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, x0), x1 = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    if not len(row):
+        return row, x0, x1, row
+    image = row // height
+    root = cc.smallest_reachable(len(row), *cc.touching_runs(image, row % height, x0, x1, int(params.connectivity == 8)))
+    heads = np.cumsum(root == np.arange(len(root)))
+    return row, x0, x1, heads[root] - heads[np.searchsorted(image, image)] + 1
+
+
+def _flooded(cost: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Keys of whole images, as ``flood``; a closed row stands before every image."""
+    n, height, width = cost.shape
+    place = (np.arange(n)[:, None] * (height + 1) + 1 + np.arange(height)).ravel()
+
+    def frame(values, fill):
+        out = np.full((n * (height + 1) + 1, width + 2), fill, dtype=values.dtype)
+        out[place, 1:-1] = values.reshape(-1, width)
+        return out.ravel()
+
+    start = frame(np.where(seed > 0, cost * LEVEL + seed, UNREACHED), UNREACHED)
+    key = settle(frame(cost, 0), start.copy(), start, np.flatnonzero(start != UNREACHED), frame(np.ones(cost.shape, bool), False), width + 2)
+    return key.reshape(-1, width + 2)[place, 1:-1].reshape(cost.shape)
+
+
+def _separated(table: pa.Table, params: SeparationParams, lines: bool, frame: bool) -> pa.Table:
+    """Label runs of several small images, all of one size."""
+    ids, inside = _images(table)
+    n, height, width = inside.shape
+    d = _distances(inside, params.distance_blur_k)
+    row, x0, x1, number = _marked(d, params)
+    seed = np.zeros((n * height, width), np.int64)
+    size = x1 - x0
+    seed[np.repeat(row, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - x0, size)] = np.repeat(number, size)
+    top = d.max(axis=(1, 2))[:, None, None]
+    norm = np.where(top > 1e-9, d / np.where(top > 1e-9, top, 1.0), 0.0)
+    key = _flooded(255 - np.floor(norm * 255).astype(np.int64), seed.reshape(inside.shape) * inside)
+    label, keep = key % STEP, (key != UNREACHED) & inside
+    if lines:
+        for axis in (1, 2):
+            one, two = [slice(None)] * 3, [slice(None)] * 3
+            one[axis], two[axis] = slice(None, -1), slice(1, None)
+            for here, other in ((tuple(one), tuple(two)), (tuple(two), tuple(one))):
+                keep[here] &= ~((key[other] < key[here]) & (label[other] != label[here]))
+    if frame:
+        keep[:, [0, -1]] = keep[:, :, [0, -1]] = False
+    label = np.pad((label * keep).reshape(-1, width), ((0, 0), (1, 1)))
+    turn = label[:, 1:] != label[:, :-1]
+    (row, x0), x1 = np.nonzero(turn[:, :-1] & (label[:, 1:-1] > 0)), np.nonzero(turn[:, 1:] & (label[:, 1:-1] > 0))[1] + 1
+    return _label_table(ids, height, width, row, x0, x1, label[row, x0 + 1])
+
+
+def _label_table(ids: np.ndarray, height: int, width: int, row: np.ndarray, x0: np.ndarray, x1: np.ndarray, label: np.ndarray) -> pa.Table:
+    short = lambda v: pa.array(v.astype(np.int32))
+    same = lambda v: short(np.full(len(row), v))
+    return pa.table({"image_id": ids[row // height], "height": same(height), "width": same(width), "y": short(row % height),
+                     "x0": short(x0), "x1": short(x1), "label": short(label)})
+
+
+def _per_bundle(mask: DataFrame, step, band_pixels: int | None) -> DataFrame:
+    rows = mask.select("image_id", "height", "width", "y", "runs", bundle(band_pixels).alias("_bundle"))
+    return rows.groupBy("height", "width", "_bundle").applyInArrow(
+        lambda key, table: step(table), "image_id bigint, height int, width int, y int, x0 int, x1 int, label int")
+
+
+def marker_runs(mask: DataFrame, params: SeparationParams = SeparationParams(), band_pixels: int | None = None) -> DataFrame:
+    """Marker label runs of a written mask, inside the whole frame."""
+    def step(table: pa.Table) -> pa.Table:
+        ids, inside = _images(table)
+        return _label_table(ids, *inside.shape[1:], *_marked(_distances(inside, params.distance_blur_k), params))
+
+    return by_size(mask, lambda m: _per_bundle(m, step, band_pixels), lambda m: markers(m, params)[2], band_pixels)
+
+
 def watershed(mask: DataFrame, params: SeparationParams = SeparationParams(), lines: bool = True, frame: bool = True,
               band_pixels: int | None = None) -> DataFrame:
     """Label runs of separated pores.
 
     Markers flood the whole frame, so background is no barrier and a pore without a marker takes the label of a
     neighbour. A mask with any foreground has a marker, since its largest distance always reaches the peak threshold.
+    Images of one band are separated in one grouped step, several at a time; only taller ones pass through bands.
     """
-    mask = materialize(mask)
-    rows, maxima, found = markers(mask, params)
-    flooded = flood(flood_rows(normalised(rows, maxima), found, mask), band_pixels)
-    return foreground_labels(watershed_labels(flooded, lines, frame), mask)
+    def tall(mask: DataFrame) -> DataFrame:
+        rows, maxima, found = markers(mask, params)
+        flooded = flood(flood_rows(normalised(rows, maxima), found, mask), band_pixels)
+        return foreground_labels(watershed_labels(flooded, lines, frame), mask)
+
+    return by_size(materialize(mask), lambda m: _per_bundle(m, lambda table: _separated(table, params, lines, frame), band_pixels), tall, band_pixels)
 
 
 def relabel(label_runs: DataFrame, min_area: int = 0, clear_border: bool = False) -> DataFrame:

@@ -291,3 +291,16 @@ def test_pores_of_small_images_are_measured_like_those_of_tall_ones(mask, seed):
     small, tall = measure.measure(runs), measure.measure(runs, band_pixels=1)
     assert small.schema == tall.schema and rows(small) == rows(tall)
     assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()  # one grouped step makes all measures of small images
+
+
+def test_small_images_are_separated_like_tall_ones(mask):
+    images = {i: noise(50 + i, (9, 13), 0.6 + 0.1 * i) for i in range(3)} | {5: disk((30, 40), 15, 12, 9) | disk((30, 40), 15, 26, 8), 6: np.ones((30, 40), bool),
+                                                                            8: np.zeros((30, 40), bool), 9: noise(60, (1, 13), 0.7)}
+    rows = workspace.materialize(mask(images))
+    found = lambda df: sorted(map(tuple, df.select("image_id", "y", "x0", "x1", "label").collect()))
+    smooth = SeparationParams(peak_min_distance=4)
+    assert found(separate.marker_runs(rows, smooth)) == found(separate.marker_runs(rows, smooth, band_pixels=1))
+    for params, lines in ((smooth, True), (SeparationParams(distance_blur_k=0, peak_min_distance=3, peak_rel_threshold=0.0, connectivity=4), False)):
+        small, tall = (separate.watershed(rows, params, lines, lines, pixels) for pixels in (None, 400))
+        assert small.columns == tall.columns and found(small) == found(tall)
+    assert "Window" not in small._jdf.queryExecution().optimizedPlan().toString()  # one grouped step, no row meets its neighbours by a shuffle
