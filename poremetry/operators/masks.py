@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poremetry.functions.rows import RUNS_TYPE, bind, complement_runs, merge_segments, runs_of_bits
-from poremetry.operators.components import NODE, explode_runs, label_runs, labelled_rows, parts_where
+from poremetry.operators.components import NODE, complement, explode_runs, label_runs, parts_where, root_facts, roots_of, rows_with_runs, sorted_rows
 from poremetry.operators.filters import odd_kernel
 from poremetry.operators.neighbours import band_rows, bundle
 from poremetry.workspace import attach, materialize
@@ -34,18 +34,47 @@ def mask_of_segments(rows: DataFrame, fg: Column) -> DataFrame:
 
 
 def flip_components(mask: DataFrame, layer: int, connectivity: int, condition, band_pixels: int | None = None) -> DataFrame:
-    """Turn the components of one layer that meet ``condition(area, touches_border)`` into the other layer.
+    """Turn the components of one layer that meet ``condition(area, touches_border)`` into the other layer."""
+    return flip_in_turn(mask, [(layer, connectivity, condition)], band_pixels)
 
-    Images of one band are solved in one grouped step that returns whole rows; only taller ones are labelled across bands and gathered again.
+
+def flip_in_turn(mask: DataFrame, flips: list[tuple], band_pixels: int | None = None) -> DataFrame:
+    """Several flips (layer, connectivity, condition) one after the other; a condition is written for columns and arrays alike.
+
+    Images of one band are solved in one grouped step that does all flips and returns whole rows; only taller ones are labelled across bands
+    and gathered again for every flip.
     """
     one = F.col("height") <= band_rows(F.col("height"), F.col("width"), pixels=band_pixels)
     mask = materialize(mask.select(F.col("image_id").cast("bigint"), *[F.col(c).cast("int") for c in ("height", "width", "y")], "runs"), tall=F.max(~one))
-    tall = mask.metrics["tall"]
-    rows = labelled_rows(mask.where(one) if tall else mask, layer == BG, connectivity, band_pixels)
-    kept = F.transform(F.filter("pieces", lambda p: ~condition(p["area"], p["touches_border"])),
-                       lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1")))
-    small = rows.select("image_id", "height", "width", "y", (kept if layer == FG else bind(kept, lambda k: complement_runs(k, F.col("width")))).alias("runs"))
-    return small.unionByName(_flipped_across(mask.where(~one), layer, connectivity, condition, band_pixels)) if tall else small
+    small = _per_bundle(mask.where(one) if mask.metrics["tall"] else mask, lambda table: _flipped(table, flips), band_pixels)
+    if not mask.metrics["tall"]:
+        return small
+    tall = mask.where(~one)
+    for i, (layer, connectivity, condition) in enumerate(flips):
+        tall = _flipped_across(materialize(tall) if i else tall, layer, connectivity, condition, band_pixels)
+    return small.unionByName(tall)
+
+
+def _per_bundle(mask: DataFrame, step, band_pixels: int | None) -> DataFrame:
+    """Mask rows of images of one band, several of one size at a time, through ``step``."""
+    return mask.select("image_id", "height", "width", "y", "runs", bundle(band_pixels).alias("_bundle")).groupBy("height", "width", "_bundle").applyInArrow(
+        lambda key, table: step(table), f"image_id bigint, height int, width int, y int, runs {RUNS_TYPE}")
+
+
+def _flipped(table: pa.Table, flips: list[tuple]) -> pa.Table:
+    """``flip_in_turn`` of several small images, all of one size."""
+    table, row, x0, x1 = sorted_rows(table)
+    image, y = table.column("image_id").to_numpy(), table.column("y").to_numpy().astype(np.int64)
+    height, width, rows = table.column("height")[0].as_py(), table.column("width")[0].as_py(), np.arange(table.num_rows)
+    for layer, connectivity, condition in flips:
+        if layer == BG:
+            row, x0, x1 = complement(row, x0, x1, rows, width)
+        root = roots_of(image[row], y[row], x0, x1, int(connectivity == 8))
+        kept = ~condition(*root_facts(root, y[row], x0, x1, height, width))
+        row, x0, x1 = row[kept], x0[kept], x1[kept]
+        if layer == BG:
+            row, x0, x1 = complement(row, x0, x1, rows, width)
+    return rows_with_runs(table, row, x0, x1)
 
 
 def _flipped_across(mask: DataFrame, layer: int, connectivity: int, condition, band_pixels: int | None) -> DataFrame:
@@ -60,9 +89,12 @@ def _flipped_across(mask: DataFrame, layer: int, connectivity: int, condition, b
     return mask_of_segments(marked.unionByName(other), F.col("fg"))
 
 
+HOLES = (BG, 4, lambda area, edge: ~edge)
+
+
 def fill_holes(mask: DataFrame, band_pixels: int | None = None) -> DataFrame:
     """Background that is not 4-connected to the frame becomes foreground."""
-    return flip_components(mask, BG, 4, lambda area, edge: ~edge, band_pixels)
+    return flip_in_turn(mask, [HOLES], band_pixels)
 
 
 def remove_small(mask: DataFrame, min_area: int, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
@@ -77,16 +109,15 @@ def clear_border(mask: DataFrame, connectivity: int = 8, band_pixels: int | None
     return flip_components(mask, FG, connectivity, lambda area, edge: edge, band_pixels)
 
 
-def clean(mask: DataFrame, min_area: int, border: bool, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
-    """``remove_small`` then ``clear_border`` with one labelling: neither step splits or joins other components."""
-    if min_area <= 1 and not border:
-        return mask
-
-    def drop(area: Column, edge: Column) -> Column:
-        small = (area < min_area) if min_area > 1 else F.lit(False)
-        return small | edge if border else small
+def clean(mask: DataFrame, min_area: int, border: bool, connectivity: int = 8, band_pixels: int | None = None, holes: bool = False) -> DataFrame:
+    """``remove_small`` then ``clear_border`` with one labelling: neither step splits or joins other components. ``holes`` are filled ahead of them."""
+    def drop(area, edge):
+        if min_area > 1:
+            return (area < min_area) | edge if border else area < min_area
+        return edge
 
-    return flip_components(mask, FG, connectivity, drop, band_pixels)
+    flips = ([HOLES] if holes else []) + ([(FG, connectivity, drop)] if min_area > 1 or border else [])
+    return flip_in_turn(mask, flips, band_pixels) if flips else mask
 
 
 def remove_islands(mask: DataFrame, min_island: int, connectivity: int = 8, spare_border: bool = False) -> DataFrame:
@@ -143,15 +174,6 @@ def _merged(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tupl
     return row[new], x0[new], reach[last] - row[new] * wide
 
 
-def _complement(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gaps of sorted runs in every row of ``rows`` (ascending)."""
-    first = np.searchsorted(row, rows)
-    starts, ends = np.insert(x1, first, 0), np.insert(x0, np.searchsorted(row, rows, "right"), width)
-    owner = np.insert(row, first, rows)
-    kept = starts < ends
-    return owner[kept], starts[kept], ends[kept]
-
-
 def _grown(row, x0, x1, r: int, width: int):
     """Union of the rows y - r .. y + r of runs widened by r; windows of rows double until they have the height of the box."""
     row, x0, x1 = _merged(row, np.maximum(x0 - r, 0), np.minimum(x1 + r, width), width)
@@ -175,13 +197,13 @@ def _box_band(table: pa.Table, steps: list[tuple[bool, int]], reach: int) -> pa.
     x0, x1 = (flat.field(c).to_numpy().astype(np.int64) for c in ("x0", "x1"))
     for grow, r in steps:
         if not grow:
-            row, x0, x1 = _complement(row, x0, x1, rows, width)
+            row, x0, x1 = complement(row, x0, x1, rows, width)
         row, x0, x1 = _grown(row, x0, x1, r, width)
         place = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
         known = rows[place] == row
         row, x0, x1 = row[known], x0[known], x1[known]
         if not grow:
-            row, x0, x1 = _complement(row, x0, x1, rows, width)
+            row, x0, x1 = complement(row, x0, x1, rows, width)
     pairs = pa.StructArray.from_arrays([pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["x0", "x1"])
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(rows, rows[-1] + 1)).astype(np.int32)), pairs)
     out = table.select(["image_id", "height", "width", "y"]).append_column("runs", lists)

@@ -529,9 +529,7 @@ def relabel(label_runs: DataFrame, min_area: int = 0, clear_border: bool = False
 
 def clean_mask(mask: DataFrame, params: SeparationParams) -> DataFrame:
     """Hole filling, speck removal and border clearing ahead of the separation."""
-    if params.fill_holes:
-        mask = masks.fill_holes(mask)
-    return masks.clean(mask, params.min_area_px, params.clear_border, params.connectivity)
+    return masks.clean(mask, params.min_area_px, params.clear_border, params.connectivity, holes=params.fill_holes)
 
 
 def separate(mask: DataFrame, params: SeparationParams = SeparationParams()) -> DataFrame | None:
