@@ -163,7 +163,7 @@ def flood(mask: DataFrame, seeds: DataFrame, add: bool, connectivity: int = 8, b
     return mask_of_segments(marked.unionByName(other), F.col("fg"))
 
 
-def _merged(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged_runs(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of intervals per row, as sorted runs that do not touch: one sort and one running maximum over all rows."""
     wide = width + 1
     order = np.argsort(row * wide + x0, kind="stable")
@@ -176,11 +176,11 @@ def _merged(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tupl
 
 def _grown(row, x0, x1, r: int, width: int):
     """Union of the rows y - r .. y + r of runs widened by r; windows of rows double until they have the height of the box."""
-    row, x0, x1 = _merged(row, np.maximum(x0 - r, 0), np.minimum(x1 + r, width), width)
+    row, x0, x1 = merged_runs(row, np.maximum(x0 - r, 0), np.minimum(x1 + r, width), width)
     tall = 1
     while tall < 2 * r + 1:
         step = min(tall, 2 * r + 1 - tall)
-        row, x0, x1 = _merged(np.append(row, row - step), np.append(x0, x0), np.append(x1, x1), width)
+        row, x0, x1 = merged_runs(np.append(row, row - step), np.append(x0, x0), np.append(x1, x1), width)
         tall += step
     return row + r, x0, x1
 
