@@ -81,6 +81,11 @@ def _flipped_across(mask: DataFrame, layer: int, connectivity: int, condition, b
     """``flip_components`` of images with several bands."""
     labelled = label_runs(segments(mask).where(F.col("layer") == layer), connectivity, band_pixels)
     flips = parts_where(labelled, condition(F.col("area"), F.col("touches_border"))).withColumn("flip", F.lit(True))
+    return _swapped(mask, labelled, flips, layer)
+
+
+def _swapped(mask: DataFrame, labelled: DataFrame, flips: DataFrame, layer: int) -> DataFrame:
+    """The mask with the parts in ``flips`` of its labelled layer turned into the other layer."""
     marked = labelled.join(flips, [*NODE, "part"], "left").select(
         "image_id", "height", "width", "y", "x0", "x1",
         (F.col("flip").isNull() == F.lit(layer == FG)).alias("fg"))
@@ -142,11 +147,45 @@ def process_islands(mask: DataFrame, min_island: int, max_hole: int, connectivit
 def flood(mask: DataFrame, seeds: DataFrame, add: bool, connectivity: int = 8, band_pixels: int | None = None) -> DataFrame:
     """Add (or remove) the background (foreground) component under each seed (image_id, x, y).
 
-    Seeds on the other side have no effect. A seed finds its run by (image, row); floods of one side never touch
-    each other's components, so all seeds of a call are applied together.
+    Seeds on the other side have no effect; floods of one side never touch each other's components, so all seeds of a call are applied
+    together. Images of one band meet their distinct seeds in one grouped step; in taller ones a seed finds its run by (image, row).
     """
     layer = BG if add else FG
-    mask = materialize(mask)
+    one = F.col("height") <= band_rows(F.col("height"), F.col("width"), pixels=band_pixels)
+    mask = materialize(mask.select(F.col("image_id").cast("bigint"), *[F.col(c).cast("int") for c in ("height", "width", "y")], "runs"), tall=F.max(~one))
+    small = mask.where(one) if mask.metrics["tall"] else mask
+    frames = materialize(small.where("y = 0").select("image_id", "height", "width"))
+    points = attach(seeds.select("image_id", "x", "y"), frames, ["image_id"]).where("x >= 0 AND x < width AND y >= 0 AND y < height")
+    points = points.select("image_id", "height", "width", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    keys = ["height", "width", "_bundle"]
+    rows, points = (t.withColumn("_bundle", bundle(band_pixels)).groupBy(*keys) for t in (small, points))
+    found = rows.cogroup(points).applyInArrow(
+        lambda key, rows, seeds: _under_seeds(rows, seeds, layer, int(connectivity == 8)), f"image_id bigint, height int, width int, y int, runs {RUNS_TYPE}")
+    return found.unionByName(_flooded_across(mask.where(~one), seeds, layer, connectivity, band_pixels)) if mask.metrics["tall"] else found
+
+
+def _under_seeds(table: pa.Table, seeds: pa.Table, layer: int, reach: int) -> pa.Table:
+    """``flood`` of several small images, all of one size; ``seeds`` lie inside the frame."""
+    table, row, x0, x1 = sorted_rows(table)
+    image, y = table.column("image_id").to_numpy(), table.column("y").to_numpy().astype(np.int64)
+    height, width, rows = table.column("height")[0].as_py(), table.column("width")[0].as_py(), np.arange(table.num_rows)
+    if layer == BG:
+        row, x0, x1 = complement(row, x0, x1, rows, width)
+    root = roots_of(image[row], y[row], x0, x1, reach)
+    seed_image, seed_y, seed_x = (seeds.column(c).to_numpy().astype(np.int64) for c in ("image_id", "y", "x"))
+    names = np.unique(image)
+    seed_row = np.searchsorted(np.searchsorted(names, image) * height + y, np.searchsorted(names, seed_image) * height + seed_y)
+    run = np.searchsorted(row * width + x0, seed_row * width + seed_x, "right") - 1
+    hit = run[(run >= 0) & (row[run] == seed_row) & (seed_x < x1[run])] if len(row) else run[:0]
+    kept = ~np.isin(root, root[hit])
+    row, x0, x1 = row[kept], x0[kept], x1[kept]
+    if layer == BG:
+        row, x0, x1 = complement(row, x0, x1, rows, width)
+    return rows_with_runs(table, row, x0, x1)
+
+
+def _flooded_across(mask: DataFrame, seeds: DataFrame, layer: int, connectivity: int, band_pixels: int | None) -> DataFrame:
+    """``flood`` of images with several bands."""
     labelled = label_runs(segments(mask).where(F.col("layer") == layer), connectivity, band_pixels)
     points = seeds.select("image_id", "y", F.col("x").alias("seed_x")).distinct()
     hit = (
@@ -156,11 +195,7 @@ def flood(mask: DataFrame, seeds: DataFrame, add: bool, connectivity: int = 8, b
     )
     parts = labelled.select(*NODE, "part", "comp").distinct().join(hit, [*NODE, "comp"], "left_semi")
     flips = parts.select(*NODE, "part").withColumn("flip", F.lit(True))
-    marked = labelled.join(flips, [*NODE, "part"], "left").select(
-        "image_id", "height", "width", "y", "x0", "x1", (F.col("flip").isNull() == F.lit(layer == FG)).alias("fg"))
-    other = segments(mask).where(F.col("layer") != layer).select(
-        "image_id", "height", "width", "y", "x0", "x1", F.lit(layer != FG).alias("fg"))
-    return mask_of_segments(marked.unionByName(other), F.col("fg"))
+    return _swapped(mask, labelled, flips, layer)
 
 
 def merged_runs(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
