@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from poremetry.functions.rows import RUNS_TYPE, overlaid
 from poremetry.operators.masks import merged_runs
 from poremetry.operators.neighbours import BAND_PIXELS
-from poremetry.workspace import attach, materialize
+from poremetry.workspace import attach, materialize, written
 
 PAINTS = ("paint", "paint_line")
 ERASES = ("erase", "erase_line")
@@ -194,7 +194,7 @@ def replay(mask: DataFrame, edits: DataFrame, as_of_seq: int | None = None) -> D
     """
     if as_of_seq is not None:
         edits = edits.where(F.col("seq") <= as_of_seq)
-    mask = mask if hasattr(mask, "metrics") else materialize(mask)
+    mask = written(mask)
     logs = edits.groupBy("image_id").agg(F.max(F.when(F.col("op") == "reset", F.col("seq"))).alias("reset_seq"), F.count(F.lit(1)).alias("n_edits"))
     facts = materialize(mask.where("y = 0").select("image_id", "height", "width").join(logs, "image_id"))
     by_row = decided_rows(drawn_runs(edits, facts))

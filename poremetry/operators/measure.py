@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from poremetry.functions.rows import bind, bits_of_runs
 from poremetry.operators.components import label_runs as label_components, smallest_reachable, touching_runs
 from poremetry.operators.neighbours import BAND_PIXELS, bundle, by_size
-from poremetry.workspace import attach, materialize
+from poremetry.workspace import attach, materialize, written
 
 # The columns of the pore table, in export order.
 PORE_COLUMNS = {
@@ -186,11 +186,7 @@ def outline_moments(points: DataFrame) -> DataFrame:
 
     per_tile = local.groupBy(*PORE, "tx", "ty").agg(
         *[F.expr("sum(" + " * ".join(["w"] + ["u"] * i + ["v"] * j) + f") AS m{i}{j}") for i, j in POWERS])
-    return moved_tiles(per_tile.groupBy(*PORE).agg(F.collect_list(F.struct("tx", "ty", *[f"m{i}{j}" for i, j in POWERS])).alias("tiles")), PORE)
-
-
-def moved_tiles(gathered: DataFrame, keep: list[str]) -> DataFrame:
-    """The sums of a label's ``tiles``, moved to its origin (ox, oy) and added; columns named in ``keep`` stay."""
+    gathered = per_tile.groupBy(*PORE).agg(F.collect_list(F.struct("tx", "ty", *[f"m{i}{j}" for i, j in POWERS])).alias("tiles"))
     gathered = gathered.withColumn("ox", F.array_min("tiles.tx")).withColumn("oy", F.array_min("tiles.ty"))
 
     def moved(i: int, j: int) -> str:
@@ -199,7 +195,7 @@ def moved_tiles(gathered: DataFrame, keep: list[str]) -> DataFrame:
         return f"CASE WHEN size(tiles) = 1 THEN tiles[0].m{i}{j} ELSE aggregate(tiles, 0D, (acc, t) -> acc + {' + '.join(terms)}) END AS m{i}{j}"
 
     return gathered.select(
-        *keep, (F.col("ox") * TILE + TILE // 2).alias("ox"), (F.col("oy") * TILE + TILE // 2).alias("oy"),
+        *PORE, (F.col("ox") * TILE + TILE // 2).alias("ox"), (F.col("oy") * TILE + TILE // 2).alias("oy"),
         *[F.expr(moved(i, j)) for i, j in POWERS])
 
 
@@ -252,11 +248,11 @@ def fit_ellipses(moments: np.ndarray) -> np.ndarray:
     return np.stack([major, minor, angle], -1)
 
 
-def axes(moments: DataFrame, keep: list[str] = PORE) -> DataFrame:
+def axes(moments: DataFrame, keep: list[str] = PORE, fit: bool = True) -> DataFrame:
     """(image_id, label, major_axis_px, minor_axis_px, orientation_deg); columns named in ``keep`` stay.
 
     Five or more outline points: least-squares ellipse. Two to four, or no proper ellipse: covariance of the points.
-    One point: NULL.
+    One point: NULL. Without ``fit``, for outlines of at most four points, no ellipse is tried and nothing goes through Python.
     """
     @F.pandas_udf("major double, minor double, angle double")
     def ellipse(rows: pd.DataFrame) -> pd.DataFrame:
@@ -268,9 +264,13 @@ def axes(moments: DataFrame, keep: list[str] = PORE) -> DataFrame:
     names = [f"m{i}{j}" for i, j in POWERS]
     n = F.col("m00")
     few = spread_axes(n, *[F.col(c) for c in ("m10", "m01", "m20", "m11", "m02")])
-    fitted = moments.withColumn("few", few).withColumn("fit", ellipse(F.struct(*names)))
-    use_fit = (n >= 5) & F.col("fit.major").isNotNull() & ~F.isnan("fit.major") & ~F.isnan("fit.minor")
-    part = lambda name: F.when(n >= 2, F.when(use_fit, F.col(f"fit.{name}")).otherwise(F.col(f"few.{name}")))
+    fitted = moments.withColumn("few", few)
+    best = lambda name: F.col(f"few.{name}")
+    if fit:
+        fitted = fitted.withColumn("fit", ellipse(F.struct(*names)))
+        use_fit = (n >= 5) & F.col("fit.major").isNotNull() & ~F.isnan("fit.major") & ~F.isnan("fit.minor")
+        best = lambda name: F.when(use_fit, F.col(f"fit.{name}")).otherwise(F.col(f"few.{name}"))
+    part = lambda name: F.when(n >= 2, best(name))
     return fitted.select(*keep, part("major").alias("major_axis_px"), part("minor").alias("minor_axis_px"),
                          part("angle").alias("orientation_deg"))
 
@@ -371,7 +371,7 @@ MOMENTS = [f"m{i}{j}" for i, j in POWERS]
 FACTS = {
     "sums": "height int, width int, area_px bigint, twice_sum_x bigint, sum_y bigint, bbox_x0 int, bbox_y0 int, bbox_x1 int, bbox_y1 int",
     "steps": "straight bigint, slanted bigint",
-    "tiles": f"tiles array<struct<tx:int,ty:int,{','.join(f'{m}:double' for m in MOMENTS)}>>",
+    "moments": "ox int, oy int, " + ", ".join(f"{m} double" for m in MOMENTS),
     "ferets": "feret_max_px double, feret_min_px double",
 }
 
@@ -461,8 +461,8 @@ def points_of_runs(pore: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarr
         yield np.repeat(pore[mine], n)[seen], np.repeat(y[mine], n)[seen], (np.repeat(x0[mine], n) + within)[seen], ends[seen] // 2
 
 
-def tile_sums(pores: int, points: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
-    """The tiles of every pore: sums of visits * x^i * y^j around the tiles' centres."""
+def moments_of(pores: int, points: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """``outline_moments`` of every pore: sums of visits * x^i * y^j around the tiles' centres, moved to the pore's origin."""
     keys, sums = [], []
     for pore, y, x, visits in points:
         tx, ty = x // TILE, y // TILE
@@ -473,8 +473,24 @@ def tile_sums(pores: int, points: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         keys.append((pore[head], tx[head], ty[head]))
         sums.append([np.add.reduceat(w * u ** i * v ** j, head) for i, j in POWERS])
     pore, tx, ty = (np.concatenate(c) for c in zip(*keys))
-    fields = [pa.array(tx.astype(np.int32)), pa.array(ty.astype(np.int32)), *[pa.array(np.concatenate(c)) for c in zip(*sums)]]
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pore, np.arange(pores + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["tx", "ty", *MOMENTS]))
+    tile = {p: np.concatenate(c) for p, c in zip(POWERS, zip(*sums))}
+    first, count = np.searchsorted(pore, np.arange(pores)), np.bincount(pore, minlength=pores)
+    ox, oy = np.minimum.reduceat(tx, first), np.minimum.reduceat(ty, first)
+    several = np.flatnonzero(count > 1)
+    moved = {p: np.where(count > 1, 0.0, m[first]) for p, m in tile.items()}
+    for k in range(count.max()):
+        mine = several[count[several] > k]
+        at = first[mine] + k
+        dx, dy = (tx[at] - ox[mine]) * float(TILE), (ty[at] - oy[mine]) * float(TILE)
+        for i, j in POWERS if len(mine) else ():
+            for a in range(i + 1):
+                for b in range(j + 1):
+                    term = comb(i, a) * comb(j, b) * tile[a, b][at]
+                    for shift in [dx] * (i - a) + [dy] * (j - b):
+                        term = term * shift
+                    moved[i, j][mine] += term
+    short = lambda o: (o * TILE + TILE // 2).astype(np.int32)
+    return {"ox": short(ox), "oy": short(oy)} | {f"m{i}{j}": moved[i, j] for i, j in POWERS}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -514,12 +530,12 @@ def _facts(table: pa.Table, want: tuple[str, ...]) -> pa.Table:
         out |= {"area_px": whole(n), "twice_sum_x": whole((x0 + x1 - 1) * n), "sum_y": whole(y * n),
                 "bbox_x0": short(np.minimum.reduceat(x0, head)), "bbox_y0": short(y[head]),
                 "bbox_x1": short(np.maximum.reduceat(x1, head)), "bbox_y1": short(y[tail] + 1)}
-    if "steps" in want or "tiles" in want:
+    if "steps" in want or "moments" in want:
         filled = without_holes(pore, y, x0, x1)
         if "steps" in want:
             out["straight"], out["slanted"] = step_counts(len(head), *filled)
-        if "tiles" in want:
-            out["tiles"] = tile_sums(len(head), points_of_runs(*filled))
+        if "moments" in want:
+            out |= moments_of(len(head), points_of_runs(*filled))
     if "ferets" in want:
         row = np.flatnonzero(np.append(True, (pore[1:] != pore[:-1]) | (y[1:] != y[:-1])))
         longest, shortest = shape_ferets(pore[row], y[row], x0[row], x1[np.append(row[1:], len(y)) - 1] - 1)
@@ -541,7 +557,7 @@ def pore_steps(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
 
 def pore_moments(runs: DataFrame, band_pixels: int | None = None) -> DataFrame:
     """``outline_moments`` of the filled pores of written label runs."""
-    return by_size(runs, lambda r: moved_tiles(pore_facts(r, ["tiles"], band_pixels), PORE),
+    return by_size(runs, lambda r: pore_facts(r, ["moments"], band_pixels),
                    lambda r: outline_moments(outline_points(materialize(filled_rows(r)))), band_pixels)
 
 
@@ -599,7 +615,7 @@ def measure(runs: DataFrame, scales: DataFrame | None = None, band_pixels: int |
     def small(runs: DataFrame) -> DataFrame:
         facts = pore_facts(runs, list(FACTS), band_pixels)
         length = (F.col("straight") + F.lit(sqrt(2)) * F.col("slanted")).alias("perimeter_px")
-        return axes(moved_tiles(facts.select(*PORE, *_from_sums(), length, "feret_max_px", "feret_min_px", "tiles"), shape), shape)
+        return axes(facts.select(*PORE, *_from_sums(), length, "feret_max_px", "feret_min_px", *MOMENTS), shape)
 
     def tall(runs: DataFrame) -> DataFrame:
         filled = materialize(filled_rows(runs))
@@ -608,7 +624,7 @@ def measure(runs: DataFrame, scales: DataFrame | None = None, band_pixels: int |
         pores = pores.join(axes(outline_moments(outline_points(filled))), PORE, "left")
         return pores.join(ferets(runs), PORE, "left")
 
-    pores = by_size(materialize(runs), small, tall, band_pixels)
+    pores = by_size(written(runs), small, tall, band_pixels)
     pores = (
         pores.withColumn("eq_diam_px", eq_diameter(F.col("area_px")))
         .withColumn("circularity", circularity(F.col("area_px"), F.col("perimeter_px")))
