@@ -2,7 +2,10 @@
 
 Both token sequences tile the text's bytes. ``merge_asof`` finds for each token start the other side's token that covers it; the two
 directions together are all overlaps, and places where tokens of both sides end cut the text into groups. How many documents hold a pair of
-ids linked is counted over all documents and joined back to every batch's distinct pairs.
+ids linked is counted over all documents, joined back to every batch's distinct pairs, and meets the batch's documents in a cogrouped step.
+
+A task holds the tokens of a small part of a batch at a time, and a batch's lists are cut into short rows: Parquet's writer and reader hold
+many rows at once, whatever their size.
 """
 
 from __future__ import annotations
@@ -10,18 +13,23 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from poremetry.llm.bpe import byte_characters
-from poremetry.llm.common import map_texts
+from poremetry.llm.common import in_pieces, map_texts
 from poremetry.workspace import materialize
 
-BATCH_BYTES = 4 << 20  # text that is aligned at once
+BATCH_BYTES = 4 << 20  # text whose distinct id pairs are listed together
+PART_BYTES = 256 << 10  # text of a batch that is aligned at once
+ROW_BYTES = 64  # what a row of a batch counts besides its text
+LIST_ENTRIES = 1024  # of a batch's lists in a row
 # Fixed value: how byte-level vocabularies cut text before they merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = "▁"
@@ -138,71 +146,101 @@ def group_texts(a: pd.DataFrame, b: pd.DataFrame, docs: np.ndarray, top: int) ->
     return per_doc, [b"".join(shown[i:j])[:-1] for i, j in zip(first, last)]
 
 
-def align_batch(ids: list, texts: list[str | None], a: Side, b: Side) -> dict:
-    """A batch as one row: per document its counts and, as positions in the batch's list of distinct id pairs, its distinct pairs.
+def cut(items: Iterable, size: Callable[..., int], most: int) -> Iterator[list]:
+    """The items in order, in lists that end where their sizes reach ``most``."""
+    part, total = [], 0
+    for item in items:
+        part.append(item)
+        total += size(item)
+        if total >= most:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
 
-    Copies of one text are aligned once.
-    """
-    place = {}
-    which = np.array([place.setdefault(t, len(place)) for t in texts], np.int64)
-    distinct = list(place)
-    (left, right), docs = tokens(distinct, a, b)
+
+PER_TEXT = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def align_part(texts: list[str | None], a: Side, b: Side) -> dict:
+    """Per text its counts, digest and number of distinct id pairs, and those pairs, text after text, with how often they are linked."""
+    (left, right), docs = tokens(texts, a, b)
     row_a, row_b = overlaps(left, right)
     base = len(b.bytes)
     doc = left["doc"].to_numpy()[row_a]
     pair = left["id"].to_numpy()[row_a] * base + right["id"].to_numpy()[row_b]
-    n = len(distinct)
-    groups, shas = np.zeros(n, np.int64), [""] * n
+    n = len(texts)
+    groups, shas = np.zeros(n, np.int64), np.full(n, "", object)
     counted, shown = group_texts(left, right, docs, max(len(a.bytes), base))
     groups[docs] = counted
     for d, text in zip(docs, shown):
         shas[d] = hashlib.sha256(text).hexdigest()
     held, times = np.unique(doc << 32 | pair, return_counts=True)
-    pairs, slot = np.unique(held & 0xFFFFFFFF, return_inverse=True)
-    owner = held >> 32
-    copies = np.bincount(which, minlength=n)
-    in_docs = np.bincount(slot, weights=copies[owner], minlength=len(pairs)).astype(np.int64)
-    ends = np.cumsum(np.bincount(owner, minlength=n))
-    size = lambda f: np.bincount(f["doc"], minlength=n)
+    size = lambda d: np.bincount(d, minlength=n)
+    return {"n_a": size(left["doc"]), "n_b": size(right["doc"]), "n_groups": groups, "n_links": size(doc), "groups_sha256": shas, "n_held": size(held >> 32),
+            "held": (held & 0xFFFFFFFF).astype(np.int32), "times": times.astype(np.int32)}
+
+
+def align_batch(ids: list, texts: list[str | None], a: Side, b: Side) -> dict:
+    """A batch: per document its counts and, as positions in the batch's list of distinct id pairs, its distinct pairs.
+
+    Copies of one text are aligned once. The tokens of a part of the texts are held at a time.
+    """
+    place = {}
+    which = np.array([place.setdefault(t, len(place)) for t in texts], np.int64)
+    parts = [align_part(part, a, b) for part in cut(place, lambda t: len(t or ""), PART_BYTES)]
+    whole = {k: np.concatenate([part[k] for part in parts]) for k in parts[0]}
+    pairs, slots = np.unique(whole["held"], return_inverse=True)
+    n_held = whole["n_held"]
+    copies = np.repeat(np.bincount(which, minlength=len(place)), n_held)
+    in_docs = np.bincount(slots, weights=copies, minlength=len(pairs)).astype(np.int64)
+    ends = np.cumsum(n_held)
     return {
-        "doc_id": ids, "n_a": size(left)[which], "n_b": size(right)[which], "n_groups": groups[which], "n_links": np.bincount(doc, minlength=n)[which],
-        "groups_sha256": [shas[i] for i in which], "slot_from": (ends - np.bincount(owner, minlength=n))[which], "slot_to": ends[which],
-        "slots": slot.astype(np.int32), "times": times.astype(np.int32), "pairs": pairs.astype(np.int32), "in_docs": in_docs}
+        "doc_id": ids, **{k: whole[k][which] for k in (*PER_TEXT, "groups_sha256")}, "slot_from": (ends - n_held)[which], "slot_to": ends[which],
+        "slots": slots.astype(np.int32), "times": whole["times"], "pairs": pairs, "in_docs": in_docs}
 
 
-PER_DOC = ("n_a", "n_b", "n_groups", "n_links", "slot_from", "slot_to")
+PER_DOC = (*PER_TEXT, "groups_sha256", "slot_from", "slot_to")
+LISTS = {"slots": pa.int32(), "times": pa.int32(), "pairs": pa.int32(), "in_docs": pa.int64()}
+
+
+def batch_rows(number: int, made: dict, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """A batch's documents, a row each, and its lists, each row with the entries from ``at`` on; the other columns are null."""
+    n = len(made["doc_id"])
+    pieces = -(-max(len(made[k]) for k in LISTS) // LIST_ENTRIES)
+    kinds = {"doc_id": id_kind, **{k: pa.string() if k == "groups_sha256" else pa.int64() for k in PER_DOC}}
+    of_batch = lambda rows: pa.array(np.full(rows, number, np.int64))
+    names = ["batch", *kinds, "at", *LISTS]
+    yield pa.RecordBatch.from_arrays(
+        [of_batch(n), *[pa.array(made[k], kind) for k, kind in kinds.items()], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(kind)) for kind in LISTS.values()]],
+        names=names)
+    at = np.arange(pieces + 1) * LIST_ENTRIES
+    lists = [pa.ListArray.from_arrays(pa.array(np.minimum(at, len(made[k])), pa.int32()), pa.array(made[k], kind)) for k, kind in LISTS.items()]
+    yield pa.RecordBatch.from_arrays(
+        [of_batch(pieces), *[pa.nulls(pieces, kind) for kind in kinds.values()], pa.array(at[:-1], pa.int32()), *lists], names=names)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row per batch of documents, as ``align_batch`` gives it, with a number of its own."""
+    """The rows of ``batch_rows`` for batches of documents; every batch has a number of its own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(a_path, b_path)
+        id_kinds = [pa.int64()]
+
+        def rows():
+            for piece in in_pieces(batches):
+                id_kinds[0] = piece.column(0).type
+                yield from zip(piece.column(0).to_pylist(), piece.column(1).to_pylist())
+
+        first = TaskContext.get().partitionId() << 33
+        for k, batch in enumerate(cut(rows(), lambda row: ROW_BYTES + len(row[1] or ""), BATCH_BYTES)):
+            ids, texts = map(list, zip(*batch))
+            yield from batch_rows(first + k, align_batch(ids, texts, a, b), id_kinds[0])
 
-        def row(ids, texts):
-            made = align_batch(ids, texts, a, b)
-            kinds = {"doc_id": id_kind, "groups_sha256": pa.string(), "slots": pa.int32(), "times": pa.int32(), "pairs": pa.int32()}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], pa.list_(kinds.get(k, pa.int64()))) for k, v in made.items()], names=list(made))
-
-        ids, texts, size, id_kind = [], [], 0, pa.int64()
-        for batch in batches:
-            id_kind = batch.column(0).type
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if size >= BATCH_BYTES:
-                    yield row(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield row(ids, texts)
-
-    longs = "".join(f", {c} array<bigint>" for c in PER_DOC[:4])
-    schema = (f"doc_id array<{kind}>{longs}, groups_sha256 array<string>, slot_from array<bigint>, slot_to array<bigint>, "
-              "slots array<int>, times array<int>, pairs array<int>, in_docs array<bigint>")
-    return map_texts(docs, run, schema).withColumn("batch", F.monotonically_increasing_id())
+    columns = ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'bigint'}" for c in PER_DOC)
+    schema = f"batch bigint, doc_id {kind}, {columns}, at int, slots array<int>, times array<int>, pairs array<int>, in_docs array<bigint>"
+    return map_texts(docs, run, schema)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,34 +256,32 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     batches = materialize(aligned(rows, a_path, b_path))
     base = F.lit(len(sides(a_path, b_path)[1].bytes))
-    held = batches.select("batch", F.posexplode(F.arrays_zip("pairs", "in_docs")).alias("slot", "p"))
-    counts = held.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.in_docs").alias("n"))
+    held = batches.where("at is not null").select("batch", "at", F.posexplode(F.arrays_zip("pairs", "in_docs")).alias("k", "p")).select(
+        "batch", (F.col("at") + F.col("k")).alias("slot"), F.col("p.pairs").alias("pair"), "p.in_docs")
+    counts = held.groupBy("pair").agg(F.sum("in_docs").alias("n"))
     counts = materialize(counts.withColumn("a", F.floor(F.col("pair") / base)))
     # one row per id of a: as many as its vocabulary has
     best = F.broadcast(counts.groupBy("a").agg(F.max("n").alias("top")))
     known = counts.join(best, "a").select("pair", F.when(F.col("n") == F.col("top"), -F.col("n")).otherwise(F.col("n")).alias("n"))
-    # (slot, count) of every distinct pair of a batch; a negative count is the highest of its a id
-    found = held.select("batch", "slot", F.col("p.pairs").alias("pair")).join(known, "pair").groupBy("batch").agg(
-        F.collect_list(F.struct("slot", "n")).alias("found"))
+    # the count of every distinct pair of a batch; a negative count is the highest of its a id. The optimizer knows the pairs' written size only
+    found = held.join(known.hint("merge"), "pair").select(F.col("batch").alias("of"), "slot", "n")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    whole = batches.drop("pairs", "in_docs").join(found, "batch", "left")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for k in range(part.num_rows):
-                get = lambda name: part.column(name)[k].values
-                slots, times = get("slots").to_numpy(), get("times").to_numpy().astype(np.int64)
-                count = np.zeros(int(slots.max()) + 1 if len(slots) else 0, np.int64)
-                if len(slots):
-                    listed = get("found")
-                    count[listed.field("slot").to_numpy()] = listed.field("n").to_numpy()
-                number = count[slots]
-                sums = np.append(0, np.cumsum(np.abs(number) * times))
-                bests = np.append(0, np.cumsum(np.where(number < 0, times, 0)))
-                lo, hi = get("slot_from").to_numpy(), get("slot_to").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [get("doc_id"), *[get(c) for c in PER_DOC[:4]], pa.array(bests[hi] - bests[lo]), pa.array(sums[hi] - sums[lo]), get("groups_sha256")],
-                    names=["doc_id", *PER_DOC[:4], "n_best", "count_sum", "groups_sha256"])
-
-    longs = ", ".join(f"{c} bigint" for c in (*PER_DOC[:4], "n_best", "count_sum"))
-    return whole.mapInArrow(run, f"doc_id {kind}, {longs}, groups_sha256 string")
+    names = ["doc_id", *PER_TEXT, "n_best", "count_sum", "groups_sha256"]
+
+    def run(batch: pa.Table, listed: pa.Table) -> pa.Table:
+        of_doc = pc.is_null(batch["at"])
+        per_doc, lists = batch.filter(of_doc), batch.select(["at", "slots", "times"]).filter(pc.invert(of_doc)).sort_by("at")
+        slots, times = (lists[c].combine_chunks().flatten().to_numpy() for c in ("slots", "times"))
+        count = np.zeros(int(slots.max()) + 1 if len(slots) else 0, np.int64)
+        if len(slots):
+            count[listed["slot"].to_numpy()] = listed["n"].to_numpy()
+        number = count[slots]
+        sums = np.append(0, np.cumsum(np.abs(number) * times))
+        bests = np.append(0, np.cumsum(np.where(number < 0, times, 0)))
+        lo, hi = per_doc["slot_from"].to_numpy(), per_doc["slot_to"].to_numpy()
+        made = {"n_best": pa.array(bests[hi] - bests[lo]), "count_sum": pa.array(sums[hi] - sums[lo])}
+        return pa.table([made[c] if c in made else per_doc[c] for c in names], names=names)
+
+    longs = ", ".join(f"{c} bigint" for c in (*PER_TEXT, "n_best", "count_sum"))
+    return batches.drop("pairs", "in_docs").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(
+        run, f"doc_id {kind}, {longs}, groups_sha256 string")

@@ -92,3 +92,40 @@ def test_encoder_equals_the_tokenizers_library(text):
         LIBRARY = Tokenizer.from_file(A)
         LIBRARY.encode_special_tokens = True
     assert ta.sides(A, B)[0].encode([text])[0] == LIBRARY.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_a_part_of_a_batch_is_aligned_at_once(monkeypatch):
+    """The tokens of a whole batch are never held together, and the parts give what one part gives."""
+    a, b = ta.sides(A, B)
+    texts = [None if i % 7 == 3 else "some words, " * (i % 40) + str(i % 50) for i in range(4000)]
+    sent = []
+
+    class Watched:
+        bytes, sizes, joined = a.bytes, a.sizes, staticmethod(a.joined)
+
+        @staticmethod
+        def encode(part):
+            sent.append(sum(map(len, part)))
+            return a.encode(part)
+
+    whole = ta.align_batch(list(range(4000)), texts, a, b)
+    monkeypatch.setattr(ta, "PART_BYTES", 2000)
+    parts = ta.align_batch(list(range(4000)), texts, Watched, b)
+    assert sum(sent) > 10_000 and max(sent) < 3000
+    assert {k: list(v) for k, v in parts.items()} == {k: list(v) for k, v in whole.items()}
+
+
+def test_written_rows_are_short(spark):
+    """Rows of a batch stay short, however many id pairs a text or a batch has."""
+    rows = [(i, " ".join(str((i * 7919 + k * k) % 99991) for k in range(3000))) for i in range(4)]
+    batches = ta.aligned(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), A, B).collect()
+    assert len({r.batch for r in batches}) == 1
+    assert sum(len(r.slots or []) for r in batches) > 2 * len(batches)
+    assert max(len(r[c] or []) for r in batches for c in ("slots", "times", "pairs", "in_docs")) <= 1024
+
+
+def test_rows_without_text_do_not_gather(spark, monkeypatch):
+    monkeypatch.setattr(ta, "BATCH_BYTES", 6400)
+    nothing = spark.range(1000).selectExpr("id doc_id", "if(id % 2 = 0, '', null) text").coalesce(1)
+    assert ta.aligned(nothing, A, B).select("batch").distinct().count() >= 10
+    assert ta.align(nothing, A, B).where("n_a = 0 and groups_sha256 = ''").count() == 1000
